@@ -142,7 +142,7 @@ ranked AS (
          sum(s) OVER () AS t
   FROM src),
 level AS (
-  SELECT coalesce(min((t - capped)::DOUBLE / open_w) FILTER (c >= (t - capped)::DOUBLE / open_w), 0) AS lam FROM ranked),
+  SELECT coalesce(arg_min((t - capped)::DOUBLE / open_w, (c, source)) FILTER (c >= (t - capped)::DOUBLE / open_w), 0) AS lam FROM ranked),
 aim AS (
   SELECT source, s, w, CASE WHEN lam * w > 3 * s THEN 3.0::DOUBLE * s ELSE lam * w END AS target FROM src, level),
 quota AS (
