@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import hmm, langid, mixing, packing, quality, rules, simhash, tokens
+from trackloom.llm import embeddings, hmm, langid, mixing, packing, quality, rules, simhash, tokens
 from trackloom.llm.common import id_remainder
 
 
@@ -34,6 +34,10 @@ def op2_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), labels, id_remainder(F.col("doc_id"), 4) == 2)
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_naive_bayes_svm, op4_quality_rules, op6_hidden_markov_lm, op7_simhash_near_dedup, op8_mix_sources, op9_language_id, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_naive_bayes_svm, op3_embedding_near_dedup, op4_quality_rules, op6_hidden_markov_lm, op7_simhash_near_dedup, op8_mix_sources, op9_language_id, op10_token_counts)}
 
 ORACLES: dict[str, str] = {"op8_mix_sources": mixing.SQL}
