@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import embeddings, hmm, langid, mixing, packing, quality, rules, simhash, tokens
+from trackloom.llm import embeddings, hmm, langid, mixing, packing, quality, rules, simhash, suffix, tokens
 from trackloom.llm.common import id_remainder
 
 
@@ -42,6 +42,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 10) == 0)
 
@@ -63,6 +68,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_naive_bayes_svm, op3_embedding_near_dedup, op4_quality_rules, op6_hidden_markov_lm, op7_simhash_near_dedup, op8_mix_sources, op9_language_id, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_naive_bayes_svm, op3_embedding_near_dedup, op4_quality_rules, op5_suffix_array_dedup, op6_hidden_markov_lm, op7_simhash_near_dedup, op8_mix_sources, op9_language_id, op10_token_counts)}
 
 ORACLES: dict[str, str] = {"op8_mix_sources": mixing.SQL}
