@@ -21,12 +21,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
+    """docs packed with the byte-level vocabulary into sequences of 2048."""
     import public_tokenizers
 
-    return packing.pack(
-        table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), tiktoken_path=vocabulary("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN
-    )
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), tiktoken_path=vocabulary("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
 
 
 def op2_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:

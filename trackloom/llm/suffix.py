@@ -261,9 +261,11 @@ def crowded_spans(pieces: DataFrame, least: int) -> DataFrame:
     return hit.select("id", "row", (F.col("start") + F.col("k")).alias("first"), F.lit(1).cast("long").alias("number"))
 
 
-def remove_repeats(docs: DataFrame, least: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 200, *, as_text: bool = False) -> DataFrame:
     """Every row of docs (doc_id, text and any other columns) with kept (bytes left), n_bytes, n_removed, n_spans.
 
+    as_text: kept is text, without the parts of characters that a cut left.
+
     A byte goes if a string of least bytes covers it that also starts anywhere else in the table, in the same
     text too; strings are judged on the input. A null text is empty. Repeated rows count as documents of
     their own, so each loses what both hold. A null doc_id is an id like any other. An empty table gives an
@@ -299,10 +301,11 @@ def remove_repeats(docs: DataFrame, least: int = 200) -> DataFrame:
                 gone = np.cumsum(edges[:-1]) > 0
                 kept.append(data[~gone].tobytes())
                 numbers.append((len(data), int(gone.sum()), len(true_spans(gone))))
-            columns = [pa.array(kept, pa.binary()), *(pa.array([n[k] for n in numbers], pa.int64()) for k in range(3))]
+            left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            columns = [left, *(pa.array([n[k] for n in numbers], pa.int64()) for k in range(3))]
             rest = [batch.column(n) for n in names.values()]
             yield pa.RecordBatch.from_arrays([*rest, *columns], [*names.values(), *new])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-    done = joined.mapInArrow(cut, f"{fields}, kept binary, n_bytes long, n_removed long, n_spans long")
+    done = joined.mapInArrow(cut, f"{fields}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
     return done.select(*(F.col(n).alias(c) for c, n in names.items()), *new)
