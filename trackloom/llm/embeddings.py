@@ -26,39 +26,40 @@ KEY = ["label", "width", "tab", "value", "i", "j"]
 
 @dataclass
 class Quantiser:
-    """Per vector width: the sample's mean and rotations whose signs are the code's bits."""
+    """Per vector width: rotations whose signs are the code's bits."""
 
-    rotations: dict[int, tuple[np.ndarray, np.ndarray]]
+    rotations: dict[int, np.ndarray]
     bits: int
     tables: int
 
     def substrings(self, x: np.ndarray) -> np.ndarray:
         """(rows, tables) integer values of the code's substrings."""
         width = x.shape[1]
-        mean, turn = self.rotations[width] if width in self.rotations else fallback(width, self.bits * self.tables)
-        code = ((x - mean) @ turn > 0)[:, : self.bits * self.tables].reshape(len(x), self.tables, self.bits)
+        turn = self.rotations[width] if width in self.rotations else fallback(width, self.bits * self.tables)
+        code = (x @ turn > 0)[:, : self.bits * self.tables].reshape(len(x), self.tables, self.bits)
         return (code.astype(np.int64) << np.arange(self.bits)).sum(2).astype(np.int32)
 
 
-def fallback(width: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+def fallback(width: int, total: int) -> np.ndarray:
     """Random directions for a width that the sample lacks."""
-    return np.zeros(width), np.random.default_rng(width).normal(size=(width, total))
+    return np.random.default_rng(width).normal(size=(width, total))
 
 
-def learn_rotation(x: np.ndarray, total: int, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Iterative quantisation: as many rotations, each from another random start, as total bits need."""
-    mean = x.mean(0)
-    centred = x - mean
-    _, vectors = np.linalg.eigh(centred.T @ centred)
+def learn_rotation(x: np.ndarray, total: int, rounds: int = 25) -> np.ndarray:
+    """Iterative quantisation: as many rotations, each from another random start, as total bits need.
+
+    The vectors are not centred: cosines are angles at the origin, so the cutting planes pass through it.
+    """
+    _, vectors = np.linalg.eigh(x.T @ x)
     turns, width = [], x.shape[1]
     for k in range(-(-total // width)):
-        v = centred @ vectors
+        v = x @ vectors
         r, _ = np.linalg.qr(np.random.default_rng(k).normal(size=(width, width)))
         for _ in range(rounds):
             u, _, w = np.linalg.svd(np.where(v @ r > 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
         turns.append(vectors @ r)
-    return mean, np.hstack(turns)
+    return np.hstack(turns)
 
 
 def fit_quantiser(sample: list[np.ndarray], crowd: int, per_bucket: int = 32, closeness: float = 0.93, certainty: float = 4.0) -> Quantiser:

@@ -95,8 +95,8 @@ def mix(docs: DataFrame, sources: Column | None = None, *, weights: tuple[float,
     pattern = F.when(F.coalesce(F.size(names), F.lit(0)) < 1, none).otherwise(F.array_sort(F.array_distinct(named)))
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", size.alias("size"), key.alias("key"), pattern.alias("members"))
-    rows = rows.withColumn("first", F.get("members" if sources is None else named, F.lit(0))).withColumn("first", F.coalesce("first", F.get("members", F.lit(0))))
+    rows = docs.select("doc_id", size.alias("size"), key.alias("key"), pattern.alias("members"), F.get(named, F.lit(0)).alias("leading"))
+    rows = rows.withColumn("first", F.coalesce("leading", F.get("members", F.lit(0)))).drop("leading")
     sized = written(rows.withColumn("pattern", F.to_json("members")).withColumn("range", F.conv(F.substring("key", 1, DIGITS), 16, 10).cast("int")), "sizes")
 
     found = sized.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members")).orderBy("pattern").limit(most_patterns + 1).collect()

@@ -29,6 +29,8 @@ BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) | _u(1)
 STEP = _random.integers(1, 2**63, 8, dtype=np.uint64) | _u(1)
 BASE = 0x9E3779B97F4A7C15
 POSITION = _u((1 << 28) - 1)
+#: Strings of a part in which a crowded anchor's runs are counted.
+PART = 4
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -80,12 +82,12 @@ class Hashes:
 
 
 def runs(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
-    """Runs of all texts: owner, start in it, number of strings, anchor's hash, content hash."""
+    """Runs of all texts: owner, packed place in it (see place()), anchor's hash, content hash."""
     lengths = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     n = len(data) - least + 1
     if n <= 0 or lengths.max() < least:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
     hashes = Hashes(data)
     grams = hashes.grams()
     low = (grams & ~POSITION) | np.arange(len(grams), dtype=np.uint64)
@@ -103,7 +105,13 @@ def runs(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     keep = whole[change]
     start, count = change[keep], count[keep]
     owner = np.searchsorted(ends, start, side="right")
-    return owner, start - (ends - lengths)[owner], count, grams[anchor[start]], hashes.of(start, start + count + least - 1)
+    place = (start - (ends - lengths)[owner]) << 24 | (anchor[start] - start) << 12 | (count - 1)
+    return owner, place, grams[anchor[start]], hashes.of(start, start + count + least - 1)
+
+
+def unpacked(place: int) -> tuple[int, int, int]:
+    """Start of a run, distance from there to its anchor, number of its strings."""
+    return place >> 24, place >> 12 & 4095, (place & 4095) + 1
 
 
 def suffix_order(v: np.ndarray, depth: int) -> np.ndarray:
@@ -179,14 +187,13 @@ def repeated_spans(docs: DataFrame, least: int = 200, *, crowd: int = 256, chunk
 
     id and row are not null and name a row's content; rows with equal id and row are equal.
     """
-    assert least >= 2 * GRAM
+    assert 2 * GRAM <= least < 4096
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 2 << 20):
-            owner, start, count, key, content = runs([(x or "").encode() for x in batch.column("text").to_pylist()], least)
+            owner, place, key, content = runs([(x or "").encode() for x in batch.column("text").to_pylist()], least)
             at = pa.array(owner)
-            span = start << 8 | (count - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), batch.column("id").take(at), batch.column("row").take(at), pa.array(span)], ["anchor", "content", "id", "row", "span"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), batch.column("id").take(at), batch.column("row").take(at), pa.array(place)], ["anchor", "content", "id", "row", "span"])
 
     found = docs.select("id", "row", "text").mapInArrow(emit, "anchor long, content long, id long, row long, span long")
     found = written(found, "runs")
@@ -195,7 +202,7 @@ def repeated_spans(docs: DataFrame, least: int = 200, *, crowd: int = 256, chunk
     anchors = counts.groupBy("anchor").agg(F.sum("copies").alias("uses"), F.count("*").alias("kinds")).where("uses > 1").select("anchor", "kinds")
     status = counts.join(anchors, "anchor")
     matched = written(found.join(status, ["anchor", "content"]), "matched")
-    first, number = F.shiftrightunsigned("span", 8), F.col("span").bitwiseAND(F.lit(255)) + 1
+    first, number = F.shiftrightunsigned("span", 24), F.col("span").bitwiseAND(F.lit(4095)) + 1
     whole = matched.where("copies > 1").select("id", "row", first.alias("first"), number.alias("number"))
 
     kinds = matched.where("kinds > 1").groupBy("anchor", "content").agg(F.max("copies").alias("copies"), F.max("kinds").alias("kinds"), F.min(F.struct("id", "row", "span")).alias("one"))
@@ -208,13 +215,13 @@ def repeated_spans(docs: DataFrame, least: int = 200, *, crowd: int = 256, chunk
             for id_, row, text, want in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "text", "wanted"))):
                 raw = text.encode()
                 for w in want:
-                    a, n = w["span"] >> 8, (w["span"] & 255) + 1
-                    rows.append((w["anchor"], w["copies"], w["kinds"], id_, row, a, raw[a : a + n + least - 1]))
-            columns = list(zip(*rows)) if rows else [()] * 7
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "copies", "kinds", "id", "row", "start", "bytes"])
+                    a, ahead, n = unpacked(w["span"])
+                    rows.append((w["anchor"], w["copies"], w["kinds"], id_, row, a, ahead, raw[a : a + n + least - 1]))
+            columns = list(zip(*rows)) if rows else [()] * 8
+            types = (*[pa.int64()] * 7, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "copies", "kinds", "id", "row", "start", "ahead", "bytes"])
 
-    pieces = written(sources.mapInArrow(fetch, "anchor long, copies long, kinds long, id long, row long, start long, bytes binary"), "pieces")
+    pieces = written(sources.mapInArrow(fetch, "anchor long, copies long, kinds long, id long, row long, start long, ahead long, bytes binary"), "pieces")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(rows: list[tuple]) -> pa.RecordBatch:
@@ -242,23 +249,44 @@ def repeated_spans(docs: DataFrame, least: int = 200, *, crowd: int = 256, chunk
 
 
 def crowded_spans(pieces: DataFrame, least: int) -> DataFrame:
-    """As compare() for anchors with many kinds of runs: every string of theirs is counted by its content hash."""
+    """As compare() for anchors with many kinds of runs: strings are counted by content hash.
+
+    Runs are cut into parts of PART strings at fixed distances from the anchor, so equal strings are in parts
+    of one place. A part whose content is there twice repeats whole; one whose strings' common middle is
+    there once repeats nowhere; only the others' strings are counted one by one.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = []
-            for raw in batch.column("bytes").to_pylist():
-                start = np.arange(len(raw) - least + 1)
-                each.append(Hashes(np.frombuffer(raw, np.uint8)).of(start, start + least).view(np.int64))
-            strings = pa.ListArray.from_arrays(np.cumsum([0, *map(len, each)]).astype(np.int32), pa.array(np.concatenate([*each, np.zeros(0, np.int64)])))
-            names = ["anchor", "copies", "id", "row", "start"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), strings], [*names, "each"])
-
-    parts = pieces.select("anchor", "copies", "id", "row", "start", "bytes").mapInArrow(cut, "anchor long, copies long, id long, row long, start long, each array<long>")
-    strings = written(parts, "strings").select("anchor", "copies", "id", "row", "start", F.posexplode("each").alias("k", "string"))
-    twice = strings.groupBy("anchor", "string").agg(F.count("*").alias("times")).where("times > 1").select("anchor", "string")
-    hit = strings.where("copies = 1").join(twice, ["anchor", "string"])
-    return hit.select("id", "row", (F.col("start") + F.col("k")).alias("first"), F.lit(1).cast("long").alias("number"))
+            rows = []
+            for anchor, copies, id_, row, start, ahead, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "copies", "id", "row", "start", "ahead", "bytes"))):
+                h, n = Hashes(np.frombuffer(raw, np.uint8)), len(raw) - least + 1
+                before = ahead - np.arange(n)  # from each string's start to the anchor
+                spot = before // PART
+                a = np.flatnonzero(np.concatenate(([True], spot[1:] != spot[:-1])))
+                b = np.append(a[1:], n)
+                middle = ahead - spot[a] * PART
+                each = h.of(np.arange(n), np.arange(n) + least).view(np.int64)
+                full = h.of(a, b + least - 1).view(np.int64)
+                core = h.of(middle, middle + least - PART + 1).view(np.int64)
+                rows += [(anchor, int(s), int(c), int(f), 2 if copies > 1 else 1, id_, row, start + int(i), int(j - i), each[i:j].tolist()) for s, c, f, i, j in zip(spot[a], core, full, a, b)]
+            columns = list(zip(*rows)) if rows else [()] * 10
+            types = (*[pa.int64()] * 9, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "spot", "core", "full", "copies", "id", "row", "first", "number", "each"])
+
+    fields = "anchor long, spot long, core long, full long, copies long, id long, row long, first long, number long, each array<long>"
+    parts = written(pieces.select("anchor", "copies", "id", "row", "start", "ahead", "bytes").mapInArrow(cut, fields), "parts")
+    place = ["anchor", "spot", "core"]
+    kinds = parts.groupBy(*place, "full").agg(F.sum("copies").alias("times"), F.first("each").alias("each"))
+    shared = parts.groupBy(*place).agg(F.sum("copies").alias("uses")).where("uses > 1").select(*place)
+    live = written(kinds.join(shared, place), "live")
+    once = parts.where("copies = 1")
+    whole = once.join(live.where("times > 1").select(*place, "full"), [*place, "full"]).select("id", "row", "first", "number")
+    strings = live.select("anchor", "spot", "times", F.explode("each").alias("string")).groupBy("anchor", "spot", "string").agg(F.sum("times").alias("times"))
+    twice = strings.where("times > 1").select("anchor", "spot", "string")
+    rest = once.join(live.where("times = 1").select(*place, "full"), [*place, "full"]).select("anchor", "spot", "id", "row", "first", F.posexplode("each").alias("k", "string"))
+    hit = rest.join(twice, ["anchor", "spot", "string"]).select("id", "row", (F.col("first") + F.col("k")).alias("first"), F.lit(1).cast("long").alias("number"))
+    return whole.unionByName(hit)
 
 
 def remove_repeats(docs: DataFrame, least: int = 200, *, as_text: bool = False) -> DataFrame:
