@@ -29,8 +29,9 @@ BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) | _u(1)
 STEP = _random.integers(1, 2**63, 8, dtype=np.uint64) | _u(1)
 BASE = 0x9E3779B97F4A7C15
 POSITION = _u((1 << 28) - 1)
-#: Strings of a part in which a crowded anchor's runs are counted.
-PART = 4
+#: Strings of a part in which a crowded anchor's runs are counted. A run of w strings makes w / PART parts, and
+#: has up to 2 PART strings in parts that are cut by the edges of a passage: least together at sqrt(w / 2).
+PART = 6
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
