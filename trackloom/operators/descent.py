@@ -1,0 +1,75 @@
+"""Idle descents of many flights at once: the step loop runs over a whole batch of requests.
+
+Each step is row-to-row recurrence, which no window expresses; requests are independent, so Spark spreads
+them and a task advances its batch together in arrays.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from trackloom.functions.flight import G0, LAPSE, P0, R_AIR, RHO0, T0
+
+# Gates, pitch law and limits of the descent controller.
+FINAL_GATE_M, APPROACH_GATE_M = 12_000.0, 35_000.0
+NOMINAL_PITCH, KP, KI = -np.radians(3.0), np.radians(0.10), np.radians(0.003)
+INTEGRAL_LIMIT, SINK_LIMIT = 500.0, -3000 * 0.00508
+
+SCHEMA = "request_id long, t_s double, s_m double, h_m double, v_cas_mps double, target_cas_mps double, gamma_rad double, vertical_speed_mps double, mode string"
+
+
+def density(h: np.ndarray) -> np.ndarray:
+    t = T0 - LAPSE * np.maximum(h, 0)
+    return P0 * (np.maximum(t, 1) / T0) ** (G0 / (R_AIR * LAPSE)) / (R_AIR * np.maximum(t, 1))
+
+
+def descend(requests: DataFrame, dt_s: float = 0.5, max_time_s: float = 7200.0) -> DataFrame:
+    """The history of each request (request_id, start_s, start_h, start_cas, target_h, clean_cas, approach_cas, final_cas,
+    mass, area, cd0, k, idle): rows at every step until the target height or max_time_s.
+
+    A proportional-integral law on the speed error sets the pitch; vertical speed is limited, the integral
+    is held while that limit works against it and cleared when the mode changes, and the last step is
+    shortened to end at the target height.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in batches:
+            ids, mass, area = r["request_id"].to_numpy(), r["mass"].to_numpy(float), r["area"].to_numpy(float)
+            speeds = r[["final_cas", "approach_cas", "clean_cas"]].to_numpy(float)
+            cd0, k, idle, target_h = (r[c].to_numpy(float) for c in ("cd0", "k", "idle", "target_h"))
+            s, h = r["start_s"].to_numpy(float).copy(), r["start_h"].to_numpy(float).copy()
+            v = r["start_cas"].to_numpy(float) * np.sqrt(RHO0 / density(h))
+            t, integral, last = np.zeros(len(r)), np.zeros(len(r)), np.full(len(r), -1)
+            on = np.arange(len(r))
+            while len(on):
+                mode = np.where(s[on] <= FINAL_GATE_M, 0, np.where(s[on] <= APPROACH_GATE_M, 1, 2))
+                integral[on[(last[on] >= 0) & (last[on] != mode)]] = 0.0
+                last[on] = mode
+                rho = density(h[on])
+                cas = v[on] * np.sqrt(rho / RHO0)
+                target = speeds[on, mode]
+                error = cas - target
+                wanted = np.maximum(v[on], 1) * np.sin(NOMINAL_PITCH + KP * error + KI * integral[on])
+                sink = np.clip(wanted, SINK_LIMIT, 0.0)
+                gamma = np.arcsin(np.clip(sink / np.maximum(v[on], 1), -0.95, 0.95))
+                yield pd.DataFrame({"request_id": ids[on], "t_s": t[on], "s_m": s[on], "h_m": h[on], "v_cas_mps": cas, "target_cas_mps": target, "gamma_rad": gamma, "vertical_speed_mps": sink, "mode": np.array(["final", "approach", "clean"])[mode]})
+                go = (h[on] > target_h[on]) & (t[on] < max_time_s)
+                on, error, wanted, sink, gamma, rho = (x[go] for x in (on, error, wanted, sink, gamma, rho))
+                step = np.minimum(dt_s, max_time_s - t[on])
+                ends = (sink < -1e-9) & (h[on] + sink * step < target_h[on])
+                step[ends] = ((target_h[on] - h[on])[ends]) / sink[ends]
+                held = ((sink >= -1e-9) & (wanted > 0) & (error > 0)) | ((sink <= SINK_LIMIT + 1e-9) & (wanted < SINK_LIMIT) & (error < 0))
+                integral[on] = np.where(held, integral[on], np.clip(integral[on] + error * step, -INTEGRAL_LIMIT, INTEGRAL_LIMIT))
+                q = 0.5 * rho * np.maximum(v[on], 1) ** 2 * area[on]
+                cl = mass[on] * G0 * np.cos(gamma) / np.maximum(q, 1e-6)
+                drag = q * (cd0[on] + k[on] * cl**2)
+                t[on] += step
+                s[on] -= np.maximum(v[on], 1.0) * step
+                h[on] += sink * step
+                v[on] = np.maximum(1.0, v[on] + ((idle[on] - drag) / mass[on] - G0 * np.sin(gamma)) * step)
+
+    return requests.mapInPandas(run, SCHEMA)
