@@ -183,7 +183,7 @@ def true_spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist()))
 
 
-def repeated_spans(docs: DataFrame, least: int = 200, *, crowd: int = 256, chunk: int = 1 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = 200, *, crowd: int = 256, chunk: int = 1 << 19) -> DataFrame:
     """For docs (id, row, text): id, row, first, number: starts of strings of least bytes that repeat.
 
     id and row are not null and name a row's content; rows with equal id and row are equal.
@@ -191,7 +191,7 @@ def repeated_spans(docs: DataFrame, least: int = 200, *, crowd: int = 256, chunk
     assert 2 * GRAM <= least < 4096
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, 2 << 20):
+        for batch in text_batches(batches, 1 << 20):
             owner, place, key, content = runs([(x or "").encode() for x in batch.column("text").to_pylist()], least)
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), batch.column("id").take(at), batch.column("row").take(at), pa.array(place)], ["anchor", "content", "id", "row", "span"])
@@ -211,7 +211,7 @@ def repeated_spans(docs: DataFrame, least: int = 200, *, crowd: int = 256, chunk
     sources = docs.select("id", "row", "text").join(wanted, ["id", "row"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, 2 << 20):
+        for batch in text_batches(batches, 1 << 20):
             rows = []
             for id_, row, text, want in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "text", "wanted"))):
                 raw = text.encode()
