@@ -103,9 +103,9 @@ def fit(rows: list[np.ndarray], good: np.ndarray, smooth: float = 1.0, cost: flo
         counts[int(good[i])][rows[i]] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     bias_at = size
-    scaled = [ratio[r] for r in rows]
-    values = [np.append(v / (np.sqrt(v @ v) or 1.0), 1.0) for v in scaled]
-    placed = [np.append(r, bias_at) for r in rows]
+    unit = lambda v: np.append(v / (np.sqrt(v @ v) or 1.0), 1.0).astype(np.float32)
+    values = [unit(ratio[r]) for r in rows]
+    placed = [np.append(r, np.int32(bias_at)) for r in rows]
     y = np.where(good, 1.0, -1.0)
     rarer = {1.0: 1.0, -1.0: good[kept].sum() / max(1, (~good[kept]).sum())}
     chosen = np.flatnonzero(kept)
@@ -116,7 +116,7 @@ def fit(rows: list[np.ndarray], good: np.ndarray, smooth: float = 1.0, cost: flo
     return Model(w[:-1] * ratio, ratio**2, float(w[-1]), slope, offset)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = 12_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = 8_000) -> Model:
     """The model of docs (doc_id, text) labelled 0 or 1 in labels (doc_id, label).
 
     sample bounds the labelled rows that the fit sees: those with the lowest hashes of doc_id. Null labels,
@@ -133,8 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample:
 
     # At most `sample` rows of 20 bytes are broadcast.
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("order", F.col("label").cast("int").alias("label"), "text")
-    table = joined.mapInArrow(extract, "order long, label int, found binary").toPandas().sort_values(["order", "label"])
-    return fit([np.frombuffer(x, "<i4") for x in table["found"]], table["label"].to_numpy() == 1)
+    table = joined.mapInArrow(extract, "order long, label int, found binary").toArrow()
+    rows = sorted(zip(table["order"].to_pylist(), table["label"].to_pylist(), table["found"].to_pylist()))
+    del table
+    return fit([np.frombuffer(found, "<i4") for _, _, found in rows], np.array([label == 1 for _, label, _ in rows], bool))
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
