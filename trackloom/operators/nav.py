@@ -123,8 +123,10 @@ def failures(resolved: DataFrame, parsed: DataFrame, airport: str, shown: int =
 def summary(parsed: DataFrame, some_legs: DataFrame, resolved: DataFrame, pattern: str) -> DataFrame:
     """One row of counts of an extraction."""
     hits = parsed.agg(F.count_if(matches(pattern)).alias("filter_hits"), F.count_if(matches(pattern) & F.col("section_code").isNull()).alias("parse_failures"))
-    lost = resolved.agg(F.coalesce(F.sum(F.when(F.col("fix_type").isNull(), F.col("uses"))), F.lit(0)).alias("unresolved_references"), F.count_if(F.col("fix_type").isNull()).alias("unresolved_identifiers"), F.count("fix_type").alias("resolved"))
-    counted = some_legs.agg(F.count("*").alias("legs")).crossJoin(hits).crossJoin(lost).crossJoin(fixes(resolved).agg(F.count("*").alias("fixes_added")))
+    lost = F.col("fix_type").isNull()
+    same = F.struct("token", "fix_type", "section_code", "airport_icao", "latitude_raw", "longitude_raw", "elevation_raw")
+    fixed = resolved.agg(F.coalesce(F.sum(F.when(lost, F.col("uses"))), F.lit(0)).alias("unresolved_references"), F.count_if(lost).alias("unresolved_identifiers"), F.count("fix_type").alias("resolved"), F.count_distinct(F.when(~lost, same)).alias("fixes_added"))
+    counted = some_legs.agg(F.count("*").alias("legs")).crossJoin(hits).crossJoin(fixed)
     return counted.select("filter_hits", "legs", "fixes_added", "unresolved_references", "unresolved_identifiers", "parse_failures", (F.col("resolved") - F.col("fixes_added")).alias("duplicates"))
 
 
