@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,8 +39,20 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table made by written() that no later step reads."""
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that no later step reads, and lets Spark drop finished steps' shuffle files.
+
+    Spark deletes a shuffle's files once the driver has collected the objects that name it; without the hint
+    they can stay until the end of a job.
+    """
+    for df in tables:
+        _forget(df)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def _forget(df: DataFrame) -> None:
     path = getattr(df, "_trackloom_path", None)
     if path:
         _delete(df.sparkSession, path)
@@ -67,12 +80,12 @@ def id_remainder(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that a column named text holds about max_bytes at most (or one row)."""
+def text_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that a text column holds about max_bytes at most (or one row)."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index("text"))
+        texts = batch.column(batch.schema.get_field_index(column))
         start, size = 0, 0
-        for i, length in enumerate(pc.binary_length(column).to_pylist()):
+        for i, length in enumerate(pc.binary_length(texts).to_pylist()):
             if size and size + (length or 0) > max_bytes:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
@@ -100,7 +113,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(down, "u").select("u", "v", "m")
         step = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         after = written(step, "links")
-        forget(links)
+        _forget(links)
         links = after
         state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:

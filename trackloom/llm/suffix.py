@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import text_batches, written
+from trackloom.llm.common import forget, text_batches, written
 
 GRAM = 72
 _u = np.uint64
@@ -191,7 +191,7 @@ def repeated_spans(docs: DataFrame, least: int = 200, *, crowd: int = 256, chunk
     assert 2 * GRAM <= least < 4096
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, 1 << 20):
+        for batch in text_batches(batches, 1 << 19):
             owner, place, key, content = runs([(x or "").encode() for x in batch.column("text").to_pylist()], least)
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), batch.column("id").take(at), batch.column("row").take(at), pa.array(place)], ["anchor", "content", "id", "row", "span"])
@@ -203,6 +203,7 @@ def repeated_spans(docs: DataFrame, least: int = 200, *, crowd: int = 256, chunk
     anchors = counts.groupBy("anchor").agg(F.sum("copies").alias("uses"), F.count("*").alias("kinds")).where("uses > 1").select("anchor", "kinds")
     status = counts.join(anchors, "anchor")
     matched = written(found.join(status, ["anchor", "content"]), "matched")
+    forget(found, counts)
     first, number = F.shiftrightunsigned("span", 24), F.col("span").bitwiseAND(F.lit(4095)) + 1
     whole = matched.where("copies > 1").select("id", "row", first.alias("first"), number.alias("number"))
 
@@ -211,7 +212,7 @@ def repeated_spans(docs: DataFrame, least: int = 200, *, crowd: int = 256, chunk
     sources = docs.select("id", "row", "text").join(wanted, ["id", "row"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, 1 << 20):
+        for batch in text_batches(batches, 1 << 19):
             rows = []
             for id_, row, text, want in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "text", "wanted"))):
                 raw = text.encode()
@@ -313,7 +314,7 @@ def remove_repeats(docs: DataFrame, least: int = 200, *, as_text: bool = False)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names["text"]
-        for batch in batches:
+        for batch in text_batches(batches, 1 << 20, at):
             kept, numbers = [], []
             spans_of = batch.column("spans")
             for i, raw in enumerate(batch.column(at).to_pylist()):
