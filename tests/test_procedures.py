@@ -197,7 +197,8 @@ def test_hours(spark):
 def test_streams(spark, tmp_path):
     from trackloom.streaming import tracks as streams
 
-    source = spark.createDataFrame([(1, 0), (1, 60), (1, 2000), (2, 5)], "k int, s long").select("k", F.timestamp_seconds("s").alias("ts"))
+    times = [(1, 0), (1, 60), (1, 2000), (2, 5)]
+    source = spark.createDataFrame(times, "k int, s long").select("k", F.timestamp_seconds(F.col("s") + 1_000_000).alias("ts"))
     source.write.parquet(str(tmp_path / "in"))
     read = lambda: spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
 

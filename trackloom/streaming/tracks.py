@@ -27,10 +27,10 @@ def latest_per_minute(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     return windows.select(F.col("window.start").alias("minute"), "latest", "rows")
 
 
-def number_segments(stream: DataFrame, key: str, gap_s: float, keep: str = "1 hour") -> DataFrame:
+def number_segments(stream: DataFrame, key: str, gap_s: float, late: str = "10 minutes", keep: str = "1 day") -> DataFrame:
     """Rows (key, ts) numbered by segment as they come, in order of time within a micro-batch.
 
-    State is each key's last time and segment; it goes when no row came for `keep` of processing time.
+    State is each key's last time and segment; it goes when the watermark is `keep` past the last row.
     """
     kind = dict(stream.dtypes)[key]
     millis = int(pd.Timedelta(keep).total_seconds() * 1000)
@@ -49,7 +49,7 @@ def number_segments(stream: DataFrame, key: str, gap_s: float, keep: str = "1 ho
             last = now
             out.append(segment)
         state.update((last, segment))
-        state.setTimeoutDuration(millis)
+        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + millis)
         yield pd.DataFrame({key: rows[key].to_numpy(), "ts": rows["ts"].to_numpy(), "segment": out})
 
-    return stream.select(key, "ts").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, segment int", "last double, segment int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.select(key, "ts").withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, segment int", "last double, segment int", "append", GroupStateTimeout.EventTimeTimeout)
