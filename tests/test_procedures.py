@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import flight, geo, interp, scalars
-from trackloom.operators import descent, nav, profiles, verify
+from trackloom.operators import descent, nav, profiles, routes, verify
 from trackloom.sources import remote, sinks
 
 
@@ -209,3 +209,33 @@ def test_streams(spark, tmp_path):
     assert sorted((r.k, r["rows"]) for r in drain(streams.sessions(read(), "k"), "s1")) == [(1, 1), (1, 2), (2, 1)]
     assert sum(r["rows"] for r in drain(streams.latest_per_minute(read()), "s2")) == 4
     assert sorted((r.k, r.segment) for r in drain(streams.number_segments(read(), "k", 1500), "s3", "append")) == [(1, 1), (1, 1), (1, 2), (2, 1)]
+
+
+def test_routes(spark):
+    fixes = spark.createDataFrame([("AAA", 0.0, 0.0), ("BBB", 0.0, 1.0)], "identifier string, lat double, lon double")
+    table = lambda *paths: spark.createDataFrame(list(enumerate(paths)), "route_id long, path string")
+    points = routes.resolve(table("aaa  BBB 0/2"), fixes)
+    assert [(r.place, r.identifier, r.lon) for r in points.orderBy("place").collect()] == [(1, "AAA", 0.0), (2, "BBB", 1.0), (3, "COORD03", 2.0)]
+    for bad, message in (("AAA ZZZ", "unknown fix: ZZZ"), ("AAA", "fewer than two")):
+        with pytest.raises(Exception, match=message):
+            routes.resolve(table(bad), fixes).collect()
+    samples = routes.reference_paths(points)
+    rows = samples.orderBy("idx").collect()
+    degree = 6_371_000.0 * math.pi / 180
+    assert len(rows) == 97 and rows[0].s == pytest.approx(2 * degree) and rows[-1].s == 0 and all(abs(r.curvature) < 1e-12 and abs(r.track_rad) < 1e-9 for r in rows)
+    assert {r.identifier: round(r.s / degree, 6) for r in routes.waypoint_distances(points, samples).collect()} == {"AAA": 2.0, "BBB": 1.0, "COORD03": 0.0}
+    state = spark.createDataFrame([(0, degree / 2, -degree / 2, 10.0, 0.0, 70.0, 0.4)], "route_id long, s double, east_m double, north_m double, psi_rad double, v_tas double, bank_limit double")
+    r = routes.lateral_command(routes.along(samples, state)).first()
+    assert (r.cross_track_m, r.track_error_rad) == pytest.approx((10.0, 0.0), abs=1e-6) and r.bank_rad == pytest.approx(math.atan(70**2 * (-10 / 1500**2) / 9.80665))
+
+
+def test_splines():
+    import numpy as np
+
+    u = np.array([0.0, 1000, 2500, 3000, 5000, 5600])
+    for degree in (1, 2, 3):
+        y = np.polyval(np.arange(1, degree + 2)[::-1] * 1e-3, u / 100)
+        for n in range(degree + 1, len(u) + 1):
+            c = routes.cubic_through(u[:n], y[:n])
+            at = np.linspace(0, u[n - 1], 50)
+            assert np.allclose(routes.spline_value(u[:n], c, at, 0), np.polyval(np.arange(1, degree + 2)[::-1] * 1e-3, at / 100))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import flight, geo, interp, scalars
-from trackloom.operators import catalog, classify, compress, descent, nav, profiles, proximity, schedule, segments, verify
+from trackloom.operators import catalog, classify, compress, descent, nav, profiles, proximity, routes, schedule, segments, verify
 from trackloom.plans import fixture
 from trackloom.plans.fixture import read
 from trackloom.sources import sinks
@@ -598,6 +598,36 @@ def time_profile(spark: SparkSession, d: str) -> DataFrame:
     return verify.time_profile(fixture.plan_nodes(spark, d), 5.0).select("plan_id", "idx", F.round("elapsed", 6).alias("elapsed"))
 
 
+# Routes: four fixes of suppliers per customer.
+
+
+def customer_routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    n = read(spark, d, "supplier").count()
+    k = F.col("c_custkey")
+    path = F.concat_ws(" ", *(F.concat(F.lit("fx"), ((k * 7 + i * 13) % n + 1).cast("string")) for i in range(3)), F.lit("32.5/-97.5"))
+    fixes = fixture.fixes(spark, d).select("identifier", F.col("place_lat").alias("lat"), F.col("place_lon").alias("lon"))
+    return read(spark, d, "customer").where("c_custkey % 10 = 0").select(k.alias("route_id"), path.alias("path")), fixes
+
+
+@query(
+    f"""WITH {FIXES}, n AS (SELECT count(*) AS n FROM supplier), t AS (SELECT c_custkey AS route_id, i + 1 AS place, concat('FX', (c_custkey * 7 + i * 13) % n + 1) AS identifier FROM customer, n, (VALUES (0), (1), (2)) v(i) WHERE c_custkey % 10 = 0)
+SELECT route_id, place::INT AS place, identifier, place_lat AS lat, place_lon AS lon FROM t JOIN fix USING (identifier) UNION ALL SELECT c_custkey, 4, 'COORD04', 32.5::DOUBLE, -97.5::DOUBLE FROM customer WHERE c_custkey % 10 = 0"""
+)
+def resolve_routes(spark: SparkSession, d: str) -> DataFrame:
+    return routes.resolve(*customer_routes(spark, d))
+
+
+@query()
+def reference_paths(spark: SparkSession, d: str) -> DataFrame:
+    return routes.reference_paths(resolve_routes(spark, d))
+
+
+@query()
+def waypoint_distances(spark: SparkSession, d: str) -> DataFrame:
+    points = resolve_routes(spark, d)
+    return routes.waypoint_distances(points, routes.reference_paths(points))
+
+
 # Compression: the oracle splits spans level by level.
 
 
