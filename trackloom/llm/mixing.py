@@ -3,8 +3,9 @@
 Documents that belong to the same set of sources are one pattern; only each pattern's number of words
 reaches the driver. The flow sends pattern capacity (first use free, each further pass dearer) to source
 quotas. A pattern's documents are then used as often as its flow passes them whole, and the remainder is
-taken from documents in seeded hash order: one histogram of hash ranges per pattern finds the range where
-the order is cut, and only that range is sorted.
+taken from documents in seeded hash order while they fit: one histogram of hash ranges per pattern finds the
+range where the order is cut, and only that range is sorted. One more document, the nearest in size, closes
+what is left.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import WORD, written
+from trackloom.llm.common import WORD, forget, written
 
 #: Hex digits of the hash that name its range.
 DIGITS = 3
+#: Each time that the documents are gone through for those that still fit what is open: how often they may have
+#: been taken again already. Repeating one twice comes last.
+LEVELS = (0, 0, 0, 0, 1, 2)
 
 
 def water_fill(sizes: list[int], weights: list[float], total: int, passes: int) -> list[float]:
@@ -111,23 +115,51 @@ def mix(docs: DataFrame, sources: Column | None = None, *, weights: tuple[float,
     plans = spark.createDataFrame(plan, "pattern string, whole long, rest long")
     shares = spark.createDataFrame([(m, n, t, g) for (m, n), t, g in zip(order, totals, targets)], "missing boolean, name string, source_size long, target double")
 
-    ranges = sized.groupBy("pattern", "range").agg(F.sum("size").alias("size"))
+    used = sized.withColumn("extra", F.lit(0).cast("long"))
+    gaps = written(plans.select("pattern", F.col("rest").alias("gap"), "whole").where("gap > 0"), "gaps")
+    for level in LEVELS:
+        before = used
+        used = written(fill(used, gaps, level, passes), "used")
+        if before is not sized:
+            forget(before)
+        gaps = written(used.groupBy("pattern").agg(F.sum(F.col("size") * F.col("extra")).alias("filled")).join(plans, "pattern").select("pattern", (F.col("rest") - F.col("filled")).alias("gap"), "whole").where("gap > 0"), "gaps")
+
+    # What stays open goes to the one other document whose size is nearest, if that helps.
+    spare = used.where("extra = 0 and size > 0").select("pattern", "key", "size").join(gaps, "pattern")
+    best = spare.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "key", "size")).alias("b"), F.first("gap").alias("gap"))
+    one = ["pattern", "key", "size"]
+    best = written(best.where("b.off < gap").select("pattern", "b.key", "b.size"), "best")
+    same = F.row_number().over(Window.partitionBy(*one).orderBy("doc_id"))  # of equal rows, one
+    closing = used.join(best, one).where("extra = 0").withColumn("rank", same)
+    chosen = closing.withColumn("extra", (F.col("rank") == 1).cast("long")).select(*used.columns)
+    others = used.join(best.withColumn("extra", F.lit(0).cast("long")), [*one, "extra"], "left_anti")
+    done = others.unionByName(chosen).select("doc_id", "size", "extra", "pattern", "first.*").join(plans, "pattern").join(shares, ["missing", "name"])
+    return done.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("extra"))).alias("taken"))
+
+
+def fill(used: DataFrame, gaps: DataFrame, level: int, passes: int) -> DataFrame:
+    """used with extra one higher for more documents: of those at level that fit a pattern's gap, in hash order, as many as it holds.
+
+    gaps is one row per pattern, whose documents are taken `whole` times besides; none goes beyond passes. The sum up to each hash range finds the range where the gap is full; only
+    documents in that range are sorted.
+    """
+    fits = (F.col("extra") == level) & (F.col("whole") + level < passes) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
+    open_ = used.join(gaps, "pattern", "left").withColumn("fits", F.coalesce(fits, F.lit(False)))
+    ranges = open_.where("fits").groupBy("pattern", "range").agg(F.sum("size").alias("size"), F.first("gap").alias("gap"))
     running = F.sum("size").over(Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
-    reached = ranges.withColumn("upto", running).join(plans, "pattern").where((F.col("rest") > 0) & (F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("size") < F.col("rest")))
-    cuts = reached.select("pattern", F.col("range").alias("cut"), (F.col("rest") - F.col("upto") + F.col("size")).alias("open"))
-    cut_plan = written(plans.join(cuts, "pattern", "left"), "cuts")
-
-    aimed = sized.select("doc_id", "size", "key", "range", "pattern", "first.*").join(cut_plan, "pattern").join(shares, ["missing", "name"])
-    inside = F.coalesce(F.col("range") == F.col("cut"), F.lit(False))
-    clear = aimed.where(~inside).withColumn("extra", F.coalesce(F.col("range") < F.col("cut"), F.lit(False)).cast("long"))
+    full = ranges.withColumn("upto", running).where((F.col("upto") > F.col("gap")) & (F.col("upto") - F.col("size") <= F.col("gap")))
+    cuts = written(full.select("pattern", F.col("range").alias("cut"), (F.col("gap") - F.col("upto") + F.col("size")).alias("open")), "cuts")
+    marked = open_.join(cuts, "pattern", "left")
+    inside = F.col("fits") & F.coalesce(F.col("range") == F.col("cut"), F.lit(False))
+    clear = marked.where(~inside).withColumn("extra", F.when(F.col("fits") & (F.col("cut").isNull() | (F.col("range") < F.col("cut"))), level + 1).otherwise(F.col("extra")).cast("long"))
     upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0))
-    near = aimed.where(inside).withColumn("extra", (2 * upto - F.col("size") < 2 * F.col("open")).cast("long"))
-    used = clear.unionByName(near)
-    return used.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("extra"))).alias("taken"))
+    near = marked.where(inside).withColumn("extra", F.when(upto <= F.col("open"), level + 1).otherwise(level).cast("long"))
+    return clear.unionByName(near).select(*used.columns)
 
 
 #: The same rows for one source per document, in DuckDB SQL.
-SQL = r"""
+SQL = (
+    r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          md5(concat('mix', coalesce(doc_id::VARCHAR, ''))) AS key
@@ -147,11 +179,20 @@ aim AS (
   SELECT source, s, w, CASE WHEN lam * w > 3 * s THEN 3.0::DOUBLE * s ELSE lam * w END AS target FROM src, level),
 quota AS (
   SELECT *, floor(target + 0.5)::BIGINT AS q FROM aim),
-run AS (
-  SELECT d.doc_id, d.size, a.s, a.target, a.q,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM sized d JOIN quota a ON d.source IS NOT DISTINCT FROM a.source)
-SELECT doc_id, size, s AS source_size, target,
-       (CASE WHEN s = 0 THEN 0 ELSE size * (least(3, q // s) + CASE WHEN q < 3 * s AND 2 * upto - size < 2 * (q % s) THEN 1 ELSE 0 END) END)::BIGINT AS taken
-FROM run
+base AS (
+  SELECT d.*, a.s, a.target, a.q, CASE WHEN a.s = 0 OR a.q >= 3 * a.s THEN 0 ELSE a.q % a.s END AS gap, 0 AS extra FROM sized d JOIN quota a ON d.source IS NOT DISTINCT FROM a.source),
+"""
+    + "".join(
+        f"""fit{k} AS (SELECT *, extra = {level} AND least(3, q // nullif(s, 0)) + {level} < 3 AND size > 0 AND size <= gap AS fits FROM {f"next{k - 1}" if k else "base"}),
+sum{k} AS (SELECT *, sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key, size ROWS UNBOUNDED PRECEDING) AS upto FROM fit{k}),
+next{k} AS (SELECT doc_id, source, size, key, s, target, q, gap - sum(CASE WHEN fits AND upto <= gap THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap, extra + CASE WHEN fits AND upto <= gap THEN 1 ELSE 0 END AS extra FROM sum{k}),
+"""
+        for k, level in enumerate(LEVELS)
+    )
+    + f"""last AS (SELECT *, row_number() OVER (PARTITION BY source, key, size, extra) AS same FROM next{len(LEVELS) - 1}),
+best AS (SELECT source, min((abs(size - gap), key, size)) AS b, any_value(gap) AS gap FROM last WHERE extra = 0 AND size > 0 AND gap > 0 GROUP BY source)
+SELECT doc_id, f.size, s AS source_size, target,
+       (CASE WHEN s = 0 THEN 0 ELSE f.size * (least(3, q // s) + extra + CASE WHEN extra = 0 AND coalesce(b.b[1] < b.gap AND b.b[2] = key AND b.b[3] = f.size AND same = 1, false) THEN 1 ELSE 0 END) END)::BIGINT AS taken
+FROM last f LEFT JOIN best b ON f.source IS NOT DISTINCT FROM b.source
 """
+)
