@@ -134,3 +134,9 @@ def heading_rate(bank: Column, tas: Column) -> Column:
 
 def approach_mass_kg(landing_limit: Column, empty: Column, payload: Column) -> Column:
     return F.least(landing_limit, empty + payload)
+
+
+def speed_targets(clean: Column, approach: Column, final: Column) -> Column:
+    """struct(clean, approach, final); a missing one takes the first of the others that there is, in that order."""
+    every = F.coalesce(clean, approach, final)
+    return F.struct(F.coalesce(clean, every).alias("clean"), F.coalesce(approach, every).alias("approach"), F.coalesce(final, every).alias("final"))

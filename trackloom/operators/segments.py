@@ -110,3 +110,14 @@ def seeds(tracks: DataFrame, wanted: DataFrame) -> DataFrame:
     distance = geo.equirectangular_m(F.col("lat"), F.col("lon"), F.col("other.lat"), F.col("other.lon"))
     fast = found.withColumn("ground_speed_mps", F.when(gap > 0, distance / gap)).where("ground_speed_mps > 1")
     return fast.select("flight_id", "time", "lat", "lon", "geoaltitude", "heading", "ground_speed_mps")
+
+
+def flight_track(tracks: DataFrame, callsign: str, icao24: str, segment: int = 2, gap_s: float = 1500.0) -> DataFrame:
+    """One segment of one flight; the flight is picked before the split, which its key allows."""
+    own = tracks.where((F.col("callsign") == callsign) & (F.lower("icao24") == icao24.lower()))
+    return split_by_gap(own, gap_s).where(F.col("segment") == segment).orderBy("time", "ordinal")
+
+
+def first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The first n rows in order of ingestion."""
+    return rows.orderBy("ordinal").limit(n)
