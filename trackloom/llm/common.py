@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,15 +18,24 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
+#: By application: the folder of a session on this machine alone.
+_temporary: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session on this machine alone gets a temporary one; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="trackloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _temporary:
+        _temporary[context.applicationId] = tempfile.mkdtemp(prefix="trackloom-")
+    return "file://" + _temporary[context.applicationId]
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -72,7 +82,9 @@ def _forget_all() -> None:
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone by now
-            return
+            break
+    for folder in _temporary.values():
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def id_remainder(column: Column, modulus: int) -> Column:
