@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.session import reach_workers
+
 # Invented thresholds, in the order that breaks ties.
 RUNWAYS = [
     (1, "13L", 32.91, -97.02),
@@ -23,7 +25,7 @@ GAP_S = 28_800.0
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reach_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:

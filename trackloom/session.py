@@ -1,5 +1,8 @@
 """Session settings that every job of this library expects."""
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,13 @@ def session(app_name: str = "trackloom", master: str | None = None, **extra) ->
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def reach_workers(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from the folder where the driver found it, whatever their own one is."""
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark
