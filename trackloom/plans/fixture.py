@@ -65,7 +65,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Procedure legs from order lines: one procedure per order, its lines in sequence."""
-    line = lines(spark, sf_dir).where("l_orderkey % 10 = 0")
+    line = lines(spark, sf_dir)
     return line.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"),
         F.element_at(F.array(F.lit("PD"), F.lit("PE"), F.lit("PF")), (F.col("l_orderkey") / 10 % 3 + 1).cast("int")).alias("section_code"),
@@ -79,7 +79,7 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans from order lines: states that fall and rise by simple rules."""
-    line = lines(spark, sf_dir).where("l_orderkey % 5 = 0")
+    line = lines(spark, sf_dir)
     i = F.col("l_linenumber")
     return line.select(
         F.col("l_orderkey").alias("plan_id"),
