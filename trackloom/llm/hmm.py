@@ -1,8 +1,9 @@
 """A hidden Markov language model over words.
 
 Latent states emit words; states and transitions are learnt by Baum-Welch. A bounded, hash-chosen sample
-gives the starting point and decides which words get an emission of their own; the full passes then add
-up expected counts over every training document, a vector per partition. Words without an emission of
+gives the starting point only; full rounds then add up expected counts over every training document, a
+vector per partition, until the likelihood of all of them settles. Counts over every training document
+decide which words get an emission of their own. Words without an emission of
 their own are emitted as one of a few classes, then drawn within the class by their corpus counts. Counts
 of the commonest words are known to every task (a bounded table); all rarer words meet their counts by a
 shuffle, whose size follows the corpus. Likelihoods are exact: long texts are cut into chunks, each
@@ -11,6 +12,7 @@ chunk's scaled transition product is computed for all start states, and the prod
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -184,20 +186,20 @@ def updated(model: Model, moved: np.ndarray, emitted: np.ndarray, plain: np.ndar
     return Model(model.start, move, emissions(emitted, plain), model.known, model.own)
 
 
-def full_round(train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Expected transitions and emissions over all training rows; partitions send sums of a fixed size."""
+def full_round(train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expected transitions and emissions over all training rows, and their log-likelihood; partitions send sums of a fixed size."""
     held = train.sparkSession.sparkContext.broadcast(model)
     states = len(model.start)
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         words, end = Words(m.known, m.own), m.own + CLASSES
-        moved, emitted = np.zeros((states, states)), np.zeros((end + 1, states))
+        moved, emitted, total = np.zeros((states, states)), np.zeros((end + 1, states)), np.zeros(states)
         for batch in text_batches(batches, 3 << 20):
-            Chunks(encode(batch.column("text").to_pylist(), words, end)).expect(m, moved, emitted)
+            total[0] += Chunks(encode(batch.column("text").to_pylist(), words, end)).expect(m, moved, emitted)
         used = np.flatnonzero(emitted.sum(1))
-        rows = [*moved, *emitted[used]]
-        at = np.concatenate((-1 - np.arange(states), used))
+        rows = [*moved, total, *emitted[used]]
+        at = np.concatenate((-1 - np.arange(states + 1), used))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(np.array([r[s] for r in rows])) for s in range(states))], ["at", *(f"s{s}" for s in range(states))])
 
     columns = [f"s{s}" for s in range(states)]
@@ -205,9 +207,23 @@ def full_round(train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     table = sums.groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
     moved, emitted = np.zeros((states, states)), np.zeros((model.own + CLASSES + 1, states))
     at, values = table["at"].to_numpy(), table[columns].to_numpy()
-    moved[-1 - at[at < 0]] = values[at < 0]
+    inner = (at < 0) & (at >= -states)
+    moved[-1 - at[inner]] = values[inner]
     emitted[at[at >= 0]] = values[at >= 0]
-    return moved, emitted
+    return moved, emitted, float(values[at == -1 - states].sum())
+
+
+def settled(train: DataFrame, model: Model, plain: np.ndarray, tolerance: float, most_rounds: int) -> Model:
+    """Full rounds until one raises the log-likelihood of all training rows by less than tolerance of itself."""
+    before = None
+    for _ in range(most_rounds):
+        moved, emitted, total = full_round(train, model)
+        model = updated(model, moved, emitted, plain)
+        if before is not None and total - before <= tolerance * abs(before):
+            return model
+        before = total
+    warnings.warn(f"the likelihood still rose by more than {tolerance} of itself after {most_rounds} rounds", stacklevel=2)
+    return model
 
 
 def known_counts(docs: DataFrame, known: list[bytes], own: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -276,11 +292,12 @@ def rare_sums(docs: DataFrame, held_out: Column, known: list[bytes]) -> DataFram
     )
 
 
-def score(docs: DataFrame, held_out: Column, *, states: int = 6, own_words: int = 1 << 14, known_words: int = 1 << 17, sample: int = 1500, vocabulary_sample: int = 20_000, start_rounds: int = 15, full_rounds: int = 1) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, states: int = 6, own_words: int = 1 << 14, known_words: int = 1 << 17, sample: int = 1500, sample_chars: int = 1 << 14, start_rounds: int = 15, tolerance: float = 1e-3, most_rounds: int = 60) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
-    Learns from the rows where held_out is false. sample (documents) and vocabulary_sample bound what the
-    starting model and the choice of words look at; every count comes from all training rows. A null text
+    Learns from all rows where held_out is false. sample (documents, the first sample_chars of each) bounds
+    what the starting model looks at and nothing else; words, counts and the rounds that end within tolerance
+    use all training rows. A null text
     is empty and holds one end token. Repeated rows each count and each give a row; a null doc_id stays
     null; an empty table gives an empty table; other columns are ignored. Without any training row the
     scores are those of an untrained model.
@@ -299,16 +316,15 @@ def score(docs: DataFrame, held_out: Column, *, states: int = 6, own_words: int
                 seen.update(tokens(text))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    words = chosen(vocabulary_sample).select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = train.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     known = [bytes(r["word"]) for r in words.orderBy(F.desc("n"), "word").limit(known_words).select("word").toLocalIterator()]
     own_count = min(own_words, len(known))
-    model = start_model([r["text"] for r in chosen(sample).orderBy("key").select("text").collect()], known, own_count, states, start_rounds)
+    model = start_model([r["text"] for r in chosen(sample).orderBy("key").select(F.substring("text", 1, sample_chars).alias("text")).collect()], known, own_count, states, start_rounds)
 
     counts, classes, rows = known_counts(train, known, own_count)
     plain = np.concatenate((counts[:own_count], classes, [rows])) + 0.5
     plain = plain / plain.sum()
-    for _ in range(full_rounds):
-        model = updated(model, *full_round(train, model), plain)
+    model = settled(train, model, plain, tolerance, most_rounds)
 
     rare = written(rare_sums(own, held_out, known), "rare")
     fresh = rare.agg(*(F.coalesce(F.sum(f"new{j}"), F.lit(0)).alias(f"n{j}") for j in range(CLASSES))).first()
