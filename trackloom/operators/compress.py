@@ -1,7 +1,8 @@
 """Trajectory compression: breakpoints by recursive distance splitting, per flight.
 
-Splitting has no form as a window or join, so each flight is one group of a grouped map; a flight is
-bounded by a day of positions, and flights are spread by one shuffle.
+A flight may be of any length. Every round finds the first largest error of each open span by an aggregation;
+spans of up to SMALL points are then finished in one group each, and the points of larger ones go to the two
+new spans, in a table in the shared folder, until no large span splits.
 """
 
 from __future__ import annotations
@@ -10,12 +11,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.shared import forget, written
+
 # Bits of a breakpoint's kinds.
 LATERAL, ALTITUDE = 1, 2
 EARTH_RADIUS_M = 6_371_000.0
+#: Points of a span that one task may hold.
+SMALL = 4096
 
 
 def breakpoints(n: int, errors: Callable[[int, int], np.ndarray], tolerance: float) -> np.ndarray:
@@ -62,22 +67,73 @@ def series_breakpoints(t: np.ndarray, y: np.ndarray, tolerance: float) -> np.nda
     return breakpoints(len(t), errors, tolerance)
 
 
+def _finish(tolerances: dict[int, float]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Marks inside one span of at most SMALL points, whose ends each row carries."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["t", "o"], kind="stable")
+        ends = rows.iloc[0]
+        u, v = (np.concatenate(([ends[f"a{c}"]], rows[c].to_numpy(), [ends[f"z{c}"]])) for c in "uv")
+        kind = int(ends["kind"])
+        keep = (spatial_breakpoints if kind == LATERAL else series_breakpoints)(u, v, tolerances[kind])
+        return rows[keep[1:-1]][["flight_id", "kind", "t", "o", "lat", "lon", "geoaltitude"]]
+
+    return one
+
+
 def compress(tracks: DataFrame, lateral_m: float = 100.0, altitude_m: float = 50.0) -> DataFrame:
     """Kept rows (flight_id, time, lat, lon, geoaltitude, mask) of complete tracks (flight_id, time, ordinal, lat, lon, geoaltitude).
 
-    mask: 1 lateral breakpoint, 2 altitude breakpoint, 3 both.
+    mask: 1 lateral breakpoint, 2 altitude breakpoint, 3 both. Time and ordinal are unique in a flight.
     """
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["time", "ordinal"], kind="stable")
-        lat, lon = rows["lat"].to_numpy(), rows["lon"].to_numpy()
-        x = EARTH_RADIUS_M * np.cos(np.radians(lat.mean())) * np.radians(lon - lon.mean())
-        y = EARTH_RADIUS_M * np.radians(lat - lat.mean())
-        mask = LATERAL * spatial_breakpoints(x, y, lateral_m).astype(int) + ALTITUDE * series_breakpoints(rows["time"].to_numpy(float), rows["geoaltitude"].to_numpy(), altitude_m).astype(int)
-        return rows.assign(mask=mask)[mask > 0][["flight_id", "time", "lat", "lon", "geoaltitude", "mask"]]
-
-    columns = tracks.select("flight_id", F.col("time").cast("long").alias("time"), F.col("ordinal").cast("long").alias("ordinal"), "lat", "lon", "geoaltitude")
-    return columns.groupBy("flight_id").applyInPandas(one, "flight_id string, time long, lat double, lon double, geoaltitude double, mask int")
+    rows = tracks.select("flight_id", F.col("time").cast("long").alias("t"), F.col("ordinal").cast("long").alias("o"), "lat", "lon", "geoaltitude")
+    point = F.struct("t", "o", "lat", "lon", "geoaltitude")
+    # Sums of integers: the plane about the means is the same however rows are dealt.
+    mean = lambda c: F.sum(F.round(F.col(c) * 1e7).cast("long")) / F.count("*") / 1e7
+    flights = written(rows.groupBy("flight_id").agg(F.min(point).alias("first"), F.max(point).alias("last"), mean("lat").alias("lat0"), mean("lon").alias("lon0")), "flights")
+
+    def plane(kind: int, lat: Column, lon: Column, t: Column, altitude: Column) -> tuple[Column, Column]:
+        if kind == ALTITUDE:
+            return t.cast("double"), altitude.cast("double")
+        return EARTH_RADIUS_M * F.cos(F.radians("lat0")) * F.radians(lon - F.col("lon0")), EARTH_RADIUS_M * F.radians(lat - F.col("lat0"))
+
+    inner = rows.join(flights, "flight_id").where(F.struct("t", "o") > F.struct("first.t", "first.o")).where(F.struct("t", "o") < F.struct("last.t", "last.o"))
+    spans = None
+    for kind in (LATERAL, ALTITUDE):
+        names = {"": "", "a": "first.", "z": "last."}
+        places = {f"{p}{c}": e for p, at in names.items() for c, e in zip("uv", plane(kind, *(F.col(f"{at}{c}") for c in ("lat", "lon", "t", "geoaltitude"))))}
+        part = inner.select("flight_id", F.lit(kind).alias("kind"), "t", "o", "lat", "lon", "geoaltitude", F.col("first.t").alias("at"), F.col("first.o").alias("ao"), *(e.alias(n) for n, e in places.items()))
+        spans = part if spans is None else spans.unionByName(part)
+
+    tolerances = {LATERAL: lateral_m, ALTITUDE: altitude_m}
+    dx, dy = F.col("zu") - F.col("au"), F.col("zv") - F.col("av")
+    px, py = F.col("u") - F.col("au"), F.col("v") - F.col("av")
+    length = F.hypot(dx, dy)
+    across = F.when(length == 0, F.hypot(px, py)).otherwise(F.abs(dx * py - dy * px) / length)
+    above = F.abs(F.col("v") - (F.col("av") + F.when(dx == 0, 0.0).otherwise(dy / dx) * px))
+    limit = F.when(F.col("kind") == LATERAL, F.lit(lateral_m)).otherwise(F.lit(altitude_m))
+    key, mark = ["flight_id", "kind", "at", "ao"], ["flight_id", "kind", "t", "o", "lat", "lon", "geoaltitude"]
+    ends = [flights.select("flight_id", F.lit(LATERAL | ALTITUDE).alias("kind"), f"{e}.*").select(*mark) for e in ("first", "last")]
+    marks, finish = ends[0].unionByName(ends[1]), _finish(tolerances)
+    kinds = "flight_id string, kind int, t long, o long, lat double, lon double, geoaltitude double"
+    spans = written(spans, "spans")
+    while True:
+        # The first largest error of each span, and whether its points fit in a task.
+        worst = F.max(F.struct(F.when(F.col("kind") == LATERAL, across).otherwise(above).alias("e"), (-F.col("t")).alias("t"), (-F.col("o")).alias("o"), "u", "v", "lat", "lon", "geoaltitude"))
+        found = written(spans.groupBy(*key).agg(worst.alias("m"), F.count("*").alias("size")).where(F.col("m.e") > limit), "splits")
+        small = spans.join(found.where(F.col("size") <= SMALL).select(*key), key)
+        marks = marks.unionByName(written(small.groupBy(*key).applyInPandas(finish, kinds), "marks"))
+        large = found.where(F.col("size") > SMALL).select(*key, (-F.col("m.t")).alias("mt"), (-F.col("m.o")).alias("mo"), F.col("m.u").alias("mu"), F.col("m.v").alias("mv"), "m.lat", "m.lon", "m.geoaltitude")
+        if not large.head(1):
+            break
+        marks = marks.unionByName(large.select("flight_id", "kind", F.col("mt").alias("t"), F.col("mo").alias("o"), "lat", "lon", "geoaltitude"))
+        before = F.struct("t", "o") < F.struct("mt", "mo")
+        joined = spans.join(large.select(*key, "mt", "mo", "mu", "mv"), key).where(F.struct("t", "o") != F.struct("mt", "mo"))
+        moved = {f"{p}{c}": F.when(before if p == "z" else ~before, F.col(f"m{c}")).otherwise(F.col(f"{p}{c}")).alias(f"{p}{c}") for p, cs in (("a", "touv"), ("z", "uv")) for c in cs}
+        spans, done = written(joined.select(*mark, "u", "v", *moved.values()), "spans"), spans
+        forget(done)
+    forget(spans)
+    return marks.groupBy("flight_id", "t", "o").agg(F.bit_or("kind").alias("mask"), *(F.min(c).alias(c) for c in ("lat", "lon", "geoaltitude"))).select("flight_id", F.col("t").alias("time"), "lat", "lon", "geoaltitude", "mask")
 
 
 def compressed_flights(tracks: DataFrame, kept: DataFrame, lateral_m: float = 100.0, altitude_m: float = 50.0) -> DataFrame:
