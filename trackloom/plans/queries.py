@@ -14,6 +14,7 @@ from trackloom.functions import flight, geo, interp, scalars
 from trackloom.operators import catalog, classify, compress, descent, nav, profiles, proximity, routes, schedule, segments, verify
 from trackloom.plans import fixture
 from trackloom.plans.fixture import read
+from trackloom.shared import place, written
 from trackloom.sources import sinks
 from trackloom.streaming import tracks as streams
 
@@ -677,13 +678,17 @@ def idle_descents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 8 HOUR THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 8 HOUR AS \"end\", count(*) AS rows FROM s GROUP BY user_id, k")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions of a stream of the event file, read to its end."""
-    import uuid
-
-    schema = read(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"sessions_{uuid.uuid4().hex}"
-    running = streams.sessions(stream, "user_id", "8 hours").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    """Sessions of a stream of the event file, read to its end and written to the shared folder as they close.
+
+    A row long after the last event moves the watermark past all of them; its own session stays open.
+    """
+    events = read(spark, d, "events")
+    end = events.select(F.coalesce(F.max("ts"), F.lit("1970-01-01").cast("timestamp_ntz")).alias("ts")).select((F.col("ts") + F.expr("interval 2 days")).alias("ts"))
+    late = written(events.limit(0).unionByName(end, allowMissingColumns=True), "end")
+    files = spark.readStream.schema(events.schema)
+    stream = files.option("pathGlobFilter", "events.parquet").parquet(d).unionByName(files.option("pathGlobFilter", "*.parquet").parquet(late._trackloom_path)).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = streams.sessions(stream, "user_id", "8 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "rows")
+    path = place(spark, "sessions")
+    running = out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", place(spark, "checkpoint")).trigger(availableNow=True).start()
     running.awaitTermination()
-    out = spark.table(name)
-    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "rows")
+    return spark.read.schema(out.schema).parquet(path)

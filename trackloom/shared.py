@@ -31,12 +31,18 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _temporary[context.applicationId]
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, deleted when the program ends."""
+    path = f"{shared_folder(spark)}/trackloom-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/trackloom-{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._trackloom_path = path
     return out
