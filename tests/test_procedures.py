@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import flight, geo, interp, scalars
-from trackloom.operators import descent, nav, profiles, routes, verify
+from trackloom.operators import nav, profiles, routes, verify
 from trackloom.sources import remote, sinks
 
 
@@ -177,16 +177,6 @@ def test_polar_fit_recovers_a_polar(spark):
     assert (r.cd0, r.k) == pytest.approx((0.02, 0.045))
 
 
-def test_descents_end_at_the_target(spark):
-    fields = {"request_id": 1, "start_s": 60000.0, "start_h": 3000.0, "start_cas": 125.0, "target_h": 300.0, "clean_cas": 125.0, "approach_cas": 95.0, "final_cas": 72.0, "mass": 60000.0, "area": 122.6, "cd0": 0.022, "k": 0.045, "idle": 4000.0}
-    rows = [fields, fields | {"request_id": 2, "start_h": 250.0}, fields | {"request_id": 3, "start_h": 2000.0}]
-    found = descent.descend(spark.createDataFrame([tuple(r.values()) for r in rows], list(fields)).withColumn("request_id", F.col("request_id").cast("long")), dt_s=1.0).toPandas()
-    for k, g in found.groupby("request_id"):
-        g = g.sort_values("t_s")
-        assert g.h_m.is_monotonic_decreasing and g.vertical_speed_mps.between(-15.24, 0).all()
-        assert g.h_m.iloc[-1] == pytest.approx(300.0) if k != 2 else len(g) == 1
-
-
 def test_hours(spark):
     grid = remote.hours(spark, "2025-03-01 23:00:00", "2025-03-02 01:00:00", "America/Chicago")
     assert [str(r.hour_utc) for r in grid.orderBy("hour_utc").collect()] == ["2025-03-02 05:00:00", "2025-03-02 06:00:00", "2025-03-02 07:00:00"]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import flight, geo, interp, scalars
-from trackloom.operators import catalog, classify, compress, descent, nav, profiles, proximity, routes, schedule, segments, verify
+from trackloom.operators import catalog, classify, compress, nav, profiles, proximity, routes, schedule, segments, verify
 from trackloom.plans import fixture
 from trackloom.plans.fixture import read
 from trackloom.shared import place, written
@@ -44,12 +44,12 @@ FIXES = """fix AS (
 LEGS = f"""leg AS (
   SELECT l_orderkey * 10 + l_linenumber AS line_no, ['PD', 'PE', 'PF'][(l_orderkey // 10 % 3 + 1)::INT] AS section_code, concat('P', l_orderkey) AS proc, concat('T', l_orderkey % 7) AS trans,
     l_linenumber * 10 AS seq, CASE WHEN l_partkey % 11 <> 0 THEN concat('X', l_partkey % 40) END AS fix
-  FROM {LINES} WHERE l_orderkey % 10 = 0)"""
+  FROM {LINES})"""
 PLANS = f"""node AS (
   SELECT l_orderkey AS plan_id, l_linenumber AS idx, l_linenumber * 4000.0::DOUBLE AS s, l_linenumber * 250.0::DOUBLE + l_quantity AS h, 70.0::DOUBLE + l_linenumber * 8.0::DOUBLE + l_discount * 10 AS v,
     l_linenumber * 45.0::DOUBLE + l_tax AS t, -0.02::DOUBLE - l_tax / 10 AS gamma, 9000.0::DOUBLE + l_quantity * 100 AS thrust,
     CASE WHEN l_linenumber <= 3 THEN 'final' WHEN l_quantity > 25 THEN 'approach' ELSE 'clean' END AS phase
-  FROM {LINES} WHERE l_orderkey % 5 = 0)"""
+  FROM {LINES})"""
 
 
 def hav(a: str, b: str, c: str, d: str) -> str:
@@ -359,7 +359,7 @@ RESOLVED = """WITH pt AS (
   SELECT s_suppkey AS n, s_suppkey % 4 AS kind, CASE WHEN s_suppkey % 4 = 3 THEN printf('RW%02d', s_suppkey % 36) ELSE concat('N', s_suppkey % 60) END AS ident, CASE WHEN s_suppkey % 4 IN (0, 3) THEN CASE WHEN s_suppkey % 3 = 0 THEN 'KAAA' ELSE 'KBBB' END END AS ap,
     printf('N32%02d%02d%02d', s_suppkey % 60, s_suppkey * 7 % 60, s_suppkey * 3 % 100) AS la, printf('W097%02d%02d%02d', s_suppkey * 5 % 60, s_suppkey * 11 % 60, s_suppkey % 100) AS lo, printf('%05d', s_suppkey % 2000) AS el
   FROM supplier),
-lg AS (SELECT p_partkey AS n, concat('N', p_partkey % 45) AS tr, CASE WHEN p_partkey % 5 = 0 THEN printf('RW%02d', p_partkey % 40) ELSE concat('N', p_partkey % 70) END AS fx FROM part WHERE p_partkey <= 500),
+lg AS (SELECT p_partkey AS n, concat('N', p_partkey % 45) AS tr, CASE WHEN p_partkey % 5 = 0 THEN printf('RW%02d', p_partkey % 40) ELSE concat('N', p_partkey % 70) END AS fx FROM part),
 tok AS (SELECT token, count(*) AS uses FROM (SELECT n, tr AS token FROM lg UNION SELECT n, fx FROM lg) GROUP BY 1),
 op AS (
   SELECT ident, 0 AS pr, 'runway' AS ty, 'PG' AS sc, ap, la, lo, el FROM pt WHERE kind = 3 AND ap = 'KAAA' QUALIFY row_number() OVER (PARTITION BY ident ORDER BY n DESC) = 1
@@ -501,7 +501,7 @@ def profile_nodes(spark: SparkSession, d: str) -> DataFrame:
     return line.select("l_orderkey", F.when(F.col("l_linenumber") % 2 == 0, "h").otherwise("v").alias("curve"), (F.col("l_linenumber") * 10.0).alias("s"), F.col("l_quantity").alias("y"))
 
 
-NODES = f"n AS (SELECT l_orderkey, CASE WHEN l_linenumber % 2 = 0 THEN 'h' ELSE 'v' END AS curve, l_linenumber * 10.0::DOUBLE AS s, l_quantity AS y FROM {LINES} WHERE l_orderkey % 8 = 0)"
+NODES = f"n AS (SELECT l_orderkey, CASE WHEN l_linenumber % 2 = 0 THEN 'h' ELSE 'v' END AS curve, l_linenumber * 10.0::DOUBLE AS s, l_quantity AS y FROM {LINES})"
 
 
 @query(
@@ -524,8 +524,8 @@ def interp_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH env AS (SELECT l_orderkey AS k, l_linenumber * 10.0::DOUBLE AS s, l_quantity AS lower, l_quantity + 20.0::DOUBLE AS upper FROM {LINES} WHERE l_orderkey % 8 = 0 AND l_linenumber IN (1, 3, 5)),
-con AS (SELECT k, s, max(lower) AS least, min(upper) AS most FROM (SELECT l_orderkey AS k, floor(l_linenumber / 2) * 10.0::DOUBLE + 10.0::DOUBLE AS s, l_quantity - 5.0::DOUBLE AS lower, l_quantity + 10.0::DOUBLE AS upper FROM {LINES} WHERE l_orderkey % 8 = 0 AND l_linenumber IN (2, 3, 6)) GROUP BY 1, 2),
+    f"""WITH env AS (SELECT l_orderkey AS k, l_linenumber * 10.0::DOUBLE AS s, l_quantity AS lower, l_quantity + 20.0::DOUBLE AS upper FROM {LINES} WHERE l_linenumber IN (1, 3, 5)),
+con AS (SELECT k, s, max(lower) AS least, min(upper) AS most FROM (SELECT l_orderkey AS k, floor(l_linenumber / 2) * 10.0::DOUBLE + 10.0::DOUBLE AS s, l_quantity - 5.0::DOUBLE AS lower, l_quantity + 10.0::DOUBLE AS upper FROM {LINES} WHERE l_linenumber IN (2, 3, 6)) GROUP BY 1, 2),
 g AS (SELECT k, s FROM env UNION SELECT con.k, con.s FROM con WHERE k IN (SELECT k FROM env)),
 b AS (SELECT g.*, (SELECT max({{'s': e.s, 'l': e.lower, 'u': e.upper}}) FROM env e WHERE e.k = g.k AND e.s <= g.s) AS lo, (SELECT min({{'s': e.s, 'l': e.lower, 'u': e.upper}}) FROM env e WHERE e.k = g.k AND e.s >= g.s) AS hi FROM g),
 v AS (SELECT k, s, CASE WHEN lo IS NULL THEN hi.l WHEN hi IS NULL OR lo.s = hi.s THEN lo.l ELSE lo.l + (hi.l - lo.l) * (s - lo.s) / (hi.s - lo.s) END AS l, CASE WHEN lo IS NULL THEN hi.u WHEN hi IS NULL OR lo.s = hi.s THEN lo.u ELSE lo.u + (hi.u - lo.u) * (s - lo.s) / (hi.s - lo.s) END AS u FROM b)
@@ -611,8 +611,8 @@ def customer_routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    f"""WITH {FIXES}, n AS (SELECT count(*) AS n FROM supplier), t AS (SELECT c_custkey AS route_id, i + 1 AS place, concat('FX', (c_custkey * 7 + i * 13) % n + 1) AS identifier FROM customer, n, (VALUES (0), (1), (2)) v(i) WHERE c_custkey % 10 = 0)
-SELECT route_id, place::INT AS place, identifier, place_lat AS lat, place_lon AS lon FROM t JOIN fix USING (identifier) UNION ALL SELECT c_custkey, 4, 'COORD04', 32.5::DOUBLE, -97.5::DOUBLE FROM customer WHERE c_custkey % 10 = 0"""
+    f"""WITH {FIXES}, n AS (SELECT count(*) AS n FROM supplier), t AS (SELECT c_custkey AS route_id, i + 1 AS place, concat('FX', ((c_custkey * 7 + i * 13) % n + 1) % n) AS identifier FROM customer, n, (VALUES (0), (1), (2)) v(i))
+SELECT route_id, place::INT AS place, identifier, place_lat AS lat, place_lon AS lon FROM t JOIN fix USING (identifier) UNION ALL SELECT c_custkey, 4, 'COORD04', 32.5::DOUBLE, -97.5::DOUBLE FROM customer"""
 )
 def resolve_routes(spark: SparkSession, d: str) -> DataFrame:
     return routes.resolve(*customer_routes(spark, d))
@@ -666,16 +666,6 @@ def compression_manifest(spark: SparkSession, d: str) -> DataFrame:
     return sinks.flight_manifest(compressed_flights(spark, d))
 
 
-@query()
-def idle_descents(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "customer")
-    k = F.col("c_custkey")
-    fixed = {"approach_cas": 95.0, "final_cas": 72.0, "mass": 60000.0, "area": 122.6, "cd0": 0.022, "k": 0.045, "idle": 4000.0, "target_h": 200.0}
-    requests = c.select(k.alias("request_id"), (F.lit(60000.0) + k % 50 * 100).alias("start_s"), (F.lit(2500.0) + k % 20 * 50).alias("start_h"), (F.lit(120.0) + k % 9).alias("start_cas"), F.lit(125.0).alias("clean_cas"), *(F.lit(v).alias(n) for n, v in fixed.items()))
-    ends = descent.descend(requests, dt_s=2.0).groupBy("request_id").agg(F.max(F.struct("t_s", "s_m", "h_m", "mode")).alias("last"), F.count("*").alias("steps"))
-    return ends.select("request_id", "steps", "last.*")
-
-
 @query("WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 8 HOUR THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 8 HOUR AS \"end\", count(*) AS rows FROM s GROUP BY user_id, k")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of a stream of the event file, read to its end and written to the shared folder as they close.
