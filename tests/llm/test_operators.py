@@ -353,34 +353,71 @@ def test_simhash_against_brute_force(docs):
     assert parts == found.component_id.to_dict()
 
 
-@pytest.mark.parametrize("split_above, crowd", [(512, 64), (10, 64), (25, 1e-30)])
-def test_close_links_join_exactly_what_is_close(spark, split_above, crowd):
+def grouped(d):
+    return sorted(sorted(k for k in d if d[k] == v) for v in set(d.values()))
+
+
+@pytest.mark.parametrize("leaf", [8, 24, 2000])
+def test_tree_links_join_exactly_what_is_close(spark, leaf):
+    """Leaves of trees, crowded ones cut into blocks, and one leaf for all give the components of brute force."""
     rng = random.Random(6)
-    codes = {rng.getrandbits(64) for _ in range(200)}
+    codes = {rng.getrandbits(64) for _ in range(300)}
     for centre in list(codes)[:4]:
-        for _ in range(60):
+        for _ in range(80):
             codes.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    rows = [(signed(c), 1) for c in codes]
-    links = simhash.close_links(spark.createDataFrame(rows, "fp long, n long"), split_above=split_above, crowd=crowd)
+    rows = [(signed(c), [signed(c)]) for c in codes]
+    slices = simhash.even_slices(1, 3)
+    links = simhash.tree_links(spark.createDataFrame(rows, "node long, code array<long>"), slices, 4, 1, leaf=leaf)
+    assert all(p.levels for p in slices) == (leaf < 100)
     found = {r.node: r.component for r in common.connected_components(links).collect()}
     plain = components([r[0] for r in rows], lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 4)
-    groups = lambda d: sorted(sorted(k for k in d if d[k] == v) for v in set(d.values()))
-    assert groups({k: found.get(k, k) for k in plain}) == groups(plain)
-
-
-def test_tree_links_on_clusters():
-    rng = random.Random(7)
-    base = rng.getrandbits(64)
-    codes = np.array([base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(400)], np.uint64)
-    forest = simhash.Forest(len(codes))
-    for a, b in simhash.tree_links(codes, 4):
-        forest.join(a, b)
-    plain = simhash.Forest(len(codes))
-    for a in range(len(codes)):
-        for b in np.flatnonzero(np.bitwise_count(codes ^ codes[a]) <= 4).tolist():
-            plain.join(a, b)
-    assert [forest.root(i) for i in range(len(codes))] == [plain.root(i) for i in range(len(codes))]
+    assert grouped({k: found.get(k, k) for k in plain}) == grouped(plain)
+
+
+def test_leaves_bring_close_values_together():
+    """Every pair within one bit on a slice meets in a leaf, and most others do not."""
+    rng = np.random.default_rng(8)
+    codes = rng.integers(-(2**63), 2**63, (1500, 1))
+    codes[750:] = codes[:750] ^ (1 << rng.integers(0, 21, 750))[:, None]
+    piece = simhash.even_slices(1, 3)[0]
+    simhash.grow(piece, codes, len(codes), 1, 64)
+    values = piece.values(codes)
+    held = collections.defaultdict(set)
+    for i, leaf in zip(*map(np.ndarray.tolist, simhash.leaves(piece, values, 1))):
+        held[leaf].add(i)
+    together = set()
+    for s in held.values():
+        together |= {(a, b) for a in s for b in s if a < b}
+    assert len(piece.levels) >= 4 and len(together) < 1500 * 1499 / 8
+    for a in range(1500):
+        for b in np.flatnonzero(np.bitwise_count(values ^ values[a]) <= 1).tolist():
+            assert a >= b or (a, b) in together
+
+
+def test_near_copies_against_brute_force(spark):
+    """Components at a shingle similarity of 0.8, from edits of every strength; a miss needs a pair close to 0.8."""
+    rng = random.Random(12)
+    syllables = ["the", "on", "er", "ing", "st", "an", "re", "lo", "mi"]
+    rows = []
+    for g in range(30):
+        base = prose(rng, syllables, rng.randint(60, 300)).split()
+        for k in range(4):
+            w = list(base)
+            for _ in range(max(k and 1, int(k * len(w) * 0.008))):
+                w[rng.randrange(len(w))] = prose(rng, syllables, 1)
+            rows.append((len(rows), " ".join(w), None, None, None))
+    rows += [(900, rows[5][1], None, None, None), (901, rows[5][1].upper() + " ", None, None, None), (902, None, None, None, None), (903, " ", None, None, None), (904, "one two", None, None, None), (905, "One  two", None, None, None), (None, rows[5][1], None, None, None)]
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows), leaf=16).collect() if r.doc_id is not None}
+    sets = {r[0]: {tuple(w[i : i + min(5, len(w))]) for i in range(max(0, len(w) - min(5, len(w)) + 1))} if w else set() for r in rows if r[0] is not None for w in [words((r[1] or "").translate(LOWER))]}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] or sets[b] else 1.0
+    plain = components(list(sets), lambda a, b: jaccard(a, b) >= 0.8)
+    assert found[900] == found[901] == plain[900] and found[902] == found[903] == 902 and found[904] == found[905] == 904
+    pairs = [(a, b) for a in sets for b in sets if a < b and jaccard(a, b) >= 0.8]
+    caught = sum(found[a] == found[b] for a, b in pairs)
+    assert len(pairs) > 60 and any(jaccard(a, b) < 0.87 for a, b in pairs) and caught >= 0.97 * len(pairs)
+    assert all(plain[k] == plain[found[k]] for k in found)
+    assert simhash.near_copies(frame(spark, []), leaf=16).count() == 0
 
 
 def test_simhash_null_repeated_and_empty(spark, empty):

@@ -1,49 +1,77 @@
-"""SimHash near-duplicates: fingerprints of word shingles, linked exactly within a Hamming radius.
-
-Equal fingerprints are one node. Two nodes within radius r agree on all bits of at least b - r of b bit
-blocks, so each choice of b - r blocks is a table and its value a shard. A shard with many fingerprints
-(a group of near copies) is split by a vantage point: distances to it put rows into rings of width
-r + 1, and a row whose ball of radius r crosses a ring's edge goes to both rings, so that by the
-triangle inequality every pair within r meets in a ring. Inside a shard a vantage-point tree does the
-same in memory. Only links that join components leave a task: never all pairs of a group.
+"""SimHash near-duplicates: fingerprints of word shingles, searched through vantage-point trees.
+
+Equal fingerprints are one node. Fingerprints are cut into slices of bits; two of them that lie close
+together lie within a small inner radius of each other on one slice at least (for up to 4 differing bits and three
+slices: within 1, always). On each slice a vantage-point tree partitions the nodes: every level holds a
+vantage point sampled from the fingerprints and their median distance to it, and sends a node to the near
+side, the far side, or both where the triangle inequality allows partners on either. The tree deepens with
+the number of nodes, and its leaves are the shards that tasks compare. A leaf that near copies crowd is cut
+into blocks, and each pair of blocks is a task of its own. What leaves a task are the links of a spanning
+forest, nearest first: never all pairs of a group.
+
+`near_copies` reaches a stated shingle similarity: three fingerprints a text, twelve slices, and an exact
+check of every link on the two texts' shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
-from math import comb
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import connected_components, forget, text_batches, written
 
 BITS = 64
-#: Fingerprints that a tree compares directly.
-LEAF = 48
 
 
-def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
-    """SimHash of the word shingles (repeats included) of one text, lower-cased in A-Z; 0 without words."""
+def shingle_hashes(text: str, words: int, seed: int) -> np.ndarray:
+    """XXH64 of the word shingles of a text lower-cased in A-Z, repeats included; none without words."""
     import xxhash
 
     found = text.encode().lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, ends = b" ".join(found), np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, len(found))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist())], "<u8")
+    pairs = zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist())
+    return np.fromiter((digest(joined[a:b], seed) for a, b in pairs), np.uint64, len(found) - k + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have set, as a signed 64-bit integer."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 14):
-        ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        part = hashes[i : i + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
+    """SimHash of the word shingles (repeats included) of one text; 0 without words."""
+    return majority(shingle_hashes(text, words, seed))
+
+
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes turned into others, as good as independent, for the k-th further fingerprint."""
+    h = hashes + np.uint64((0x9E3779B97F4A7C15 * k) & (2**64 - 1))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def codes(text: str, words: int, count: int, seed: int = 42) -> list[int]:
+    """count fingerprints of the set of word shingles of one text; zeros without words."""
+    hashes = np.unique(shingle_hashes(text, words, seed))
+    return [majority(remixed(hashes, k)) for k in range(count)]
+
+
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every row; null texts count as empty."""
 
@@ -55,165 +83,272 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, fp long")
 
 
-def _blocks(n: int, radius: int, crowd: int) -> int:
-    """Fewest blocks whose tables hold about crowd of n random fingerprints in a shard."""
-    for b in range(radius + 1, 2 * radius + 1):
-        if n / 2 ** (BITS * (b - radius) / b) <= crowd:
-            return b
-    return 2 * radius + 1
-
-
-def _tables(fp: Column, blocks: int, radius: int) -> Column:
-    """The (table, value) shards of a fingerprint, one for each choice of blocks - radius blocks."""
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
-    chosen = [signed(sum(masks[i] for i in c)) for c in combinations(range(blocks), blocks - radius)]
-    return F.array(*(F.struct(F.lit(i).alias("shard"), fp.bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(chosen)))
-
-
-class Forest:
-    """Union-find over positions."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-
-
-def tree_links(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (i, root) that join all codes connected by distances up to radius, by a vantage-point tree."""
-    forest, todo = Forest(len(codes)), [np.arange(len(codes))]
-    while todo:
-        at = todo.pop()
-        if len(at) < 2:
-            continue
-        if len(at) > LEAF:
-            far = np.bitwise_count(codes[at] ^ codes[at[0]]).astype(np.int64)
-            ball = at[far <= radius]
-            for i in ball.tolist():
-                forest.join(int(at[0]), i)
-            middle = int(np.median(far))
-            # Pairs whose distances differ by radius at most fall into one side or the other.
-            near, away = at[far <= middle + radius // 2], at[far >= middle + radius // 2 + 1 - radius]
-            if len(ball) == len(at):
-                continue
-            if max(len(near), len(away)) <= 0.9 * len(at):
-                todo += [near, away]
-                continue
-        for k in range(0, len(at), 256):
-            rows = at[k : k + 256]
-            a, b = np.nonzero(np.bitwise_count(codes[rows][:, None] ^ codes[at][None, :]) <= radius)
-            for i, j in zip(rows[a].tolist(), at[b].tolist()):
-                if i < j:
-                    forest.join(i, j)
-    return [(i, r) for i in range(len(codes)) if (r := forest.root(i)) != i]
-
-
-def _small_links(codes: np.ndarray, group: np.ndarray, radius: int, widest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all close pairs in groups of up to widest rows that stand together."""
-    left, right = [], []
-    for d in range(1, widest):
-        close = np.flatnonzero((group[d:] == group[:-d]) & (np.bitwise_count(codes[d:] ^ codes[:-d]) <= radius))
-        left.append(close + d)
-        right.append(close)
-    return np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
-
-
-def _linked(table: pa.Table, radius: int) -> pa.RecordBatch:
-    """Links inside every shard of a table sorted by shard."""
-    columns = [table.column(c).to_numpy() for c in ("shard", "value", "ring")]
-    codes = table.column("fp").to_numpy()
-    n = len(codes)
-    change = np.ones(n, bool)
-    change[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-    group = np.cumsum(change)
-    starts = np.flatnonzero(change)
-    sizes = np.diff(np.append(starts, n))
-    unsigned = codes.view(np.uint64)
-    small = np.repeat(sizes <= LEAF, sizes)
-    at = np.flatnonzero(small)
-    a, b = _small_links(unsigned[at], group[at], radius, int(sizes[sizes <= LEAF].max(initial=1)))
-    u, v = [codes[at[a]]], [codes[at[b]]]
-    for s, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
-        links = np.array(tree_links(unsigned[s : s + size], radius), np.int64).reshape(-1, 2)
-        u.append(codes[s + links[:, 0]])
-        v.append(codes[s + links[:, 1]])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
-
-
-def close_links(nodes: DataFrame, radius: int = 4, *, crowd: int = 64, split_above: int = 512, rounds: int = 8) -> DataFrame:
-    """Links (u, v) of fingerprints that join all that distances up to radius connect, for nodes (fp, n).
-
-    fp is distinct and not null; n is the number of documents that share it. A shard with more than
-    split_above fingerprints is split by vantage rings, up to rounds times; what no ring separates is
-    compared as it is.
+@dataclass
+class Slice:
+    """Bits first to last (exclusive) of one word of the codes, and its tree: (vantage point, near distance) by level."""
+
+    word: int
+    first: int
+    last: int
+    levels: list[tuple[int, int]]
+
+    def values(self, codes: np.ndarray) -> np.ndarray:
+        bits = codes[:, self.word].view(np.uint64) >> np.uint64(self.first)
+        return (bits & np.uint64((1 << (self.last - self.first)) - 1)).astype(np.uint32)
+
+
+def even_slices(words: int, each: int) -> list[Slice]:
+    """each slices of every one of the code's words."""
+    edges = [BITS * i // each for i in range(each + 1)]
+    return [Slice(w, a, b, []) for w in range(words) for a, b in zip(edges, edges[1:])]
+
+
+def side(values: np.ndarray, level: tuple[int, int], inner: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which values go to the near and which to the far side; those that the bounds cannot tell apart go to both.
+
+    Two values within `inner` of each other differ by no more in their distance to the vantage point, so
+    they meet on one side.
     """
-    total = nodes.count()
-    blocks = _blocks(total, radius, crowd)
-    assert comb(blocks, radius) <= 200
-    shards = nodes.select("fp", "n", F.explode(_tables(F.col("fp"), blocks, radius)).alias("t")).select("fp", "n", "t.shard", "t.value", F.lit(0).cast("long").alias("ring"))
-    key, links = ["shard", "value", "ring"], None
-    for _ in range(rounds):
-        hot = written(shards.groupBy(*key).agg(F.count("*").alias("size"), F.max(F.struct("n", "fp")).alias("top")).where(F.col("size") > split_above).select(*key, F.col("top.fp").alias("vantage")), "hot")
-        if not hot.count():
+    far = np.bitwise_count(values ^ np.uint32(level[0]))
+    return far <= level[1] + inner, far > level[1]
+
+
+def grow(piece: Slice, sample: np.ndarray, nodes: int, inner: int, leaf: int) -> None:
+    """Levels of a slice's tree, until a leaf holds about `leaf` of so many nodes.
+
+    A level takes, of a few sampled points, the one whose sides are smallest.
+    """
+    values, rng = piece.values(sample), np.random.default_rng(11 + 64 * piece.word + piece.first)
+    size = float(nodes)
+    while size > leaf and len(values):
+        best = None
+        for point in rng.choice(values, 8):
+            far = np.bitwise_count(values ^ point)
+            for near in {int(np.median(far)) - inner, int(np.median(far)) - (inner + 1) // 2, int(np.median(far))}:
+                a, b = side(values, (int(point), near), inner)
+                # What a node meets on average, when sides are met in proportion to their sizes.
+                share = (a.mean() ** 2 + b.mean() ** 2) / (a.mean() + b.mean())
+                if best is None or share < best[0]:
+                    best = (share, int(point), near)
+        if best[0] > 0.95 or len(piece.levels) >= 56:
             break
-        shards = written(shards.join(hot, key, "left"), "shards")
-        far = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))).cast("long")
-        inside = shards.where("vantage is not null").withColumn("far", far)
-        ball = inside.where((F.col("far") <= radius) & (F.col("far") > 0)).select(F.col("fp").alias("u"), F.col("vantage").alias("v")).distinct()
-        links = ball if links is None else links.unionByName(ball)
-        wide = radius + 1
-        first, last = F.floor(F.col("far") / wide), F.floor((F.col("far") + radius) / wide)
-        # All of ring 0 is linked to the vantage point already; it meets others in ring 1.
-        rings = inside.withColumn("r", F.explode(F.array_distinct(F.array(first, last)))).where("r > 0")
-        split = rings.select("fp", "n", "shard", "value", (F.col("ring") * 16 + F.col("r")).alias("ring"))
-        shards = shards.where("vantage is null").select("fp", "n", *key).unionByName(split)
+        piece.levels.append(best[1:])
+        size *= best[0]
+
+
+def leaves(piece: Slice, values: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, leaf) of every leaf that a value overlaps."""
+    at, path = np.arange(len(values)), np.zeros(len(values), np.int64)
+    for level in piece.levels:
+        near, far = side(values[at], level, inner)
+        at, path = np.concatenate((at[near], at[far])), np.concatenate((path[near] * 2, path[far] * 2 + 1))
+    return at, path
+
+
+NONE = np.uint8(255)
+
+
+def forest(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest, nearest first (Boruvka's rounds), from a symmetric matrix of distances; NONE is no link."""
+    n = len(d)
+    label, u, v = np.arange(n), [np.zeros(0, int)], [np.zeros(0, int)]
+    while True:
+        nearest = d.argmin(1)
+        off = d[np.arange(n), nearest]
+        order = np.lexsort((np.arange(n), off, label))
+        first = order[np.concatenate(([True], label[order][1:] != label[order][:-1]))]
+        first = first[off[first] < NONE]
+        if not len(first):
+            return np.concatenate(u), np.concatenate(v)
+        u.append(first)
+        v.append(nearest[first])
+        for i, j in zip(first.tolist(), nearest[first].tolist()):
+            if label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
+        d[label[:, None] == label[None, :]] = NONE
+
+
+def compare(codes: np.ndarray, values: np.ndarray, own: np.ndarray, i: int, j: int, radius: int, inner: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the links within radius between blocks i and j of a leaf."""
+    a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    d = np.full((len(codes), len(codes)), NONE)
+    for k in range(0, len(a), 256):
+        rows = a[k : k + 256]
+        x, y = np.nonzero(np.bitwise_count(values[rows][:, None] ^ values[b][None, :]) <= inner)
+        x, y = rows[x], b[y]
+        if i == j:
+            x, y = x[x < y], y[x < y]
+        far = np.bitwise_count((codes[x] ^ codes[y]).view(np.uint64)).sum(1, dtype=np.int64)
+        x, y, far = (z[far <= radius] for z in (x, y, far))
+        d[x, y] = d[y, x] = np.minimum(far, 254)
+    some = np.flatnonzero((d < NONE).any(1))
+    u, v = forest(d[np.ix_(some, some)]) if len(some) else (some, some)
+    return some[u], some[v]
+
+
+KEY = ["slice", "leaf", "i", "j"]
+
+
+def tree_links(nodes: DataFrame, slices: list[Slice], radius: int, inner: int, *, leaf: int = 1024, sample: int = 4096) -> DataFrame:
+    """Links (u, v) between nodes (node, code: array of longs) at `radius` differing bits or fewer, for all pairs within
+    inner bits on one of the slices: of each leaf a spanning forest, so links join all that those pairs connect.
+
+    node is distinct and not null. sample bounds the codes that vantage points are drawn from; every node is
+    placed in the trees. leaf is the number of nodes that a leaf should hold.
+    """
+    spark = nodes.sparkSession
+    drawn = nodes.select("code").orderBy(F.xxhash64("node", F.lit("vantage"))).limit(sample).toPandas()
+    total = nodes.count()
+    words = max(p.word for p in slices) + 1
+    seen = np.array(drawn["code"].tolist(), np.int64).reshape(len(drawn), words)
+    for piece in slices:
+        grow(piece, seen, total, inner, leaf)
+    held = spark.sparkContext.broadcast(slices)
+    names = [f"w{k}" for k in range(words)]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                code = part.column("code").flatten().to_numpy().reshape(part.num_rows, -1)
+                node = part.column("node").to_numpy()
+                for k, piece in enumerate(held.value):
+                    at, path = leaves(piece, piece.values(code), inner)
+                    own = [pa.array(code[at, w]) for w in range(words)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(path), pa.array(node[at]), *own], ["slice", "leaf", "node", *names])
+
+    fields = "slice int, leaf long, node long, " + ", ".join(f"{n} long" for n in names)
+    placed = written(nodes.select("node", "code").mapInArrow(spread, fields), "placed")
+    most = 4 * leaf
+    crowded = placed.groupBy("slice", "leaf").agg(F.count("*").alias("size")).where(F.col("size") > most)
+    crowded = written(crowded.select("slice", "leaf", F.ceil(F.col("size") / (2 * leaf)).cast("int").alias("blocks")), "crowded")
+    cut = placed.join(crowded, ["slice", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    tasks = cut.select("slice", "leaf", "node", "own", *names, F.explode(others).alias("p")).select("slice", "leaf", "p.i", "p.j", "node", "own", *names)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        def of(table: pa.Table) -> pa.RecordBatch:
+            keys = [table.column(c).to_numpy() for c in KEY]
+            change = np.ones(table.num_rows, bool)
+            change[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            edges = np.append(np.flatnonzero(change), table.num_rows)
+            node, own = table.column("node").to_numpy(), table.column("own").to_numpy()
+            code = np.column_stack([table.column(n).to_numpy() for n in names])
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if e - s > 1:
+                    piece = held.value[int(keys[0][s])]
+                    x, y = compare(code[s:e], piece.values(code[s:e]), own[s:e], int(keys[2][s]), int(keys[3][s]), radius, inner)
+                    u.append(node[s + x])
+                    v.append(node[s + y])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+
+        kept: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
-            held.append(batch)
+            kept.append(batch)
             rows += batch.num_rows
-            if rows < 1 << 18:
+            if rows < 1 << 17:
                 continue
-            table = pa.Table.from_batches(held)
-            last = [table.column(c)[-1].as_py() for c in key]
-            open_from = int(np.argmax(np.all([table.column(c).to_numpy() == x for c, x in zip(key, last)], axis=0)))
+            table = pa.Table.from_batches(kept)
+            same = np.all([table.column(c).to_numpy() == table.column(c)[-1].as_py() for c in KEY], axis=0)
+            open_from = int(np.argmax(same))
             if open_from:
-                yield _linked(table.slice(0, open_from), radius)
-            held = table.slice(open_from).to_batches()
+                yield of(table.slice(0, open_from))
+            kept = table.slice(open_from).to_batches()
             rows = table.num_rows - open_from
-        if held:
-            yield _linked(pa.Table.from_batches(held), radius)
+        if kept:
+            yield of(pa.Table.from_batches(kept))
 
-    found = shards.select(*key, "fp").repartition(*key).sortWithinPartitions(*key).mapInArrow(link, "u long, v long")
-    return found if links is None else found.unionByName(links)
+    found = tasks.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(link, "u long, v long")
+    links = written(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    forget(placed, crowded)
+    return links
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 4, seed: int = 42, radius: int = 4, leaf: int = 1024) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row.
 
-    Null and empty texts, and texts without words, have fingerprint zero and link like any other. A row
+    Fingerprints within radius are linked, exactly: radius differing bits over radius // 2 + 1 slices leave
+    one slice with at most one. Null and empty texts, and texts without words, have fingerprint zero and link like any other. A row
     with a null doc_id is fingerprinted but names no component: its component_id is that of the others,
     or null if it has none. Repeated rows each give a row. An empty table gives an empty table. Further
-    columns are ignored.
+    columns are ignored. A long text is hashed whole, at about 30 bytes of memory a word.
     """
     prints = written(fingerprints(docs, words, seed), "prints")
-    nodes = written(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "nodes")
-    parts = connected_components(close_links(nodes.select("fp", "n"), radius))
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    slices = radius // 2 + 1
+    links = tree_links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("code")), even_slices(1, slices), radius, radius // slices, leaf=leaf)
+    parts = connected_components(links)
     named = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     named = written(named, "named")
+    forget(nodes, links)
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = named.join(smallest, "component").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def shingle_set(text: str, words: int) -> set[bytes]:
+    found = text.encode().lower().split()
+    k = min(words, len(found))
+    return {b" ".join(found[i : i + k]) for i in range(len(found) - k + 1)} if found else set()
+
+
+def similarity(a: str, b: str, words: int) -> float:
+    """Jaccard similarity of the word shingle sets of two texts; 1 if both have none."""
+    x, y = shingle_set(a, words), shingle_set(b, words)
+    both = len(x & y)
+    return both / (len(x) + len(y) - both) if x or y else 1.0
+
+
+def apart(least: float, bits: int, deviations: float = 3.5) -> int:
+    """Differing bits that a pair of shingle sets of equal sizes at this Jaccard similarity stays within, but for chance."""
+    p = math.acos(2 * least / (1 + least)) / math.pi
+    return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+
+def near_copies(docs: DataFrame, *, words: int = 5, least: float = 0.8, count: int = 3, each: int = 4, leaf: int = 1024) -> DataFrame:
+    """doc_id, row (hash of the text) and component_id of every row of docs (doc_id, text): components of pairs whose
+    word shingle sets have a Jaccard similarity of `least` or more.
+
+    count fingerprints of 64 bits a text, in `each` slices: a pair at 0.8 is within one bit on a slice of 16
+    bits with chance 0.28, so twelve slices find it with chance 0.98, and closer pairs more surely. Every
+    link is checked on the whole texts before it counts; texts with equal codes are copies. Texts without
+    words (null, empty) are copies of each other. component_id is the smallest doc_id reachable; a row with a
+    null doc_id names no component and gets null. Repeated rows each give a row, an empty table gives an
+    empty table, other columns are ignored.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            found = [codes(x or "", words, count) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "row", "code"])
+
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
+    prints = written(own.mapInArrow(encode, "doc_id long, row long, code array<long>").withColumn("node", F.xxhash64("code")), "prints")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row"))
+    nodes = written(prints.groupBy("node").agg(F.first("code").alias("code"), one.alias("one")).select("node", "code", F.col("one.doc_id").alias("first"), F.col("one.row").alias("row")), "nodes")
+    links = tree_links(nodes.select("node", "code"), even_slices(count, each), apart(least, BITS * count), 1, leaf=leaf)
+
+    # The texts of linked nodes alone, one each.
+    linked = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
+    wanted = nodes.join(linked, "node", "left_semi").select("node", F.col("first").alias("w_id"), F.col("row").alias("w_row"))
+    texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row"))).select("node", "text").dropDuplicates(["node"])
+    texts = written(texts, "texts")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, column="a"):
+            good = [similarity(a, b, words) >= least for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    pairs = links.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    sure = written(pairs.select("u", "v", "a", "b").mapInArrow(check, "u long, v long"), "sure")
+    forget(links, texts)
+    parts = connected_components(sure)
+    named = nodes.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    classes = written(named.join(smallest, "component").select("node", "component_id"), "classes")
+    forget(nodes, sure)
+    return prints.join(classes, "node").select("doc_id", "row", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
