@@ -231,10 +231,11 @@ def plain_cut(rows, least):
     return out
 
 
-@pytest.mark.parametrize("crowd", [256, 1])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("most, segment", [(1 << 10, 1 << 20), (1, 1 << 20), (3, 500)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, most, segment):
     whole = suffix.repeated_spans
-    monkeypatch.setattr(suffix, "repeated_spans", lambda d, least: whole(d, least, crowd=crowd, chunk=3000))
+    monkeypatch.setattr(suffix, "repeated_spans", lambda d, least: whole(d, least, most=most, chunk=3000))
+    monkeypatch.setattr(suffix, "SEGMENT", segment)
     rows = ROWS + [(ROWS[3][0], *ROWS[3][1:]), (None, ROWS[10][1], None, None, None), (None, prose(random.Random(9), ["ö", "xyz"], 90), None, None, None)]
     done = suffix.remove_repeats(frame(spark, rows)).select("doc_id", "text", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).collect()
     found = collections.Counter((r.doc_id, r.text, r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in done)
@@ -243,14 +244,42 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, crowd):
 
 def test_common_prefixes_stop_at_the_least_length():
     rng = np.random.default_rng(0)
-    v = np.append(rng.integers(1, 3, 400), 0)
+    v = np.append(rng.integers(1, 3, 400), 0).astype(np.uint8)
     v[50:90] = v[200:240]
     order = suffix.suffix_order(v, 16)
     found = suffix.common_prefixes(v, order, 10)
     turned = [np.roll(v, -k) for k in order]
     for i in range(1, len(v)):
         same = int(np.argmax(turned[i] != turned[i - 1]))
-        assert found[i] == (same if same < 10 else -1)
+        assert found[i] == (same // 2 * 2 if same < 10 else -1)  # by steps of two, which divide ten
+
+
+def test_expansion_by_long_steps_finds_all_repeats():
+    rng = random.Random(3)
+    shared = bytes(rng.randrange(97, 100) for _ in range(500))
+    pieces = [bytes(rng.randrange(97, 100) for _ in range(rng.randint(40, 90))) + shared[a : a + rng.randint(20, 200)] for a in rng.choices(range(300), k=40)] + [b"q" * 60, b"xyz" * 20]
+    copies = [1] * 41 + [2]
+    for least in (40, 24, 20, 15):
+        seen = collections.Counter()
+        for p, n in zip(pieces, copies):
+            for i in range(len(p) - least + 1):
+                seen[p[i : i + least]] += n
+        flags = suffix.repeated_starts(pieces, copies, least)
+        assert [f.tolist() for f in flags] == [[seen[p[i : i + least]] > 1 for i in range(len(p) - least + 1)] for p in pieces]
+
+
+@pytest.mark.parametrize("most", [1 << 10, 8])
+def test_suffix_dedup_of_equal_rows_and_a_common_passage(spark, most):
+    """Thousands of equal rows, and a passage that many texts hold at other places: spans are found once."""
+    rng = random.Random(1)
+    kinds = ["the", "on", "er", "ing", "st"]
+    passage, copy = prose(rng, kinds, 90), prose(rng, kinds, 80)
+    rows = [(None, copy)] * 5000 + [(i, prose(rng, kinds, rng.randint(2, 60)) + " " + passage + " " + prose(rng, kinds, 30)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "id long, text string").withColumn("row", F.xxhash64("text")).fillna(-1, ["id"])
+    spans = suffix.repeated_spans(docs.repartition(5), most=most).distinct().groupBy("id").agg(F.sum("number").alias("n"), F.count("*").alias("k"), F.countDistinct("first").alias("d")).collect()
+    found = {r.id: r for r in spans}
+    assert found[-1].n == len(copy) - 199 and len(found) == 301
+    assert all(found[i].k == found[i].d and len(passage) - 199 <= found[i].n <= len(passage) - 199 + 40 for i in range(300))
 
 
 def test_suffix_dedup_edges(spark, empty):

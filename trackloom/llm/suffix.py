@@ -2,13 +2,14 @@
 
 Every string of the least length has one anchor: the smallest hash among its grams. Strings with one
 anchor stand in a row (a run), and equal strings have equal anchors at equal places, so runs that share an
-anchor's hash hold all that can match. Runs are counted by content first: equal runs are repeated whole.
-Only different runs of one anchor need their bytes compared. They are routed by anchor; each task joins its
-runs into a text, sorts its suffixes, and takes the Burrows-Wheeler transform through breadth-first
-backward extension: common prefixes come out by increasing value, and the expansion stops at the least
-length. Suffixes that got no value by then share that length with a neighbour. An anchor with very many
-different runs (a passage in a large part of all documents) would crowd one task: its strings are counted
-by content hash instead, which gives the same rows.
+anchor's hash hold all that can match: an anchor is a shard. Anchors that occur once are dropped; of the
+others, equal runs enter once, with their count. Each task joins the runs of its shards into a text, sorts
+its suffixes, and takes the Burrows-Wheeler transform through breadth-first backward extension, some symbols
+at a time: common prefixes come out by increasing value, and the expansion stops at the least length.
+Suffixes that got no value by then share that length with a neighbour. Every verdict on a string comes from
+there and goes back to all runs with the same bytes. A shard that is too large for a task (a passage in a
+large part of all documents) is cut into parts by the distance to the anchor, and these by the bytes that
+all strings of a part share; what is still too large is cut finer.
 """
 
 from __future__ import annotations
@@ -22,16 +23,17 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import forget, text_batches, written
 
-GRAM = 72
+GRAM = 40
 _u = np.uint64
 _random = np.random.default_rng(2024)
 BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) | _u(1)
 STEP = _random.integers(1, 2**63, 8, dtype=np.uint64) | _u(1)
 BASE = 0x9E3779B97F4A7C15
 POSITION = _u((1 << 28) - 1)
-#: Strings of a part in which a crowded anchor's runs are counted. A run of w strings makes w / PART parts, and
-#: has up to 2 PART strings in parts that are cut by the edges of a passage: least together at sqrt(w / 2).
-PART = 6
+#: Bytes of a text that are looked at together; longer ones are taken in turn, overlapping.
+SEGMENT = 1 << 20
+#: A byte that no UTF-8 text holds ends each piece.
+END = 0xFF
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -72,9 +74,9 @@ class Hashes:
     def grams(self) -> np.ndarray:
         """Hashes of all strings of GRAM bytes."""
         h = self.eight
-        for k in range(3, 6):
+        for k in range(3, 5):
             h = h[: -(1 << k)] * STEP[k] + h[1 << k :]
-        return mixed(h[: len(h) - 8] * STEP[6] + self.eight[64:])
+        return mixed(h[: len(h) - 8] * STEP[6] + self.eight[32:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the strings [start, end), each at least 8 bytes long."""
@@ -115,43 +117,49 @@ def unpacked(place: int) -> tuple[int, int, int]:
     return place >> 24, place >> 12 & 4095, (place & 4095) + 1
 
 
+def packed(v: np.ndarray, width: int) -> np.ndarray:
+    """width bytes from each position of a cyclic text on, as one number."""
+    key = np.zeros(len(v), np.uint64)
+    for k in range(width):
+        key = key << _u(8) | np.roll(v, -k)
+    return key
+
+
 def suffix_order(v: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of a cyclic text of small symbols, sorted by at least depth leading symbols."""
-    n, have = len(v), 6
-    key = np.zeros(n, np.int64)
-    for k in range(have):
-        key = key * 512 + np.roll(v, -k)
+    """Positions of a cyclic text of bytes, sorted by at least depth leading bytes (prefix doubling)."""
+    n, have = len(v), 8
+    key = packed(v, have)
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = np.empty(n, np.int64)
         ordered = key[order]
         rank[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
         if have >= depth or rank[order[-1]] == n - 1:
             return order
-        key = rank * (n + 1) + np.roll(rank, -have)
+        key = rank * n + np.roll(rank, -have)
         have *= 2
 
 
 def common_prefixes(v: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
-    """Common prefix of each sorted suffix with the one before it; -1 stands for least or more.
+    """Common prefix of each sorted suffix with the one before it, in whole steps; -1 stands for least or more.
 
-    Backward extension of intervals, breadth first (Beller et al., 2013): a round of depth d extends the
-    intervals found in the round before by every symbol that precedes them, and gives the right ends that
-    have no value yet the value d.
+    Backward extension of intervals, breadth first (Beller et al., 2013), by a step of several bytes (the
+    largest of 8, 4, 2, 1 that divides least): a round of depth d extends the intervals found in the round
+    before by every step that precedes them, and gives the right ends that have no value yet the value d.
     """
-    n = len(v)
-    before = v[order - 1]
-    by = np.argsort(before, kind="stable")
-    forward = np.empty(n, np.int64)  # where the suffix one symbol longer stands
-    forward[by] = np.arange(n)
+    n, step = len(v), min(8, least & -least)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    before = np.roll(packed(v, step), step)[order]  # the step that precedes each sorted suffix
+    forward = np.roll(rank, step)[order]  # where the suffix longer by it stands
     value = np.full(n + 1, -1, np.int32)
     value[0] = value[n] = 0
     left, right = np.array([0]), np.array([n])
-    for depth in range(least):
+    for depth in range(0, least, step):
         size = right - left
         inner = np.repeat(left - (np.cumsum(size) - size), size) + np.arange(size.sum())
         which = np.repeat(np.arange(len(size)), size)
-        at = np.argsort(forward[inner], kind="stable")
+        at = np.argsort(forward[inner])
         place, symbol, which = forward[inner][at], before[inner][at], which[at]
         last = np.flatnonzero(np.concatenate(((symbol[1:] != symbol[:-1]) | (which[1:] != which[:-1]), [True])))
         first = np.concatenate(([0], last[:-1] + 1))
@@ -164,15 +172,16 @@ def common_prefixes(v: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     return value
 
 
-def repeated_starts(pieces: list[bytes], least: int) -> list[np.ndarray]:
-    """For each piece, which of its strings of the least length also start elsewhere in the pieces."""
+def repeated_starts(pieces: list[bytes], copies: list[int], least: int) -> list[np.ndarray]:
+    """For each piece, which of its strings of the least length start more than once in the pieces, each of which counts copies times."""
     sizes = np.array([len(p) + 1 for p in pieces])
-    v = np.concatenate([np.append(np.frombuffer(p, np.uint8).astype(np.int64) + 1, 0) for p in pieces])
+    end = bytes([END])
+    v = np.frombuffer(end.join(pieces) + end, np.uint8)
     order = suffix_order(v, least)
-    value = common_prefixes(v, order, least)
+    long = common_prefixes(v, order, least) == -1
     again = np.zeros(len(v), bool)
-    long = value == -1
     again[order] = long[:-1] | long[1:]
+    again |= np.repeat(np.array(copies) > 1, sizes)
     begin = np.cumsum(sizes) - sizes
     return [again[b : b + s - least] for b, s in zip(begin.tolist(), sizes.tolist())]
 
@@ -183,112 +192,141 @@ def true_spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist()))
 
 
-def repeated_spans(docs: DataFrame, least: int = 200, *, crowd: int = 256, chunk: int = 1 << 19) -> DataFrame:
-    """For docs (id, row, text): id, row, first, number: starts of strings of least bytes that repeat.
+def repeated_spans(docs: DataFrame, least: int = 200, *, most: int = 1 << 10, chunk: int = 1 << 19) -> DataFrame:
+    """For docs (id, row, text): id, row, first, number: starts of strings of least bytes that repeat, once for equal rows.
 
-    id and row are not null and name a row's content; rows with equal id and row are equal.
+    id and row are not null and name a row's content; rows with equal id and row are equal. most is the
+    number of different runs in a shard that a task takes; chunk the bytes of shards taken together.
     """
     assert 2 * GRAM <= least < 4096
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 1 << 19):
-            owner, place, key, content = runs([(x or "").encode() for x in batch.column("text").to_pylist()], least)
-            at = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), batch.column("id").take(at), batch.column("row").take(at), pa.array(place)], ["anchor", "content", "id", "row", "span"])
+            for texts, rows, base in segments(batch.column("text").to_pylist(), least):
+                owner, place, key, content = runs(texts, least)
+                at = pa.array(rows[owner])
+                place = place + (base[owner] << 24)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), batch.column("id").take(at), batch.column("row").take(at), pa.array(place)], ["shard", "content", "id", "row", "span"])
 
-    found = docs.select("id", "row", "text").mapInArrow(emit, "anchor long, content long, id long, row long, span long")
+    found = docs.select("id", "row", "text").mapInArrow(emit, "shard long, content long, id long, row long, span long")
     found = written(found, "runs")
-    counts = found.groupBy("anchor", "content").agg(F.count("*").alias("copies"))
-    counts = written(counts, "counts")
-    anchors = counts.groupBy("anchor").agg(F.sum("copies").alias("uses"), F.count("*").alias("kinds")).where("uses > 1").select("anchor", "kinds")
-    status = counts.join(anchors, "anchor")
-    matched = written(found.join(status, ["anchor", "content"]), "matched")
+    counts = written(found.groupBy("shard", "content").agg(F.count("*").alias("copies")), "counts")
+    shards = counts.groupBy("shard").agg(F.sum("copies").alias("uses"), F.count("*").alias("kinds")).where("uses > 1").select("shard", "kinds")
+    matched = written(found.join(counts.join(shards, "shard"), ["shard", "content"]), "matched")
     forget(found, counts)
-    first, number = F.shiftrightunsigned("span", 24), F.col("span").bitwiseAND(F.lit(4095)) + 1
-    whole = matched.where("copies > 1").select("id", "row", first.alias("first"), number.alias("number"))
 
-    kinds = matched.where("kinds > 1").groupBy("anchor", "content").agg(F.max("copies").alias("copies"), F.max("kinds").alias("kinds"), F.min(F.struct("id", "row", "span")).alias("one"))
-    wanted = kinds.groupBy(F.col("one.id").alias("id"), F.col("one.row").alias("row")).agg(F.collect_list(F.struct("anchor", "copies", "kinds", "one.span")).alias("wanted"))
+    kinds = matched.groupBy("shard", "content").agg(F.max("copies").alias("copies"), F.max("kinds").alias("kinds"), F.min(F.struct("id", "row", "span")).alias("one"))
+    wanted = kinds.groupBy(F.col("one.id").alias("id"), F.col("one.row").alias("row")).agg(F.collect_list(F.struct("shard", "content", "copies", "kinds", "one.span")).alias("wanted"))
     sources = docs.select("id", "row", "text").join(wanted, ["id", "row"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 1 << 19):
             rows = []
-            for id_, row, text, want in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "text", "wanted"))):
+            for text, want in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
                 raw = text.encode()
                 for w in want:
                     a, ahead, n = unpacked(w["span"])
-                    rows.append((w["anchor"], w["copies"], w["kinds"], id_, row, a, ahead, raw[a : a + n + least - 1]))
-            columns = list(zip(*rows)) if rows else [()] * 8
-            types = (*[pa.int64()] * 7, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "copies", "kinds", "id", "row", "start", "ahead", "bytes"])
-
-    pieces = written(sources.mapInArrow(fetch, "anchor long, copies long, kinds long, id long, row long, start long, ahead long, bytes binary"), "pieces")
+                    rows.append((w["shard"], w["content"], w["copies"], w["kinds"], ahead, raw[a : a + n + least - 1]))
+            columns = list(zip(*rows)) if rows else [()] * 6
+            types = (*[pa.int64()] * 5, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["shard", "content", "copies", "kinds", "ahead", "bytes"])
+
+    pieces = written(sources.mapInArrow(fetch, PIECE), "pieces")
+    verdicts = written(judged(pieces, least, most, chunk, (least - GRAM + 4) // 4), "verdicts")
+    forget(pieces)
+    spans = matched.select("shard", "content", "id", "row", F.shiftrightunsigned("span", 24).alias("start")).join(verdicts, ["shard", "content"])
+    return spans.select("id", "row", (F.col("start") + F.col("first")).alias("first"), "number")
+
+
+#: Different runs of a shard: copies of it in the corpus, kinds in its shard, distance from its first string to the anchor.
+PIECE = "shard long, content long, copies long, kinds long, ahead long, bytes binary"
+
+
+def segments(texts: list[str | None], least: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Texts of up to SEGMENT bytes at once, with each one's row and place in it; every string of least bytes is in one of them, once."""
+    held, rows, base, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        for a in range(0, max(1, len(raw) - least + 1), SEGMENT):
+            if size and size + len(raw) - a > SEGMENT:
+                yield held, np.array(rows), np.array(base)
+                held, rows, base, size = [], [], [], 0
+            held.append(raw[a : a + SEGMENT + least - 1])
+            rows.append(i)
+            base.append(a)
+            size += len(held[-1])
+    if held:
+        yield held, np.array(rows), np.array(base)
+
+
+def judged(pieces: DataFrame, least: int, most: int, chunk: int, width: int) -> DataFrame:
+    """shard, content, first, number of the strings of pieces (see PIECE) that repeat, by expansion within shards.
+
+    Shards of more than most pieces are cut: into parts of width strings at fixed distances from the anchor,
+    so that equal strings are in parts of one place, and by the bytes that all strings of a part hold. At a
+    width of one a part is a string, and pieces of a shard are equal; so cutting ends.
+    """
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(rows: list[tuple]) -> pa.RecordBatch:
-            flags = repeated_starts([r[5] for r in rows], least)
-            out = [(r[2], r[3], r[4] + a, n) for r, f in zip(rows, flags) if r[1] == 1 for a, n in true_spans(f)]
+            flags = repeated_starts([r[3] for r in rows], [r[2] for r in rows], least)
+            out = [(r[0], r[1], a, n) for r, f in zip(rows, flags) for a, n in true_spans(f)]
             columns = list(zip(*out)) if out else [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "row", "first", "number"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "content", "first", "number"])
 
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "copies", "id", "row", "start", "bytes"))):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("shard", "content", "copies", "bytes"))):
                 if size >= chunk and r[0] != held[-1][0]:
                     yield of(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[5])
+                size += len(r[3])
         if held:
             yield of(held)
 
-    few = pieces.where(F.col("kinds") <= crowd).select("anchor", "copies", "id", "row", "start", "bytes")
-    compared = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "id long, row long, first long, number long")
-    many = crowded_spans(pieces.where(F.col("kinds") > crowd), least)
-    return whole.unionByName(compared).unionByName(many)
-
-
-def crowded_spans(pieces: DataFrame, least: int) -> DataFrame:
-    """As compare() for anchors with many kinds of runs: strings are counted by content hash.
-
-    Runs are cut into parts of PART strings at fixed distances from the anchor, so equal strings are in parts
-    of one place. A part whose content is there twice repeats whole; one whose strings' common middle is
-    there once repeats nowhere; only the others' strings are counted one by one.
-    """
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for anchor, copies, id_, row, start, ahead, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "copies", "id", "row", "start", "ahead", "bytes"))):
-                h, n = Hashes(np.frombuffer(raw, np.uint8)), len(raw) - least + 1
-                before = ahead - np.arange(n)  # from each string's start to the anchor
-                spot = before // PART
+            for shard, content, copies, ahead, raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "content", "copies", "ahead", "bytes"))):
+                hashes, n = Hashes(np.frombuffer(raw, np.uint8)), len(raw) - least + 1
+                spot = (ahead - np.arange(n)) // width  # by the distance from each string's start to the anchor
                 a = np.flatnonzero(np.concatenate(([True], spot[1:] != spot[:-1])))
                 b = np.append(a[1:], n)
-                middle = ahead - spot[a] * PART
-                each = h.of(np.arange(n), np.arange(n) + least).view(np.int64)
-                full = h.of(a, b + least - 1).view(np.int64)
-                core = h.of(middle, middle + least - PART + 1).view(np.int64)
-                rows += [(anchor, int(s), int(c), int(f), 2 if copies > 1 else 1, id_, row, start + int(i), int(j - i), each[i:j].tolist()) for s, c, f, i, j in zip(spot[a], core, full, a, b)]
-            columns = list(zip(*rows)) if rows else [()] * 10
-            types = (*[pa.int64()] * 9, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "spot", "core", "full", "copies", "id", "row", "first", "number", "each"])
-
-    fields = "anchor long, spot long, core long, full long, copies long, id long, row long, first long, number long, each array<long>"
-    parts = written(pieces.select("anchor", "copies", "id", "row", "start", "ahead", "bytes").mapInArrow(cut, fields), "parts")
-    place = ["anchor", "spot", "core"]
-    kinds = parts.groupBy(*place, "full").agg(F.sum("copies").alias("times"), F.first("each").alias("each"))
-    shared = parts.groupBy(*place).agg(F.sum("copies").alias("uses")).where("uses > 1").select(*place)
-    live = written(kinds.join(shared, place), "live")
-    once = parts.where("copies = 1")
-    whole = once.join(live.where("times > 1").select(*place, "full"), [*place, "full"]).select("id", "row", "first", "number")
-    strings = live.select("anchor", "spot", "times", F.explode("each").alias("string")).groupBy("anchor", "spot", "string").agg(F.sum("times").alias("times"))
-    twice = strings.where("times > 1").select("anchor", "spot", "string")
-    rest = once.join(live.where("times = 1").select(*place, "full"), [*place, "full"]).select("anchor", "spot", "id", "row", "first", F.posexplode("each").alias("k", "string"))
-    hit = rest.join(twice, ["anchor", "spot", "string"]).select("id", "row", (F.col("first") + F.col("k")).alias("first"), F.lit(1).cast("long").alias("number"))
-    return whole.unionByName(hit)
+                middle = ahead - spot[a] * width  # where the last string of a whole part would start
+                core = hashes.of(middle, middle + least - width + 1)
+                place = mixed(core + spot[a].astype(np.uint64) * _u(BASE) + _u(shard % (1 << 64))).view(np.int64)
+                whole = hashes.of(a, b + least - 1).view(np.int64)
+                rows += [(int(k), int(w), copies, shard, content, i, ahead - i, raw[i : j + least - 1]) for k, w, i, j in zip(place, whole, a.tolist(), b.tolist())]
+            columns = list(zip(*rows)) if rows else [()] * 8
+            types = (*[pa.int64()] * 7, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["shard", "content", "copies", "of", "whole", "start", "ahead", "bytes"])
+
+    few = pieces.where(F.col("kinds") <= most).select("shard", "content", "copies", "bytes")
+    plain = few.repartition("shard").sortWithinPartitions("shard").mapInArrow(expand, "shard long, content long, first long, number long")
+    if not pieces.where(F.col("kinds") > most).limit(1).count():
+        return plain
+    large = pieces.where(F.col("kinds") > most).select("shard", "content", "copies", "ahead", "bytes")
+    parts = written(large.mapInArrow(cut, "shard long, content long, copies long, of long, whole long, start long, ahead long, bytes binary"), "parts")
+    kinds = parts.groupBy("shard", "content").agg(F.sum("copies").alias("copies"), F.first(F.struct("ahead", "bytes")).alias("one"))
+    kinds = written(kinds.select("shard", "content", "copies", "one.ahead", "one.bytes"), "kinds")
+    live = kinds.groupBy("shard").agg(F.sum("copies").alias("uses"), F.count("*").alias("kinds")).where("uses > 1").select("shard", "kinds")
+    finer = written(judged(kinds.join(live, "shard").select("shard", "content", "copies", "kinds", "ahead", "bytes"), least, most, chunk, max(1, width // 4)), "verdicts")
+    back = parts.select("shard", "content", "of", "whole", "start").join(finer, ["shard", "content"])
+    return plain.unionByName(back.select(F.col("of").alias("shard"), F.col("whole").alias("content"), (F.col("start") + F.col("first")).alias("first"), "number"))
+
+
+def covered(spans: list[dict], least: int) -> list[tuple[int, int]]:
+    """Maximal (start, end) that strings of least bytes cover, for spans of their starts."""
+    out: list[tuple[int, int]] = []
+    for s in sorted(spans, key=lambda s: s["first"]):
+        a, b = s["first"], s["first"] + s["number"] + least - 1
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def remove_repeats(docs: DataFrame, least: int = 200, *, as_text: bool = False) -> DataFrame:
@@ -308,8 +346,8 @@ def remove_repeats(docs: DataFrame, least: int = 200, *, as_text: bool = False)
     id_, text = F.col(names["doc_id"]), F.coalesce(F.col(names["text"]), F.lit(""))
     keyed = own.withColumn("id", F.coalesce(id_.cast("long"), F.lit(-(1 << 62)))).withColumn("row", F.xxhash64(id_.cast("string"), text))
     spans = repeated_spans(keyed.select("id", "row", text.alias("text")), least)
-    # Equal rows share their spans, each found once for every row.
-    listed = spans.groupBy("id", "row").agg(F.collect_list(F.struct("first", "number")).alias("spans"))
+    # Equal rows share their spans, which each of them found.
+    listed = spans.groupBy("id", "row").agg(F.collect_set(F.struct("first", "number")).alias("spans"))
     joined = keyed.join(listed, ["id", "row"], "left").drop("id", "row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,19 +356,11 @@ def remove_repeats(docs: DataFrame, least: int = 200, *, as_text: bool = False)
             kept, numbers = [], []
             spans_of = batch.column("spans")
             for i, raw in enumerate(batch.column(at).to_pylist()):
-                data = np.frombuffer((raw or "").encode(), np.uint8)
-                found = spans_of[i].as_py() if spans_of[i].is_valid else []
-                if not found:
-                    kept.append(data.tobytes())
-                    numbers.append((len(data), 0, 0))
-                    continue
-                edges = np.zeros(len(data) + 1, np.int64)
-                first = np.array([s["first"] for s in found])
-                np.add.at(edges, first, 1)
-                np.add.at(edges, first + np.array([s["number"] for s in found]) + least - 1, -1)
-                gone = np.cumsum(edges[:-1]) > 0
-                kept.append(data[~gone].tobytes())
-                numbers.append((len(data), int(gone.sum()), len(true_spans(gone))))
+                data = (raw or "").encode()
+                gone = covered(spans_of[i].as_py() or [], least)
+                edges = [0, *(x for span in gone for x in span), len(data)]
+                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                numbers.append((len(data), sum(b - a for a, b in gone), len(gone)))
             left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
             columns = [left, *(pa.array([n[k] for n in numbers], pa.int64()) for k in range(3))]
             rest = [batch.column(n) for n in names.values()]
