@@ -125,18 +125,34 @@ def packed(v: np.ndarray, width: int) -> np.ndarray:
     return key
 
 
+def sorted_places(key: np.ndarray, bits: int) -> np.ndarray:
+    """Positions of keys of so many bits in ascending order; sorting key and position as one number is the faster way."""
+    wide = int(len(key)).bit_length()
+    if bits + wide > 64:
+        return np.argsort(key)
+    both = key.astype(np.uint64) << _u(wide) | np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    return (both & _u((1 << wide) - 1)).astype(np.int64)
+
+
 def suffix_order(v: np.ndarray, depth: int) -> np.ndarray:
     """Positions of a cyclic text of bytes, sorted by at least depth leading bytes (prefix doubling)."""
-    n, have = len(v), 8
-    key = packed(v, have)
+    n = len(v)
+    used = np.bincount(v, minlength=256) > 0
+    wide, each = int(n).bit_length(), max(1, int(used.sum() - 1).bit_length())
+    have = (64 - wide) // each
+    code = (np.cumsum(used) - 1).astype(np.uint64)[v]
+    key, bits = np.zeros(n, np.uint64), have * each
+    for k in range(have):
+        key = key << _u(each) | np.roll(code, -k)
     while True:
-        order = np.argsort(key)
+        order = sorted_places(key, bits)
         rank = np.empty(n, np.int64)
         ordered = key[order]
         rank[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
         if have >= depth or rank[order[-1]] == n - 1:
             return order
-        key = rank * n + np.roll(rank, -have)
+        key, bits = rank << wide | np.roll(rank, -have), 2 * wide
         have *= 2
 
 
@@ -148,6 +164,7 @@ def common_prefixes(v: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     before by every step that precedes them, and gives the right ends that have no value yet the value d.
     """
     n, step = len(v), min(8, least & -least)
+    wide = int(n).bit_length()
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
     before = np.roll(packed(v, step), step)[order]  # the step that precedes each sorted suffix
@@ -159,7 +176,7 @@ def common_prefixes(v: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
         size = right - left
         inner = np.repeat(left - (np.cumsum(size) - size), size) + np.arange(size.sum())
         which = np.repeat(np.arange(len(size)), size)
-        at = np.argsort(forward[inner])
+        at = sorted_places(forward[inner], wide)
         place, symbol, which = forward[inner][at], before[inner][at], which[at]
         last = np.flatnonzero(np.concatenate(((symbol[1:] != symbol[:-1]) | (which[1:] != which[:-1]), [True])))
         first = np.concatenate(([0], last[:-1] + 1))
@@ -192,7 +209,7 @@ def true_spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist()))
 
 
-def repeated_spans(docs: DataFrame, least: int = 200, *, most: int = 1 << 10, chunk: int = 1 << 19) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = 200, *, most: int = 400, chunk: int = 1 << 17) -> DataFrame:
     """For docs (id, row, text): id, row, first, number: starts of strings of least bytes that repeat, once for equal rows.
 
     id and row are not null and name a row's content; rows with equal id and row are equal. most is the
