@@ -316,43 +316,80 @@ def random_model(rng, states, symbols):
     return hmm.Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0), [], 0)
 
 
-def test_forward_recursion_and_counts_are_exact():
+def plain_forward(m, symbols):
+    """log-likelihood and the state distributions after each symbol."""
+    log, states = 0.0, []
+    for t, x in enumerate(symbols):
+        alpha = (states[-1] @ m.move if t else m.start) * m.emit[x]
+        log += math.log(alpha.sum())
+        states.append(alpha / alpha.sum())
+    return log, states
+
+
+def test_forward_recursion_and_counts_are_exact(monkeypatch):
+    """Short sequences side by side, long ones by chunks, and slabs of few tokens, against a plain recursion."""
+    monkeypatch.setattr(hmm, "LONG", 300)
+    monkeypatch.setattr(hmm, "SLAB", 600)
     rng = np.random.default_rng(3)
     m = random_model(rng, 3, 7)
-    sequences = [rng.integers(0, 7, n) for n in (1, 2, 255, 256, 257, 900)]
-    moved, emitted = np.zeros((3, 3)), np.zeros((7, 3))
-    chunks = hmm.Chunks(sequences)
-    total = chunks.expect(m, moved, emitted)
-    each = chunks.chain(m)[0]
-    want_moved, want_emitted = np.zeros((3, 3)), np.zeros((7, 3))
+    sequences = [rng.integers(0, 7, n) for n in (1, 2, 255, 256, 257, 900, 5, 301, 40, 1300)]
+    sums = hmm.Sums.zero(m)
+    each = hmm.run(m, sequences, sums)
+    want = hmm.Sums.zero(m)
     for s, got in zip(sequences, each):
-        alpha, log, states = m.start, 0.0, []
-        for x in s:
-            alpha = (alpha @ m.move) * m.emit[x]
-            log += math.log(alpha.sum())
-            alpha = alpha / alpha.sum()
-            states.append(alpha)
+        log, states = plain_forward(m, s)
         assert got == pytest.approx(log, rel=1e-10)
         beta = np.ones(3)
         for t in range(len(s) - 1, -1, -1):
-            gamma = states[t] * beta
-            want_emitted[s[t]] += gamma / gamma.sum()
+            gamma = states[t] * beta / (states[t] * beta).sum()
+            want.emitted[s[t]] += gamma
             ahead = m.emit[s[t]] * beta
-            past = states[t - 1] if t else m.start
-            pair = past[:, None] * m.move * ahead[None]
-            want_moved += pair / pair.sum()
+            if t:
+                pair = states[t - 1][:, None] * m.move * ahead[None]
+                want.moved += pair / pair.sum()
+            else:
+                want.start += gamma
             beta = m.move @ ahead
             beta /= beta.sum()
-    assert total == pytest.approx(each.sum())
-    np.testing.assert_allclose(moved, want_moved, rtol=1e-8)
-    np.testing.assert_allclose(emitted, want_emitted, rtol=1e-8)
+    assert sums.total == pytest.approx(each.sum())
+    np.testing.assert_allclose(hmm.run(m, sequences), each, rtol=1e-12)
+    for name in ("start", "moved", "emitted"):
+        np.testing.assert_allclose(getattr(sums, name), getattr(want, name), rtol=1e-8)
+
+
+def test_score_is_the_likelihood_of_the_trained_model(spark, docs, monkeypatch):
+    """The score column end to end: the forward recursion over words with emissions of their own, classes times shares for others."""
+    kept, plain = [], hmm.settled
+    monkeypatch.setattr(hmm, "settled", lambda *a: kept.append(plain(*a)) or kept[-1])
+    held = common.id_remainder(F.col("doc_id"), 10) == 0
+    found = hmm.score(docs, held, own_words=40, known_words=60, start_rounds=3).toPandas().set_index("doc_id")
+    m = kept[0]
+    counts = collections.Counter(t for r in ROWS if remainder(r[0], 10) for t in model_tokens(r[1])[:-1])
+    own = {w: i for i, w in enumerate(m.known[:40])}
+    assert min(counts[w] for w in own) >= max(n for w, n in counts.items() if w not in own)
+    size, kinds = collections.Counter(), collections.Counter()
+    for w, n in counts.items():
+        if w not in own:
+            size[hmm.word_class(w)] += n
+            kinds[hmm.word_class(w)] += 1
+    for r in ROWS:
+        words_ = model_tokens(r[1])[:-1]
+        log, _ = plain_forward(m, [own.get(w, 40 + hmm.word_class(w)) for w in words_] + [40 + hmm.CLASSES])
+        shares = sum(math.log10((counts[w] + 0.1) / (size[k] + 0.1 * (kinds[k] + 1))) for w in words_ if w not in own for k in [hmm.word_class(w)])
+        assert found.loc[r[0]].score == pytest.approx(log / math.log(10) + shares, rel=1e-9)
 
 
 def test_language_model_sums_to_one_over_short_texts(spark):
-    """All next tokens of an empty text, one of them unseen in each class, share a probability of one."""
+    """The first token of a text is one of the symbols, with probabilities that add to one."""
     rng = np.random.default_rng(5)
     m = random_model(rng, 4, 12)
-    assert sum(math.exp(t) for t in hmm.Chunks([np.array([s]) for s in range(12)]).chain(m)[0]) == pytest.approx(1)
+    assert sum(math.exp(t) for t in hmm.run(m, [np.array([s]) for s in range(12)])) == pytest.approx(1)
+
+
+def test_words_of_a_text_read_in_parts(monkeypatch):
+    monkeypatch.setattr(hmm, "PART", 10)
+    for text in ("a bc  def\tghij klmnopqrstuvwxyz0123456789 x\n", "", "z" * 50, " " * 40, "é" * 30 + " Ä b"):
+        assert [w for part in hmm.tokens(text) for w in part] == [w.encode() for w in words(text.translate(LOWER))]
 
 
 def test_language_model_repeated_rows_and_empty(spark, empty):

@@ -18,6 +18,6 @@ def test_language_model_learns_from_all_rows(spark, monkeypatch):
     monkeypatch.setattr(hmm, "full_round", lambda *a: totals.append(plain(*a)) or totals[-1])
     score = lambda sample: hmm.score(frame(spark, rows), F.lit(False), sample=sample, states=3).agg(F.sum("score")).first()[0]
     small = score(3)
-    rises = [(b[2] - a[2]) / abs(a[2]) for a, b in zip(totals, totals[1:])]
+    rises = [(b.total - a.total) / abs(a.total) for a, b in zip(totals, totals[1:])]
     assert len(totals) > 2 and rises[-1] <= 1e-3 and all(r > 1e-3 for r in rises[:-1])
     assert small == pytest.approx(score(150), rel=0.05)

@@ -6,12 +6,14 @@ vector per partition, until the likelihood of all of them settles. Counts over e
 decide which words get an emission of their own. Words without an emission of
 their own are emitted as one of a few classes, then drawn within the class by their corpus counts. Counts
 of the commonest words are known to every task (a bounded table); all rarer words meet their counts by a
-shuffle, whose size follows the corpus. Likelihoods are exact: long texts are cut into chunks, each
-chunk's scaled transition product is computed for all start states, and the products are chained.
+shuffle, whose size follows the corpus. Likelihoods are exact, by the scaled forward recursion over many texts
+at once; a very long text is cut into chunks whose scaled transition products, for all states before them,
+are chained, so its chunks go side by side too.
 """
 
 from __future__ import annotations
 
+import re
 import warnings
 import zlib
 from collections import Counter
@@ -23,17 +25,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import text_batches, written
+from trackloom.llm.common import forget, text_batches, written
 
 #: Classes of words that have no emission of their own, by their last two bytes.
 CLASSES = 16
 CHUNK = 256
+#: Tokens of a text beyond which it is cut into chunks, and tokens whose states are held at once.
+LONG, SLAB = 4096, 1 << 18
+#: Bytes of a text that are split into words at once.
+PART = 4 << 20
 ALPHA = 0.1
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words of a text with A-Z lower-cased."""
-    return (text or "").encode().lower().split()
+def parts(raw: bytes) -> Iterator[bytes]:
+    """A text in parts of about PART bytes, cut at white space (a longer word stays whole)."""
+    start = 0
+    while len(raw) - start > PART:
+        found = SPACE.search(raw, start + PART)
+        if not found:
+            break
+        yield raw[start : found.start()]
+        start = found.end()
+    yield raw[start:]
+
+
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def tokens(text: str | None) -> Iterator[list[bytes]]:
+    """Words of a text with A-Z lower-cased, in lists of bounded bytes."""
+    for raw in parts((text or "").encode()):
+        yield raw.lower().split()
 
 
 def word_class(word: bytes) -> int:
@@ -56,6 +78,13 @@ class Words(dict):
         return self.late.setdefault(word, self.own + word_class(word))
 
 
+class Places(dict):
+    """Place of each known word; -1 for all others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 @dataclass
 class Model:
     start: np.ndarray  # (states,)
@@ -70,31 +99,54 @@ def emissions(counts: np.ndarray, plain: np.ndarray, strength: float = 50.0) ->
     return (counts + strength * plain[:, None]) / (counts.sum(0) + strength)
 
 
-class Chunks:
-    """The token sequences of a batch, cut into chunks of CHUNK and laid side by side."""
-
-    def __init__(self, sequences: list[np.ndarray]):
-        self.owner = np.repeat(np.arange(len(sequences)), [-(-len(s) // CHUNK) for s in sequences])
-        self.first = np.searchsorted(self.owner, np.arange(len(sequences)))
-        self.count = np.bincount(self.owner, minlength=len(sequences))
-        flat = np.concatenate(sequences)
-        lengths = np.array([len(s) for s in sequences])
-        begin = (np.cumsum(lengths) - lengths)[self.owner] + (np.arange(len(self.owner)) - self.first[self.owner]) * CHUNK
-        self.length = np.minimum(CHUNK, np.cumsum(lengths)[self.owner] - begin)
-        # Longest first, so that each step works on a leading part.
-        self.order = np.argsort(-self.length, kind="stable")
-        self.sorted_length = self.length[self.order]
-        at = begin[self.order][None, :] + np.arange(CHUNK)[:, None]
-        self.symbols = flat[np.minimum(at, len(flat) - 1)]  # (CHUNK, chunks)
-        self.active = np.searchsorted(-self.sorted_length, -np.arange(CHUNK), side="left")
+@dataclass
+class Sums:
+    """Expected counts: first states, transitions, emissions, and the log-likelihood."""
+
+    start: np.ndarray
+    moved: np.ndarray
+    emitted: np.ndarray
+    total: float = 0.0
+
+    @classmethod
+    def zero(cls, model: Model) -> Sums:
+        return cls(np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit))
+
+
+class Columns:
+    """Stretches of a flat array of symbols, side by side: the longest first, so that each step works on a leading part."""
+
+    def __init__(self, flat: np.ndarray, begin: np.ndarray, length: np.ndarray):
+        self.order = np.argsort(-length, kind="stable")
+        self.flat, self.begin, self.length = flat, begin[self.order], length[self.order]
+        self.steps = int(self.length[0]) if len(length) else 0
+        self.active = np.searchsorted(-self.length, -np.arange(self.steps), side="left")
+
+    def symbols(self, t: int) -> np.ndarray:
+        return self.flat[self.begin[: self.active[t]] + t]
+
+    def forward(self, model: Model, before: np.ndarray, kept: list | None = None) -> np.ndarray:
+        """Log-likelihood of each stretch after the state distributions before it; kept gets the distribution after each step."""
+        state, log = before[self.order], np.zeros(len(self.order))
+        for t in range(self.steps):
+            a = self.active[t]
+            state = (state[:a] @ model.move) * model.emit[self.symbols(t)]
+            scale = state.sum(1)
+            state /= scale[:, None]
+            log[:a] += np.log(scale)
+            if kept is not None:
+                kept.append(state)
+        out = np.empty_like(log)
+        out[self.order] = log
+        return out
 
     def products(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
-        """Per chunk the scaled product of (move, emit) steps, in sequence order, and its log scale."""
+        """Per stretch the scaled product of its (move, emit) steps and its log scale."""
         k, n = len(model.start), len(self.order)
         m, log = np.repeat(np.eye(k)[None], n, 0), np.zeros(n)
-        for t in range(int(self.sorted_length[0])):
+        for t in range(self.steps):
             a = self.active[t]
-            step = (m[:a].reshape(a * k, k) @ model.move).reshape(a, k, k) * model.emit[self.symbols[t, :a]][:, None, :]
+            step = (m[:a].reshape(a * k, k) @ model.move).reshape(a, k, k) * model.emit[self.symbols(t)][:, None, :]
             if t % 8 == 7:
                 scale = step.max((1, 2))
                 step /= scale[:, None, None]
@@ -104,165 +156,177 @@ class Chunks:
         out[self.order], logs[self.order] = m, log
         return out, logs
 
-    def chain(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log-likelihood of each sequence; the state distribution before and the backward vector after each chunk."""
-        product, log = self.products(model)
-        n, k = len(self.count), len(model.start)
-        before, after = np.zeros((len(log), k)), np.ones((len(log), k))
-        total, state = np.zeros(n), np.repeat(model.start[None], n, 0)
-        for j in range(int(self.count.max())):
-            on = np.flatnonzero(self.count > j)
-            c = self.first[on] + j
-            before[c] = state[on]
-            new = np.einsum("ij,ijk->ik", state[on], product[c])
-            scale = new.sum(1)
-            state[on] = new / scale[:, None]
-            total[on] += np.log(scale) + log[c]
-        back = np.ones((n, k))
-        for j in range(int(self.count.max()) - 1, -1, -1):
-            on = np.flatnonzero(self.count > j)
-            c = self.first[on] + j
-            after[c] = back[on]
-            new = np.einsum("ijk,ik->ij", product[c], back[on])
-            back[on] = new / new.sum(1, keepdims=True)
-        return total, before, after
-
-    def expect(self, model: Model, moved: np.ndarray, emitted: np.ndarray) -> float:
-        """Adds expected transitions and emissions of the batch; returns its log-likelihood.
-
-        The step into the first symbol also counts as a transition, from the start distribution.
-        """
-        total, before, after = self.chain(model)
-        before, after = before[self.order], after[self.order]
-        steps = int(self.sorted_length[0])
-        alphas, state = [], before
-        for t in range(steps):
-            a = self.active[t]
-            new = (state[:a] @ model.move) * model.emit[self.symbols[t, :a]]
-            new /= new.sum(1, keepdims=True)
-            alphas.append(new)
-            state = new
-        beta = after.copy()
-        k = len(model.start)
-        for t in range(steps - 1, -1, -1):
-            a = self.active[t]
-            gamma = alphas[t] * beta[:a]
-            gamma /= gamma.sum(1, keepdims=True)
-            symbol = self.symbols[t, :a]
-            for s in range(k):
-                emitted[:, s] += np.bincount(symbol, gamma[:, s], len(emitted))
-            ahead = model.emit[symbol] * beta[:a]
-            past = before[:a] if t == 0 else alphas[t - 1][:a]
-            weight = 1 / np.einsum("ij,ij->i", past @ model.move, ahead)
-            moved += model.move * ((past * weight[:, None]).T @ ahead)
-            back = ahead @ model.move.T
+    def expect(self, model: Model, before: np.ndarray, after: np.ndarray, sums: Sums) -> tuple[np.ndarray, np.ndarray]:
+        """Adds expected transitions and emissions; returns log-likelihoods and the backward vectors before the stretches."""
+        alphas: list[np.ndarray] = []
+        log = self.forward(model, before, alphas)
+        k, edges = len(model.start), np.concatenate(([0], np.cumsum(self.active)))
+        gamma, past, ahead = (np.empty((edges[-1], k)) for _ in range(3))
+        symbol = np.empty(edges[-1], self.flat.dtype)
+        beta = after[self.order]
+        for t in range(self.steps - 1, -1, -1):
+            a, at = self.active[t], slice(edges[t], edges[t + 1])
+            symbol[at] = self.symbols(t)
+            g = alphas[t] * beta[:a]
+            gamma[at] = g / g.sum(1, keepdims=True)
+            ahead[at] = model.emit[symbol[at]] * beta[:a]
+            back = ahead[at] @ model.move.T
+            prior = before[self.order][:a] if t == 0 else alphas[t - 1][:a]
+            past[at] = prior / np.einsum("ij,ij->i", prior, back)[:, None]
             beta[:a] = back / back.sum(1, keepdims=True)
-        return float(total.sum())
+        sums.moved += model.move * (past.T @ ahead)
+        for s in range(k):
+            sums.emitted[:, s] += np.bincount(symbol, gamma[:, s], len(sums.emitted))
+        out = np.empty_like(beta)
+        out[self.order] = beta
+        return log, out
+
+
+def slabs(length: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions in order, in groups of about SLAB tokens."""
+    group = np.cumsum(length) // SLAB
+    edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield np.arange(a, b)
+
+
+def run(model: Model, sequences: list[np.ndarray], sums: Sums | None = None) -> np.ndarray:
+    """Log-likelihood of each sequence (not empty); sums gets the expected counts."""
+    flat = np.concatenate(sequences)
+    length = np.array([len(s) for s in sequences])
+    begin = np.cumsum(length) - length
+    state = model.start * model.emit[flat[begin]]
+    scale = state.sum(1)
+    state /= scale[:, None]
+    total, back = np.log(scale), np.ones_like(state)
+    begin, length = begin + 1, length - 1
+
+    short = np.flatnonzero((length > 0) & (length <= LONG))
+    short = short[np.argsort(length[short], kind="stable")]
+    for part in slabs(length[short]) if len(short) else ():
+        at = short[part]
+        columns = Columns(flat, begin[at], length[at])
+        if sums is None:
+            total[at] += columns.forward(model, state[at])
+        else:
+            log, back[at] = columns.expect(model, state[at], np.ones((len(at), state.shape[1])), sums)
+            total[at] += log
+    for i in np.flatnonzero(length > LONG).tolist():
+        starts = np.arange(0, length[i], CHUNK)
+        sizes = np.minimum(CHUNK, length[i] - starts)
+        before, after = np.empty((len(starts), state.shape[1])), np.ones((len(starts), state.shape[1]))
+        product, log = Columns(flat, begin[i] + starts, sizes).products(model)
+        now = state[i]
+        for j in range(len(starts)):
+            before[j] = now
+            now = now @ product[j]
+            total[i] += np.log(now.sum()) + log[j]
+            now = now / now.sum()
+        if sums is None:
+            continue
+        for j in range(len(starts) - 1, 0, -1):
+            after[j - 1] = product[j] @ after[j]
+            after[j - 1] /= after[j - 1].sum()
+        for part in slabs(sizes):
+            _, first = Columns(flat, begin[i] + starts[part], sizes[part]).expect(model, before[part], after[part], sums)
+            if part[0] == 0:
+                back[i] = first[0]
+    if sums is not None:
+        gamma = state * back
+        gamma /= gamma.sum(1, keepdims=True)
+        sums.start += gamma.sum(0)
+        np.add.at(sums.emitted, flat[begin - 1], gamma)
+        sums.total += float(total.sum())
+    return total
 
 
 def encode(texts: list[str | None], words: Words, end: int) -> list[np.ndarray]:
-    return [np.array([*map(words.__getitem__, tokens(x)), end], np.int32) for x in texts]
+    """Symbols of each text's words, then the end."""
+    get = words.__getitem__
+    return [np.concatenate([*(np.fromiter(map(get, found), np.int32, len(found)) for found in tokens(x)), np.array([end], np.int32)]) for x in texts]
 
 
 def start_model(texts: list[str | None], known: list[bytes], own: int, states: int, rounds: int) -> Model:
     """Baum-Welch on a bounded sample, from emissions perturbed at random with a fixed seed."""
     words, end = Words(known, own), own + CLASSES
-    chunks = Chunks(encode(texts or [""], words, end))
-    plain = np.bincount(chunks.symbols.ravel(), minlength=end + 1) + 0.5
+    sequences = encode(texts or [""], words, end)
+    plain = np.bincount(np.concatenate(sequences), minlength=end + 1) + 0.5
     plain /= plain.sum()
     rng = np.random.default_rng(17)
     emit = plain[:, None] * rng.uniform(0.5, 1.5, (end + 1, states))
     move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
     model = Model(np.full(states, 1 / states), move, emit / emit.sum(0), known, own)
     for _ in range(rounds):
-        moved, emitted = np.zeros((states, states)), np.zeros((end + 1, states))
-        chunks.expect(model, moved, emitted)
-        model = updated(model, moved, emitted, plain)
+        sums = Sums.zero(model)
+        run(model, sequences, sums)
+        model = updated(model, sums, plain)
     return model
 
 
-def updated(model: Model, moved: np.ndarray, emitted: np.ndarray, plain: np.ndarray) -> Model:
-    move = (moved + 0.1) / (moved + 0.1).sum(1, keepdims=True)
-    return Model(model.start, move, emissions(emitted, plain), model.known, model.own)
+def updated(model: Model, sums: Sums, plain: np.ndarray) -> Model:
+    """The model re-estimated from expected counts."""
+    start = (sums.start + 0.1) / (sums.start + 0.1).sum()
+    move = (sums.moved + 0.1) / (sums.moved + 0.1).sum(1, keepdims=True)
+    return Model(start, move, emissions(sums.emitted, plain), model.known, model.own)
 
 
-def full_round(train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, float]:
-    """Expected transitions and emissions over all training rows, and their log-likelihood; partitions send sums of a fixed size."""
+def full_round(train: DataFrame, model: Model) -> Sums:
+    """Expected counts over all training rows, and their log-likelihood; partitions send sums of a fixed size."""
     held = train.sparkSession.sparkContext.broadcast(model)
     states = len(model.start)
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        words, end = Words(m.known, m.own), m.own + CLASSES
-        moved, emitted, total = np.zeros((states, states)), np.zeros((end + 1, states)), np.zeros(states)
+        words, end, sums = Words(m.known, m.own), m.own + CLASSES, Sums.zero(m)
         for batch in text_batches(batches, 3 << 20):
-            total[0] += Chunks(encode(batch.column("text").to_pylist(), words, end)).expect(m, moved, emitted)
-        used = np.flatnonzero(emitted.sum(1))
-        rows = [*moved, total, *emitted[used]]
-        at = np.concatenate((-1 - np.arange(states + 1), used))
+            run(m, encode(batch.column("text").to_pylist(), words, end), sums)
+        used = np.flatnonzero(sums.emitted.sum(1))
+        rows = [*sums.moved, sums.start, np.full(states, sums.total / states), *sums.emitted[used]]
+        at = np.concatenate((-1 - np.arange(states + 2), used))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(np.array([r[s] for r in rows])) for s in range(states))], ["at", *(f"s{s}" for s in range(states))])
 
     columns = [f"s{s}" for s in range(states)]
-    sums = train.select("text").mapInArrow(expect, "at int, " + ", ".join(f"{c} double" for c in columns))
-    table = sums.groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
-    moved, emitted = np.zeros((states, states)), np.zeros((model.own + CLASSES + 1, states))
-    at, values = table["at"].to_numpy(), table[columns].to_numpy()
-    inner = (at < 0) & (at >= -states)
-    moved[-1 - at[inner]] = values[inner]
-    emitted[at[at >= 0]] = values[at >= 0]
-    return moved, emitted, float(values[at == -1 - states].sum())
+    sent = train.select("text").mapInArrow(expect, "at int, " + ", ".join(f"{c} double" for c in columns))
+    table = sent.groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
+    out, at, values = Sums.zero(model), table["at"].to_numpy(), table[columns].to_numpy()
+    for j in range(states):
+        out.moved[j] = values[at == -1 - j].sum(0)
+    out.start[:] = values[at == -1 - states].sum(0)
+    out.total = float(values[at == -2 - states].sum())
+    out.emitted[at[at >= 0]] = values[at >= 0]
+    return out
 
 
 def settled(train: DataFrame, model: Model, plain: np.ndarray, tolerance: float, most_rounds: int) -> Model:
     """Full rounds until one raises the log-likelihood of all training rows by less than tolerance of itself."""
     before = None
     for _ in range(most_rounds):
-        moved, emitted, total = full_round(train, model)
-        model = updated(model, moved, emitted, plain)
-        if before is not None and total - before <= tolerance * abs(before):
+        sums = full_round(train, model)
+        model = updated(model, sums, plain)
+        if before is not None and sums.total - before <= tolerance * abs(before):
             return model
-        before = total
+        before = sums.total
     warnings.warn(f"the likelihood still rose by more than {tolerance} of itself after {most_rounds} rounds", stacklevel=2)
     return model
 
 
-def known_counts(docs: DataFrame, known: list[bytes], own: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Over all training rows: count of each known word, tokens of each class, number of documents."""
-    held = docs.sparkSession.sparkContext.broadcast(known)
+def word_counts(train: DataFrame) -> DataFrame:
+    """word, n, class of every distinct word of train."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(held.value)}
-        counts, classes, rows = np.zeros(len(place), np.int64), np.zeros(CLASSES, np.int64), 0
         for batch in text_batches(batches):
             seen: Counter = Counter()
             for text in batch.column("text").to_pylist():
-                seen.update(tokens(text))
-            rows += batch.num_rows
-            for w, n in seen.items():
-                i = place.get(w, -1)
-                if i >= 0:
-                    counts[i] += n
-                if i < 0 or i >= own:
-                    classes[word_class(w)] += n
-        used = np.flatnonzero(counts)
-        at = np.concatenate((used, -2 - np.arange(CLASSES), [-1]))
-        n = np.concatenate((counts[used], classes, [rows]))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64())], ["at", "n"])
-
-    table = docs.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    counts, classes, rows = np.zeros(len(known), np.int64), np.zeros(CLASSES, np.int64), 0
-    for at, n in zip(table["at"].tolist(), table["n"].tolist()):
-        if at >= 0:
-            counts[at] = n
-        elif at == -1:
-            rows = n
-        else:
-            classes[-2 - at] = n
-    return counts, classes, rows
+                for found in tokens(text):
+                    seen.update(found)
+            kinds = pa.array(list(map(word_class, seen)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64()), kinds], ["word", "n", "class"])
+
+    return train.select("text").mapInArrow(count, "word binary, n long, class int").groupBy("word").agg(F.sum("n").alias("n"), F.first("class").alias("class"))
 
 
 def rare_sums(docs: DataFrame, held_out: Column, known: list[bytes]) -> DataFrame:
-    """Per row key: sum of log10(c + alpha) and number of seen ones over the words outside known; new words by class.
+    """Per row key: sum of log10(c + alpha) and number of seen ones over the words outside known.
 
     One shuffle brings all occurrences of a word together, which counts it and gives each row its share;
     known holds the commonest words, so no word here is in more than a small part of the rows.
@@ -272,24 +336,20 @@ def rare_sums(docs: DataFrame, held_out: Column, known: list[bytes]) -> DataFram
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = frozenset(held.value)
         for batch in text_batches(batches, 3 << 20):
-            ids, keys, out = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("held_out").to_pylist()
+            ids, keys, out = batch.column("doc_id"), batch.column("key"), batch.column("held_out").to_pylist()
             word, row, times = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                found = Counter(w for w in tokens(text) if w not in place)
+                found = Counter(w for part in tokens(text) for w in part if w not in place)
                 word += found
                 times += found.values()
                 row += [i] * len(found)
-            at = np.array(row, np.int64)
-            part = [pa.array(ids, pa.int64()).take(pa.array(at)), pa.array(keys, pa.int64()).take(pa.array(at)), pa.array(times, pa.int32()), pa.array([0 if out[i] else n for i, n in zip(row, times)], pa.int32()), pa.array([word_class(w) for w in word], pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), *part], ["word", "doc_id", "key", "n", "train", "class"])
-
-    rows = docs.select("doc_id", "key", held_out.alias("held_out"), "text").mapInArrow(rare, "word binary, doc_id long, key long, n int, train int, class int")
-    word = Window.partitionBy("word")
-    counted = rows.withColumn("c", F.sum("train").over(word)).withColumn("rank", F.row_number().over(word.orderBy("key", "doc_id")))
-    new = lambda j: F.count_if((F.col("rank") == 1) & (F.col("c") > 0) & (F.col("class") == j)).alias(f"new{j}")
-    return counted.groupBy("doc_id", "key").agg(
-        F.sum(F.col("n") * F.log10(F.col("c") + F.lit(ALPHA))).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"), *(new(j) for j in range(CLASSES))
-    )
+            at = pa.array(np.array(row, np.int64))
+            train = [0 if out[i] else n for i, n in zip(row, times)]
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), ids.take(at), keys.take(at), pa.array(times, pa.int32()), pa.array(train, pa.int32())], ["word", "doc_id", "key", "n", "train"])
+
+    rows = docs.select("doc_id", "key", held_out.alias("held_out"), "text").mapInArrow(rare, "word binary, doc_id long, key long, n int, train int")
+    counted = rows.withColumn("c", F.sum("train").over(Window.partitionBy("word")))
+    return counted.groupBy("doc_id", "key").agg(F.sum(F.col("n") * F.log10(F.col("c") + F.lit(ALPHA))).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
 
 
 def score(docs: DataFrame, held_out: Column, *, states: int = 6, own_words: int = 1 << 14, known_words: int = 1 << 17, sample: int = 1500, sample_chars: int = 1 << 14, start_rounds: int = 15, tolerance: float = 1e-3, most_rounds: int = 60) -> DataFrame:
@@ -309,54 +369,52 @@ def score(docs: DataFrame, held_out: Column, *, states: int = 6, own_words: int
     total = train.count()
     chosen = lambda n: train.where(F.pmod(near, F.lit(1 << 30)) < F.lit(int(min(1.0, n / max(total, 1)) * (1 << 30))))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches):
-            seen: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                seen.update(tokens(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-    words = train.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    known = [bytes(r["word"]) for r in words.orderBy(F.desc("n"), "word").limit(known_words).select("word").toLocalIterator()]
+    words = written(word_counts(train), "words")
+    top = words.orderBy(F.desc("n"), "word").limit(known_words).toPandas()
+    known, counts = [bytes(w) for w in top["word"]], top["n"].to_numpy(np.int64)
     own_count = min(own_words, len(known))
+    by_class = words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()
+    classes, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    for r in by_class:
+        classes[r["class"]], kinds[r["class"]] = r["n"], r["kinds"]
+    train_tokens, distinct = int(classes.sum()) + total, int(kinds.sum()) + (total > 0)
+    first = top["class"].to_numpy(np.int64)[:own_count]
+    classes -= np.bincount(first, counts[:own_count], CLASSES).astype(np.int64)
+    kinds -= np.bincount(first, minlength=CLASSES)
+    forget(words)
     model = start_model([r["text"] for r in chosen(sample).orderBy("key").select(F.substring("text", 1, sample_chars).alias("text")).collect()], known, own_count, states, start_rounds)
-
-    counts, classes, rows = known_counts(train, known, own_count)
-    plain = np.concatenate((counts[:own_count], classes, [rows])) + 0.5
+    plain = np.concatenate((counts[:own_count], classes, [total])) + 0.5
     plain = plain / plain.sum()
     model = settled(train, model, plain, tolerance, most_rounds)
 
     rare = written(rare_sums(own, held_out, known), "rare")
-    fresh = rare.agg(*(F.coalesce(F.sum(f"new{j}"), F.lit(0)).alias(f"n{j}") for j in range(CLASSES))).first()
-    kinds = np.array([fresh[f"n{j}"] for j in range(CLASSES)])
-    seen_classed = [word_class(w) for w, c in zip(known[own_count:], counts[own_count:]) if c]
-    train_tokens = int(counts[:own_count].sum() + classes.sum() + rows)
-    distinct = int((counts > 0).sum() + kinds.sum() + (rows > 0))
-    kinds = kinds + np.bincount(np.array(seen_classed, int), minlength=CLASSES)
     within = np.log10(classes + ALPHA * (kinds + 1))  # log of each class's mass
     mass = float(np.log10(train_tokens + ALPHA * (distinct + 1)))
-    held = spark.sparkContext.broadcast((model, np.log10(counts + ALPHA), counts > 0, within, float(np.log10(rows + ALPHA)), rows > 0))
+    held = spark.sparkContext.broadcast((model, np.log10(counts + ALPHA), counts > 0, within, float(np.log10(total + ALPHA)), total > 0))
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, logs, seen, classes_log, end_log, end_seen = held.value
-        place = {w: i for i, w in enumerate(m.known)}
-        end = m.own + CLASSES
+        place = Places(zip(m.known, range(len(m.known))))
+        get, end = place.__getitem__, m.own + CLASSES
         for batch in text_batches(batches, 3 << 20):
             sequences, n_tokens, n_known, base, inner = [], [], [], [], []
             for text in batch.column("text").to_pylist():
-                found = tokens(text)
-                at = np.fromiter((place.get(w, -1) for w in found), np.int64, len(found))
-                symbol = at.copy()
-                for i in np.flatnonzero((at < 0) | (at >= m.own)).tolist():
-                    symbol[i] = m.own + word_class(found[i])
-                sequences.append(np.append(symbol, end))
-                hit = at[at >= 0]
-                n_tokens.append(len(found) + 1)
-                n_known.append(int(seen[hit].sum()) + end_seen)
-                base.append(float(logs[hit].sum()) + end_log)
-                classed = symbol[symbol >= m.own] - m.own
-                inner.append(float(logs[hit[hit >= m.own]].sum()) - float(classes_log[classed].sum()))
-            chain = Chunks(sequences).chain(m)[0] / np.log(10)
+                symbols, size, hits, log, rest = [], 1, 0, end_log, 0.0
+                for found in tokens(text):
+                    at = np.fromiter(map(get, found), np.int64, len(found))
+                    symbol = at.copy()
+                    for i in np.flatnonzero((at < 0) | (at >= m.own)).tolist():
+                        symbol[i] = m.own + word_class(found[i])
+                    symbols.append(symbol)
+                    hit = at[at >= 0]
+                    size, hits, log = size + len(found), hits + int(seen[hit].sum()), log + float(logs[hit].sum())
+                    rest += float(logs[hit[hit >= m.own]].sum()) - float(classes_log[symbol[symbol >= m.own] - m.own].sum())
+                sequences.append(np.append(np.concatenate(symbols), end))
+                n_tokens.append(size)
+                n_known.append(hits + end_seen)
+                base.append(log)
+                inner.append(rest)
+            chain = run(m, sequences) / np.log(10)
             new = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(chain + np.array(inner))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *new], ["doc_id", "key", "n_tokens", "known", "base", "chain"])
 
