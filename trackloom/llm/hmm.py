@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,9 @@ from trackloom.llm.common import forget, text_batches, written
 CLASSES = 16
 CHUNK = 256
 #: Tokens of a text beyond which it is cut into chunks, and tokens whose states are held at once.
-LONG, SLAB = 4096, 1 << 18
+LONG, SLAB = 4096, 1 << 17
+#: Steps after which state vectors are scaled again; an emission is seldom below 1e-7.
+SCALED = 4
 #: Bytes of a text that are split into words at once.
 PART = 4 << 20
 ALPHA = 0.1
@@ -62,22 +65,6 @@ def word_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % CLASSES
 
 
-class Words(dict):
-    """Symbol of each known word; classes of unknown words are found once and remembered for a while."""
-
-    def __init__(self, known: list[bytes], own: int):
-        super().__init__()
-        for i, w in enumerate(known):
-            self[w] = i if i < own else own + word_class(w)
-        self.own, self.fixed = own, len(self)
-        self.late: dict[bytes, int] = {}
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self.late) > 200_000:
-            self.late.clear()
-        return self.late.setdefault(word, self.own + word_class(word))
-
-
 class Places(dict):
     """Place of each known word; -1 for all others."""
 
@@ -114,40 +101,54 @@ class Sums:
 
 
 class Columns:
-    """Stretches of a flat array of symbols, side by side: the longest first, so that each step works on a leading part."""
+    """Stretches of a flat array of symbols, side by side: the longest first, so that each step works on a leading part.
 
-    def __init__(self, flat: np.ndarray, begin: np.ndarray, length: np.ndarray):
-        self.order = np.argsort(-length, kind="stable")
-        self.flat, self.begin, self.length = flat, begin[self.order], length[self.order]
-        self.steps = int(self.length[0]) if len(length) else 0
-        self.active = np.searchsorted(-self.length, -np.arange(self.steps), side="left")
-
-    def symbols(self, t: int) -> np.ndarray:
-        return self.flat[self.begin[: self.active[t]] + t]
+    Values of all steps stand in one array, step after step; edges tells where each begins.
+    """
 
-    def forward(self, model: Model, before: np.ndarray, kept: list | None = None) -> np.ndarray:
-        """Log-likelihood of each stretch after the state distributions before it; kept gets the distribution after each step."""
-        state, log = before[self.order], np.zeros(len(self.order))
+    def __init__(self, model: Model, flat: np.ndarray, begin: np.ndarray, length: np.ndarray):
+        self.model, self.order = model, np.argsort(-length, kind="stable")
+        begin, length = begin[self.order], length[self.order]
+        self.steps = int(length[0]) if len(length) else 0
+        self.active = np.searchsorted(-length, -np.arange(self.steps), side="left")
+        self.edges = np.concatenate(([0], np.cumsum(self.active)))
+        step = np.repeat(np.arange(self.steps), self.active)
+        self.column = np.arange(self.edges[-1]) - self.edges[step]
+        self.symbol = flat[begin[self.column] + step]
+        self.emit = model.emit[self.symbol]
+
+    def forward(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood of each stretch after the state distributions before it, and the scaled states after each step."""
+        states, scales = np.empty_like(self.emit), np.ones(len(self.symbol))
+        now, edges, move = before[self.order], self.edges.tolist(), self.model.move
         for t in range(self.steps):
-            a = self.active[t]
-            state = (state[:a] @ model.move) * model.emit[self.symbols(t)]
-            scale = state.sum(1)
-            state /= scale[:, None]
-            log[:a] += np.log(scale)
-            if kept is not None:
-                kept.append(state)
-        out = np.empty_like(log)
-        out[self.order] = log
-        return out
-
-    def products(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
+            a, b = edges[t], edges[t + 1]
+            new = states[a:b]
+            np.matmul(now[: b - a], move, out=new)
+            new *= self.emit[a:b]
+            if t % SCALED == SCALED - 1:
+                scale = new.sum(1)
+                new /= scale[:, None]
+                scales[a:b] = scale
+            now = new
+        log = np.bincount(self.column, np.log(scales), len(self.order))
+        total = np.empty_like(log)
+        total[self.order] = log + np.log(states[self.final()].sum(1))
+        return total, states
+
+    def final(self) -> np.ndarray:
+        """Where each column's last step stands."""
+        length = np.bincount(self.column, minlength=len(self.order))
+        return self.edges[length - 1] + np.arange(len(self.order))
+
+    def products(self) -> tuple[np.ndarray, np.ndarray]:
         """Per stretch the scaled product of its (move, emit) steps and its log scale."""
-        k, n = len(model.start), len(self.order)
+        k, n = len(self.model.start), len(self.order)
         m, log = np.repeat(np.eye(k)[None], n, 0), np.zeros(n)
         for t in range(self.steps):
             a = self.active[t]
-            step = (m[:a].reshape(a * k, k) @ model.move).reshape(a, k, k) * model.emit[self.symbols(t)][:, None, :]
-            if t % 8 == 7:
+            step = (m[:a].reshape(a * k, k) @ self.model.move).reshape(a, k, k) * self.emit[self.edges[t] : self.edges[t + 1], None, :]
+            if t % SCALED == SCALED - 1:
                 scale = step.max((1, 2))
                 step /= scale[:, None, None]
                 log[:a] += np.log(scale)
@@ -156,29 +157,32 @@ class Columns:
         out[self.order], logs[self.order] = m, log
         return out, logs
 
-    def expect(self, model: Model, before: np.ndarray, after: np.ndarray, sums: Sums) -> tuple[np.ndarray, np.ndarray]:
+    def expect(self, before: np.ndarray, after: np.ndarray, sums: Sums) -> tuple[np.ndarray, np.ndarray]:
         """Adds expected transitions and emissions; returns log-likelihoods and the backward vectors before the stretches."""
-        alphas: list[np.ndarray] = []
-        log = self.forward(model, before, alphas)
-        k, edges = len(model.start), np.concatenate(([0], np.cumsum(self.active)))
-        gamma, past, ahead = (np.empty((edges[-1], k)) for _ in range(3))
-        symbol = np.empty(edges[-1], self.flat.dtype)
-        beta = after[self.order]
+        log, states = self.forward(before)
+        move, edges = self.model.move, self.edges.tolist()
+        later, back = np.empty_like(states), np.empty_like(states)  # backward vectors after and before each step
+        now = after[self.order]
         for t in range(self.steps - 1, -1, -1):
-            a, at = self.active[t], slice(edges[t], edges[t + 1])
-            symbol[at] = self.symbols(t)
-            g = alphas[t] * beta[:a]
-            gamma[at] = g / g.sum(1, keepdims=True)
-            ahead[at] = model.emit[symbol[at]] * beta[:a]
-            back = ahead[at] @ model.move.T
-            prior = before[self.order][:a] if t == 0 else alphas[t - 1][:a]
-            past[at] = prior / np.einsum("ij,ij->i", prior, back)[:, None]
-            beta[:a] = back / back.sum(1, keepdims=True)
-        sums.moved += model.move * (past.T @ ahead)
-        for s in range(k):
-            sums.emitted[:, s] += np.bincount(symbol, gamma[:, s], len(sums.emitted))
-        out = np.empty_like(beta)
-        out[self.order] = beta
+            a, b = edges[t], edges[t + 1]
+            later[a:b] = now[: b - a]
+            np.matmul(self.emit[a:b] * now[: b - a], move.T, out=back[a:b])
+            if t % SCALED == 0:
+                back[a:b] /= back[a:b].sum(1, keepdims=True)
+            now[: b - a] = back[a:b]
+        gamma = states * later
+        gamma /= gamma.sum(1, keepdims=True)
+        for s in range(len(move)):
+            sums.emitted[:, s] += np.bincount(self.symbol, gamma[:, s], len(sums.emitted))
+        past = np.empty_like(states)
+        past[: edges[min(1, self.steps)]] = before[self.order]
+        step = np.repeat(np.arange(1, self.steps), self.active[1:])
+        past[edges[min(1, self.steps)] :] = states[self.edges[step - 1] + self.column[edges[min(1, self.steps)] :]]
+        ahead = self.emit * later
+        past /= np.einsum("ij,ij->i", past @ move, ahead)[:, None]
+        sums.moved += move * (past.T @ ahead)
+        out = np.empty_like(now)
+        out[self.order] = now / now.sum(1, keepdims=True)
         return log, out
 
 
@@ -190,10 +194,10 @@ def slabs(length: np.ndarray) -> Iterator[np.ndarray]:
         yield np.arange(a, b)
 
 
-def run(model: Model, sequences: list[np.ndarray], sums: Sums | None = None) -> np.ndarray:
+def run(model: Model, each: list[np.ndarray], sums: Sums | None = None) -> np.ndarray:
     """Log-likelihood of each sequence (not empty); sums gets the expected counts."""
-    flat = np.concatenate(sequences)
-    length = np.array([len(s) for s in sequences])
+    flat = np.concatenate(each)
+    length = np.array([len(s) for s in each])
     begin = np.cumsum(length) - length
     state = model.start * model.emit[flat[begin]]
     scale = state.sum(1)
@@ -205,17 +209,17 @@ def run(model: Model, sequences: list[np.ndarray], sums: Sums | None = None) ->
     short = short[np.argsort(length[short], kind="stable")]
     for part in slabs(length[short]) if len(short) else ():
         at = short[part]
-        columns = Columns(flat, begin[at], length[at])
+        columns = Columns(model, flat, begin[at], length[at])
         if sums is None:
-            total[at] += columns.forward(model, state[at])
+            total[at] += columns.forward(state[at])[0]
         else:
-            log, back[at] = columns.expect(model, state[at], np.ones((len(at), state.shape[1])), sums)
+            log, back[at] = columns.expect(state[at], np.ones((len(at), state.shape[1])), sums)
             total[at] += log
     for i in np.flatnonzero(length > LONG).tolist():
         starts = np.arange(0, length[i], CHUNK)
         sizes = np.minimum(CHUNK, length[i] - starts)
         before, after = np.empty((len(starts), state.shape[1])), np.ones((len(starts), state.shape[1]))
-        product, log = Columns(flat, begin[i] + starts, sizes).products(model)
+        product, log = (np.concatenate(x) for x in zip(*(Columns(model, flat, begin[i] + starts[p], sizes[p]).products() for p in slabs(sizes))))
         now = state[i]
         for j in range(len(starts)):
             before[j] = now
@@ -228,7 +232,7 @@ def run(model: Model, sequences: list[np.ndarray], sums: Sums | None = None) ->
             after[j - 1] = product[j] @ after[j]
             after[j - 1] /= after[j - 1].sum()
         for part in slabs(sizes):
-            _, first = Columns(flat, begin[i] + starts[part], sizes[part]).expect(model, before[part], after[part], sums)
+            _, first = Columns(model, flat, begin[i] + starts[part], sizes[part]).expect(before[part], after[part], sums)
             if part[0] == 0:
                 back[i] = first[0]
     if sums is not None:
@@ -240,17 +244,73 @@ def run(model: Model, sequences: list[np.ndarray], sums: Sums | None = None) ->
     return total
 
 
-def encode(texts: list[str | None], words: Words, end: int) -> list[np.ndarray]:
-    """Symbols of each text's words, then the end."""
-    get = words.__getitem__
-    return [np.concatenate([*(np.fromiter(map(get, found), np.int32, len(found)) for found in tokens(x)), np.array([end], np.int32)]) for x in texts]
+class Encoder:
+    """Words as numbers: the place of a known word, -1 - class for others."""
+
+    def __init__(self, known: list[bytes], own: int):
+        self.places, self.own = Places(zip(known, range(len(known)))), own
+        # The symbol of each known word, then of each class, so that numbers below zero find theirs too.
+        self.table = np.array([*range(own), *(own + word_class(w) for w in known[own:]), *range(own + CLASSES - 1, own - 1, -1)], np.int32)
+
+    def numbers(self, text: str | None, rare: Counter | None = None) -> np.ndarray:
+        """Numbers of a text's words; rare counts those that are not known."""
+        get, out = self.places.__getitem__, [np.zeros(0, np.int32)]
+        for found in tokens(text):
+            at = np.fromiter(map(get, found), np.int32, len(found))
+            for i in np.flatnonzero(at < 0).tolist():
+                at[i] = -1 - word_class(found[i])
+                if rare is not None:
+                    rare[found[i]] += 1
+            out.append(at)
+        return np.concatenate(out)
+
+    def symbols(self, numbers: np.ndarray) -> np.ndarray:
+        return self.table[numbers]
+
+    @property
+    def end(self) -> int:
+        return self.own + CLASSES
+
+
+def sequences(encoder: Encoder, lists: pa.ListArray) -> list[np.ndarray]:
+    """Symbols of each row's numbers, then the end."""
+    flat = encoder.symbols(lists.flatten().to_numpy())
+    edges = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+    return [np.append(flat[a:b], np.int32(encoder.end)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+
+def number_batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that their numbers are about most at most (or one row)."""
+    for batch in batches:
+        group = np.cumsum(pc.list_value_length(batch.column(batch.schema.get_field_index("numbers"))).to_numpy()) // most
+        edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            yield batch.slice(a, b - a)
+
+
+def encoded(docs: DataFrame, known: list[bytes], own: int) -> DataFrame:
+    """doc_id, key, held_out, numbers, rare (each unknown word with its count) for every row of docs (doc_id, key, held_out, text)."""
+    held = docs.sparkSession.sparkContext.broadcast(known)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(held.value, own)
+        for batch in text_batches(batches, 3 << 20):
+            rare = [Counter() for _ in range(batch.num_rows)]
+            rows = [encoder.numbers(x, r) for x, r in zip(batch.column("text").to_pylist(), rare)]
+            words = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([n for r in rare for n in r.values()], pa.int32())], ["word", "n"])
+            lists = [pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(r) for r in x]))).astype(np.int32), y) for x, y in ((rows, pa.array(np.concatenate(rows))), (rare, words))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "held_out")), *lists], ["doc_id", "key", "held_out", "numbers", "rare"])
+
+    fields = "doc_id long, key long, held_out boolean, numbers array<int>, rare array<struct<word: binary, n: int>>"
+    return docs.select("doc_id", "key", "held_out", "text").mapInArrow(encode, fields)
 
 
 def start_model(texts: list[str | None], known: list[bytes], own: int, states: int, rounds: int) -> Model:
     """Baum-Welch on a bounded sample, from emissions perturbed at random with a fixed seed."""
-    words, end = Words(known, own), own + CLASSES
-    sequences = encode(texts or [""], words, end)
-    plain = np.bincount(np.concatenate(sequences), minlength=end + 1) + 0.5
+    encoder = Encoder(known, own)
+    end = encoder.end
+    seen = [np.append(encoder.symbols(encoder.numbers(x)), np.int32(end)) for x in texts or [""]]
+    plain = np.bincount(np.concatenate(seen), minlength=end + 1) + 0.5
     plain /= plain.sum()
     rng = np.random.default_rng(17)
     emit = plain[:, None] * rng.uniform(0.5, 1.5, (end + 1, states))
@@ -258,7 +318,7 @@ def start_model(texts: list[str | None], known: list[bytes], own: int, states: i
     model = Model(np.full(states, 1 / states), move, emit / emit.sum(0), known, own)
     for _ in range(rounds):
         sums = Sums.zero(model)
-        run(model, sequences, sums)
+        run(model, seen, sums)
         model = updated(model, sums, plain)
     return model
 
@@ -271,22 +331,22 @@ def updated(model: Model, sums: Sums, plain: np.ndarray) -> Model:
 
 
 def full_round(train: DataFrame, model: Model) -> Sums:
-    """Expected counts over all training rows, and their log-likelihood; partitions send sums of a fixed size."""
+    """Expected counts over all training rows (numbers), and their log-likelihood; partitions send sums of a fixed size."""
     held = train.sparkSession.sparkContext.broadcast(model)
     states = len(model.start)
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        words, end, sums = Words(m.known, m.own), m.own + CLASSES, Sums.zero(m)
-        for batch in text_batches(batches, 3 << 20):
-            run(m, encode(batch.column("text").to_pylist(), words, end), sums)
+        encoder, sums = Encoder(m.known, m.own), Sums.zero(m)
+        for batch in number_batches(batches):
+            run(m, sequences(encoder, batch.column("numbers")), sums)
         used = np.flatnonzero(sums.emitted.sum(1))
         rows = [*sums.moved, sums.start, np.full(states, sums.total / states), *sums.emitted[used]]
         at = np.concatenate((-1 - np.arange(states + 2), used))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(np.array([r[s] for r in rows])) for s in range(states))], ["at", *(f"s{s}" for s in range(states))])
 
     columns = [f"s{s}" for s in range(states)]
-    sent = train.select("text").mapInArrow(expect, "at int, " + ", ".join(f"{c} double" for c in columns))
+    sent = train.select("numbers").mapInArrow(expect, "at int, " + ", ".join(f"{c} double" for c in columns))
     table = sent.groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
     out, at, values = Sums.zero(model), table["at"].to_numpy(), table[columns].to_numpy()
     for j in range(states):
@@ -325,30 +385,14 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "word binary, n long, class int").groupBy("word").agg(F.sum("n").alias("n"), F.first("class").alias("class"))
 
 
-def rare_sums(docs: DataFrame, held_out: Column, known: list[bytes]) -> DataFrame:
-    """Per row key: sum of log10(c + alpha) and number of seen ones over the words outside known.
+def rare_sums(table: DataFrame) -> DataFrame:
+    """Per row key: sum of log10(c + alpha) and number of seen ones over the rare words of an encoded table.
 
     One shuffle brings all occurrences of a word together, which counts it and gives each row its share;
-    known holds the commonest words, so no word here is in more than a small part of the rows.
+    the commonest words are known, so no word here is in more than a small part of the rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(known)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = frozenset(held.value)
-        for batch in text_batches(batches, 3 << 20):
-            ids, keys, out = batch.column("doc_id"), batch.column("key"), batch.column("held_out").to_pylist()
-            word, row, times = [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                found = Counter(w for part in tokens(text) for w in part if w not in place)
-                word += found
-                times += found.values()
-                row += [i] * len(found)
-            at = pa.array(np.array(row, np.int64))
-            train = [0 if out[i] else n for i, n in zip(row, times)]
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), ids.take(at), keys.take(at), pa.array(times, pa.int32()), pa.array(train, pa.int32())], ["word", "doc_id", "key", "n", "train"])
-
-    rows = docs.select("doc_id", "key", held_out.alias("held_out"), "text").mapInArrow(rare, "word binary, doc_id long, key long, n int, train int")
-    counted = rows.withColumn("c", F.sum("train").over(Window.partitionBy("word")))
+    rows = table.select("doc_id", "key", "held_out", F.explode("rare").alias("r")).select("doc_id", "key", "r.word", "r.n", F.when(~F.col("held_out"), F.col("r.n")).alias("train"))
+    counted = rows.withColumn("c", F.coalesce(F.sum("train").over(Window.partitionBy("word")), F.lit(0)))
     return counted.groupBy("doc_id", "key").agg(F.sum(F.col("n") * F.log10(F.col("c") + F.lit(ALPHA))).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
 
 
@@ -363,8 +407,8 @@ def score(docs: DataFrame, held_out: Column, *, states: int = 6, own_words: int
     scores are those of an untrained model.
     """
     spark = docs.sparkSession
-    own = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("key"))
-    train = own.where(~held_out)
+    own = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("key"), held_out.alias("held_out"))
+    train = own.where(~F.col("held_out"))
     near = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
     total = train.count()
     chosen = lambda n: train.where(F.pmod(near, F.lit(1 << 30)) < F.lit(int(min(1.0, n / max(total, 1)) * (1 << 30))))
@@ -385,47 +429,39 @@ def score(docs: DataFrame, held_out: Column, *, states: int = 6, own_words: int
     model = start_model([r["text"] for r in chosen(sample).orderBy("key").select(F.substring("text", 1, sample_chars).alias("text")).collect()], known, own_count, states, start_rounds)
     plain = np.concatenate((counts[:own_count], classes, [total])) + 0.5
     plain = plain / plain.sum()
-    model = settled(train, model, plain, tolerance, most_rounds)
+    table = written(encoded(own, known, own_count), "encoded")
+    model = settled(table.where(~F.col("held_out")), model, plain, tolerance, most_rounds)
 
-    rare = written(rare_sums(own, held_out, known), "rare")
+    rare = written(rare_sums(table), "rare")
     within = np.log10(classes + ALPHA * (kinds + 1))  # log of each class's mass
     mass = float(np.log10(train_tokens + ALPHA * (distinct + 1)))
-    held = spark.sparkContext.broadcast((model, np.log10(counts + ALPHA), counts > 0, within, float(np.log10(total + ALPHA)), total > 0))
+    held = spark.sparkContext.broadcast((model, np.log10(counts + ALPHA), within, float(np.log10(total + ALPHA)), int(total > 0)))
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, logs, seen, classes_log, end_log, end_seen = held.value
-        place = Places(zip(m.known, range(len(m.known))))
-        get, end = place.__getitem__, m.own + CLASSES
-        for batch in text_batches(batches, 3 << 20):
-            sequences, n_tokens, n_known, base, inner = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                symbols, size, hits, log, rest = [], 1, 0, end_log, 0.0
-                for found in tokens(text):
-                    at = np.fromiter(map(get, found), np.int64, len(found))
-                    symbol = at.copy()
-                    for i in np.flatnonzero((at < 0) | (at >= m.own)).tolist():
-                        symbol[i] = m.own + word_class(found[i])
-                    symbols.append(symbol)
-                    hit = at[at >= 0]
-                    size, hits, log = size + len(found), hits + int(seen[hit].sum()), log + float(logs[hit].sum())
-                    rest += float(logs[hit[hit >= m.own]].sum()) - float(classes_log[symbol[symbol >= m.own] - m.own].sum())
-                sequences.append(np.append(np.concatenate(symbols), end))
-                n_tokens.append(size)
-                n_known.append(hits + end_seen)
-                base.append(log)
-                inner.append(rest)
-            chain = run(m, sequences) / np.log(10)
-            new = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(chain + np.array(inner))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *new], ["doc_id", "key", "n_tokens", "known", "base", "chain"])
-
-    scored = written(own.select("doc_id", "key", "text").mapInArrow(likelihood, "doc_id long, key long, n_tokens long, known long, base double, chain double"), "scored")
+        m, logs, classes_log, end_log, end_seen = held.value
+        encoder = Encoder(m.known, m.own)
+        for batch in number_batches(batches):
+            lists = batch.column("numbers")
+            flat, size = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
+            row, symbol = np.repeat(np.arange(len(size)), size), encoder.symbols(flat)
+            add = lambda chosen, values: np.bincount(row[chosen], values, len(size))
+            hit, classed = flat >= 0, symbol >= m.own
+            both = hit & classed
+            inner = add(both, logs[flat[both]]) - add(classed, classes_log[symbol[classed] - m.own])
+            chain = run(m, sequences(encoder, lists)) / np.log(10)
+            new = [pa.array((size + 1).astype(np.int64)), pa.array(add(hit, None) + end_seen), pa.array(add(hit, logs[flat[hit]]) + end_log), pa.array(chain + inner)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "held_out")), *new], ["doc_id", "key", "held_out", "n_tokens", "known", "base", "chain"])
+
+    scored = table.select("doc_id", "key", "held_out", "numbers").mapInArrow(likelihood, "doc_id long, key long, held_out boolean, n_tokens long, known long, base double, chain double")
+    scored = written(scored, "scored")
+    forget(table)
     times = scored.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
     shared = rare.join(times, rare.key.eqNullSafe(times.key) & rare.doc_id.eqNullSafe(times.doc_id)).select(rare.doc_id.alias("r_id"), rare.key.alias("r_key"), (F.col("rare_log") / F.col("times")).alias("rare_log"), (F.col("rare_known") / F.col("times")).cast("long").alias("rare_known"))
     both = scored.join(shared, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("key") == F.col("r_key")), "left")
     extra = F.coalesce(F.col("rare_log"), F.lit(0.0))
     return both.select(
         "doc_id",
-        held_out.alias("held_out"),
+        "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
