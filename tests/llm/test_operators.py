@@ -386,10 +386,13 @@ def test_language_model_sums_to_one_over_short_texts(spark):
     assert sum(math.exp(t) for t in hmm.run(m, [np.array([s]) for s in range(12)])) == pytest.approx(1)
 
 
-def test_words_of_a_text_read_in_parts(monkeypatch):
-    monkeypatch.setattr(hmm, "PART", 10)
-    for text in ("a bc  def\tghij klmnopqrstuvwxyz0123456789 x\n", "", "z" * 50, " " * 40, "é" * 30 + " Ä b"):
-        assert [w for part in hmm.tokens(text) for w in part] == [w.encode() for w in words(text.translate(LOWER))]
+def test_words_of_texts():
+    import pyarrow as pa
+
+    texts = ["a bc  def\tGhij \x0b\x0c\r\n", "", None, "z" * 50, " " * 40, "é" * 30 + " Ä B\x1cc\u00a0d", "\x85 \u3000 x"]
+    found, size = hmm.split(pa.array(texts, pa.string()))
+    plain = [[w.encode() for w in words((x or "").translate(LOWER))] for x in texts]
+    assert found.to_pylist() == sum(plain, []) and size.tolist() == [len(p) for p in plain]
 
 
 def test_language_model_repeated_rows_and_empty(spark, empty):

@@ -13,7 +13,6 @@ are chained, so its chunks go side by side too.
 
 from __future__ import annotations
 
-import re
 import warnings
 import zlib
 from collections import Counter
@@ -35,30 +34,17 @@ CHUNK = 256
 LONG, SLAB = 4096, 1 << 17
 #: Steps after which state vectors are scaled again; an emission is seldom below 1e-7.
 SCALED = 4
-#: Bytes of a text that are split into words at once.
-PART = 4 << 20
 ALPHA = 0.1
 
 
-def parts(raw: bytes) -> Iterator[bytes]:
-    """A text in parts of about PART bytes, cut at white space (a longer word stays whole)."""
-    start = 0
-    while len(raw) - start > PART:
-        found = SPACE.search(raw, start + PART)
-        if not found:
-            break
-        yield raw[start : found.start()]
-        start = found.end()
-    yield raw[start:]
-
-
-SPACE = re.compile(rb"[\x20\x09-\x0D]")
-
-
-def tokens(text: str | None) -> Iterator[list[bytes]]:
-    """Words of a text with A-Z lower-cased, in lists of bounded bytes."""
-    for raw in parts((text or "").encode()):
-        yield raw.lower().split()
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of an array of texts with A-Z lower-cased, as binary, and how many each text has."""
+    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    lists = pc.ascii_split_whitespace(texts)
+    words, size = lists.flatten(), pc.list_value_length(lists).to_numpy()
+    some = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
+    size = np.bincount(np.repeat(np.arange(len(size)), size)[some], minlength=len(size))
+    return words.filter(pa.array(some)).cast(pa.large_binary()), size
 
 
 def word_class(word: bytes) -> int:
@@ -252,17 +238,14 @@ class Encoder:
         # The symbol of each known word, then of each class, so that numbers below zero find theirs too.
         self.table = np.array([*range(own), *(own + word_class(w) for w in known[own:]), *range(own + CLASSES - 1, own - 1, -1)], np.int32)
 
-    def numbers(self, text: str | None, rare: Counter | None = None) -> np.ndarray:
-        """Numbers of a text's words; rare counts those that are not known."""
-        get, out = self.places.__getitem__, [np.zeros(0, np.int32)]
-        for found in tokens(text):
-            at = np.fromiter(map(get, found), np.int32, len(found))
-            for i in np.flatnonzero(at < 0).tolist():
-                at[i] = -1 - word_class(found[i])
-                if rare is not None:
-                    rare[found[i]] += 1
-            out.append(at)
-        return np.concatenate(out)
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Numbers of all words of texts, how many words each text has, the distinct words and each word's place there."""
+        words, size = split(texts)
+        coded = pc.dictionary_encode(words)
+        get = self.places.__getitem__
+        of = np.array([i if (i := get(w)) >= 0 else -1 - word_class(w) for w in coded.dictionary.to_pylist()], np.int32)
+        place = coded.indices.to_numpy()
+        return of[place] if len(place) else np.zeros(0, np.int32), size, coded.dictionary, place
 
     def symbols(self, numbers: np.ndarray) -> np.ndarray:
         return self.table[numbers]
@@ -294,11 +277,13 @@ def encoded(docs: DataFrame, known: list[bytes], own: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(held.value, own)
-        for batch in text_batches(batches, 3 << 20):
-            rare = [Counter() for _ in range(batch.num_rows)]
-            rows = [encoder.numbers(x, r) for x, r in zip(batch.column("text").to_pylist(), rare)]
-            words = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([n for r in rare for n in r.values()], pa.int32())], ["word", "n"])
-            lists = [pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(r) for r in x]))).astype(np.int32), y) for x, y in ((rows, pa.array(np.concatenate(rows))), (rare, words))]
+        for batch in text_batches(batches):
+            numbers, size, words, place = encoder.numbers(batch.column("text"))
+            row, unknown = np.repeat(np.arange(len(size)), size), numbers < 0
+            pair, times = np.unique(row[unknown] * len(words) + place[unknown], return_counts=True)
+            rare = pa.StructArray.from_arrays([words.take(pa.array(pair % max(1, len(words)))).cast(pa.binary()), pa.array(times, pa.int32())], ["word", "n"])
+            sizes = ((size, pa.array(numbers)), (np.bincount(pair // max(1, len(words)), minlength=len(size)), rare))
+            lists = [pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), y) for n, y in sizes]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "held_out")), *lists], ["doc_id", "key", "held_out", "numbers", "rare"])
 
     fields = "doc_id long, key long, held_out boolean, numbers array<int>, rare array<struct<word: binary, n: int>>"
@@ -309,7 +294,8 @@ def start_model(texts: list[str | None], known: list[bytes], own: int, states: i
     """Baum-Welch on a bounded sample, from emissions perturbed at random with a fixed seed."""
     encoder = Encoder(known, own)
     end = encoder.end
-    seen = [np.append(encoder.symbols(encoder.numbers(x)), np.int32(end)) for x in texts or [""]]
+    numbers, size, *_ = encoder.numbers(pa.array(texts or [""], pa.string()))
+    seen = [np.append(x, np.int32(end)) for x in np.split(encoder.symbols(numbers), np.cumsum(size)[:-1])]
     plain = np.bincount(np.concatenate(seen), minlength=end + 1) + 0.5
     plain /= plain.sum()
     rng = np.random.default_rng(17)
@@ -374,13 +360,18 @@ def word_counts(train: DataFrame) -> DataFrame:
     """word, n, class of every distinct word of train."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches):
-            seen: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                for found in tokens(text):
-                    seen.update(found)
+        def of(seen: Counter) -> pa.RecordBatch:
             kinds = pa.array(list(map(word_class, seen)), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64()), kinds], ["word", "n", "class"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64()), kinds], ["word", "n", "class"])
+
+        seen: Counter = Counter()
+        for batch in text_batches(batches):
+            found = pc.value_counts(split(batch.column("text"))[0])
+            seen.update(dict(zip(found.field("values").to_pylist(), found.field("counts").to_pylist())))
+            if len(seen) > 300_000:
+                yield of(seen)
+                seen = Counter()
+        yield of(seen)
 
     return train.select("text").mapInArrow(count, "word binary, n long, class int").groupBy("word").agg(F.sum("n").alias("n"), F.first("class").alias("class"))
 
