@@ -365,7 +365,8 @@ def test_score_is_the_likelihood_of_the_trained_model(spark, docs, monkeypatch):
     found = hmm.score(docs, held, own_words=40, known_words=60, start_rounds=3).toPandas().set_index("doc_id")
     m = kept[0]
     counts = collections.Counter(t for r in ROWS if remainder(r[0], 10) for t in model_tokens(r[1])[:-1])
-    own = {w: i for i, w in enumerate(m.known[:40])}
+    own = {w: i for i, w in enumerate(m.known[: m.own])}
+    assert len(own) >= 30
     assert min(counts[w] for w in own) >= max(n for w, n in counts.items() if w not in own)
     size, kinds = collections.Counter(), collections.Counter()
     for w, n in counts.items():
@@ -374,7 +375,7 @@ def test_score_is_the_likelihood_of_the_trained_model(spark, docs, monkeypatch):
             kinds[hmm.word_class(w)] += 1
     for r in ROWS:
         words_ = model_tokens(r[1])[:-1]
-        log, _ = plain_forward(m, [own.get(w, 40 + hmm.word_class(w)) for w in words_] + [40 + hmm.CLASSES])
+        log, _ = plain_forward(m, [own.get(w, m.own + hmm.word_class(w)) for w in words_] + [m.own + hmm.CLASSES])
         shares = sum(math.log10((counts[w] + 0.1) / (size[k] + 0.1 * (kinds[k] + 1))) for w in words_ if w not in own for k in [hmm.word_class(w)])
         assert found.loc[r[0]].score == pytest.approx(log / math.log(10) + shares, rel=1e-9)
 
