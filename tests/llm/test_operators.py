@@ -106,6 +106,41 @@ def test_quality_learns_and_ignores_held_out_labels(spark):
     assert (found.predicted == (found.score >= 0.7)).all()
 
 
+def test_dual_descent_reaches_the_least_hinge_loss():
+    """The primal and dual values meet, so no other weights are better."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 8)), np.where(rng.random(60) < 0.6, 1.0, -1.0)
+    x += 0.3 * y[:, None]
+    cost = np.where(y > 0, 0.7, 1.3)
+    rows = [np.arange(8)] * 60
+    w = quality.dual_descent(rows, list(x), y, cost, 8, rounds=3000)
+    primal = w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    a = np.linalg.lstsq((x * y[:, None]).T, w, rcond=None)[0]
+    assert np.allclose((x * y[:, None]).T @ a, w)
+    for step in rng.normal(size=(300, 8)) * 0.02:  # no direction lowers a convex function at its least
+        v = w + step
+        assert v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum() >= primal - 1e-6
+
+
+def plain_features(text):
+    """Distinct (kind, n-gram) of a text: words, endings, pairs of endings, four-grams of distances to the word's last occurrence."""
+    w = words(text)
+    last, gaps = {}, []
+    for i, x in enumerate(w):
+        gaps.append(min(64, i - last[x]) if x in last else 0)
+        last[x] = i
+    ending = [x.encode()[-3:] for x in w]
+    return {("w", x) for x in w} | {("e", x) for x in ending} | {("p", *p) for p in zip(ending, ending[1:])} | {("g", *gaps[i : i + 4]) for i in range(len(gaps) - 3)}
+
+
+def test_features_are_the_n_grams_of_a_text():
+    for _, text, *_ in ROWS[:50]:
+        found, plain = quality.features(text), plain_features(text)
+        assert len(found) <= len(plain) <= len(found) * 1.02 + 2 and (found < quality.BUCKETS).all()
+        both = quality.features((text or "") + " " + (text or ""))
+        assert set(quality.features(" ".join(words(text)))) == set(found) and len(both) >= len(found) * 0.5
+
+
 def test_quality_without_labels_or_rows(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     nulls = spark.createDataFrame([(1, None), (None, 1), (2, 0), (2, 1)], "doc_id long, quality int")
@@ -579,8 +614,56 @@ def test_probabilities_sum_to_one():
     for before in ("ab", "abab", "ca", "bc a"):
         seq = langid.symbols(before)
         base = m.log2_probabilities(seq)[0]
-        total = sum(2 ** (m.log2_probabilities(np.append(seq, np.uint32(ord(c))))[0] - base) for c in "abc ")
-        assert 0.75 < total <= 1 + 1e-9  # the rest is for characters never seen
+        total = sum(2 ** (m.log2_probabilities(np.append(seq, np.uint32(ord(c))))[0] - base) for c in "abc ?")
+        assert total == pytest.approx(1)  # "?" stands for all characters never seen
+
+
+def plain_kneser_ney(counts, alphabet):
+    """p(character | three before it) by the textbook recursion, with one discount an order."""
+    tables = {4: counts}
+    for n in (3, 2, 1):
+        tables[n] = collections.Counter(g[1:] for g in tables[n + 1])
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / (alphabet + 1)
+        table = tables[n]
+        ones, twos = (sum(v == k for v in table.values()) for k in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        total = sum(v for g, v in table.items() if g[:-1] == gram[:-1])
+        kinds = sum(g[:-1] == gram[:-1] for g in table)
+        if not total:
+            return p(gram[1:])
+        return max(table[gram] - d, 0) / total + d * kinds / total * p(gram[1:])
+
+    return p
+
+
+def test_probabilities_equal_a_plain_kneser_ney():
+    rng = random.Random(4)
+    texts = {"x": prose(rng, ["ab", "ba", "c"], 60), "y": prose(rng, ["ad", "b", "ca"], 60)}
+    grams = {k: collections.Counter("".join(map(chr, r)) for r in np.lib.stride_tricks.sliding_window_view(langid.pad(langid.symbols(t)), 4)) for k, t in texts.items()}
+    m = langid.build([(k, g, n) for k, c in grams.items() for g, n in c.items()])
+    alphabet = len({c for c in grams for g in grams[c] for c in g})
+    for before in ("abcab", "dacad abc", "zab", "b", "a?c"):
+        padded = "   " + before.replace("?", " ")
+        for i, k in enumerate(m.languages):
+            p = plain_kneser_ney(grams[k], alphabet)
+            want = sum(math.log2(p(padded[j : j + 4])) for j in range(len(padded) - 3))
+            assert m.log2_probabilities(langid.symbols(before))[i] == pytest.approx(want, rel=1e-9)
+
+
+def test_calibration_rejects_few_of_the_own_texts():
+    rng = random.Random(6)
+    kinds = {"x": ["the", "on", "er", "ing"], "y": ["que", "la", "no", "dos"]}
+    count = lambda k, n: collections.Counter("".join(map(chr, r)) for _ in range(n) for r in np.lib.stride_tricks.sliding_window_view(langid.pad(langid.symbols(prose(rng, kinds[k], rng.randint(2, 90)))), 4))
+    m = langid.build([(k, g, n) for k in kinds for g, n in count(k, 200).items()])
+    unseen = lambda n: [(k, m.log2_probabilities(x), len(x)) for k in kinds for _ in range(n) for x in [langid.symbols(prose(rng, kinds[k], rng.randint(2, 90)))]]
+    langid.calibrate(m, unseen(100))
+    late = unseen(500)
+    assert sum(-t[m.languages.index(k)] / n > m.limits(n)[m.languages.index(k)] for k, t, n in late) <= 1000 / 37
+    assert not langid.judge(m, prose(rng, list("zxkjvq"), 40))[3] and m.spread[1] > 0
 
 
 def test_language_edges(spark, docs, empty):

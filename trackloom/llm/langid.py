@@ -3,8 +3,9 @@
 Each language has a character model of up to four characters. Counts come from a bounded, hash-chosen
 sample of labelled documents per language; the models' probabilities stand side by side in one sorted
 array of n-gram hashes per order, so a text looks every n-gram up once for all languages. The language
-with the lowest cross-entropy per character wins; a text whose cross-entropy is far above what the
-language's own documents have is rejected.
+with the lowest cross-entropy per character wins. Rejection and score are calibrated on labelled documents
+that the models did not see: a text is rejected whose cross-entropy is far above what they have at its
+length, and one temperature makes posteriors as sure as they are right.
 """
 
 from __future__ import annotations
@@ -45,11 +46,11 @@ def symbols(text: str) -> np.ndarray:
     return np.where(letter, points, 32).astype(np.uint32)[keep]
 
 
-def gram_hashes(padded: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n-grams that end at each symbol after the padding of ORDER - 1 spaces."""
+def gram_hashes(padded: np.ndarray, n: int, back: int = 0) -> np.ndarray:
+    """Hashes of the n-grams that end `back` places before each symbol after the padding of ORDER - 1 spaces."""
     out = np.zeros(len(padded) - ORDER + 1, np.uint64)
     for k, factor in enumerate(FACTORS[n - 1]):
-        first = ORDER - n + k
+        first = ORDER - n + k - back
         out += padded[first : first + len(out)].astype(np.uint64) * factor
     return out ^ (out >> np.uint64(29))
 
@@ -87,13 +88,24 @@ class Model:
     grams: list[SortedHashes]
     logp: list[np.ndarray]
     backoff: list[np.ndarray]
-    floor: float
-    limits: np.ndarray | None = None
+    #: log2 probability of a character that no model knows, a language's smallest; then what calibration sets.
+    floor: np.ndarray
+    mean: np.ndarray | None = None
+    #: Variance of the cross-entropy, over languages: a constant part and one that falls with the length.
+    spread: np.ndarray | None = None
+    temperature: float = 1.0
+    deviations: float = 6.0
+
+    def limits(self, length: int) -> np.ndarray:
+        """Cross-entropy beyond which a text of so many symbols is rejected."""
+        if self.mean is None:
+            return np.full(len(self.languages), np.inf)
+        return self.mean + self.deviations * np.sqrt(self.spread[0] + self.spread[1] / length)
 
     def log2_probabilities(self, seq: np.ndarray) -> np.ndarray:
         """Sum over the symbols of log2 p, one value per language."""
         padded, total = pad(seq), np.zeros(len(self.languages))
-        positions, extra = np.arange(len(seq)), None
+        positions = np.arange(len(seq))
         for n in range(ORDER, 0, -1):
             at = self.grams[n - 1].find(gram_hashes(padded, n)[positions] if n < ORDER else gram_hashes(padded, n))
             hit = at >= 0
@@ -104,9 +116,9 @@ class Model:
             if not len(positions):
                 return total
             if n > 1:  # what the longer context gives up, where it is known
-                context = self.grams[n - 2].find(gram_hashes(padded[:-1], n - 1)[positions - 1]) if len(padded) > ORDER else np.full(len(positions), -1)
-                context = np.where(positions > 0, context, -1)
-                known = context[context >= 0]
+                context = self.grams[n - 2].find(gram_hashes(padded, n - 1, 1)[positions])
+                known = np.where((context < 0) & (positions == 0), self.grams[n - 2].size, context)
+                known = known[known >= 0]
                 total += self.backoff[n - 2][known].sum(0)
         return total + len(positions) * self.floor
 
@@ -141,7 +153,7 @@ def build(counts: list[tuple[str, str, int]]) -> Model:
         left = np.maximum(weight - discount[lang], 0)
         if n == 1:
             total, kinds = np.bincount(lang, weight, n_langs), np.bincount(lang, minlength=n_langs)
-            gamma = discount * kinds / np.maximum(total, 1)
+            unseen = gamma = discount * kinds / np.maximum(total, 1)
             p = np.tile(gamma * floor, (len(keys), 1))
             p[inverse, lang] += left / total[lang]
         else:
@@ -151,7 +163,8 @@ def build(counts: list[tuple[str, str, int]]) -> Model:
             np.add.at(total, (context, lang), weight)
             np.add.at(kinds, (context, lang), 1)
             gamma = np.where(total > 0, discount * kinds / np.maximum(total, 1e-9), 1.0)
-            backoff.append(np.log2(np.maximum(gamma[:contexts], 1e-12)))
+            # The last row is the start of a text, which no shorter n-gram ends with.
+            backoff.append(np.log2(np.maximum(gamma, 1e-12)))
             # The row's context and ending are the same for every language that has the n-gram.
             rows = chars[first]
             p = gamma[grams[-1].find(hash_rows(rows[:, :-1], n - 1))] * lower[grams[-1].find(hash_rows(rows[:, 1:], n - 1))]
@@ -159,7 +172,7 @@ def build(counts: list[tuple[str, str, int]]) -> Model:
         grams.append(SortedHashes(keys))
         logp.append(np.log2(p))
         lower = p
-    return Model(languages, grams, logp, backoff, math.log2(floor) - 3)
+    return Model(languages, grams, logp, backoff, np.log2(unseen * floor))
 
 
 def hash_rows(chars: np.ndarray, n: int) -> np.ndarray:
@@ -180,25 +193,55 @@ def judge(model: Model, text: str | None) -> tuple[str, float, float | None, boo
     total = model.log2_probabilities(seq)
     best = int(np.argmax(total))
     entropy = -total[best] / len(seq)
-    posterior = 1 / np.exp2(np.maximum((total - total[best]) / 4, -1000)).sum()
-    accepted = model.limits is None or entropy <= model.limits[best] + 10 / math.sqrt(len(seq))
+    posterior = 1 / np.exp2(np.maximum((total - total[best]) / model.temperature, -1000)).sum()
+    accepted = entropy <= model.limits(len(seq))[best]
     return model.languages[best], float(posterior), float(entropy), bool(accepted)
 
 
-def train(docs: DataFrame, *, per_language: int = 1500, tolerance: float = 6.0) -> Model:
+def calibrate(model: Model, seen: list[tuple[str, np.ndarray, int]]) -> None:
+    """Sets mean, spread and temperature from (lang, total log2 probability per language, symbols) of texts the model did not see.
+
+    The limit lies `deviations` above the mean: by Cantelli's inequality it rejects 1 / (1 + deviations^2) of a
+    language's own texts at most, whatever their distribution.
+    """
+    number = {x: i for i, x in enumerate(model.languages)}
+    seen = [(number[lang], total, n) for lang, total, n in seen if lang in number and n]
+    if not seen:
+        return
+    lang, total, n = (np.array(x) for x in zip(*seen))
+    entropy = -total[np.arange(len(lang)), lang] / n
+    model.mean = np.array([np.average(entropy[lang == i], weights=n[lang == i]) if (lang == i).any() else np.inf for i in range(len(number))])
+    square = (entropy - model.mean[lang]) ** 2
+    # square = constant + slope / n, both not negative, where short texts weigh less.
+    x, weight = 1 / n, n / (1 + n / 200)
+    slope = max(0.0, np.cov(x, square, aweights=weight)[0, 1] / max(np.cov(x, aweights=weight), 1e-18)) if len(x) > 1 else 0.0
+    constant = max(1e-4, np.average(square - slope * x, weights=weight))
+    model.spread = np.array([constant, slope])
+
+    def loss(t: float) -> float:
+        z = (total - total.max(1, keepdims=True)) / t
+        return float((np.log2(np.exp2(np.maximum(z, -1000)).sum(1)) - z[np.arange(len(lang)), lang]).sum())
+
+    model.temperature = min((2 ** (k / 4) for k in range(49)), key=loss)
+
+
+def train(docs: DataFrame, *, per_language: int = 1500, deviations: float = 6.0) -> Model:
     """A model of every non-null lang of docs (doc_id, text, lang).
 
-    per_language bounds the sample: about so many documents of a language, those with the lowest hashes.
-    tolerance: a text is rejected if its cross-entropy is more than so many deviations above the mean of
-    the language's own sample (short texts get more room).
+    per_language bounds the sample: about so many documents of a language, those with the lowest hashes. Four
+    in five of them are counted; the fifth calibrates. A text is rejected if its cross-entropy is more than so
+    many deviations above the mean of the calibrating texts, at its length.
     """
     spark = docs.sparkSession
     usable = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     shares = {r["lang"]: min(1.0, per_language / r["n"]) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    nothing = Model([], [], [], [], np.zeros(0))
     if not shares:
-        return Model([], [], [], [], -20.0)
+        return nothing
     share = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col("lang")]
-    sample = usable.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
+    drawn = usable.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
+    fifth = F.pmod(F.xxhash64("text", F.lit("calibrate")), F.lit(5)) == 0
+    sample, unseen = drawn.where(~fifth), drawn.where(fifth)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
@@ -217,11 +260,19 @@ def train(docs: DataFrame, *, per_language: int = 1500, tolerance: float = 6.0)
     grams = sample.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = grams.toPandas().sort_values(["lang", "gram"])
     if not len(table):
-        return Model([], [], [], [], -20.0)
+        return nothing
     model = build(list(zip(table["lang"], table["gram"], table["n"])))
-    own = identify(sample, model).where("entropy is not null").groupBy("lang_pred").agg(F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("sd")).collect()
-    stats = {r["lang_pred"]: r["mean"] + tolerance * r["sd"] for r in own}
-    model.limits = np.array([stats.get(x, math.inf) for x in model.languages])
+    model.deviations = deviations
+    held = spark.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            texts = [symbols(x) for x in batch.column("text").to_pylist()]
+            totals = [held.value.log2_probabilities(x).tolist() for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(totals, pa.list_(pa.float64())), pa.array(list(map(len, texts)), pa.int64())], ["lang", "total", "n"])
+
+    measured = unseen.select("lang", "text").mapInArrow(measure, "lang string, total array<double>, n long").collect()
+    calibrate(model, [(r["lang"], np.array(r["total"]), r["n"]) for r in measured])
     return model
 
 
@@ -229,8 +280,9 @@ def identify(docs: DataFrame, model: Model, *, keep_text: bool = False) -> DataF
     """doc_id, lang_pred, score, entropy, accepted for every row of docs (doc_id, text).
 
     A null text, or one without a letter, is `und` with score 0 and not accepted. Repeated rows each give
-    a row, an empty table an empty table; a null doc_id stays null; other columns are ignored, or kept
-    behind the four new ones' names with keep_text.
+    a row, an empty table an empty table; a null doc_id stays null; other columns are ignored, or kept with
+    keep_text, but for those that have a new one's name. A long text is read whole, at about 100 bytes of
+    memory a character.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -243,7 +295,7 @@ def identify(docs: DataFrame, model: Model, *, keep_text: bool = False) -> DataF
             names = batch.schema.names if keep_text else ["doc_id"]
             yield pa.RecordBatch.from_arrays([*own, *new], [*names, "lang_pred", "score", "entropy", "accepted"])
 
-    source = docs if keep_text else docs.select("doc_id", "text")
+    source = docs.drop("lang_pred", "score", "entropy", "accepted") if keep_text else docs.select("doc_id", "text")
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) if keep_text else "doc_id long"
     return source.mapInArrow(predict, f"{own}, lang_pred string, score double, entropy double, accepted boolean")
 

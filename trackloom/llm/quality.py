@@ -1,7 +1,7 @@
 """Quality classification with naive Bayes support vectors.
 
 A text's features are indicators of hashed n-grams: words, word endings, pairs of neighbouring endings, and
-how much of the text repeats its own four-word sequences. Indicators are scaled by the log-count ratio of
+four-grams of the distances to each word's last occurrence. Indicators are scaled by the log-count ratio of
 the two classes; a linear hinge-loss model over the scaled indicators is fitted by dual coordinate descent,
 and its margins are calibrated on labelled rows that the fit did not see. Fit and ratios use a bounded,
 hash-chosen sample of labelled rows; every row of the table is scored, from its whole text alone.
@@ -21,24 +21,30 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import text_batches
 
 BUCKETS = 1 << 18
-#: Shares of repeated four-word sequences above which an indicator is set, and how many features each is worth.
-SHARES, WORTH = (0.02, 0.05, 0.1, 0.2, 0.4), 8
+#: Odd factors that mix the hashes of an n-gram's parts.
+MIX = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
+
+
+def grams(parts: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n parts."""
+    count = max(0, len(parts) - n + 1)
+    return sum((parts[k : k + count] * MIX[k] for k in range(n)), np.zeros(count, np.uint64))
 
 
 def features(text: str | None) -> np.ndarray:
-    """Distinct feature numbers of a text, below BUCKETS + len(SHARES) * WORTH."""
+    """Distinct feature numbers of a text, below BUCKETS."""
     words = (text or "").encode().split()
     whole = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
     ending = np.fromiter((zlib.crc32(w[-3:]) for w in words), np.uint64, len(words))
-    pairs = ending[:-1] * np.uint64(0x9E3779B97F4A7C15) + ending[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    grams = np.concatenate((whole * np.uint64(0x9E3779B1), ending * np.uint64(0xD6E8FEB86659FD93), pairs))
-    found = np.unique(((grams >> np.uint64(23)) % np.uint64(BUCKETS)).astype(np.int32))
-    if len(words) < 8:
-        return found
-    runs = sum(whole[k : len(whole) - 3 + k] * np.uint64(f) for k, f in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)))
-    share = 1 - len(np.unique(runs)) / len(runs)
-    repeats = [BUCKETS + i * WORTH + k for i, s in enumerate(SHARES) if share > s for k in range(WORTH)]
-    return np.concatenate((found, np.array(repeats, np.int32)))
+    # The sequence of words that tells which of them came before, n words ago: its n-grams show repetition.
+    _, first = np.unique(whole, return_inverse=True)
+    last = np.full(len(words), -1)
+    order = np.argsort(first, kind="stable")
+    again = first[order][1:] == first[order][:-1]
+    last[order[1:][again]] = order[:-1][again]
+    gap = np.where(last >= 0, np.minimum(np.arange(len(words)) - last, 64), 0).astype(np.uint64)
+    found = np.concatenate((grams(whole, 1), grams(ending, 1) * MIX[4], grams(ending, 2), grams(gap, 4) * MIX[4] + MIX[1]))
+    return np.unique(((found >> np.uint64(23)) % np.uint64(BUCKETS)).astype(np.int32))
 
 
 @dataclass
@@ -58,16 +64,15 @@ class Model:
 
 
 def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, size: int, rounds: int = 12) -> np.ndarray:
-    """Weights of a linear model with squared hinge loss, by dual coordinate descent (Hsieh et al., 2008)."""
+    """Weights of a linear model with hinge loss, by dual coordinate descent (Hsieh et al., 2008); row i's dual value stays within 0 and cost[i]."""
     w, a = np.zeros(size), np.zeros(len(rows))
-    slack = 0.5 / cost
-    q = np.array([float(v @ v) for v in values]) + slack
+    q = np.array([float(v @ v) for v in values])
     rng = np.random.default_rng(5)
     for _ in range(rounds):
         for i in rng.permutation(len(rows)):
             x, v = rows[i], values[i]
-            gradient = y[i] * float(w[x] @ v) - 1 + slack[i] * a[i]
-            new = max(a[i] - gradient / q[i], 0.0)
+            gradient = y[i] * float(w[x] @ v) - 1
+            new = min(max(a[i] - gradient / q[i], 0.0), cost[i])
             if new != a[i]:
                 w[x] += (new - a[i]) * y[i] * v
                 a[i] = new
@@ -91,7 +96,7 @@ def calibrate(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 def fit(rows: list[np.ndarray], good: np.ndarray, smooth: float = 1.0, cost: float = 1.0) -> Model:
     """The model of labelled feature rows; every fifth one is left for calibration. One class or no rows: a constant."""
-    size = BUCKETS + len(SHARES) * WORTH
+    size = BUCKETS
     if not len(rows) or good.all() or not good.any():
         share = (good.sum() + 1) / (len(rows) + 2)
         return Model(np.zeros(size), np.zeros(size), 0.0, 1.0, float(np.log(share / (1 - share))))
@@ -116,7 +121,7 @@ def fit(rows: list[np.ndarray], good: np.ndarray, smooth: float = 1.0, cost: flo
     return Model(w[:-1] * ratio, ratio**2, float(w[-1]), slope, offset)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = 8_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = 12_000) -> Model:
     """The model of docs (doc_id, text) labelled 0 or 1 in labels (doc_id, label).
 
     sample bounds the labelled rows that the fit sees: those with the lowest hashes of doc_id. Null labels,

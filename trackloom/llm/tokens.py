@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import text_batches
 
-#: Encoded pieces that a worker remembers at most; only speed depends on it.
-REMEMBERED = 400_000
+#: Bytes of encoded pieces that a worker remembers at most (each some 150 more); only speed depends on it.
+REMEMBERED = 400_000 * 160
 #: Bytes of text in one call of the tokenizer.
 CALL_BYTES = 256 << 10
 
@@ -31,9 +31,16 @@ class PieceLengths(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.bytes = 0
 
     def learn(self, pieces: set[bytes]) -> None:
         new = [p for p in pieces if p not in self]
+        size = sum(map(len, new)) + 150 * len(new)
+        if self and self.bytes + size > REMEMBERED:
+            self.clear()
+            self.bytes, new = 0, list(pieces)
+            size = sum(map(len, new)) + 150 * len(new)
+        self.bytes += size
         call, size = [], 0
         for piece in [*new, None]:
             if call and (piece is None or size + len(piece) > CALL_BYTES):
@@ -63,7 +70,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, *, spl
     tokenizer_path: a .json of tokenizers or a .model of sentencepiece, readable on every executor.
     splits_at_space: the tokenizer drops white space before merging, so texts may be cut there.
     A null text counts as empty; a null doc_id stays null; repeated rows each give a row; an empty
-    table gives an empty table; other columns are ignored.
+    table gives an empty table; other columns are ignored. A long text is encoded whole where it has no white
+    space, and else by its words, each of them once.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +90,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, *, spl
                 raw = [x.encode() for x in texts]
                 sizes = [len(x) for x in raw]
                 pieces = [x.split() for x in raw]
-                if len(lengths) > REMEMBERED:
-                    lengths.clear()
                 lengths.learn(set().union(*pieces))
                 tokens = [sum(map(lengths.__getitem__, p)) for p in pieces]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
