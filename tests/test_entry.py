@@ -22,7 +22,11 @@ def test_entry_imports_without_the_corpus_part(tmp_path):
     shutil.copytree(REPO / "trackloom", tmp_path / "trackloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'classify_segments' in q and not any(k.startswith('op') or k == 'pipeline' for k in q), q.keys()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+    run = lambda: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+    run()
+    (tmp_path / "trackloom" / "llm").mkdir()  # a bare folder left behind, and the pipeline beside it
+    shutil.copy(REPO / "corpus_pipeline.py", tmp_path)
+    run()
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no driver tables here")

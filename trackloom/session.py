@@ -1,6 +1,9 @@
 """Session settings that every job of this library expects."""
 
+import atexit
 import os
+import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -24,10 +27,17 @@ def session(app_name: str = "trackloom", master: str | None = None, **extra) ->
 
 
 def reach_workers(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from the folder where the driver found it, whatever their own one is."""
+    """Lets Python workers import this package, whatever their own folder and machine.
+
+    Workers of this machine find it where the driver did; a cluster gets it as an archive through Spark.
+    """
+    context = spark.sparkContext
     root = str(Path(__file__).resolve().parent.parent)
-    environment = spark.sparkContext.environment
-    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+        context.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+        if not (context.master == "local" or context.master.startswith("local[")):
+            folder = tempfile.mkdtemp(prefix="trackloom-")  # Spark serves the archive from there while it runs
+            atexit.register(shutil.rmtree, folder, True)
+            context.addPyFile(shutil.make_archive(f"{folder}/trackloom", "zip", root, "trackloom"))
     return spark
