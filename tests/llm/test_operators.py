@@ -472,8 +472,9 @@ def test_tree_links_join_exactly_what_is_close(spark, leaf):
             codes.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     rows = [(signed(c), [signed(c)]) for c in codes]
-    slices = simhash.even_slices(1, 3)
-    links = simhash.tree_links(spark.createDataFrame(rows, "node long, code array<long>"), slices, 4, 1, leaf=leaf)
+    nodes = spark.createDataFrame(rows, "node long, code array<long>")
+    slices = simhash.grown(nodes, simhash.even_slices(3), leaf)
+    links = simhash.tree_links(nodes, slices, 4, leaf=leaf)
     assert all(p.levels for p in slices) == (leaf < 100)
     found = {r.node: r.component for r in common.connected_components(links).collect()}
     plain = components([r[0] for r in rows], lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 4)
@@ -485,11 +486,11 @@ def test_leaves_bring_close_values_together():
     rng = np.random.default_rng(8)
     codes = rng.integers(-(2**63), 2**63, (1500, 1))
     codes[750:] = codes[:750] ^ (1 << rng.integers(0, 21, 750))[:, None]
-    piece = simhash.even_slices(1, 3)[0]
-    simhash.grow(piece, codes, len(codes), 1, 64)
+    piece = simhash.even_slices(3)[0]
+    simhash.grow(piece, codes, len(codes), 64)
     values = piece.values(codes)
     held = collections.defaultdict(set)
-    for i, leaf in zip(*map(np.ndarray.tolist, simhash.leaves(piece, values, 1))):
+    for i, leaf in zip(*map(np.ndarray.tolist, piece.leaves(codes))):
         held[leaf].add(i)
     together = set()
     for s in held.values():

@@ -9,8 +9,10 @@ the number of nodes, and its leaves are the shards that tasks compare. A leaf th
 into blocks, and each pair of blocks is a task of its own. What leaves a task are the links of a spanning
 forest, nearest first: never all pairs of a group.
 
-`near_copies` reaches a stated shingle similarity: three fingerprints a text, twelve slices, and an exact
-check of every link on the two texts' shingle sets.
+`near_copies` reaches a stated shingle similarity, where fingerprints differ in so many bits that triangle
+bounds prune next to nothing. It samples bits instead: nodes that agree on all bits of a sample share a
+leaf, there are as many samples as the chance of a miss asks for, and an exact check of every link on the two
+texts' shingle sets follows.
 """
 
 from __future__ import annotations
@@ -85,22 +87,61 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
 
 @dataclass
 class Slice:
-    """Bits first to last (exclusive) of one word of the codes, and its tree: (vantage point, near distance) by level."""
+    """Bits first to last (exclusive) of one word of the codes, and its tree: (vantage point, near distance) by level.
+
+    Nodes within inner of each other on these bits share a leaf.
+    """
 
     word: int
     first: int
     last: int
     levels: list[tuple[int, int]]
+    inner: int = 1
 
     def values(self, codes: np.ndarray) -> np.ndarray:
         bits = codes[:, self.word].view(np.uint64) >> np.uint64(self.first)
         return (bits & np.uint64((1 << (self.last - self.first)) - 1)).astype(np.uint32)
 
+    def leaves(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, leaf) of every leaf that a code overlaps."""
+        values, at, path = self.values(codes), np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        for level in self.levels:
+            near, far = side(values[at], level, self.inner)
+            at, path = np.concatenate((at[near], at[far])), np.concatenate((path[near] * 2, path[far] * 2 + 1))
+        return at, path
+
+
+@dataclass
+class Sample:
+    """Some bits of the codes, which name a leaf; of the pairs there, those within inner on the first word are looked at."""
+
+    bits: list[int]
+    inner: int
+
+    def values(self, codes: np.ndarray) -> np.ndarray:
+        return codes[:, 0].view(np.uint64)
+
+    def leaves(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, leaf) of every code."""
+        path = np.zeros(len(codes), np.int64)
+        for b in self.bits:
+            path = path * 2 + (codes[:, b // BITS] >> (b % BITS) & 1)
+        return np.arange(len(codes)), path
+
 
-def even_slices(words: int, each: int) -> list[Slice]:
-    """each slices of every one of the code's words."""
+def even_slices(each: int, inner: int = 1) -> list[Slice]:
+    """A word of the codes in so many slices."""
     edges = [BITS * i // each for i in range(each + 1)]
-    return [Slice(w, a, b, []) for w in range(words) for a, b in zip(edges, edges[1:])]
+    return [Slice(0, a, b, [], inner) for a, b in zip(edges, edges[1:])]
+
+
+def bit_samples(nodes: int, words: int, leaf: int, same: float, miss: float, inner: int) -> list[Sample]:
+    """Samples of bits that leave about leaf of so many nodes together, and part a pair that agrees on a bit with
+    chance `same` in all of them with chance `miss` at most."""
+    size = max(1, math.ceil(math.log2(max(2, nodes / leaf))))
+    rng = np.random.default_rng(23)
+    count = math.ceil(math.log(miss) / math.log1p(-(same**size)))
+    return [Sample(sorted(rng.choice(BITS * words, size, replace=False).tolist()), inner) for _ in range(count)]
 
 
 def side(values: np.ndarray, level: tuple[int, int], inner: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,12 +154,12 @@ def side(values: np.ndarray, level: tuple[int, int], inner: int) -> tuple[np.nda
     return far <= level[1] + inner, far > level[1]
 
 
-def grow(piece: Slice, sample: np.ndarray, nodes: int, inner: int, leaf: int) -> None:
+def grow(piece: Slice, sample: np.ndarray, nodes: int, leaf: int) -> None:
     """Levels of a slice's tree, until a leaf holds about `leaf` of so many nodes.
 
     A level takes, of a few sampled points, the one whose sides are smallest.
     """
-    values, rng = piece.values(sample), np.random.default_rng(11 + 64 * piece.word + piece.first)
+    inner, values, rng = piece.inner, piece.values(sample), np.random.default_rng(11 + 64 * piece.word + piece.first)
     size = float(nodes)
     while size > leaf and len(values):
         best = None
@@ -136,15 +177,6 @@ def grow(piece: Slice, sample: np.ndarray, nodes: int, inner: int, leaf: int) ->
         size *= best[0]
 
 
-def leaves(piece: Slice, values: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, leaf) of every leaf that a value overlaps."""
-    at, path = np.arange(len(values)), np.zeros(len(values), np.int64)
-    for level in piece.levels:
-        near, far = side(values[at], level, inner)
-        at, path = np.concatenate((at[near], at[far])), np.concatenate((path[near] * 2, path[far] * 2 + 1))
-    return at, path
-
-
 NONE = np.uint8(255)
 
 
@@ -187,24 +219,27 @@ def compare(codes: np.ndarray, values: np.ndarray, own: np.ndarray, i: int, j: i
     return some[u], some[v]
 
 
-KEY = ["slice", "leaf", "i", "j"]
-
+KEY = ["tree", "leaf", "i", "j"]
 
-def tree_links(nodes: DataFrame, slices: list[Slice], radius: int, inner: int, *, leaf: int = 1024, sample: int = 4096) -> DataFrame:
-    """Links (u, v) between nodes (node, code: array of longs) at `radius` differing bits or fewer, for all pairs within
-    inner bits on one of the slices: of each leaf a spanning forest, so links join all that those pairs connect.
 
-    node is distinct and not null. sample bounds the codes that vantage points are drawn from; every node is
-    placed in the trees. leaf is the number of nodes that a leaf should hold.
-    """
-    spark = nodes.sparkSession
+def grown(nodes: DataFrame, slices: list[Slice], leaf: int, sample: int = 4096) -> list[Slice]:
+    """Slices with trees for all nodes (node, code). sample bounds the codes that vantage points are drawn from."""
     drawn = nodes.select("code").orderBy(F.xxhash64("node", F.lit("vantage"))).limit(sample).toPandas()
+    seen = np.array(drawn["code"].tolist(), np.int64).reshape(len(drawn), -1 if len(drawn) else 1)
     total = nodes.count()
-    words = max(p.word for p in slices) + 1
-    seen = np.array(drawn["code"].tolist(), np.int64).reshape(len(drawn), words)
     for piece in slices:
-        grow(piece, seen, total, inner, leaf)
-    held = spark.sparkContext.broadcast(slices)
+        grow(piece, seen, total, leaf)
+    return slices
+
+
+def tree_links(nodes: DataFrame, trees: list[Slice] | list[Sample], radius: int, *, words: int = 1, leaf: int = 1024) -> DataFrame:
+    """Links (u, v) between nodes (node, code: array of so many longs) at `radius` differing bits or fewer, for all pairs that
+    share a leaf and lie within inner there: of each leaf a spanning forest, so links join all that those pairs connect.
+
+    node is distinct and not null. leaf is the number of nodes that a leaf should hold; one of more than four
+    times that is cut into blocks.
+    """
+    held = nodes.sparkSession.sparkContext.broadcast(trees)
     names = [f"w{k}" for k in range(words)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,20 +248,20 @@ def tree_links(nodes: DataFrame, slices: list[Slice], radius: int, inner: int, *
                 part = batch.slice(start, 4096)
                 code = part.column("code").flatten().to_numpy().reshape(part.num_rows, -1)
                 node = part.column("node").to_numpy()
-                for k, piece in enumerate(held.value):
-                    at, path = leaves(piece, piece.values(code), inner)
+                for k, tree in enumerate(held.value):
+                    at, path = tree.leaves(code)
                     own = [pa.array(code[at, w]) for w in range(words)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(path), pa.array(node[at]), *own], ["slice", "leaf", "node", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(path), pa.array(node[at]), *own], ["tree", "leaf", "node", *names])
 
-    fields = "slice int, leaf long, node long, " + ", ".join(f"{n} long" for n in names)
+    fields = "tree int, leaf long, node long, " + ", ".join(f"{n} long" for n in names)
     placed = written(nodes.select("node", "code").mapInArrow(spread, fields), "placed")
     most = 4 * leaf
-    crowded = placed.groupBy("slice", "leaf").agg(F.count("*").alias("size")).where(F.col("size") > most)
-    crowded = written(crowded.select("slice", "leaf", F.ceil(F.col("size") / (2 * leaf)).cast("int").alias("blocks")), "crowded")
-    cut = placed.join(crowded, ["slice", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    crowded = placed.groupBy("tree", "leaf").agg(F.count("*").alias("size")).where(F.col("size") > most)
+    crowded = written(crowded.select("tree", "leaf", F.ceil(F.col("size") / (2 * leaf)).cast("int").alias("blocks")), "crowded")
+    cut = placed.join(crowded, ["tree", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    tasks = cut.select("slice", "leaf", "node", "own", *names, F.explode(others).alias("p")).select("slice", "leaf", "p.i", "p.j", "node", "own", *names)
+    tasks = cut.select("tree", "leaf", "node", "own", *names, F.explode(others).alias("p")).select("tree", "leaf", "p.i", "p.j", "node", "own", *names)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(table: pa.Table) -> pa.RecordBatch:
@@ -239,8 +274,8 @@ def tree_links(nodes: DataFrame, slices: list[Slice], radius: int, inner: int, *
             u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if e - s > 1:
-                    piece = held.value[int(keys[0][s])]
-                    x, y = compare(code[s:e], piece.values(code[s:e]), own[s:e], int(keys[2][s]), int(keys[3][s]), radius, inner)
+                    tree = held.value[int(keys[0][s])]
+                    x, y = compare(code[s:e], tree.values(code[s:e]), own[s:e], int(keys[2][s]), int(keys[3][s]), radius, tree.inner)
                     u.append(node[s + x])
                     v.append(node[s + y])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
@@ -279,8 +314,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, seed: int = 42, radius:
     """
     prints = written(fingerprints(docs, words, seed), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    slices = radius // 2 + 1
-    links = tree_links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("code")), even_slices(1, slices), radius, radius // slices, leaf=leaf)
+    slices, coded = radius // 2 + 1, nodes.select(F.col("fp").alias("node"), F.array("fp").alias("code"))
+    links = tree_links(coded, grown(coded, even_slices(slices, radius // slices), leaf), radius, leaf=leaf)
     parts = connected_components(links)
     named = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     named = written(named, "named")
@@ -309,13 +344,12 @@ def apart(least: float, bits: int, deviations: float = 3.5) -> int:
     return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def near_copies(docs: DataFrame, *, words: int = 5, least: float = 0.8, count: int = 3, each: int = 4, leaf: int = 1024) -> DataFrame:
+def near_copies(docs: DataFrame, *, words: int = 5, least: float = 0.8, miss: float = 0.005, count: int = 3, leaf: int = 1024) -> DataFrame:
     """doc_id, row (hash of the text) and component_id of every row of docs (doc_id, text): components of pairs whose
     word shingle sets have a Jaccard similarity of `least` or more.
 
-    count fingerprints of 64 bits a text, in `each` slices: a pair at 0.8 is within one bit on a slice of 16
-    bits with chance 0.28, so twelve slices find it with chance 0.98, and closer pairs more surely. Every
-    link is checked on the whole texts before it counts; texts with equal codes are copies. Texts without
+    count fingerprints of 64 bits a text: a pair at the least similarity is missed with chance `miss`, closer
+    pairs more seldom. Every link is checked on the whole texts before it counts; texts with equal codes are copies. Texts without
     words (null, empty) are copies of each other. component_id is the smallest doc_id reachable; a row with a
     null doc_id names no component and gets null. Repeated rows each give a row, an empty table gives an
     empty table, other columns are ignored.
@@ -330,7 +364,8 @@ def near_copies(docs: DataFrame, *, words: int = 5, least: float = 0.8, count: i
     prints = written(own.mapInArrow(encode, "doc_id long, row long, code array<long>").withColumn("node", F.xxhash64("code")), "prints")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row"))
     nodes = written(prints.groupBy("node").agg(F.first("code").alias("code"), one.alias("one")).select("node", "code", F.col("one.doc_id").alias("first"), F.col("one.row").alias("row")), "nodes")
-    links = tree_links(nodes.select("node", "code"), even_slices(count, each), apart(least, BITS * count), 1, leaf=leaf)
+    trees = bit_samples(nodes.count(), count, leaf, 1 - math.acos(2 * least / (1 + least)) / math.pi, miss, apart(least, BITS))
+    links = tree_links(nodes.select("node", "code"), trees, apart(least, BITS * count), words=count, leaf=leaf)
 
     # The texts of linked nodes alone, one each.
     linked = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
