@@ -38,8 +38,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of undirected links (u, v): returns (node, component), component the smallest node.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): each is one aggregation
-    by node and one join, so a hub with many links never meets in one task. Nodes without links do
-    not appear; null ends and loops are ignored; an empty input gives an empty table. Every round is
+    by node and one join. The aggregation is partial before its shuffle; the joins bring a hub's links
+    together, which adaptive execution splits where they are large. Nodes without links do not appear; null ends and loops are ignored; an empty input gives an empty table. Every round is
     written to the shared folder.
     """
     links = edges.select(F.col("u").alias("u"), F.col("v").alias("v")).where("u is not null and v is not null and u <> v")
