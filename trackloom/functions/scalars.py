@@ -132,21 +132,89 @@ def ratio(part: Column, whole: Column) -> Column:
 def anchors(html: Column) -> Column:
     """array of struct(url, label) of a page's links; labels without tags, entities and runs of space."""
     pattern = r"(?is)<a\s[^>]*href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
-    plain = lambda t: F.trim(F.regexp_replace(entities(F.regexp_replace(t, "<[^>]*>", " ")), r"\s+", " "))
+    plain = lambda t: F.trim(F.regexp_replace(entities(F.regexp_replace(t, "<[^>]*>", "")), r"\s+", " "))
     urls, labels = F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.regexp_extract_all(html, F.lit(pattern), F.lit(2))
     return F.zip_with(urls, labels, lambda u, t: F.struct(u.alias("url"), plain(t).alias("label")))
 
 
+# Named entities of markup.
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+ENTITY = r"&(#x[0-9A-Fa-f]+|#\d+|[A-Za-z]+);"
+
+
 def entities(text: Column) -> Column:
-    """The five named entities of markup, and non-breaking space, as characters; &amp; last."""
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Named and numbered entities as characters, in one pass: what a decoded one spells is left alone.
+
+    Unknown names and numbers beyond the last code point stay as they are.
+    """
+
+    def char(found: Column) -> Column:
+        body = F.substring(found, 2, 1 << 30)
+        name = F.left(body, F.length(body) - 1)
+        hexadecimal = F.when(F.lower(F.left(name, F.lit(2))) == "#x", F.substring(name, 3, 1 << 30)).when(F.left(name, F.lit(1)) == "#", F.conv(F.substring(name, 2, 1 << 30), 10, 16))
+        digits = F.ltrim(hexadecimal, F.lit("0"))
+        point = F.conv(digits, 16, 10).cast("long")
+        known = (F.length(digits) <= 6) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        spelled = F.when(known, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
+        for entity, value in NAMED.items():
+            spelled = F.when(name == entity, value).otherwise(spelled)
+        return F.coalesce(spelled, found)
+
+    between = F.split(text, ENTITY)
+    found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    return F.array_join(F.zip_with(between, found, lambda b, e: F.concat(b, F.coalesce(char(e), F.lit("")))), "")
 
 
 def quoted_printable(text: Column) -> Column:
-    """Soft line breaks joined and =XX of ASCII characters decoded."""
+    """Soft line breaks joined and each =XX decoded to the character of that number (0 to 255)."""
     joined = F.regexp_replace(text, "=\r?\n", "")
-    parts = F.split(joined, "=(?=[0-9A-F]{2})")
+    parts = F.split(joined, "=(?=[0-9A-Fa-f]{2})")
     decoded = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.chr(F.conv(F.substring(p, 1, 2), 16, 10).cast("int")), F.substring(p, 3, 1 << 30))))
     return F.array_join(decoded, "")
+
+
+def html_part(mhtml: Column) -> Column:
+    """The decoded body of the first text/html part of a multipart text; null where there is none."""
+    boundary = F.regexp_extract(mhtml, r'(?i)boundary="([^"]+)"', 1)
+    parts = F.split(mhtml, F.concat(F.lit("\\Q--"), boundary, F.lit("\\E")))
+    part = F.get(F.filter(parts, lambda p: p.rlike(r"(?i)Content-Type:\s*text/html")), F.lit(0))
+    blank = F.when(F.instr(part, "\r\n\r\n") > 0, F.instr(part, "\r\n\r\n") + 4).when(F.instr(part, "\n\n") > 0, F.instr(part, "\n\n") + 2)
+    return F.when(boundary != "", quoted_printable(F.substr(part, blank)))
+
+
+def section(html: Column, heading: str, end: str) -> Column:
+    """From a heading up to the next end marker; null where either is missing."""
+    start = F.instr(html, heading)
+    rest = F.substr(html, start)
+    stop = F.instr(rest, end)
+    return F.when((start > 0) & (stop > 0), F.left(rest, stop - 1))
+
+
+def chart_name(label: Column) -> Column:
+    """A label as a key: no commas, runs of space and underscores as one underscore."""
+    bare = F.replace(entities(F.trim(label)), F.lit(","), F.lit(""))
+    return F.regexp_replace(F.regexp_replace(bare, r"\s+", "_"), "_+", "_")
+
+
+def m_to_ft(value: Column) -> Column:
+    return value / FOOT_M
+
+
+def ft_to_m(value: Column) -> Column:
+    return value * FOOT_M
+
+
+def mps_to_kts(value: Column) -> Column:
+    return value / KNOT_MPS
+
+
+def kts_to_mps(value: Column) -> Column:
+    return value * KNOT_MPS
+
+
+def mps_to_fpm(value: Column) -> Column:
+    return value / FPM_MPS
+
+
+def fpm_to_mps(value: Column) -> Column:
+    return value * FPM_MPS

@@ -111,15 +111,21 @@ def fixes(resolved: DataFrame) -> DataFrame:
     return some.drop("uses").dropDuplicates(["identifier", "fix_type", "source_section_code", "airport_icao", "latitude_raw", "longitude_raw", "elevation_raw"])
 
 
-def failures(resolved: DataFrame, parsed: DataFrame, airport: str, shown: int = 5) -> DataFrame:
+def failures(resolved: DataFrame, parsed: DataFrame, airport: str, shown: int = 5, runways_shown: int = 8) -> DataFrame:
     """Unresolved tokens by number of uses, with airports (in order) that have a record of that name and the reason."""
+    most = F.when(F.col("token").startswith("RW"), runways_shown).otherwise(shown)
     other = parsed.where(F.col("section_code").isin("PC", "PG") & F.col("identifier").isNotNull()).groupBy(F.col("identifier").alias("token"))
-    other = other.agg(F.slice(F.array_sort(F.collect_set(F.coalesce("airport", F.lit("unknown")))), 1, shown).alias("airports"))
+    other = other.agg(F.array_sort(F.collect_set(F.coalesce("airport", F.lit("unknown")))).alias("airports")).withColumn("airports", F.slice("airports", 1, most))
     lost = resolved.where("fix_type is null").select("token", "uses").join(other, "token", "left")
     reason = F.when(F.col("token") == airport, "airport code, not a fix").when(F.col("airports").isNotNull(), "known at other airports only").otherwise("no record")
     return lost.select("token", "uses", F.when(F.col("token").startswith("RW"), "runway").otherwise("named").alias("kind"), F.coalesce(F.array_join("airports", ","), F.lit("")).alias("airports"), reason.alias("reason"))
 
 
+def failure_samples(parsed: DataFrame, pattern: str, shown: int = 10) -> DataFrame:
+    """The first lines, in file order, that fit a pattern but are no record of a known section."""
+    return parsed.where(matches(pattern) & F.col("section_code").isNull()).select("line_no", "line").orderBy("line_no").limit(shown)
+
+
 def summary(parsed: DataFrame, some_legs: DataFrame, resolved: DataFrame, pattern: str) -> DataFrame:
     """One row of counts of an extraction."""
     hits = parsed.agg(F.count_if(matches(pattern)).alias("filter_hits"), F.count_if(matches(pattern) & F.col("section_code").isNull()).alias("parse_failures"))

@@ -74,6 +74,13 @@ def apply_diff(trajectories: DataFrame, diff: DataFrame) -> DataFrame:
     return joined.select(*(F.coalesce(f"new_{c}", c).alias(c) if c in fields else c for c in trajectories.columns))
 
 
+def skipped(rows: DataFrame, reason: str) -> DataFrame:
+    """Rows of a manifest for flights that were not made: no points, and the reason."""
+    none = {"first_time": F.lit(None).cast("long"), "last_time": F.lit(None).cast("long")}
+    none |= {c: F.lit(0) for c in ("raw_point_count", "compressed_point_count", "lateral_breakpoint_count", "altitude_breakpoint_count")}
+    return rows.select(*(F.col(c).cast("string").alias(c) for c in ("flight_id", "callsign", "icao24"))).withColumns(none | {"status": F.lit("skipped"), "reason": F.lit(reason)})
+
+
 def manifest(results: DataFrame) -> DataFrame:
     """One row: counts by status, points of generated flights, and all flights in order of status, time and id."""
     made = F.col("status") == "generated"

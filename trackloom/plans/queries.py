@@ -383,7 +383,7 @@ def priority_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     RESOLVED
-    + """, oth AS (SELECT ident, array_to_string(list_sort(list(DISTINCT ap))[1:5], ',') AS airports FROM pt WHERE kind IN (0, 3) GROUP BY 1)
+    + """, oth AS (SELECT ident, array_to_string(list_sort(list(DISTINCT ap))[1:CASE WHEN ident LIKE 'RW%' THEN 8 ELSE 5 END], ',') AS airports FROM pt WHERE kind IN (0, 3) GROUP BY 1)
 SELECT token, uses, CASE WHEN token LIKE 'RW%' THEN 'runway' ELSE 'named' END AS kind, coalesce(airports, '') AS airports, CASE WHEN airports IS NOT NULL THEN 'known at other airports only' ELSE 'no record' END AS reason FROM res LEFT JOIN oth ON ident = token WHERE ty IS NULL"""
 )
 def lookup_failures(spark: SparkSession, d: str) -> DataFrame:
@@ -401,6 +401,15 @@ def extraction_summary(spark: SparkSession, d: str) -> DataFrame:
     return nav.summary(parsed, nav.legs(parsed, "KAAA"), found, "SUSAP KAAA*")
 
 
+@query("SELECT s_suppkey AS line_no, concat('SUSAP KAAA', repeat('X', s_suppkey % 40)) AS line FROM supplier WHERE s_suppkey % 40 < 30 ORDER BY 1 LIMIT 10")
+def parse_failure_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The report's first ten lines; those of 40 characters or more here are runway records."""
+    k = F.col("s_suppkey")
+    line = F.concat(F.lit("SUSAP KAAA"), F.repeat(F.lit("X"), k % 40))
+    record = F.rpad(F.concat(F.lit("SUSAP KAAAK4GRW"), k.cast("string")), 132, " ")
+    return nav.failure_samples(nav.parse(read(spark, d, "supplier").select(k.alias("line_no"), F.when(k % 40 < 30, line).otherwise(record).alias("line"))), "SUSAP KAAA*")
+
+
 @query("SELECT r AS runway, concat(printf('%02d', n_nationkey % 18 + 1), 'L/', printf('%02d', n_nationkey % 18 + 19), 'R') AS runway_pair, 30.0::DOUBLE + n_nationkey + e AS place_lat FROM nation, (VALUES (0), (1)) v(e), LATERAL (SELECT CASE WHEN e = 0 THEN concat(printf('%02d', n_nationkey % 18 + 1), 'L') ELSE concat(printf('%02d', n_nationkey % 18 + 19), 'R') END AS r)")
 def unpivot_runways(spark: SparkSession, d: str) -> DataFrame:
     from trackloom.sources import files
@@ -450,6 +459,28 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.size("a").alias("links"), F.coalesce(F.get("a", F.lit(0))["url"], F.lit("")).alias("first_url"))
 
 
+DECODED = "replace(replace({x}, '&quot;', '\"'), '&amp;', '&')"
+LINK = r"""regexp_extract_all(html, '(?is)<a\s[^>]*href=["'']([^"'']*)["''][^>]*>(.*?)</a>', {k})"""
+
+
+@query(
+    f"""WITH l AS (SELECT page_id, unnest({LINK.format(k=1)}) AS u, unnest({LINK.format(k=2)}) AS t, generate_subscripts({LINK.format(k=1)}, 1) - 1 AS place FROM pages),
+n AS (SELECT page_id, place, {DECODED.format(x="trim(u)")} AS url, regexp_replace(regexp_replace(replace({DECODED.format(x="trim(regexp_replace(t, '<[^>]*>', '', 'g'))")}, ',', ''), '\\s+', '_', 'g'), '_+', '_', 'g') AS label FROM l)
+SELECT page_id, label, url, min(place)::INT AS place FROM n WHERE label <> '' AND url <> '' GROUP BY 1, 2, 3"""
+)
+def page_charts(spark: SparkSession, d: str) -> DataFrame:
+    from trackloom.sources import files
+
+    return files.first_links(read(spark, d, "pages"), ["page_id"], "html")
+
+
+@query("SELECT p_partkey, round(p_retailprice / 0.3048, 6) AS ft, round(p_retailprice * 0.3048, 6) AS m, round(p_size / 0.514444, 6) AS kts, round(p_size * 0.514444, 6) AS mps, round(p_size / 0.00508, 6) AS fpm, round(p_retailprice * 0.00508, 6) AS climb_mps FROM part")
+def unit_conversions(spark: SparkSession, d: str) -> DataFrame:
+    price, size = F.col("p_retailprice"), F.col("p_size")
+    values = {"ft": scalars.m_to_ft(price), "m": scalars.ft_to_m(price), "kts": scalars.mps_to_kts(size), "mps": scalars.kts_to_mps(size), "fpm": scalars.mps_to_fpm(size), "climb_mps": scalars.fpm_to_mps(price)}
+    return read(spark, d, "part").select("p_partkey", *(F.round(v, 6).alias(n) for n, v in values.items()))
+
+
 # Flight mechanics over parts: height from size, speed from price.
 
 

@@ -127,7 +127,24 @@ def chart_entries(spark: SparkSession, path: str) -> DataFrame:
     return charts.select("section_no", "section", "place", "label", "url", name.alias("file_name"))
 
 
+def chart_links(pages: DataFrame, sections: dict[str, tuple[str, str]]) -> DataFrame:
+    """(path, section, place, label, url) of archived pages (path, value), each section cut by its heading and end marker.
+
+    Of links with one label and url in a section the first counts; a page without a section has no rows of it.
+    """
+    html = pages.select("path", scalars.html_part(F.col("value")).alias("html"))
+    cut = F.array(*(F.struct(F.lit(n).alias("section"), scalars.section(F.col("html"), *ends).alias("part")) for n, ends in sections.items()))
+    return first_links(html.select("path", F.inline(cut)), ["path", "section"], "part")
+
+
+def first_links(rows: DataFrame, keys: list[str], html: str) -> DataFrame:
+    """(keys, place, label, url) of the links in a column, the first of each label and url; blank ones are left out."""
+    found = rows.select(*keys, F.posexplode(scalars.anchors(F.col(html))).alias("place", "a"))
+    named = found.select(*keys, "place", scalars.chart_name(F.col("a.label")).alias("label"), scalars.entities(F.trim("a.url")).alias("url"))
+    return named.where("label <> '' and url <> ''").groupBy(*keys, "label", "url").agg(F.min("place").alias("place"))
+
+
 def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths of PDF files in a folder, in order; contents are not read."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF,Pdf}").load(folder)
+    """Paths of PDF files in a folder, in order, their suffix in any case; contents are not read."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
     return rows.select("path", "length").orderBy("path")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackloom.functions import scalars
 
@@ -14,9 +15,27 @@ def csv(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
+def holds_nan(value: Column, kind: T.DataType) -> Column | None:
+    """Whether a value holds NaN at any depth; None where its type has no place for one."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.isnan(value)
+    if isinstance(kind, T.ArrayType):
+        inner = holds_nan(F.lit(None), kind.elementType)
+        return None if inner is None else F.exists(value, lambda v: F.coalesce(holds_nan(v, kind.elementType), F.lit(False)))
+    if isinstance(kind, T.MapType):
+        sides = [holds_nan(f(value), T.ArrayType(k)) for f, k in ((F.map_keys, kind.keyType), (F.map_values, kind.valueType))]
+    elif isinstance(kind, T.StructType):
+        sides = [holds_nan(value.getField(f.name), f.dataType) for f in kind]
+    else:
+        return None
+    some = [F.coalesce(s, F.lit(False)) for s in sides if s is not None]
+    return F.greatest(*some, F.lit(False), F.lit(False)) if some else None
+
+
 def json_lines(df: DataFrame, path: str) -> None:
-    """One JSON object per line; NaN in a number is an error."""
-    checked = [F.when(F.isnan(c), F.raise_error(F.lit(f"{c} is NaN"))).otherwise(F.col(c)).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes]
+    """One JSON object per line; NaN in a number, at any depth, is an error."""
+    tests = {f.name: holds_nan(df[f.name], f.dataType) for f in df.schema}
+    checked = [df[c] if t is None else F.when(t, F.raise_error(F.lit(f"{c} is NaN"))).otherwise(df[c]).alias(c) for c, t in tests.items()]
     df.select(*checked).write.mode("overwrite").json(path)
 
 
