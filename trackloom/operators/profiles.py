@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import interp
@@ -14,26 +14,50 @@ def as_arrays(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.groupBy(*keys).agg(pairs.alias("p")).select(*keys, F.transform("p", lambda v: v["s"]).alias("x"), F.transform("p", lambda v: v["y"]).alias("y"))
 
 
+def filled(rows: DataFrame, keys: list[str], curves: list[str]) -> DataFrame:
+    """Rows (keys, s, curves, others) with nulls of a curve taken from the line between its neighbours, its ends held.
+
+    One shuffle by keys and a sort each way; at each s at most one row. A curve without a value stays null.
+    """
+    up, down = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("s"), F.desc("s")))
+    node = lambda c: F.when(F.col(c).isNotNull(), F.struct("s", F.col(c).cast("double").alias("y")))
+    sides = rows.withColumns({f"{c}_before": F.last(node(c), True).over(up) for c in curves}).withColumns({f"{c}_after": F.last(node(c), True).over(down) for c in curves})
+
+    def value(c: str) -> Column:
+        a, b = F.coalesce(F.col(f"{c}_before"), F.col(f"{c}_after")), F.coalesce(F.col(f"{c}_after"), F.col(f"{c}_before"))
+        return interp.between(a["s"], a["y"], b["s"], b["y"], F.col("s"))
+
+    return sides.select(*(value(c).alias(c) if c in curves else c for c in rows.columns))
+
+
 def on_merged_grid(nodes: DataFrame, key: str, curve: str) -> DataFrame:
     """Every curve of a key at every node that any of its curves has: (key, curve, s, value)."""
-    grid = nodes.select(key, "s").distinct()
-    curves = as_arrays(nodes, [key, curve])
-    return curves.join(grid, key).select(key, curve, "s", interp.value_at(F.col("x"), F.col("y"), F.col("s")).alias("value"))
+    grid = nodes.select(key, curve).distinct().join(nodes.select(key, "s").distinct(), key)
+    rows = grid.join(nodes.select(key, curve, "s", F.col("y").alias("value")), [key, curve, "s"], "left")
+    return filled(rows, [key, curve], ["value"])
+
+
+PAIR = (("lower", "upper"),)
 
 
-def tighten(envelope: DataFrame, constraints: DataFrame, key: str) -> DataFrame:
-    """(key, s, lower, upper) on the union of its grid and the constraints', within both.
+def tighten(envelope: DataFrame, constraints: DataFrame, key: str, pairs: tuple[tuple[str | None, str | None], ...] = PAIR) -> DataFrame:
+    """(key, s, curves) on the union of its grid and the constraints', within both.
 
-    Constraints at one s count together (largest lower, smallest upper). Between nodes the envelope is
-    linear. crossed marks rows whose lower is above upper.
+    pairs names the lower and upper curves, such as (h_lower, h_upper) or (None, cl_max). Constraints at one s
+    count together (largest lower, smallest upper); a curve that they lack is not tightened. Between nodes the
+    envelope is linear. crossed marks rows where a lower curve is above its upper. Keys without an envelope have
+    no rows.
     """
-    limits = constraints.groupBy(key, "s").agg(F.max("lower").alias("least"), F.min("upper").alias("most"))
-    grid = envelope.select(key, "s").unionByName(limits.select(key, "s")).distinct()
-    sides = envelope.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "lower", "upper"))).alias("p"))
-    at = lambda c: interp.value_at(F.transform("p", lambda v: v["s"]), F.transform("p", lambda v: v[c]), F.col("s"))
-    merged = grid.join(sides, key).join(limits, [key, "s"], "left")
-    out = merged.select(key, "s", F.greatest(at("lower"), F.col("least")).alias("lower"), F.least(at("upper"), F.col("most")).alias("upper"))
-    return out.withColumn("crossed", F.col("lower") > F.col("upper"))
+    curves = [c for pair in pairs for c in pair if c]
+    lows = {low for low, _ in pairs if low}
+    given = [c for c in curves if c in constraints.columns]
+    limits = constraints.groupBy(key, "s").agg(*((F.max if c in lows else F.min)(c).alias(f"{c}_limit") for c in given))
+    rows = envelope.select(key, "s", *curves).join(limits, [key, "s"], "full_outer").withColumn("own", F.max(F.coalesce(*curves).isNotNull()).over(Window.partitionBy(key)))
+    line = filled(rows.where("own").drop("own"), [key], curves)
+    met = {c: (F.greatest if c in lows else F.least)(F.col(c), F.col(f"{c}_limit")) for c in given}
+    out = line.withColumns(met).select(key, "s", *curves)
+    crossed = [F.coalesce(F.col(low) > F.col(high), F.lit(False)) for low, high in pairs if low and high]
+    return out.withColumn("crossed", F.greatest(F.lit(False), F.lit(False), *crossed))
 
 
 def strictly_increasing(nodes: DataFrame, key: str, s: str = "s", order: str = "idx") -> DataFrame:
@@ -42,6 +66,13 @@ def strictly_increasing(nodes: DataFrame, key: str, s: str = "s", order: str = "
     return nodes.withColumn("step", step).groupBy(key).agg(F.coalesce(F.bool_and(F.col("step") > 0), F.lit(True)).alias("increasing"))
 
 
+def well_ordered(nodes: DataFrame, key: str, s: str = "s", t: str = "t", order: str = "idx") -> DataFrame:
+    """Per key whether it has two rows or more, s rises from row to row, and t never falls."""
+    by = Window.partitionBy(key).orderBy(order)
+    steps = nodes.withColumns({"ds_": F.col(s) - F.lag(s).over(by), "dt_": F.col(t) - F.lag(t).over(by)})
+    return steps.groupBy(key).agg((F.count("*") >= 2).alias("enough"), F.coalesce(F.bool_and(F.col("ds_") > 0), F.lit(True)).alias("rises"), F.coalesce(F.bool_and(F.col("dt_") >= 0), F.lit(True)).alias("in_time"))
+
+
 def constraints_by_fix(rows: DataFrame, procedure: str, transition: str) -> DataFrame:
     """(fix_identifier, lower_ft, upper_ft) of one procedure's legs: two altitudes bound, one fixes."""
     from trackloom.functions import scalars

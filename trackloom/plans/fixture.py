@@ -77,6 +77,28 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lateral_plan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plans with lateral states, wind and slack."""
+    i, part, supplier = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    extra = lines(spark, sf_dir).select(
+        F.col("l_orderkey").alias("plan_id"),
+        i.alias("idx"),
+        (F.lit(60.0) + i * 8.0).alias("cas"),
+        (F.lit(8000.0) + supplier % 10 * 50.0).alias("idle"),
+        (supplier % 50 - 25.0).alias("cross"),
+        ((part % 17 - 8.0) / 200.0).alias("heading_error"),
+        ((supplier % 21 - 10.0) / 100.0).alias("bank"),
+        ((part % 11 - 5.0) / 1000.0).alias("roll"),
+        (i * 0.1).alias("track"),
+        (i * 0.0001).alias("curvature"),
+        F.lit(2.0).alias("wind_east"),
+        F.lit(-1.0).alias("wind_north"),
+        F.lit(0.05).alias("slack"),
+        (F.lit(0.4) + F.col("l_discount")).alias("cl"),
+    )
+    return plan_nodes(spark, sf_dir).join(extra, ["plan_id", "idx"])
+
+
 def plan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans from order lines: states that fall and rise by simple rules."""
     line = lines(spark, sf_dir)

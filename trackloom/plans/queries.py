@@ -5,6 +5,7 @@ Distances are rounded to the millimetre before they are compared, in both engine
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -569,6 +570,40 @@ def envelope_tighten(spark: SparkSession, d: str) -> DataFrame:
     return profiles.tighten(env, con, "l_orderkey").select("l_orderkey", "s", F.round("lower", 9).alias("lower"), F.round("upper", 9).alias("upper"), "crossed")
 
 
+NINE = (("h_lower", "h_upper"), ("cas_lower", "cas_upper"), ("gamma_lower", "gamma_upper"), ("thrust_lower", "thrust_upper"), (None, "cl_max"))
+
+
+def nine_curves(q: str) -> list[tuple[str, str]]:
+    """Name and SQL of each curve from a quantity."""
+    made = []
+    for k, (low, high) in enumerate(NINE):
+        made += [(low, f"{q} * {k + 1}.0")] if low else []
+        made += [(high, f"{q} * {k + 1}.0 + 20.0")]
+    return made
+
+
+def between_sql(c: str) -> str:
+    return f"CASE WHEN lo IS NULL THEN hi.{c} WHEN hi IS NULL OR lo.s = hi.s THEN lo.{c} ELSE lo.{c} + (hi.{c} - lo.{c}) * (s - lo.s) / (hi.s - lo.s) END"
+
+
+@query(
+    f"""WITH env AS (SELECT l_orderkey AS k, l_linenumber * 10.0::DOUBLE AS s, {", ".join(f"{x} AS {n}" for n, x in nine_curves("l_quantity::DOUBLE"))} FROM {LINES} WHERE l_linenumber IN (1, 3, 5)),
+con AS (SELECT l_orderkey AS k, l_linenumber * 10.0::DOUBLE + 5.0::DOUBLE AS s, l_quantity::DOUBLE AS h_lower, l_quantity::DOUBLE + 9.0 AS h_upper, l_quantity::DOUBLE * 2.0 AS cas_upper FROM {LINES} WHERE l_linenumber IN (2, 6)),
+g AS (SELECT k, s FROM env UNION SELECT k, s FROM con WHERE k IN (SELECT k FROM env)),
+b AS (SELECT g.*, (SELECT arg_max(e, e.s) FROM env e WHERE e.k = g.k AND e.s <= g.s) AS lo, (SELECT arg_min(e, e.s) FROM env e WHERE e.k = g.k AND e.s >= g.s) AS hi FROM g),
+v AS (SELECT k, s, {", ".join(f"{between_sql(n)} AS {n}" for n, _ in nine_curves(""))} FROM b),
+x AS (SELECT v.* EXCLUDE (h_lower, h_upper, cas_upper), greatest(v.h_lower, coalesce(con.h_lower, v.h_lower)) AS h_lower, least(v.h_upper, coalesce(con.h_upper, v.h_upper)) AS h_upper, least(v.cas_upper, coalesce(con.cas_upper, v.cas_upper)) AS cas_upper FROM v LEFT JOIN con USING (k, s))
+SELECT k AS l_orderkey, s, {", ".join(f"round({n}, 6) AS {n}" for n, _ in nine_curves(""))}, {" OR ".join(f"{low} > {high}" for low, high in NINE if low)} AS crossed FROM x"""
+)
+def envelope_nine(spark: SparkSession, d: str) -> DataFrame:
+    line, q = fixture.lines(spark, d), F.col("l_quantity").cast("double")
+    curves = [c for pair in NINE for c in pair if c]
+    values = {c: q * (k + 1.0) + (0.0 if c == low else 20.0) for k, (low, high) in enumerate(NINE) for c in (low, high) if c}
+    env = line.where("l_linenumber in (1, 3, 5)").select("l_orderkey", (F.col("l_linenumber") * 10.0).alias("s"), *(values[c].alias(c) for c in curves))
+    con = line.where("l_linenumber in (2, 6)").select("l_orderkey", (F.col("l_linenumber") * 10.0 + 5.0).alias("s"), q.alias("h_lower"), (q + 9.0).alias("h_upper"), (q * 2.0).alias("cas_upper"))
+    return profiles.tighten(env, con, "l_orderkey", NINE).select("l_orderkey", "s", *(F.round(c, 6).alias(c) for c in curves), "crossed")
+
+
 # Plans.
 
 RATED = f"""WITH {PLANS}, a AS (SELECT *, 0.5 * {RHO.format(h='h', d='0.0')} * v * v * 122.6::DOUBLE AS qs FROM node), b AS (SELECT *, 60000.0::DOUBLE * 9.80665::DOUBLE * cos(gamma) / qs AS cl FROM a),
@@ -611,6 +646,81 @@ def plan_objective(spark: SparkSession, d: str) -> DataFrame:
     return o.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
+LATERAL = PLANS.replace(
+    "FROM (SELECT",
+    """, 60.0::DOUBLE + l_linenumber * 8.0::DOUBLE AS cas, 8000.0::DOUBLE + l_suppkey % 10 * 50.0::DOUBLE AS idle, (l_suppkey % 50)::DOUBLE - 25 AS "cross", ((l_partkey % 17)::DOUBLE - 8) / 200.0::DOUBLE AS heading_error,
+    ((l_suppkey % 21)::DOUBLE - 10) / 100.0::DOUBLE AS bank, ((l_partkey % 11)::DOUBLE - 5) / 1000.0::DOUBLE AS roll, l_linenumber * 0.1::DOUBLE AS track, l_linenumber * 0.0001::DOUBLE AS curvature, 0.4::DOUBLE + l_discount AS cl
+  FROM (SELECT""",
+    1,
+)
+PLAN_BOUNDS = {"h_lower": 260.0, "h_upper": 2000.0, "cas_lower": 70.0, "cas_upper": 110.0, "thrust_lower": 9500.0, "thrust_upper": 13500.0, "bank_lower": -0.08, "bank_upper": 0.08, "roll_lower": -0.004, "roll_upper": 0.004, "along_lower": 75.0, "gamma_lower": -0.027, "gamma_upper": -0.021, "cl_upper": 0.48, "cas_end_lower": 90.0, "cas_end_upper": 105.0}
+PLAN_LIMITS = verify.Limits(idle_share=0.6, descend_only=True, gamma_deg_per_km=0.05, gamma_deg_per_km2=0.02, slack={"h": 100.0, "cas": 10.0, "thrust": 1000.0, "bank": 0.1, "roll": 0.01, "along": 10.0, "gamma": 0.01, "cl": 1.0})
+
+
+def margin_sql() -> str:
+    """The families of PLAN_BOUNDS and PLAN_LIMITS as a list of structs."""
+    some = []
+    for name, bound in PLAN_BOUNDS.items():
+        x, side = name.split("_")[0], name.split("_")[-1]
+        over = f"{x} - {bound!r}::DOUBLE" if side == "lower" else f"{bound!r}::DOUBLE - {x}"
+        margin = f"{over} + 0.05::DOUBLE * {PLAN_LIMITS.slack[x]!r}::DOUBLE"
+        ends = "_end_" in name
+        some.append((f"{x} {'above' if side == 'lower' else 'below'} {side}" + (" at end" if ends else ""), f"CASE WHEN after IS NULL THEN {margin} END" if ends else margin))
+    km, bend = (f"{math.radians(x)!r}::DOUBLE" for x in (PLAN_LIMITS.gamma_deg_per_km, PLAN_LIMITS.gamma_deg_per_km2))
+    step, change, curve, give = "(greatest(abs(s1 - s), 1.0::DOUBLE) / 1000.0::DOUBLE)", "(g1 - gamma)", "(g2 - 2.0::DOUBLE * g1 + gamma)", "0.05::DOUBLE * 0.01::DOUBLE"
+    some += [("thrust above idle", "thrust - idle"), ("thrust in idle band", "(idle + 0.6::DOUBLE * greatest(13500.0::DOUBLE - idle, 0.0::DOUBLE)) - thrust"), ("no climb", "h1 - h + 0.05::DOUBLE * 100.0::DOUBLE"), ("time order", "t1 - t")]
+    some += [("gamma rise", f"{km} * {step} - {change} + {give}"), ("gamma fall", f"{km} * {step} + {change} + {give}"), ("gamma bend up", f"{bend} * {step} * {step} - {curve} + {give}"), ("gamma bend down", f"{bend} * {step} * {step} + {curve} + {give}")]
+    return "[" + ", ".join(f"{{'f': '{n}', 'm': {m}}}" for n, m in some) + "]"
+
+
+@query(
+    f"""WITH {LATERAL}, o AS (SELECT *, v - 3.0::DOUBLE AS along, lead(idx) OVER w AS after, lead(s) OVER w AS s1, lead(h) OVER w AS h1, lead(t) OVER w AS t1, lead(gamma) OVER w AS g1, lead(gamma, 2) OVER w AS g2 FROM node WINDOW w AS (PARTITION BY plan_id ORDER BY idx)),
+m AS (SELECT plan_id, idx, s, unnest({margin_sql()}) AS q FROM o)
+SELECT plan_id, q.f AS family, round(min(q.m), 6) AS least_margin, arg_min(s, (q.m, idx)) AS at_s, min(q.m) >= 0 AS holds FROM m WHERE q.m IS NOT NULL GROUP BY 1, 2"""
+)
+def margin_families(spark: SparkSession, d: str) -> DataFrame:
+    nodes = fixture.lateral_plan_nodes(spark, d).withColumns({"along": F.col("v") - 3.0} | {c: F.lit(b) for c, b in PLAN_BOUNDS.items()})
+    return verify.margins(nodes, PLAN_LIMITS).withColumn("least_margin", F.round("least_margin", 6))
+
+
+@query(
+    f"""WITH {LATERAL}, o AS (SELECT *, gamma - lag(gamma) OVER (PARTITION BY plan_id ORDER BY idx) AS dg, thrust - idle AS ov FROM node),
+a AS (SELECT plan_id, max(s) AS reach, greatest(max(s) / greatest(count(*) - 1, 1), 1.0) AS ds, greatest(max(abs("cross")), 100.0::DOUBLE) AS cu, avg(ov * ov) AS o2, avg(dg * dg) AS g2, avg("cross" * "cross") AS c2, avg(heading_error * heading_error) AS e2, avg(bank * bank) AS b2, avg(roll * roll) AS r2,
+  max(abs(ov)) AS po, coalesce(max(abs(dg)), 0.0) AS pg, max(abs("cross")) AS pc, max(abs(heading_error)) AS pe, max(abs(bank)) AS pb, max(abs(roll)) AS pr FROM o GROUP BY 1),
+x AS (SELECT *, -2.0::DOUBLE * reach / 1000.0 AS f1, 3.0::DOUBLE * reach / 1000.0 * o2 / 1e8::DOUBLE AS f2, coalesce(0.5::DOUBLE * g2 / pow(radians(1.0) * ds / 1000.0, 2), 0.0) AS f3, c2 / (cu * cu) AS f4, e2 / pow(radians(5.0), 2) AS f5, b2 / pow(radians(20.0), 2) AS f6, r2 / 0.0025::DOUBLE AS f7, 10.0::DOUBLE * 0.0025 AS f8 FROM a)
+SELECT plan_id, round(f1 + f2 + f3 + f4 + f5 + f6 + f7 + f8, 6) AS total, round(f1, 6) AS reach_term, round(f2, 6) AS thrust_term, round(f3, 6) AS gamma_term, round(f4, 6) AS cross_term, round(f5, 6) AS heading_error_term, round(f6, 6) AS bank_term, round(f7, 6) AS roll_term, round(f8, 6) AS slack_term,
+  round(sqrt(o2), 6) AS rms_over_idle, round(po, 6) AS peak_over_idle, round(degrees(pg), 6) AS peak_gamma_step_deg, round(pc, 6) AS peak_cross_m, round(degrees(pe), 6) AS peak_heading_error_deg, round(degrees(pb), 6) AS peak_bank_deg, round(pr, 6) AS peak_roll_rate,
+  round(ds, 6) AS ds, 10000.0::DOUBLE AS thrust_unit, round(cu, 6) AS cross_unit, 5.0::DOUBLE AS heading_unit_deg, 20.0::DOUBLE AS bank_unit_deg, 0.05::DOUBLE AS roll_unit FROM x"""
+)
+def plan_cost(spark: SparkSession, d: str) -> DataFrame:
+    weights = verify.Weights(reach=2.0, thrust=3.0, gamma=0.5, slack=10.0)
+    c = verify.cost(fixture.lateral_plan_nodes(spark, d), weights, 10_000.0, 0.05)
+    return c.select("plan_id", *(F.round(n, 6).alias(n) for n in c.columns[1:]))
+
+
+@query(
+    f"""WITH {LATERAL}, a AS (SELECT *, v * cos(track + heading_error) + 2.0 AS e, v * sin(track + heading_error) - 1.0 AS n FROM node), b AS (SELECT *, greatest(e * cos(track) + n * sin(track), 1.0) AS al, n * cos(track) - e * sin(track) AS ac FROM a),
+c AS (SELECT *, 1.0 / al AS xt, -ac / al AS xc, curvature - 9.80665::DOUBLE * tan(bank) / v / al AS xe, -roll / al AS xb FROM b),
+f AS (SELECT plan_id, idx, s, lead(t) OVER w - t - 0.5 * (lead(s) OVER w - s) * (xt + lead(xt) OVER w) AS et, lead("cross") OVER w - "cross" - 0.5 * (lead(s) OVER w - s) * (xc + lead(xc) OVER w) AS ec, lead(heading_error) OVER w - heading_error - 0.5 * (lead(s) OVER w - s) * (xe + lead(xe) OVER w) AS ee, lead(bank) OVER w - bank - 0.5 * (lead(s) OVER w - s) * (xb + lead(xb) OVER w) AS eb FROM c WINDOW w AS (PARTITION BY plan_id ORDER BY idx))
+SELECT plan_id, idx, s, round(et, 6) AS defect_t, round(ec, 6) AS defect_cross, round(ee, 6) AS defect_heading_error, round(eb, 6) AS defect_bank FROM f WHERE et IS NOT NULL"""
+)
+def lateral_defects(spark: SparkSession, d: str) -> DataFrame:
+    states = ("t", "cross", "heading_error", "bank")
+    found = verify.defects(verify.lateral_rates(fixture.lateral_plan_nodes(spark, d)), states)
+    return found.select("plan_id", "idx", "s", *(F.round(f"defect_{x}", 6).alias(f"defect_{x}") for x in states))
+
+
+@query(
+    f"""WITH {LATERAL}, e AS (SELECT plan_id, arg_min({{'h': h, 'v': v, 'b': bank}}, idx) AS a, arg_max({{'h': h, 'v': v, 'b': bank}}, idx) AS z FROM node GROUP BY 1)
+SELECT plan_id, u.e AS "end", u.x AS state, round(u.d, 6) AS defect FROM (SELECT plan_id, unnest([{{'e': 'first', 'x': 'h', 'd': a.h - 250.0}}, {{'e': 'first', 'x': 'bank', 'd': a.b - 0.0}}, {{'e': 'last', 'x': 'h', 'd': z.h - 1750.0}}, {{'e': 'last', 'x': 'v', 'd': z.v - (100.0 + plan_id % 5)}}]) AS u FROM e)"""
+)
+def endpoint_defects(spark: SparkSession, d: str) -> DataFrame:
+    plans = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("plan_id")).distinct()
+    aims = (("first", "h", F.lit(250.0)), ("first", "bank", F.lit(0.0)), ("last", "h", F.lit(1750.0)), ("last", "v", F.lit(100.0) + F.col("plan_id") % 5))
+    wanted = plans.select("plan_id", F.inline(F.array(*(F.struct(F.lit(e).alias("end"), F.lit(x).alias("state"), value.alias("value")) for e, x, value in aims))))
+    return verify.endpoint_defects(fixture.lateral_plan_nodes(spark, d), wanted).withColumn("defect", F.round("defect", 6))
+
+
 @query(f"WITH {PLANS}, o AS (SELECT *, CASE WHEN phase <> lag(phase) OVER w THEN 1 ELSE 0 END AS c FROM node WINDOW w AS (PARTITION BY plan_id ORDER BY idx)), p AS (SELECT *, (sum(c) OVER (PARTITION BY plan_id ORDER BY idx ROWS UNBOUNDED PRECEDING))::BIGINT AS span FROM o) SELECT plan_id, span, phase, min(idx) AS first_idx, max(idx) AS last_idx FROM p GROUP BY 1, 2, 3")
 def phase_spans(spark: SparkSession, d: str) -> DataFrame:
     return verify.phase_spans(fixture.plan_nodes(spark, d))
@@ -630,6 +740,11 @@ def time_profile(spark: SparkSession, d: str) -> DataFrame:
     return verify.time_profile(fixture.plan_nodes(spark, d), 5.0).select("plan_id", "idx", F.round("elapsed", 6).alias("elapsed"))
 
 
+@query(f"WITH {PLANS}, o AS (SELECT *, s - lag(s) OVER w AS ds, t - lag(t) OVER w AS dt FROM node WINDOW w AS (PARTITION BY plan_id ORDER BY idx)) SELECT plan_id, count(*) >= 2 AS enough, coalesce(bool_and(ds > 0), true) AS rises, coalesce(bool_and(dt >= 0), true) AS in_time FROM o GROUP BY 1")
+def plan_order(spark: SparkSession, d: str) -> DataFrame:
+    return profiles.well_ordered(fixture.plan_nodes(spark, d), "plan_id")
+
+
 # Routes: four fixes of suppliers per customer.
 
 
