@@ -229,3 +229,63 @@ def test_splines():
             c = routes.cubic_through(u[:n], y[:n])
             at = np.linspace(0, u[n - 1], 50)
             assert np.allclose(routes.spline_value(u[:n], c, at, 0), np.polyval(np.arange(1, degree + 2)[::-1] * 1e-3, at / 100))
+
+
+def test_entities_and_encodings(spark):
+    lit = F.lit
+    text = "&lt;&amp;lt;&#65;&#x20AC;&#X41;&apos;&nbsp;&nosuch;&#x110000;&#99999999999;&#55296;&"
+    r = one(spark, scalars.entities(lit(text)), scalars.entities(lit("")), scalars.entities(lit(None).cast("string")), scalars.quoted_printable(lit("=e9=C3=\r\nx=3dy=zz")), scalars.chart_name(lit(" RNAV, (GPS)  RWY&nbsp;17 _C ")))
+    assert r.c0 == "<&lt;A\u20ac&#X41;' &nosuch;&#x110000;&#99999999999;&#55296;&"
+    assert (r.c1, r.c2) == ("", None) and r.c3 == "\xe9\xc3x=y=zz" and r.c4 == "RNAV_(GPS)_RWY_17_C"
+
+
+def test_archived_pages(spark):
+    from trackloom.sources import files
+
+    links = "<h2>STAR</h2><a href=3D\"u?a=3D1&amp;b\">One, <b>t</b>wo</a><a href=3D\"u?a=3D1&amp;b\">One two</a><a href=3D\"v\"> </a><h2>IAP</h2><a href=3D\"w\">Th=\r\nree</a><h2>END</h2>"
+    page = f'From: x\r\nContent-Type: multipart/related; boundary="a.b+c"\r\n\r\n--a.b+c\r\nContent-Type: text/css\r\n\r\nq\r\n--a.b+c\r\nContent-Type: text/html\r\n\r\n{links}\r\n--a.b+c--'
+    pages = spark.createDataFrame([("p", page), ("none", "no parts"), ("null", None)], "path string, value string")
+    found = files.chart_links(pages, {"star": ("STAR", "IAP"), "iap": ("IAP", "END"), "lost": ("LOST", "END")})
+    assert sorted((r.path, r.section, r.place, r.label, r.url) for r in found.collect()) == [("p", "iap", 0, "Three", "w"), ("p", "star", 0, "One_two", "u?a=1&b")]
+
+
+def test_margins_with_slack_and_limits(spark):
+    """Each family against plain arithmetic, at the row where it is least."""
+    rows = [(1, i, 1000.0 * i, h, 10.0 * i, g, q, 100.0, 500.0, 0.5, 90.0 + i, 92.0) for i, (h, g, q) in enumerate([(0.0, -0.05, 120.0), (50.0, -0.04, 400.0), (40.0, -0.06, 90.0)])]
+    nodes = spark.createDataFrame(rows, "plan_id int, idx int, s double, h double, t double, gamma double, thrust double, idle double, thrust_upper double, slack double, cas double, cas_end_upper double")
+    limits = verify.Limits(idle_share=0.25, descend_only=True, gamma_deg_per_km=1.0, gamma_deg_per_km2=1.0, slack={"thrust": 10.0, "h": 2.0})
+    found = {r.family: (r.least_margin, r.at_s, r.holds) for r in verify.margins(nodes, limits).collect()}
+    one_degree = math.radians(1.0)
+    wanted = {"thrust below upper": (105.0, 1000.0), "cas below upper at end": (0.0, 2000.0), "thrust above idle": (-10.0, 2000.0), "thrust in idle band": (-200.0, 1000.0), "no climb": (-9.0, 1000.0), "time order": (10.0, 0.0)}
+    wanted |= {"gamma rise": (one_degree - 0.01, 0.0), "gamma fall": (one_degree - 0.02, 1000.0), "gamma bend up": (one_degree + 0.03, 0.0), "gamma bend down": (one_degree - 0.03, 0.0)}
+    assert found.keys() == wanted.keys()
+    for family, (margin, s) in wanted.items():
+        assert found[family][0] == pytest.approx(margin) and found[family][1:] == (s, margin >= 0)
+
+
+def test_cost_of_one_row_and_of_none(spark):
+    kind = "plan_id int, idx int, s double, gamma double, thrust double, idle double, cross double, heading_error double, bank double, roll double, slack double"
+    r = verify.cost(spark.createDataFrame([(1, 0, 2000.0, -0.05, 300.0, 100.0, 200.0, 0.0, math.radians(20.0), 0.0, 0.5)], kind), verify.Weights(), 100.0, 0.0).first()
+    assert (r.reach_term, r.thrust_term, r.gamma_term, r.cross_term, r.bank_term, r.slack_term, r.ds, r.roll_unit) == pytest.approx((-2.0, 8.0, 0.0, 1.0, 1.0, 0.25, 2000.0, 1e-3))
+    assert r.total == pytest.approx(8.25)
+    assert verify.cost(spark.createDataFrame([], kind), verify.Weights(), 100.0, 0.0).count() == 0
+
+
+def test_nine_curves_keep_what_is_not_given(spark):
+    env = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 1.0), (1, 10.0, 10.0, 20.0, 2.0)], "k int, s double, low double, high double, most double")
+    con = spark.createDataFrame([(1, 5.0, 7.0, None), (1, 5.0, 4.0, 30.0), (1, 12.0, None, 1.0), (2, 1.0, 1.0, 1.0)], "k int, s double, low double, high double")
+    rows = profiles.tighten(env, con, "k", (("low", "high"), (None, "most"))).orderBy("s").collect()
+    assert [tuple(r) for r in rows] == [(1, 0.0, 0.0, 10.0, 1.0, False), (1, 5.0, 7.0, 15.0, 1.5, False), (1, 10.0, 10.0, 20.0, 2.0, False), (1, 12.0, 10.0, 1.0, 2.0, True)]
+    order = profiles.well_ordered(spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 1.0, 0.0), (2, 0, 0.0, 1.0), (2, 1, 0.0, 0.0), (3, 0, 0.0, 0.0)], "k int, idx int, s double, t double"), "k")
+    assert sorted(tuple(r) for r in order.collect()) == [(1, True, True, True), (2, True, False, False), (3, False, True, True)]
+
+
+def test_runways_show_eight_airports(spark):
+    head = lambda section, airport, name: f"SUSAP {airport}K4{section}{name:<5}".ljust(132)
+    airports = [f"K{c}{c}{c}" for c in "BCDEFGHIJK"]
+    parsed = nav.parse(spark.createDataFrame([(i, head(s, a, n)) for i, (s, a, n) in enumerate((s, a, n) for a in airports for s, n in (("G", "RW01"), ("C", "AAAA")))], "line_no int, line string"))
+    lost = spark.createDataFrame([("RW01", 1, None), ("AAAA", 1, None)], "token string, uses int, fix_type string")
+    shown = {r.token: r.airports.split(",") for r in nav.failures(lost, parsed, "KAAA").collect()}
+    assert shown == {"RW01": airports[:8], "AAAA": airports[:5]}
+    short = nav.parse(spark.createDataFrame([(i, f"SUSAP KAAA {i}") for i in range(15)], "line_no int, line string"))
+    assert [r.line_no for r in nav.failure_samples(short, "SUSAP KAAA*").collect()] == list(range(10))

@@ -242,3 +242,30 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
     sinks.json_lines(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+def test_nan_is_refused_at_any_depth(spark, tmp_path):
+    nan = float("nan")
+    for row, kind in (([[[1.0, nan]]], "x array<array<double>>"), ([[(1, nan)]], "x array<struct<a: int, b: double>>"), ([{"a": nan}], "x map<string,double>"), ([((nan,),)], "x struct<a: struct<b: double>>")):
+        with pytest.raises(Exception, match="x is NaN"):
+            sinks.json_lines(spark.createDataFrame([tuple(row)], kind), str(tmp_path / "bad"))
+    good = spark.createDataFrame([([[1.0], None], {"a": None}, None)], "x array<array<double>>, y map<string,double>, z struct<a: double>")
+    sinks.json_lines(good, str(tmp_path / "good"))
+    assert spark.read.json(str(tmp_path / "good")).count() == 1
+
+
+def test_pdf_suffix_in_any_case_and_skipped_rows(spark, tmp_path):
+    for name in ("a.pdf", "b.pDf", "c.PDF", "d.txt", "pdf"):
+        (tmp_path / name).write_bytes(b"x")
+    assert [r.path[-5:] for r in files.pdf_files(spark, str(tmp_path)).collect()] == ["a.pdf", "b.pDf", "c.PDF"]
+    row = schedule.skipped(spark.createDataFrame([("f", "c", 1)], "flight_id string, callsign string, icao24 int"), "no track").first()
+    assert (row.icao24, row.first_time, row.raw_point_count, row.status, row.reason) == ("1", None, 0, "skipped", "no track")
+
+
+def test_the_last_row_of_the_last_file_counts(spark, tmp_path):
+    """A larger file is dealt out first, whatever its name."""
+    head = "identifier,latitude_deg,longitude_deg,elevation_ft\n"
+    (tmp_path / "a.csv").write_text(head + "x,1,1,\n" * 500 + "x,2,2,\n")
+    (tmp_path / "b.csv").write_text(head + "x,3,3,\n")
+    rows = files.fix_catalog(files.table(spark, str(tmp_path), ["identifier"])).collect()
+    assert [(r.identifier, r.latitude_deg) for r in rows] == [("X", 3.0)]

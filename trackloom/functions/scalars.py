@@ -129,10 +129,10 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 0.0).otherwise(part / whole)
 
 
-def anchors(html: Column) -> Column:
-    """array of struct(url, label) of a page's links; labels without tags, entities and runs of space."""
+def anchors(html: Column, for_tag: str = " ") -> Column:
+    """array of struct(url, label) of a page's links; labels without tags (for_tag in their place), entities and runs of space."""
     pattern = r"(?is)<a\s[^>]*href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
-    plain = lambda t: F.trim(F.regexp_replace(entities(F.regexp_replace(t, "<[^>]*>", "")), r"\s+", " "))
+    plain = lambda t: F.trim(F.regexp_replace(entities(F.regexp_replace(t, "<[^>]*>", for_tag)), r"\s+", " "))
     urls, labels = F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.regexp_extract_all(html, F.lit(pattern), F.lit(2))
     return F.zip_with(urls, labels, lambda u, t: F.struct(u.alias("url"), plain(t).alias("label")))
 

@@ -59,10 +59,11 @@ def fix_sequences(rows: DataFrame, fixes: DataFrame, radius_m: float = 2000.0) -
 
 
 def nearest_threshold(points: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Per flight the runway that any of its points comes closest to, and that distance; thresholds is a small table.
+    """Per flight the runway that any of its points comes closest to, and that distance.
 
-    Each flight keeps one running best per threshold, so nothing but that is shuffled.
+    thresholds is a small table; Spark broadcasts it if its size is below the session's limit, and else deals
+    blocks of both sides. Each task keeps one running best per flight, so nothing but that is shuffled.
     """
     runways = thresholds.select(F.col("place_ord").alias("ord"), "runway", "place_lat", "place_lon")
-    pairs = points.crossJoin(F.broadcast(runways)).withColumn("distance_m", F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon")), 3))
+    pairs = points.crossJoin(runways).withColumn("distance_m", F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon")), 3))
     return pairs.groupBy("flight_id").agg(F.min(F.struct("distance_m", "ord", "runway")).alias("best")).select("flight_id", "best.runway", "best.distance_m")

@@ -475,7 +475,7 @@ def page_charts(spark: SparkSession, d: str) -> DataFrame:
     return files.first_links(read(spark, d, "pages"), ["page_id"], "html")
 
 
-@query("SELECT p_partkey, round(p_retailprice / 0.3048, 6) AS ft, round(p_retailprice * 0.3048, 6) AS m, round(p_size / 0.514444, 6) AS kts, round(p_size * 0.514444, 6) AS mps, round(p_size / 0.00508, 6) AS fpm, round(p_retailprice * 0.00508, 6) AS climb_mps FROM part")
+@query("SELECT p_partkey, round(p_retailprice / 0.3048::DOUBLE, 6) AS ft, round(p_retailprice * 0.3048::DOUBLE, 6) AS m, round(p_size / 0.514444::DOUBLE, 6) AS kts, round(p_size * 0.514444::DOUBLE, 6) AS mps, round(p_size / 0.00508::DOUBLE, 6) AS fpm, round(p_retailprice * 0.00508::DOUBLE, 6) AS climb_mps FROM part")
 def unit_conversions(spark: SparkSession, d: str) -> DataFrame:
     price, size = F.col("p_retailprice"), F.col("p_size")
     values = {"ft": scalars.m_to_ft(price), "m": scalars.ft_to_m(price), "kts": scalars.mps_to_kts(size), "mps": scalars.kts_to_mps(size), "fpm": scalars.mps_to_fpm(size), "climb_mps": scalars.fpm_to_mps(price)}

@@ -6,7 +6,7 @@ files and rows, where a later step needs to know which came first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalars
@@ -18,13 +18,17 @@ EVENT_COLUMNS = ["date", "flight_id", "callsign", "icao24", "operation", "runway
 SEQUENCE_COLUMNS = ["date", "flight_id", "callsign", "icao24", "first_time", "last_time", "fix_sequence", "fix_count"]
 
 
+def file_order() -> Column:
+    """Sorts rows just read from files by file and place in it; Spark deals out parts of files by size, not in order."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+
+
 def tracks(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """Rows of all headerless files named by digits and .csv; bad numbers become null, texts are trimmed."""
     schema = ", ".join(f"{c} string" for c in TRACK)
     reader = spark.read.schema(schema).option("pathGlobFilter", "[0-9]*.csv").option("recursiveFileLookup", str(recursive).lower())
-    rows = reader.csv(folder).select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"))
+    rows = reader.csv(folder).select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_name").alias("file_name"), file_order().alias("ordinal"))
     rows = rows.where(F.col("file_name").rlike(r"^[0-9]+\.csv$"))
-    rows = rows.withColumn("ordinal", F.struct("source_file", "block", F.monotonically_increasing_id()))
     sign = scalars.callsign(F.col("callsign"))
     fields = {c: scalars.number(F.trim(c)) for c in NUMBERS} | {"icao24": F.trim("icao24"), "callsign": sign}
     out = rows.withColumns(fields)
@@ -63,9 +67,9 @@ def fixes(rows: DataFrame) -> DataFrame:
 
 
 def fix_catalog(rows: DataFrame) -> DataFrame:
-    """Upper-case identifier to position and elevation; the last row of several counts."""
+    """Upper-case identifier to position and elevation, of rows as `table` reads them; the last row of several counts."""
     ident = F.upper(F.trim("identifier"))
-    some = rows.withColumn("row", F.monotonically_increasing_id()).select("row", ident.alias("identifier"), *(F.col(c).cast("string").try_cast("double").alias(c) for c in ("latitude_deg", "longitude_deg", "elevation_ft")))
+    some = rows.withColumn("row", file_order()).select("row", ident.alias("identifier"), *(F.col(c).cast("string").try_cast("double").alias(c) for c in ("latitude_deg", "longitude_deg", "elevation_ft")))
     some = some.where("identifier <> ''").dropna(subset=["latitude_deg", "longitude_deg"])
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("identifier").orderBy(F.desc("row")))).where("rank = 1").drop("rank", "row")
 
@@ -81,7 +85,7 @@ def fix_sequences(spark: SparkSession, path: str) -> DataFrame:
     """Fix sequences; times and counts must be present and numbers."""
     found = table(spark, path, SEQUENCE_COLUMNS)
     strict = lambda c: F.coalesce(F.col(c).cast("double").cast("long"), F.raise_error(F.lit(f"{c} is missing")).cast("long"))
-    return found.withColumns({"fix_sequence": F.coalesce("fix_sequence", F.lit("")), **{c: strict(c) for c in ("first_time", "last_time", "fix_count")}, "ordinal": F.monotonically_increasing_id()})
+    return found.withColumns({"fix_sequence": F.coalesce("fix_sequence", F.lit("")), **{c: strict(c) for c in ("first_time", "last_time", "fix_count")}, "ordinal": file_order()})
 
 
 COMPRESSED = (
@@ -93,7 +97,7 @@ COMPRESSED = (
 
 def compressed_flights(spark: SparkSession, path: str) -> DataFrame:
     """One JSON flight per line; blank lines are skipped, a missing id is an error, the last of several counts."""
-    lines = spark.read.schema(COMPRESSED).option("mode", "FAILFAST").json(path).withColumn("ordinal", F.monotonically_increasing_id())
+    lines = spark.read.schema(COMPRESSED).option("mode", "FAILFAST").json(path).withColumn("ordinal", file_order())
     named = lines.withColumn("flight_id", F.coalesce("flight_id", F.raise_error(F.lit("a flight has no flight_id"))))
     return named.withColumn("rank", F.row_number().over(Window.partitionBy("flight_id").orderBy(F.desc("ordinal")))).where("rank = 1").drop("rank")
 
@@ -139,7 +143,7 @@ def chart_links(pages: DataFrame, sections: dict[str, tuple[str, str]]) -> DataF
 
 def first_links(rows: DataFrame, keys: list[str], html: str) -> DataFrame:
     """(keys, place, label, url) of the links in a column, the first of each label and url; blank ones are left out."""
-    found = rows.select(*keys, F.posexplode(scalars.anchors(F.col(html))).alias("place", "a"))
+    found = rows.select(*keys, F.posexplode(scalars.anchors(F.col(html), "")).alias("place", "a"))
     named = found.select(*keys, "place", scalars.chart_name(F.col("a.label")).alias("label"), scalars.entities(F.trim("a.url")).alias("url"))
     return named.where("label <> '' and url <> ''").groupBy(*keys, "label", "url").agg(F.min("place").alias("place"))
 
