@@ -34,6 +34,29 @@ def text_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, co
             yield batch.slice(start)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of about so many rows, or one group, cut where a key changes; the batches are sorted by their keys."""
+    kept: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        kept.append(batch)
+        held += batch.num_rows
+        if held < rows:
+            continue
+        table = pa.Table.from_batches(kept)
+        same = pa.array([True] * held)
+        for key in keys:
+            column = table.column(key)
+            same = pc.and_(same, pc.equal(column, column[-1]))
+        open_from = pc.index(same, True).as_py()
+        if open_from:
+            yield table.slice(0, open_from)
+        kept = table.slice(open_from).to_batches()
+        held -= open_from
+    if held:
+        yield pa.Table.from_batches(kept)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of undirected links (u, v): returns (node, component), component the smallest node.
 
