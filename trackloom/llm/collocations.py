@@ -28,6 +28,9 @@ from trackloom.llm.common import text_batches, whole_groups, written
 #: Lower-cases A-Z; ends of pieces become line feeds and tabs spaces.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 
+#: Counters of a sketch that travel to the driver as one row.
+BLOCK = 4096
+
 
 def split_words(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
     """All words of the texts in their order, and for each the number of its piece; texts end pieces."""
@@ -95,9 +98,18 @@ def sketch(words: DataFrame, width: int) -> np.ndarray:
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[some])], ["cell", "n"])
 
-    found = words.mapInArrow(add, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["block"], 1 << 16):
+            blocks, cell, n = (table.column(c).to_numpy() for c in ("block", "cell", "n"))
+            for block in np.unique(blocks):
+                held = np.zeros(BLOCK, np.int64)
+                held[cell[blocks == block] % BLOCK] = n[blocks == block]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([held.tobytes()])], ["block", "counts"])
+
+    found = words.mapInArrow(add, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).withColumn("block", F.expr(f"cast(cell div {BLOCK} as int)"))
     out = np.zeros(2 * width, np.int64)
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    for row in found.repartition("block").sortWithinPartitions("block").mapInArrow(pack, "block int, counts binary").collect():
+        out[row["block"] * BLOCK :][:BLOCK] = np.frombuffer(row["counts"], np.int64)
     return out
 
 
