@@ -57,6 +57,25 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int)
         yield pa.Table.from_batches(kept)
 
 
+def meet(df: DataFrame, side: DataFrame, key: str, rows: str, parts: int = 4096) -> DataFrame:
+    """df, left-joined with side (one row a key) on key; a null key meets nothing.
+
+    side[rows] is the number of rows of df with that key, or more. Keys with over a 4,096th of their sum are met by
+    broadcast, so there are fewer than 4,096 of them at any size; other rows meet theirs by a shuffle. Rows that need
+    none there are dealt out evenly. The columns of side but key and rows are added.
+    """
+    total = side.agg(F.sum(F.col(rows).cast("decimal(38,0)"))).first()[0] or 0
+    names = [c for c in side.columns if c not in (key, rows)]
+    often = F.col(rows) * parts > F.lit(total)
+    big = F.broadcast(side.where(often).select(F.col(key).alias("big_key"), F.struct(*names).alias("big")))
+    rest = side.where(~often).select(F.lit(0).alias("rest_slot"), F.col(key).alias("rest_key"), F.struct(*names).alias("rest"))
+    met = df.join(big, df[key] == big.big_key, "left")
+    here = F.col(key).isNotNull() & F.col("big_key").isNull()
+    met = met.withColumn("own_slot", F.when(here, 0).otherwise(F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int") + 1)).withColumn("own_key", F.when(here, F.col(key)))
+    out = met.join(rest, (met.own_slot == rest.rest_slot) & (met.own_key == rest.rest_key), "left")
+    return out.select(*df.columns, *[F.coalesce(F.col("big")[c], F.col("rest")[c]).alias(c) for c in names])
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of undirected links (u, v): returns (node, component), component the smallest node.
 

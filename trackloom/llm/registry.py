@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import collocations, embeddings, hmm, langid, mixing, packing, prefix_trie, quality, rules, simhash, suffix, tokens
+from trackloom.llm import collocations, embeddings, hmm, langid, mixing, packing, prefix_trie, quality, rules, simhash, suffix, tokens, urls
 from trackloom.llm.common import id_remainder, written
 from trackloom.session import reach_workers
 
@@ -72,6 +72,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.RULES)
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = written(prefix_trie.turn_lists(table(spark, sf_dir, "conversations")), "turns")
     return prefix_trie.trie(prefix_trie.branched(lists)).select(*prefix_trie.RESULT)
@@ -81,6 +85,6 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_naive_bayes_svm, op3_embedding_near_dedup, op4_quality_rules, op5_suffix_array_dedup, op6_hidden_markov_lm, op7_simhash_near_dedup, op8_mix_sources, op9_language_id, op10_token_counts, op12_conversation_trie, op13_phrase_collocations)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_naive_bayes_svm, op3_embedding_near_dedup, op4_quality_rules, op5_suffix_array_dedup, op6_hidden_markov_lm, op7_simhash_near_dedup, op8_mix_sources, op9_language_id, op10_token_counts, op11_url_filters, op12_conversation_trie, op13_phrase_collocations)}
 
-ORACLES: dict[str, str] = {"op8_mix_sources": mixing.SQL, "op12_conversation_trie": prefix_trie.SQL, "op13_phrase_collocations": collocations.SQL}
+ORACLES: dict[str, str] = {"op8_mix_sources": mixing.SQL, "op11_url_filters": urls.SQL, "op12_conversation_trie": prefix_trie.SQL, "op13_phrase_collocations": collocations.SQL}
