@@ -29,7 +29,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return as_tracks(read(spark, sf_dir, "events"))
+
+
+def as_tracks(events: DataFrame) -> DataFrame:
+    """Positions of one flight a user, from events as a table or a stream."""
+    e = events.select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     icao = F.concat(F.lit("a"), F.col("user_id").cast("string"))
     sign = F.concat(F.lit("FL"), F.col("user_id").cast("string"))
     return e.select(

@@ -814,17 +814,47 @@ def compression_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 8 HOUR THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 8 HOUR AS \"end\", count(*) AS rows FROM s GROUP BY user_id, k")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions of a stream of the event file, read to its end and written to the shared folder as they close.
+    """Sessions of a stream of the event table, read to its end and written to the shared folder as they close."""
 
-    A row long after the last event moves the watermark past all of them; its own session stays open.
+    def build(stream: DataFrame) -> DataFrame:
+        closed = streams.sessions(stream.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "8 hours", ANY_ORDER)
+        return closed.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "rows")
+
+    return drained(spark, d, build)
+
+
+@query(ORACLES["dedup_keep_last"])
+def stream_keep_last(spark: SparkSession, d: str) -> DataFrame:
+    """Keep-last de-duplication of the event table, read as a stream."""
+    return drained(spark, d, lambda stream: streams.keep_last(fixture.as_tracks(stream), ANY_ORDER)).select("flight_id", "time", "ordinal", "geoaltitude")
+
+
+#: The files of a table come in no order of time: nothing is late before the end.
+ANY_ORDER = "36500 days"
+
+
+def drained(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], files: int = 64, years: int = 200) -> DataFrame:
+    """What build makes of the event table as a stream, with all state emitted, as a table in the shared folder.
+
+    The table is read to its end first, so many files a micro-batch. Then the same query restarts from its checkpoint with
+    one row `years` after the last event, which moves the watermark past all of them; its own state stays open.
     """
     events = read(spark, d, "events")
-    end = events.select(F.coalesce(F.max("ts"), F.lit("1970-01-01").cast("timestamp_ntz")).alias("ts")).select((F.col("ts") + F.expr("interval 2 days")).alias("ts"))
-    late = written(events.limit(0).unionByName(end, allowMissingColumns=True), "end")
-    files = spark.readStream.schema(events.schema)
-    stream = files.option("pathGlobFilter", "events.parquet").parquet(d).unionByName(files.option("pathGlobFilter", "*.parquet").parquet(late._trackloom_path)).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = streams.sessions(stream, "user_id", "8 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "rows")
-    path = place(spark, "sessions")
-    running = out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", place(spark, "checkpoint")).trigger(availableNow=True).start()
-    running.awaitTermination()
+    tail = place(spark, "tail")
+    events.limit(0).write.parquet(tail)
+    out = build(streams.table(spark, f"{d}/events.parquet", events.schema, maxFilesPerTrigger=files).unionByName(streams.table(spark, tail, events.schema)))
+    path, checkpoint = place(spark, "stream"), place(spark, "checkpoint")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, streams.STATE_STORE)
+    try:
+        for last in (False, True):
+            if last:
+                latest = events.agg(F.max("ts").cast("timestamp_ntz").alias("ts")).where("ts is not null").withColumn("ts", F.col("ts") + F.expr(f"make_interval({years})"))
+                others = {f.name: F.lit({"bigint": 1, "double": 1.0}.get(f.dataType.simpleString(), "x")).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "ts"}
+                latest.select(*(F.col("ts") if c == "ts" else others[c] for c in events.columns)).write.mode("append").parquet(tail)
+            running = out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            running.awaitTermination()
+    finally:
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
     return spark.read.schema(out.schema).parquet(path)
