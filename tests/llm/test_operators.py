@@ -526,6 +526,30 @@ def test_near_copies_against_brute_force(spark):
     assert simhash.near_copies(frame(spark, []), leaf=16).count() == 0
 
 
+@pytest.mark.parametrize("leaf", [16, 1024])
+def test_near_copies_behind_a_failing_neighbour(spark, leaf):
+    """A short prefix lies nearer to two near copies, by fingerprint, than they to each other: its links fail, theirs must not be lost."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    rows, pairs, cut = [], [], []
+    for g in range(160):
+        size, wanted = rng.choice([60, 120, 250, 400]), rng.choice([0.805, 0.81, 0.82, 0.83, 0.86, 0.9, 0.95])
+        shared = round(2 * wanted / (1 + wanted) * size)  # shingles in both, of `size` each
+        a = fresh(size + 4)
+        c = a[: shared + 4] + fresh(size - shared)
+        b = a[: round(rng.uniform(0.7, 0.79) * size) + 4]
+        own = [tuple({tuple(t[i : i + 5]) for i in range(len(t) - 4)}) for t in (a, b, c)]
+        jaccard = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+        pairs.append((3 * g, 3 * g + 2, jaccard(own[0], own[2])))
+        cut.append(max(jaccard(own[1], own[0]), jaccard(own[1], own[2])))
+        rows += [(3 * g + k, " ".join(t), None, None, None) for k, t in enumerate((a, b, c))]
+    assert min(p[2] for p in pairs) >= 0.8 and max(cut) < 0.8
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows), leaf=leaf).collect()}
+    lost = [p for p in pairs if found[p[0]] != found[p[1]]]
+    assert len(lost) <= 2, lost
+    assert all(found[3 * g + 1] == 3 * g + 1 for g in range(160))
+
+
 def test_simhash_null_repeated_and_empty(spark, empty):
     rows = [(5, None, None, None, None), (None, "", None, None, None), (3, " ", None, None, None), (9, "a b", None, None, None), (9, "a b", None, None, None)]
     found = simhash.near_duplicates(frame(spark, rows)).collect()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import connected_components, forget, text_batches, written
+from trackloom.llm.common import connected_components, forget, text_batches, whole_groups, written
 
 BITS = 64
 
@@ -201,10 +201,9 @@ def forest(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d[label[:, None] == label[None, :]] = NONE
 
 
-def compare(codes: np.ndarray, values: np.ndarray, own: np.ndarray, i: int, j: int, radius: int, inner: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest of the links within radius between blocks i and j of a leaf."""
+def close_pairs(codes: np.ndarray, values: np.ndarray, own: np.ndarray, i: int, j: int, radius: int, inner: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(position, position, differing bits) of the pairs within radius between blocks i and j of a leaf, some rows at a time."""
     a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    d = np.full((len(codes), len(codes)), NONE)
     for k in range(0, len(a), 256):
         rows = a[k : k + 256]
         x, y = np.nonzero(np.bitwise_count(values[rows][:, None] ^ values[b][None, :]) <= inner)
@@ -212,7 +211,13 @@ def compare(codes: np.ndarray, values: np.ndarray, own: np.ndarray, i: int, j: i
         if i == j:
             x, y = x[x < y], y[x < y]
         far = np.bitwise_count((codes[x] ^ codes[y]).view(np.uint64)).sum(1, dtype=np.int64)
-        x, y, far = (z[far <= radius] for z in (x, y, far))
+        yield tuple(z[far <= radius] for z in (x, y, far))
+
+
+def compare(codes: np.ndarray, values: np.ndarray, own: np.ndarray, i: int, j: int, radius: int, inner: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the links within radius between blocks i and j of a leaf."""
+    d = np.full((len(codes), len(codes)), NONE)
+    for x, y, far in close_pairs(codes, values, own, i, j, radius, inner):
         d[x, y] = d[y, x] = np.minimum(far, 254)
     some = np.flatnonzero((d < NONE).any(1))
     u, v = forest(d[np.ix_(some, some)]) if len(some) else (some, some)
@@ -232,77 +237,140 @@ def grown(nodes: DataFrame, slices: list[Slice], leaf: int, sample: int = 4096)
     return slices
 
 
-def tree_links(nodes: DataFrame, trees: list[Slice] | list[Sample], radius: int, *, words: int = 1, leaf: int = 1024) -> DataFrame:
-    """Links (u, v) between nodes (node, code: array of so many longs) at `radius` differing bits or fewer, for all pairs that
-    share a leaf and lie within inner there: of each leaf a spanning forest, so links join all that those pairs connect.
-
-    node is distinct and not null. leaf is the number of nodes that a leaf should hold; one of more than four
-    times that is cut into blocks.
-    """
+def placed_nodes(nodes: DataFrame, trees: list[Slice] | list[Sample], words: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """A row (tree, leaf, node, w0 and on: its code, carried columns of longs) for each leaf of each tree that a node overlaps."""
     held = nodes.sparkSession.sparkContext.broadcast(trees)
-    names = [f"w{k}" for k in range(words)]
+    names = ["tree", "leaf", "node", *(f"w{k}" for k in range(words)), *carried]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
                 code = part.column("code").flatten().to_numpy().reshape(part.num_rows, -1)
-                node = part.column("node").to_numpy()
+                others = [part.column(c).to_numpy() for c in ("node", *carried)]
                 for k, tree in enumerate(held.value):
                     at, path = tree.leaves(code)
                     own = [pa.array(code[at, w]) for w in range(words)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(path), pa.array(node[at]), *own], ["tree", "leaf", "node", *names])
+                    rest = [pa.array(x[at]) for x in others]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(path), rest[0], *own, *rest[1:]], names)
 
-    fields = "tree int, leaf long, node long, " + ", ".join(f"{n} long" for n in names)
-    placed = written(nodes.select("node", "code").mapInArrow(spread, fields), "placed")
-    most = 4 * leaf
-    crowded = placed.groupBy("tree", "leaf").agg(F.count("*").alias("size")).where(F.col("size") > most)
-    crowded = written(crowded.select("tree", "leaf", F.ceil(F.col("size") / (2 * leaf)).cast("int").alias("blocks")), "crowded")
+    fields = "tree int, leaf long, " + ", ".join(f"{n} long" for n in names[2:])
+    return nodes.select("node", "code", *carried).mapInArrow(spread, fields)
+
+
+def leaf_tasks(placed: DataFrame, crowded: DataFrame) -> DataFrame:
+    """placed (a written table) with own (a node's block of its leaf) and i, j: one row for each pair of blocks that a node's block is in."""
+    rest = placed.columns[2:]
     cut = placed.join(crowded, ["tree", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    tasks = cut.select("tree", "leaf", "node", "own", *names, F.explode(others).alias("p")).select("tree", "leaf", "p.i", "p.j", "node", "own", *names)
+    return cut.select("tree", "leaf", "own", *rest, F.explode(others).alias("p")).select("tree", "leaf", "p.i", "p.j", "own", *rest)
+
+
+def crowded_leaves(placed: DataFrame, leaf: int) -> DataFrame:
+    """tree, leaf and blocks of the leaves with more than four times `leaf` nodes."""
+    sizes = placed.groupBy("tree", "leaf").agg(F.count("*").alias("size")).where(F.col("size") > 4 * leaf)
+    return sizes.select("tree", "leaf", F.ceil(F.col("size") / (2 * leaf)).cast("int").alias("blocks"))
+
+
+def each_task(batches: Iterator[pa.RecordBatch], words: int, rows: int = 1 << 17) -> Iterator[tuple[pa.Table, int, int, int, np.ndarray, np.ndarray]]:
+    """(rows, tree, i, j, codes, own) of each pair of blocks, from rows sorted by KEY."""
+    for table in whole_groups(batches, KEY, rows):
+        keys = [table.column(c).to_numpy() for c in KEY]
+        change = np.ones(table.num_rows, bool)
+        change[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        edges = np.append(np.flatnonzero(change), table.num_rows)
+        own = table.column("own").to_numpy()
+        code = np.column_stack([table.column(f"w{k}").to_numpy() for k in range(words)])
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if e - s > 1:
+                yield table.slice(s, e - s), int(keys[0][s]), int(keys[2][s]), int(keys[3][s]), code[s:e], own[s:e]
+
+
+def links_of(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (u, v)], ["u", "v"])
+
+
+def tree_links(nodes: DataFrame, trees: list[Slice] | list[Sample], radius: int, *, words: int = 1, leaf: int = 1024) -> DataFrame:
+    """Links (u, v) between nodes (node, code: array of so many longs) at `radius` differing bits or fewer, for all pairs that
+    share a leaf and lie within inner there: of each leaf a spanning forest, so links join all that those pairs connect.
+
+    node is distinct and not null. leaf is the number of nodes that a leaf should hold; one of more than four
+    times that is cut into blocks.
+    """
+    held = nodes.sparkSession.sparkContext.broadcast(trees)
+    placed = written(placed_nodes(nodes, trees, words), "placed")
+    crowded = written(crowded_leaves(placed, leaf), "crowded")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(table: pa.Table) -> pa.RecordBatch:
-            keys = [table.column(c).to_numpy() for c in KEY]
-            change = np.ones(table.num_rows, bool)
-            change[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-            edges = np.append(np.flatnonzero(change), table.num_rows)
-            node, own = table.column("node").to_numpy(), table.column("own").to_numpy()
-            code = np.column_stack([table.column(n).to_numpy() for n in names])
-            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if e - s > 1:
-                    tree = held.value[int(keys[0][s])]
-                    x, y = compare(code[s:e], tree.values(code[s:e]), own[s:e], int(keys[2][s]), int(keys[3][s]), radius, tree.inner)
-                    u.append(node[s + x])
-                    v.append(node[s + y])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
-
-        kept: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            kept.append(batch)
-            rows += batch.num_rows
-            if rows < 1 << 17:
-                continue
-            table = pa.Table.from_batches(kept)
-            same = np.all([table.column(c).to_numpy() == table.column(c)[-1].as_py() for c in KEY], axis=0)
-            open_from = int(np.argmax(same))
-            if open_from:
-                yield of(table.slice(0, open_from))
-            kept = table.slice(open_from).to_batches()
-            rows = table.num_rows - open_from
-        if kept:
-            yield of(pa.Table.from_batches(kept))
-
-    found = tasks.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(link, "u long, v long")
+        for rows, tree, i, j, code, own in each_task(batches, words):
+            x, y = compare(code, held.value[tree].values(code), own, i, j, radius, held.value[tree].inner)
+            node = rows.column("node").to_numpy()
+            yield links_of([node[x]], [node[y]])
+
+    found = leaf_tasks(placed, crowded).repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(link, "u long, v long")
     links = written(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     forget(placed, crowded)
     return links
 
 
+def disputed(nodes: DataFrame, trees: list[Slice] | list[Sample], radius: int, *, words: int = 1, leaf: int = 1024) -> DataFrame:
+    """Rows of leaf_tasks of those nodes (node, code, label) that lie within radius of one with another label there.
+
+    What leaves a task is a row a node, not the pairs.
+    """
+    held = nodes.sparkSession.sparkContext.broadcast(trees)
+    placed = written(placed_nodes(nodes, trees, words, ("label",)), "placed")
+    crowded = written(crowded_leaves(placed, leaf), "crowded")
+    tasks = leaf_tasks(placed, crowded)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, tree, i, j, code, own in each_task(batches, words):
+            label, met = rows.column("label").to_numpy(), np.zeros(len(code), bool)
+            for x, y, _ in close_pairs(code, held.value[tree].values(code), own, i, j, radius, held.value[tree].inner):
+                other = label[x] != label[y]
+                met[x[other]] = met[y[other]] = True
+            yield from rows.filter(pa.array(met)).to_batches()
+
+    found = written(tasks.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(pick, tasks.schema), "disputed")
+    forget(placed, crowded)
+    return found
+
+
+def root(parents: dict[int, int], label: int) -> int:
+    while parents.setdefault(label, label) != label:
+        parents[label] = label = parents[parents[label]]
+    return label
+
+
+def settled(open_rows: DataFrame, sets: DataFrame, trees: list[Slice] | list[Sample], radius: int, least: float, *, words: int = 1) -> DataFrame:
+    """Links (u, v) that join what disputed rows left apart: pairs within radius whose sets (node, hashes: sorted, distinct) have a
+    Jaccard similarity of `least` or more. Of each pair of blocks a spanning forest over labels leaves the task."""
+    held = open_rows.sparkSession.sparkContext.broadcast(trees)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, tree, i, j, code, own in each_task(batches, words, 1 << 12):
+            node, label = rows.column("node").to_numpy(), rows.column("label").to_numpy()
+            hashes = rows.column("hashes").combine_chunks()
+            flat, offsets = hashes.values.to_numpy(), hashes.offsets.to_numpy()
+            sets_ = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+            parents: dict[int, int] = {}
+            u, v = [], []
+            for x, y, far in close_pairs(code, held.value[tree].values(code), own, i, j, radius, held.value[tree].inner):
+                for k in np.argsort(far, kind="stable").tolist():
+                    p, q = int(x[k]), int(y[k])
+                    one, two = root(parents, int(label[p])), root(parents, int(label[q]))
+                    if one != two and jaccard(sets_[p], sets_[q], least):
+                        parents[one] = two
+                        u.append(node[p : p + 1])
+                        v.append(node[q : q + 1])
+            yield links_of(u, v)
+
+    tasks = open_rows.join(sets, "node").repartition(*KEY).sortWithinPartitions(*KEY)
+    found = tasks.mapInArrow(judge, "u long, v long")
+    return written(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "settled")
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 4, seed: int = 42, radius: int = 4, leaf: int = 1024) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row.
 
@@ -338,6 +406,14 @@ def similarity(a: str, b: str, words: int) -> float:
     return both / (len(x) + len(y) - both) if x or y else 1.0
 
 
+def jaccard(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted arrays of distinct values have this similarity; two empty ones have."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
+
 def apart(least: float, bits: int, deviations: float = 3.5) -> int:
     """Differing bits that a pair of shingle sets of equal sizes at this Jaccard similarity stays within, but for chance."""
     p = math.acos(2 * least / (1 + least)) / math.pi
@@ -349,7 +425,10 @@ def near_copies(docs: DataFrame, *, words: int = 5, least: float = 0.8, miss: fl
     word shingle sets have a Jaccard similarity of `least` or more.
 
     count fingerprints of 64 bits a text: a pair at the least similarity is missed with chance `miss`, closer
-    pairs more seldom. Every link is checked on the whole texts before it counts; texts with equal codes are copies. Texts without
+    pairs more seldom. Links are checked on the whole texts before they count. First come the forests that are nearest by
+    fingerprint; since a link of theirs may fail where a farther pair would not, what they leave apart is looked at
+    again: every node within reach of one of another component brings its hashed shingles to the leaf, where all such
+    pairs are checked. Texts with equal codes are copies. Texts without
     words (null, empty) are copies of each other. component_id is the smallest doc_id reachable; a row with a
     null doc_id names no component and gets null. Repeated rows each give a row, an empty table gives an
     empty table, other columns are ignored.
@@ -365,25 +444,39 @@ def near_copies(docs: DataFrame, *, words: int = 5, least: float = 0.8, miss: fl
     one = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row"))
     nodes = written(prints.groupBy("node").agg(F.first("code").alias("code"), one.alias("one")).select("node", "code", F.col("one.doc_id").alias("first"), F.col("one.row").alias("row")), "nodes")
     trees = bit_samples(nodes.count(), count, leaf, 1 - math.acos(2 * least / (1 + least)) / math.pi, miss, apart(least, BITS))
-    links = tree_links(nodes.select("node", "code"), trees, apart(least, BITS * count), words=count, leaf=leaf)
+    reach = apart(least, BITS * count)
+    links = tree_links(nodes.select("node", "code"), trees, reach, words=count, leaf=leaf)
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """node and the text of one row of each of these nodes."""
+        ones = nodes.join(wanted, "node", "left_semi").select("node", F.col("first").alias("w_id"), F.col("row").alias("w_row"))
+        return own.join(ones, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row"))).select("node", "text").dropDuplicates(["node"])
 
-    # The texts of linked nodes alone, one each.
     linked = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
-    wanted = nodes.join(linked, "node", "left_semi").select("node", F.col("first").alias("w_id"), F.col("row").alias("w_row"))
-    texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row"))).select("node", "text").dropDuplicates(["node"])
-    texts = written(texts, "texts")
+    texts = written(texts_of(linked), "texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, column="a"):
             good = [similarity(a, b, words) >= least for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            found = [np.unique(shingle_hashes(x, words, 42)).view(np.int64) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"])
+
     pairs = links.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     sure = written(pairs.select("u", "v", "a", "b").mapInArrow(check, "u long, v long"), "sure")
     forget(links, texts)
     parts = connected_components(sure)
+    labelled = written(nodes.join(parts, "node", "left").select("node", "code", F.coalesce("component", "node").alias("label")), "labelled")
+    open_rows = disputed(labelled, trees, reach, words=count, leaf=leaf)
+    sets = written(texts_of(open_rows.select("node").distinct()).mapInArrow(hashed, "node long, hashes array<long>"), "sets")
+    more = settled(open_rows, sets, trees, reach, least, words=count)
+    forget(open_rows, sets, labelled)
+    parts = connected_components(sure.unionByName(more))
     named = nodes.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = written(named.join(smallest, "component").select("node", "component_id"), "classes")
-    forget(nodes, sure)
+    forget(nodes, sure, more)
     return prints.join(classes, "node").select("doc_id", "row", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
