@@ -1,13 +1,13 @@
 """Trajectory compression: breakpoints by recursive distance splitting, per flight.
 
-A flight may be of any length. Every round finds the first largest error of each open span by an aggregation;
-spans of up to SMALL points are then finished in one group each, and the points of larger ones go to the two
-new spans, in a table in the shared folder, until no large span splits.
+A flight may be of any length. Flights of up to SMALL points are finished at once, many to a batch. For longer
+ones every round finds the first largest error of each open span by an aggregation; spans of up to SMALL points are
+then finished likewise, and the points of larger ones go to the two new spans, in a table in the shared folder, until no large span splits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -67,20 +67,47 @@ def series_breakpoints(t: np.ndarray, y: np.ndarray, tolerance: float) -> np.nda
     return breakpoints(len(t), errors, tolerance)
 
 
-def _finish(tolerances: dict[int, float]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Marks inside one span of at most SMALL points, whose ends each row carries."""
+def _finish(tolerances: dict[int, float]) -> Callable[[pd.DataFrame], np.ndarray]:
+    """Which rows to mark inside one span of at most SMALL points, whose ends each row carries; rows are in order of t and o."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "o"], kind="stable")
+    def one(rows: pd.DataFrame) -> np.ndarray:
         ends = rows.iloc[0]
         u, v = (np.concatenate(([ends[f"a{c}"]], rows[c].to_numpy(), [ends[f"z{c}"]])) for c in "uv")
         kind = int(ends["kind"])
-        keep = (spatial_breakpoints if kind == LATERAL else series_breakpoints)(u, v, tolerances[kind])
-        return rows[keep[1:-1]][["flight_id", "kind", "t", "o", "lat", "lon", "geoaltitude"]]
+        return (spatial_breakpoints if kind == LATERAL else series_breakpoints)(u, v, tolerances[kind])[1:-1]
 
     return one
 
 
+#: A span: its flight, kind and first point.
+KEY = ["flight_id", "kind", "at", "ao"]
+MARK = ["flight_id", "kind", "t", "o", "lat", "lon", "geoaltitude"]
+
+
+def _finish_spans(spans: DataFrame, finish: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """Marks of whole spans. Many small ones share a batch; the last of a batch waits for its rows in the next."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def marked(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+            edges = np.append(starts, len(rows))
+            keep = [finish(rows.iloc[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+            return rows.loc[np.concatenate(keep), MARK]
+
+        rest = None
+        for frame in frames:
+            rows = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            new = np.ones(len(rows), bool)
+            new[1:] = np.any([rows[k].to_numpy()[1:] != rows[k].to_numpy()[:-1] for k in KEY], axis=0)
+            starts = np.flatnonzero(new)
+            if len(starts) > 1:
+                yield marked(rows.iloc[: starts[-1]], starts[:-1])
+            rest = rows.iloc[starts[-1] :].reset_index(drop=True) if len(starts) else rest
+        if rest is not None and len(rest):
+            yield marked(rest, np.array([0]))
+
+    return spans.repartition(*KEY).sortWithinPartitions(*KEY, "t", "o").mapInPandas(each, "flight_id string, kind int, t long, o long, lat double, lon double, geoaltitude double")
+
+
 def compress(tracks: DataFrame, lateral_m: float = 100.0, altitude_m: float = 50.0) -> DataFrame:
     """Kept rows (flight_id, time, lat, lon, geoaltitude, mask) of complete tracks (flight_id, time, ordinal, lat, lon, geoaltitude).
 
@@ -90,7 +117,7 @@ def compress(tracks: DataFrame, lateral_m: float = 100.0, altitude_m: float = 50
     point = F.struct("t", "o", "lat", "lon", "geoaltitude")
     # Sums of integers: the plane about the means is the same however rows are dealt.
     mean = lambda c: F.sum(F.round(F.col(c) * 1e7).cast("long")) / F.count("*") / 1e7
-    flights = written(rows.groupBy("flight_id").agg(F.min(point).alias("first"), F.max(point).alias("last"), mean("lat").alias("lat0"), mean("lon").alias("lon0")), "flights")
+    flights = written(rows.groupBy("flight_id").agg(F.min(point).alias("first"), F.max(point).alias("last"), mean("lat").alias("lat0"), mean("lon").alias("lon0"), F.count("*").alias("n")), "flights")
 
     def plane(kind: int, lat: Column, lon: Column, t: Column, altitude: Column) -> tuple[Column, Column]:
         if kind == ALTITUDE:
@@ -102,7 +129,7 @@ def compress(tracks: DataFrame, lateral_m: float = 100.0, altitude_m: float = 50
     for kind in (LATERAL, ALTITUDE):
         names = {"": "", "a": "first.", "z": "last."}
         places = {f"{p}{c}": e for p, at in names.items() for c, e in zip("uv", plane(kind, *(F.col(f"{at}{c}") for c in ("lat", "lon", "t", "geoaltitude"))))}
-        part = inner.select("flight_id", F.lit(kind).alias("kind"), "t", "o", "lat", "lon", "geoaltitude", F.col("first.t").alias("at"), F.col("first.o").alias("ao"), *(e.alias(n) for n, e in places.items()))
+        part = inner.select("flight_id", F.lit(kind).alias("kind"), "t", "o", "lat", "lon", "geoaltitude", F.col("first.t").alias("at"), F.col("first.o").alias("ao"), *(e.alias(n) for n, e in places.items()), "n")
         spans = part if spans is None else spans.unionByName(part)
 
     tolerances = {LATERAL: lateral_m, ALTITUDE: altitude_m}
@@ -112,25 +139,26 @@ def compress(tracks: DataFrame, lateral_m: float = 100.0, altitude_m: float = 50
     across = F.when(length == 0, F.hypot(px, py)).otherwise(F.abs(dx * py - dy * px) / length)
     above = F.abs(F.col("v") - (F.col("av") + F.when(dx == 0, 0.0).otherwise(dy / dx) * px))
     limit = F.when(F.col("kind") == LATERAL, F.lit(lateral_m)).otherwise(F.lit(altitude_m))
-    key, mark = ["flight_id", "kind", "at", "ao"], ["flight_id", "kind", "t", "o", "lat", "lon", "geoaltitude"]
-    ends = [flights.select("flight_id", F.lit(LATERAL | ALTITUDE).alias("kind"), f"{e}.*").select(*mark) for e in ("first", "last")]
-    marks, finish = ends[0].unionByName(ends[1]), _finish(tolerances)
-    kinds = "flight_id string, kind int, t long, o long, lat double, lon double, geoaltitude double"
-    spans = written(spans, "spans")
-    while True:
+    ends = [flights.select("flight_id", F.lit(LATERAL | ALTITUDE).alias("kind"), f"{e}.*").select(*MARK) for e in ("first", "last")]
+    finish = _finish(tolerances)
+    # Short flights need no round.
+    marks = ends[0].unionByName(ends[1]).unionByName(written(_finish_spans(spans.where(F.col("n") <= SMALL).drop("n"), finish), "marks"))
+    long = (flights.agg(F.max("n")).first()[0] or 0) > SMALL
+    spans = written(spans.where(F.col("n") > SMALL).drop("n"), "spans")
+    while long:
         # The first largest error of each span, and whether its points fit in a task.
         worst = F.max(F.struct(F.when(F.col("kind") == LATERAL, across).otherwise(above).alias("e"), (-F.col("t")).alias("t"), (-F.col("o")).alias("o"), "u", "v", "lat", "lon", "geoaltitude"))
-        found = written(spans.groupBy(*key).agg(worst.alias("m"), F.count("*").alias("size")).where(F.col("m.e") > limit), "splits")
-        small = spans.join(found.where(F.col("size") <= SMALL).select(*key), key)
-        marks = marks.unionByName(written(small.groupBy(*key).applyInPandas(finish, kinds), "marks"))
-        large = found.where(F.col("size") > SMALL).select(*key, (-F.col("m.t")).alias("mt"), (-F.col("m.o")).alias("mo"), F.col("m.u").alias("mu"), F.col("m.v").alias("mv"), "m.lat", "m.lon", "m.geoaltitude")
+        found = written(spans.groupBy(*KEY).agg(worst.alias("m"), F.count("*").alias("size")).where(F.col("m.e") > limit), "splits")
+        small = spans.join(found.where(F.col("size") <= SMALL).select(*KEY), KEY)
+        marks = marks.unionByName(written(_finish_spans(small, finish), "marks"))
+        large = found.where(F.col("size") > SMALL).select(*KEY, (-F.col("m.t")).alias("mt"), (-F.col("m.o")).alias("mo"), F.col("m.u").alias("mu"), F.col("m.v").alias("mv"), "m.lat", "m.lon", "m.geoaltitude")
         if not large.head(1):
             break
         marks = marks.unionByName(large.select("flight_id", "kind", F.col("mt").alias("t"), F.col("mo").alias("o"), "lat", "lon", "geoaltitude"))
         before = F.struct("t", "o") < F.struct("mt", "mo")
-        joined = spans.join(large.select(*key, "mt", "mo", "mu", "mv"), key).where(F.struct("t", "o") != F.struct("mt", "mo"))
+        joined = spans.join(large.select(*KEY, "mt", "mo", "mu", "mv"), KEY).where(F.struct("t", "o") != F.struct("mt", "mo"))
         moved = {f"{p}{c}": F.when(before if p == "z" else ~before, F.col(f"m{c}")).otherwise(F.col(f"{p}{c}")).alias(f"{p}{c}") for p, cs in (("a", "touv"), ("z", "uv")) for c in cs}
-        spans, done = written(joined.select(*mark, "u", "v", *moved.values()), "spans"), spans
+        spans, done = written(joined.select(*MARK, "u", "v", *moved.values()), "spans"), spans
         forget(done)
     forget(spans)
     return marks.groupBy("flight_id", "t", "o").agg(F.bit_or("kind").alias("mask"), *(F.min(c).alias(c) for c in ("lat", "lon", "geoaltitude"))).select("flight_id", F.col("t").alias("time"), "lat", "lon", "geoaltitude", "mask")
@@ -144,3 +172,16 @@ def compressed_flights(tracks: DataFrame, kept: DataFrame, lateral_m: float = 10
     by = kept.groupBy("flight_id").agg(points.alias("points"), times(LATERAL).alias("lateral_breakpoint_times"), times(ALTITUDE).alias("altitude_breakpoint_times"), F.count("*").alias("compressed_point_count"))
     joined = raw.join(by, "flight_id")
     return joined.select("flight_id", "first.callsign", "first.icao24", "points", "lateral_breakpoint_times", "altitude_breakpoint_times", "first_time", "last_time", "raw_point_count", "compressed_point_count", F.lit(lateral_m).alias("lateral_tolerance_m"), F.lit(altitude_m).alias("altitude_tolerance_m"))
+
+
+def resampled(samples: DataFrame, starts: DataFrame) -> DataFrame:
+    """Samples at offsets from a start as tracks for compress(): whole seconds, rounded half to even, the last sample of equal times kept.
+
+    samples: flight_id, idx, t, lat, lon, h; starts: flight_id, callsign, icao24, seed_time. A flight without a
+    start, a sample without a place, height or offset, and a null flight are left out.
+    """
+    time = F.rint(F.col("seed_time") + F.col("t")).cast("long")
+    placed = samples.dropna(subset=["t", "lat", "lon", "h"]).join(starts, "flight_id")
+    rows = placed.select("flight_id", "callsign", "icao24", time.alias("time"), "lat", "lon", F.col("h").alias("geoaltitude"), F.col("idx").cast("long").alias("ordinal"))
+    latest = F.max_by(F.struct("callsign", "icao24", "lat", "lon", "geoaltitude", "ordinal"), "ordinal").alias("last")
+    return rows.where("time is not null").groupBy("flight_id", "time").agg(latest).select("flight_id", "last.callsign", "last.icao24", "time", "last.lat", "last.lon", "last.geoaltitude", "last.ordinal")

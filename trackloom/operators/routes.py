@@ -109,14 +109,42 @@ def waypoint_distances(waypoints: DataFrame, samples: DataFrame) -> DataFrame:
     return pairs.groupBy("route_id", "identifier").agg(near.alias("n")).select("route_id", "identifier", F.col("n.s").alias("s"))
 
 
-def along(samples: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (route_id, s and anything else) with the path's position, wrapped track and curvature at s."""
-    keep = ["east_m", "north_m", "track_rad", "curvature"]
-    arrays = samples.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("s", *keep))).alias("p"))
-    pick = lambda c: F.transform("p", lambda v: v[c])
-    joined = wanted.join(arrays, "route_id")
-    out = joined.withColumns({f"ref_{c}": interp.value_at(pick("s"), pick(c), F.col("s")) for c in keep}).drop("p")
-    return out.withColumn("ref_track_rad", geo.wrap_rad(F.col("ref_track_rad")))
+PATH = ("east_m", "north_m", "track_rad", "curvature")
+
+
+def along(samples: DataFrame, wanted: DataFrame, slots: int = 4) -> DataFrame:
+    """wanted (route_id, s and anything else) with the path's position, track, curvature and left normal at s: ref_east_m and so on.
+
+    An as-of join: states and samples are sorted together by route and s, and each state takes the line between the
+    last sample at or before it and the first at or after it; beyond the ends the path's end holds. Tracks turn the short
+    way between samples and are wrapped, whether samples wrap theirs or not. The states of a route are dealt to
+    `slots` tasks, each with all samples of the route, so there is one shuffle, and memory does not grow with either.
+    A route without samples, or a null s, gives nulls; repeated states each give a row. Samples of a route differ in s.
+    """
+    point = F.struct("s", *PATH)
+    dealt = F.pmod(F.xxhash64(*wanted.columns), F.lit(slots)).cast("int")
+    states = wanted.select("route_id", F.col("s").alias("at_"), dealt.alias("slot_"), F.struct(*wanted.columns).alias("state_"), F.lit(None).cast(samples.select(point.alias("x")).schema["x"].dataType).alias("sample_"))
+    marks = samples.where("s is not null").select("route_id", F.col("s").alias("at_"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot_"), F.lit(None).cast(states.schema["state_"].dataType).alias("state_"), point.alias("sample_"))
+    by = Window.partitionBy("route_id", "slot_")
+    # At one distance a sample comes before a state, in either direction.
+    kind = F.col("state_").isNotNull()
+    side = lambda way: F.last("sample_", True).over(by.orderBy(way, kind).rowsBetween(Window.unboundedPreceding, 0))
+    met = states.unionByName(marks).withColumns({"before_": side(F.asc("at_")), "after_": side(F.desc("at_"))}).where(kind)
+    a, b = F.coalesce("before_", "after_"), F.coalesce("after_", "before_")
+    known = F.col("at_").isNotNull()
+    line = lambda y0, y1: F.when(known, interp.between(a["s"], y0, b["s"], y1, F.col("at_")))
+    turned = a["track_rad"] + geo.wrap_rad(b["track_rad"] - a["track_rad"])
+    found = {f"ref_{c}": geo.wrap_rad(line(a[c], turned)) if c == "track_rad" else line(a[c], b[c]) for c in PATH}
+    out = met.select("state_.*", *(v.alias(n) for n, v in found.items()))
+    return out.withColumns({"normal_east": -F.sin("ref_track_rad"), "normal_north": F.cos("ref_track_rad")})
+
+
+def on_path(samples: DataFrame, states: DataFrame) -> DataFrame:
+    """states (route_id, s, cross_track_m, heading_offset_rad and others) with their position and heading: east_m, north_m, psi_rad, beside what along() gives."""
+    met = along(samples, states)
+    east = F.col("ref_east_m") + F.col("cross_track_m") * F.col("normal_east")
+    north = F.col("ref_north_m") + F.col("cross_track_m") * F.col("normal_north")
+    return met.withColumns({"east_m": east, "north_m": north, "psi_rad": geo.wrap_rad(F.col("ref_track_rad") + F.col("heading_offset_rad"))})
 
 
 def lateral_command(states: DataFrame, wind_east: float = 0.0, wind_north: float = 0.0, lookahead_m: float = 1500.0, cross_gain: float = 1.0, track_gain: float = 2.0) -> DataFrame:

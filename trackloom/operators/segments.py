@@ -23,9 +23,13 @@ def within_box(tracks: DataFrame, west: float, east: float, south: float, north:
 
 
 def latest_per_minute(tracks: DataFrame) -> DataFrame:
-    """All rows at the last time of each minute (ties stay)."""
-    minute = Window.partitionBy(F.floor(F.col("time") / 60))
-    return tracks.withColumn("latest", F.max("time").over(minute)).where("time = latest").drop("latest")
+    """All rows at the last time of each minute (ties stay); rows without a time go.
+
+    The last times are aggregated before they meet the rows by a join, which adaptive execution splits at a crowded minute.
+    """
+    latest = tracks.groupBy(F.floor(F.col("time") / 60).alias("of_minute")).agg(F.max("time").alias("latest"))
+    met = tracks.join(latest, F.floor(F.col("time") / 60) == F.col("of_minute"))
+    return met.where("time = latest").drop("latest", "of_minute")
 
 
 def keep_last(tracks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ Integer arithmetic makes the derived positions the same in every engine. The run
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.session import reach_workers
@@ -62,17 +62,17 @@ def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order and line number, with the least value of each other column."""
-    line = read(spark, sf_dir, "lineitem")
+    """Every order line, numbered anew from 1 in its order by line number and then all other columns: repeated numbers are lines too."""
     rest = ["l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag"]
-    return line.groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in rest))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", *rest)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(order).alias("l_linenumber"), *rest)
 
 
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Procedure legs from order lines: one procedure per order, its lines in sequence."""
     line = lines(spark, sf_dir)
     return line.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"),
+        (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("line_no"),
         F.element_at(F.array(F.lit("PD"), F.lit("PE"), F.lit("PF")), (F.col("l_orderkey") / 10 % 3 + 1).cast("int")).alias("section_code"),
         F.concat(F.lit("P"), F.col("l_orderkey").cast("string")).alias("sid_star_approach_identifier"),
         F.lit("4").alias("route_type"),

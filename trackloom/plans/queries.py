@@ -23,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 # SQL pieces that several oracles share.
-LINES = "(SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity, min(l_discount) AS l_discount, min(l_tax) AS l_tax, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)"
+LINES = "(SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_returnflag)::INT AS l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_returnflag FROM lineitem)"
 TRACKS = """track AS (
   SELECT concat('FL', user_id, 'a', user_id) AS flight_id, concat('FL', user_id) AS callsign, concat('a', user_id) AS icao24,
     epoch_us(ts) / 1e6::DOUBLE AS time, 32.9157::DOUBLE + (event_id % 97 - 48) * 0.004::DOUBLE AS lat, -97.026::DOUBLE + (event_id % 89 - 44) * 0.005::DOUBLE AS lon,
@@ -43,7 +43,7 @@ FIXES = """fix AS (
   SELECT concat('FX', s_suppkey) AS identifier, s_suppkey AS place_ord, 32.9157::DOUBLE + (s_suppkey * 7 % 97 - 48) * 0.004::DOUBLE AS place_lat,
     -97.026::DOUBLE + (s_suppkey * 11 % 89 - 44) * 0.005::DOUBLE AS place_lon FROM supplier)"""
 LEGS = f"""leg AS (
-  SELECT l_orderkey * 10 + l_linenumber AS line_no, ['PD', 'PE', 'PF'][(l_orderkey // 10 % 3 + 1)::INT] AS section_code, concat('P', l_orderkey) AS proc, concat('T', l_orderkey % 7) AS trans,
+  SELECT l_orderkey * 1000 + l_linenumber AS line_no, ['PD', 'PE', 'PF'][(l_orderkey // 10 % 3 + 1)::INT] AS section_code, concat('P', l_orderkey) AS proc, concat('T', l_orderkey % 7) AS trans,
     l_linenumber * 10 AS seq, CASE WHEN l_partkey % 11 <> 0 THEN concat('X', l_partkey % 40) END AS fix
   FROM {LINES})"""
 PLANS = f"""node AS (
@@ -248,20 +248,20 @@ def order_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_sequences(spark: SparkSession, d: str) -> DataFrame:
-    line = fixture.lines(spark, d).where("l_linenumber <= 2 and l_orderkey % 4 <> 0")
+    line = fixture.lines(spark, d).where("l_returnflag <> 'N'")
     return line.select(F.concat(F.lit("F"), F.col("l_orderkey").cast("string")).alias("flight_id"), F.col("l_partkey").alias("first_time"), (F.col("l_partkey") + 60).alias("last_time"), F.concat(F.lit("A>"), F.col("l_returnflag")).alias("fix_sequence"), F.lit(2).alias("fix_count"), F.col("l_linenumber").alias("ordinal"))
 
 
 def order_trajectories(spark: SparkSession, d: str) -> DataFrame:
-    line = fixture.lines(spark, d).where("l_linenumber = 1 and l_orderkey % 5 <> 0")
+    line = fixture.lines(spark, d).where("l_tax > 0.02")
     return line.select(F.concat(F.lit("F"), F.col("l_orderkey").cast("string")).alias("flight_id"), F.col("l_suppkey").alias("raw_point_count"), F.col("l_linenumber").alias("ordinal"))
 
 
 EVENTS = f"""ev AS (
   SELECT concat('F', o_orderkey) AS flight_id, concat('C', o_custkey) AS callsign, 'abc' AS icao24, CASE o_orderkey % 3 WHEN 0 THEN 'arrival' WHEN 1 THEN 'departure' ELSE 'overflight' END AS operation, o_orderpriority AS runway,
     epoch(o_orderdate)::BIGINT AS event_time, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS event_time_utc FROM orders),
-sq AS (SELECT concat('F', l_orderkey) AS flight_id, l_partkey AS first_time, l_partkey + 60 AS last_time, concat('A>', l_returnflag) AS fix_sequence, 2 AS fix_count, l_linenumber AS ordinal FROM {LINES} WHERE l_linenumber <= 2 AND l_orderkey % 4 <> 0),
-tr AS (SELECT concat('F', l_orderkey) AS flight_id, l_suppkey AS raw_point_count FROM {LINES} WHERE l_linenumber = 1 AND l_orderkey % 5 <> 0)"""
+sq AS (SELECT concat('F', l_orderkey) AS flight_id, l_partkey AS first_time, l_partkey + 60 AS last_time, concat('A>', l_returnflag) AS fix_sequence, 2 AS fix_count, l_linenumber AS ordinal FROM {LINES} WHERE l_returnflag <> 'N'),
+tr AS (SELECT concat('F', l_orderkey) AS flight_id, l_suppkey AS raw_point_count FROM {LINES} WHERE l_tax > 0.02 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1)"""
 
 
 @query(f"WITH {EVENTS} SELECT flight_id, callsign, icao24, event_time AS departure_time, event_time_utc AS departure_time_utc, runway FROM ev WHERE operation = 'departure'")
@@ -319,12 +319,12 @@ def scoped_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     RUNS
-    + """, o AS (SELECT *, lag(fix) OVER (PARTITION BY g, island ORDER BY place) AS b FROM run), p AS (SELECT DISTINCT g, island, b, fix FROM o WHERE b IS NOT NULL), base AS (SELECT b, fix FROM p WHERE g % 3 = 0),
+    + """, o AS (SELECT *, lag(fix) OVER (PARTITION BY g, island ORDER BY place) AS b FROM run), p AS (SELECT DISTINCT g, island, b, fix FROM o WHERE b IS NOT NULL), base AS (SELECT b, fix FROM p WHERE g % 97 = 0),
 w AS (SELECT b, fix, min((g, island)) AS k FROM p GROUP BY 1, 2) SELECT k[1] AS group_line, count(*) AS new_links FROM w WHERE (b, fix) NOT IN (SELECT (b, fix) FROM base) GROUP BY k, k[1]"""
 )
 def supplement_links(spark: SparkSession, d: str) -> DataFrame:
     runs = nav.scoped_runs(fixture.legs(spark, d), scope(spark), nav.GROUP)
-    base = nav.links(runs.where("run.group_line % 3 = 0").withColumn("g", F.col("run").cast("string")), ["g"])
+    base = nav.links(runs.where("run.group_line % 97 = 0").withColumn("g", F.col("run").cast("string")), ["g"])
     return nav.supplement(runs, base).select(F.col("run.group_line").alias("group_line"), "new_links")
 
 
@@ -556,8 +556,8 @@ def interp_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH env AS (SELECT l_orderkey AS k, l_linenumber * 10.0::DOUBLE AS s, l_quantity AS lower, l_quantity + 20.0::DOUBLE AS upper FROM {LINES} WHERE l_linenumber IN (1, 3, 5)),
-con AS (SELECT k, s, max(lower) AS least, min(upper) AS most FROM (SELECT l_orderkey AS k, floor(l_linenumber / 2) * 10.0::DOUBLE + 10.0::DOUBLE AS s, l_quantity - 5.0::DOUBLE AS lower, l_quantity + 10.0::DOUBLE AS upper FROM {LINES} WHERE l_linenumber IN (2, 3, 6)) GROUP BY 1, 2),
+    f"""WITH env AS (SELECT l_orderkey AS k, l_linenumber * 10.0::DOUBLE AS s, l_quantity AS lower, l_quantity + 20.0::DOUBLE AS upper FROM {LINES} WHERE l_linenumber % 2 = 1),
+con AS (SELECT k, s, max(lower) AS least, min(upper) AS most FROM (SELECT l_orderkey AS k, floor(l_linenumber / 2) * 10.0::DOUBLE + 10.0::DOUBLE AS s, l_quantity - 5.0::DOUBLE AS lower, l_quantity + 10.0::DOUBLE AS upper FROM {LINES} WHERE l_linenumber % 3 <> 1) GROUP BY 1, 2),
 g AS (SELECT k, s FROM env UNION SELECT con.k, con.s FROM con WHERE k IN (SELECT k FROM env)),
 b AS (SELECT g.*, (SELECT max({{'s': e.s, 'l': e.lower, 'u': e.upper}}) FROM env e WHERE e.k = g.k AND e.s <= g.s) AS lo, (SELECT min({{'s': e.s, 'l': e.lower, 'u': e.upper}}) FROM env e WHERE e.k = g.k AND e.s >= g.s) AS hi FROM g),
 v AS (SELECT k, s, CASE WHEN lo IS NULL THEN hi.l WHEN hi IS NULL OR lo.s = hi.s THEN lo.l ELSE lo.l + (hi.l - lo.l) * (s - lo.s) / (hi.s - lo.s) END AS l, CASE WHEN lo IS NULL THEN hi.u WHEN hi IS NULL OR lo.s = hi.s THEN lo.u ELSE lo.u + (hi.u - lo.u) * (s - lo.s) / (hi.s - lo.s) END AS u FROM b)
@@ -565,8 +565,8 @@ SELECT v.k AS l_orderkey, v.s, round(greatest(l, coalesce(least, l)), 9) AS lowe
 )
 def envelope_tighten(spark: SparkSession, d: str) -> DataFrame:
     line = fixture.lines(spark, d)
-    env = line.where("l_linenumber in (1, 3, 5)").select("l_orderkey", (F.col("l_linenumber") * 10.0).alias("s"), F.col("l_quantity").alias("lower"), (F.col("l_quantity") + 20.0).alias("upper"))
-    con = line.where("l_linenumber in (2, 3, 6)").select("l_orderkey", (F.floor(F.col("l_linenumber") / 2) * 10.0 + 10.0).alias("s"), (F.col("l_quantity") - 5.0).alias("lower"), (F.col("l_quantity") + 10.0).alias("upper"))
+    env = line.where("l_linenumber % 2 = 1").select("l_orderkey", (F.col("l_linenumber") * 10.0).alias("s"), F.col("l_quantity").alias("lower"), (F.col("l_quantity") + 20.0).alias("upper"))
+    con = line.where("l_linenumber % 3 <> 1").select("l_orderkey", (F.floor(F.col("l_linenumber") / 2) * 10.0 + 10.0).alias("s"), (F.col("l_quantity") - 5.0).alias("lower"), (F.col("l_quantity") + 10.0).alias("upper"))
     return profiles.tighten(env, con, "l_orderkey").select("l_orderkey", "s", F.round("lower", 9).alias("lower"), F.round("upper", 9).alias("upper"), "crossed")
 
 
@@ -587,8 +587,8 @@ def between_sql(c: str) -> str:
 
 
 @query(
-    f"""WITH env AS (SELECT l_orderkey AS k, l_linenumber * 10.0::DOUBLE AS s, {", ".join(f"{x} AS {n}" for n, x in nine_curves("l_quantity::DOUBLE"))} FROM {LINES} WHERE l_linenumber IN (1, 3, 5)),
-con AS (SELECT l_orderkey AS k, l_linenumber * 10.0::DOUBLE + 5.0::DOUBLE AS s, l_quantity::DOUBLE AS h_lower, l_quantity::DOUBLE + 9.0 AS h_upper, l_quantity::DOUBLE * 2.0 AS cas_upper FROM {LINES} WHERE l_linenumber IN (2, 6)),
+    f"""WITH env AS (SELECT l_orderkey AS k, l_linenumber * 10.0::DOUBLE AS s, {", ".join(f"{x} AS {n}" for n, x in nine_curves("l_quantity::DOUBLE"))} FROM {LINES} WHERE l_linenumber % 2 = 1),
+con AS (SELECT l_orderkey AS k, l_linenumber * 10.0::DOUBLE + 5.0::DOUBLE AS s, l_quantity::DOUBLE AS h_lower, l_quantity::DOUBLE + 9.0 AS h_upper, l_quantity::DOUBLE * 2.0 AS cas_upper FROM {LINES} WHERE l_linenumber % 2 = 0),
 g AS (SELECT k, s FROM env UNION SELECT k, s FROM con WHERE k IN (SELECT k FROM env)),
 b AS (SELECT g.*, (SELECT arg_max(e, e.s) FROM env e WHERE e.k = g.k AND e.s <= g.s) AS lo, (SELECT arg_min(e, e.s) FROM env e WHERE e.k = g.k AND e.s >= g.s) AS hi FROM g),
 v AS (SELECT k, s, {", ".join(f"{between_sql(n)} AS {n}" for n, _ in nine_curves(""))} FROM b),
@@ -599,8 +599,8 @@ def envelope_nine(spark: SparkSession, d: str) -> DataFrame:
     line, q = fixture.lines(spark, d), F.col("l_quantity").cast("double")
     curves = [c for pair in NINE for c in pair if c]
     values = {c: q * (k + 1.0) + (0.0 if c == low else 20.0) for k, (low, high) in enumerate(NINE) for c in (low, high) if c}
-    env = line.where("l_linenumber in (1, 3, 5)").select("l_orderkey", (F.col("l_linenumber") * 10.0).alias("s"), *(values[c].alias(c) for c in curves))
-    con = line.where("l_linenumber in (2, 6)").select("l_orderkey", (F.col("l_linenumber") * 10.0 + 5.0).alias("s"), q.alias("h_lower"), (q + 9.0).alias("h_upper"), (q * 2.0).alias("cas_upper"))
+    env = line.where("l_linenumber % 2 = 1").select("l_orderkey", (F.col("l_linenumber") * 10.0).alias("s"), *(values[c].alias(c) for c in curves))
+    con = line.where("l_linenumber % 2 = 0").select("l_orderkey", (F.col("l_linenumber") * 10.0 + 5.0).alias("s"), q.alias("h_lower"), (q + 9.0).alias("h_upper"), (q * 2.0).alias("cas_upper"))
     return profiles.tighten(env, con, "l_orderkey", NINE).select("l_orderkey", "s", *(F.round(c, 6).alias(c) for c in curves), "crossed")
 
 
@@ -688,14 +688,14 @@ def margin_families(spark: SparkSession, d: str) -> DataFrame:
 a AS (SELECT plan_id, max(s) AS reach, greatest(max(s) / greatest(count(*) - 1, 1), 1.0) AS ds, greatest(max(abs("cross")), 100.0::DOUBLE) AS cu, avg(ov * ov) AS o2, avg(dg * dg) AS g2, avg("cross" * "cross") AS c2, avg(heading_error * heading_error) AS e2, avg(bank * bank) AS b2, avg(roll * roll) AS r2,
   max(abs(ov)) AS po, coalesce(max(abs(dg)), 0.0) AS pg, max(abs("cross")) AS pc, max(abs(heading_error)) AS pe, max(abs(bank)) AS pb, max(abs(roll)) AS pr FROM o GROUP BY 1),
 x AS (SELECT *, -2.0::DOUBLE * reach / 1000.0 AS f1, 3.0::DOUBLE * reach / 1000.0 * o2 / 1e8::DOUBLE AS f2, coalesce(0.5::DOUBLE * g2 / pow(radians(1.0) * ds / 1000.0, 2), 0.0) AS f3, c2 / (cu * cu) AS f4, e2 / pow(radians(5.0), 2) AS f5, b2 / pow(radians(20.0), 2) AS f6, r2 / 0.0025::DOUBLE AS f7, 10.0::DOUBLE * 0.0025 AS f8 FROM a)
-SELECT plan_id, round(f1 + f2 + f3 + f4 + f5 + f6 + f7 + f8, 6) AS total, round(f1, 6) AS reach_term, round(f2, 6) AS thrust_term, round(f3, 6) AS gamma_term, round(f4, 6) AS cross_term, round(f5, 6) AS heading_error_term, round(f6, 6) AS bank_term, round(f7, 6) AS roll_term, round(f8, 6) AS slack_term,
+SELECT plan_id, round(f1 + f2 + f3 + f4 + f5 + f6 + f7 + f8, 6) AS total, round(f1, 6) AS reach_term, round(f2, 6) AS thrust_term, round(f3, 6) AS gamma_term, round(f4, 8) AS cross_term, round(f5, 6) AS heading_error_term, round(f6, 6) AS bank_term, round(f7, 6) AS roll_term, round(f8, 6) AS slack_term,
   round(sqrt(o2), 6) AS rms_over_idle, round(po, 6) AS peak_over_idle, round(degrees(pg), 6) AS peak_gamma_step_deg, round(pc, 6) AS peak_cross_m, round(degrees(pe), 6) AS peak_heading_error_deg, round(degrees(pb), 6) AS peak_bank_deg, round(pr, 6) AS peak_roll_rate,
   round(ds, 6) AS ds, 10000.0::DOUBLE AS thrust_unit, round(cu, 6) AS cross_unit, 5.0::DOUBLE AS heading_unit_deg, 20.0::DOUBLE AS bank_unit_deg, 0.05::DOUBLE AS roll_unit FROM x"""
 )
 def plan_cost(spark: SparkSession, d: str) -> DataFrame:
     weights = verify.Weights(reach=2.0, thrust=3.0, gamma=0.5, slack=10.0)
     c = verify.cost(fixture.lateral_plan_nodes(spark, d), weights, 10_000.0, 0.05)
-    return c.select("plan_id", *(F.round(n, 6).alias(n) for n in c.columns[1:]))
+    return c.select("plan_id", *(F.round(n, 8 if n == "cross_term" else 6).alias(n) for n in c.columns[1:]))  # eighths of cross_term would be ties at 6
 
 
 @query(

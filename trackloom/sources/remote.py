@@ -1,13 +1,17 @@
-"""Remote position and flight tables over JDBC, and the grid of hours to fetch.
+"""Remote position and flight tables over JDBC, by the hour, and what a local copy of them still lacks.
 
 Credentials come from the caller; nothing is stored here.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.operators import segments
+from trackloom.shared import written
+
 
 def hours(spark: SparkSession, first: str, last: str, zone: str) -> DataFrame:
     """hour_utc of every hour from first to last (both local times of zone, the end included)."""
@@ -33,3 +37,36 @@ def hour_query(table: str, hour_epoch: int, box: tuple[float, float, float, floa
     west, east, south, north = box
     inside = f"hour = {hour_epoch} and lat between {south} and {north} and lon between {west} and {east} and time - lastcontact <= {stale_s}"
     return f"select time, icao24, lat, lon, heading, callsign, geoaltitude from (select *, max(time) over (partition by floor(time / 60)) as latest from {table} where {inside}) as t where time = latest"
+
+
+def read_hours(spark: SparkSession, url: str, table: str, hours_epoch: list[int], *, column: str = "hour", **options: str) -> DataFrame:
+    """The rows of a remote table in the given hours: one partition of the scan an hour, each with a predicate of its own.
+
+    Further filters and the choice of columns are pushed down by Spark. column is spelled as the database spells it. Without hours there are no rows.
+    """
+    wanted = [f'"{column}" = {h}' for h in sorted(hours_epoch)] or ["1 = 0"]
+    return spark.read.jdbc(url, table, predicates=wanted, properties=options)
+
+
+def in_box(found: DataFrame, box: tuple[float, float, float, float], stale_s: float = 15.0) -> DataFrame:
+    """Rows inside (west, east, south, north) with a fresh contact, at the latest time of each minute. The box is part of the remote scan, which is read once."""
+    return segments.latest_per_minute(written(segments.within_box(found, *box, stale_s), "remote"))
+
+
+def fetch_missing(spark: SparkSession, url: str, table: str, hours_epoch: list[int], path: str, box: tuple[float, float, float, float], *, column: str = "hour", **options: str) -> list[int]:
+    """Fetches the hours that the Parquet table at path lacks, each into a partition folder of its own; returns them.
+
+    Whole hours replace what a broken run left of them and touch no other (dynamic overwrite), so a run can be repeated. An hour without
+    rows has no folder and is asked for again. hours_epoch is a grid of hours, thousands at most.
+    """
+    try:
+        held = {r[0] for r in spark.read.parquet(path).select(column).distinct().collect()}
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        held = set()
+    lacking = [h for h in hours_epoch if h not in held]
+    if lacking:
+        rows = in_box(read_hours(spark, url, table, lacking, column=column, **options), box)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    return lacking

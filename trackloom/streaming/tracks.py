@@ -88,7 +88,7 @@ class Newest(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         at = self.columns.index(self.order)
-        held = self.best.get() if self.best.exists() else None
+        held = self.best.get()
         found = held
         for frame in rows:
             top = frame.loc[frame[self.order].idxmax(), self.columns].tolist()
