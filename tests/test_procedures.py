@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import flight, geo, interp, scalars
-from trackloom.operators import nav, profiles, routes, verify
+from trackloom.operators import nav, profiles, proximity, routes, verify
 from trackloom.sources import remote, sinks
 
 
@@ -234,9 +234,9 @@ def test_splines():
 def test_entities_and_encodings(spark):
     lit = F.lit
     text = "&lt;&amp;lt;&#65;&#x20AC;&#X41;&apos;&nbsp;&nosuch;&#x110000;&#99999999999;&#55296;&"
-    r = one(spark, scalars.entities(lit(text)), scalars.entities(lit("")), scalars.entities(lit(None).cast("string")), scalars.quoted_printable(lit("=e9=C3=\r\nx=3dy=zz")), scalars.chart_name(lit(" RNAV, (GPS)  RWY&nbsp;17 _C ")))
+    r = one(spark, scalars.entities(lit(text)), scalars.entities(lit("")), scalars.entities(lit(None).cast("string")), scalars.quoted_printable(lit("=C3=A9=e9=\r\nx=3dy=zz€")), scalars.chart_name(lit(" RNAV, (GPS)  RWY&nbsp;17 _C ")))
     assert r.c0 == "<&lt;A\u20ac&#X41;' &nosuch;&#x110000;&#99999999999;&#55296;&"
-    assert (r.c1, r.c2) == ("", None) and r.c3 == "\xe9\xc3x=y=zz" and r.c4 == "RNAV_(GPS)_RWY_17_C"
+    assert (r.c1, r.c2) == ("", None) and r.c3 == "\xe9\ufffdx=y=zz\u20ac" and r.c4 == "RNAV_(GPS)_RWY_17_C"
 
 
 def test_archived_pages(spark):
@@ -289,3 +289,47 @@ def test_runways_show_eight_airports(spark):
     assert shown == {"RW01": airports[:8], "AAAA": airports[:5]}
     short = nav.parse(spark.createDataFrame([(i, f"SUSAP KAAA {i}") for i in range(15)], "line_no int, line string"))
     assert [r.line_no for r in nav.failure_samples(short, "SUSAP KAAA*").collect()] == list(range(10))
+
+
+def test_strict_pages_and_date_ranges(spark):
+    lit = F.lit
+    page = lit('boundary="b"\n--b\nContent-Type: text/html\n\n<h1>A</h1>=C3=A9<hr>--b--')
+    r = one(spark, scalars.section(scalars.html_part(page, True), "<h1>", "<hr>", True), scalars.html_part(lit("none")), scalars.section(lit("x"), "<h1>", "<hr>"))
+    assert list(r) == ["<h1>A</h1>é", None, None]
+    for bad in (scalars.html_part(lit("none"), True), scalars.section(lit("<h1>no end"), "<h1>", "<hr>", True), scalars.datetime_range(lit("2025-07-01 02:00:00"), lit("2025-07-01 01:00:00"), "UTC")):
+        with pytest.raises(Exception, match="no html part|no section <h1>|ends before"):
+            one(spark, bad)
+    zone = "America/Chicago"
+    found = one(spark, scalars.datetime_range(lit("2025-07-01 00:00:00"), lit("2025-07-01T06:30:00Z"), zone)).c0
+    assert [str(x) for x in found] == ["2025-07-01 00:00:00", "2025-07-01 01:30:00", "2025-07-01 05:00:00", "2025-07-01 06:30:00"]
+
+
+def test_profile_samples_at_nodes_ends_and_between(spark):
+    nodes = spark.createDataFrame([("a", 0.0, 0.0), ("a", 10.0, 10.0), ("a", 20.0, 30.0), ("b", 5.0, 7.0)], "k string, s double, y double")
+    asked = spark.createDataFrame([("a", -1.0), ("a", 0.0), ("a", 5.0), ("a", 10.0), ("a", 15.0), ("a", 20.0), ("a", 99.0), ("a", None), ("b", 5.0), ("b", 0.0), ("c", 1.0), ("a", 5.0)], "k string, s double").withColumn("y", F.lit("clash"))
+    found = sorted(((r.k, r.s is None, r.s or 0.0), r.value, r.slope) for r in profiles.sampled(nodes, asked, ["k"]).collect())
+    assert [x[1:] for x in found] == [(0.0, 1.0), (0.0, 1.0), (5.0, 1.0), (5.0, 1.0), (10.0, 1.0), (20.0, 2.0), (30.0, 2.0), (30.0, 2.0), (None, None), (7.0, 0.0), (7.0, 0.0), (None, None)]
+
+
+def test_nearest_threshold_far_away_and_over_the_date_line(spark):
+    """Rings of growing radius find what comparing with every threshold finds."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    places = [(1, "A", 32.9, -97.0), (2, "B", -20.0, 179.9), (3, "C", 60.0, 10.0), (4, "A2", 32.9, -97.0)]
+    points = [(f"f{i % 40}", rng.uniform(-80, 80), rng.uniform(-180, 180)) for i in range(60)] + [("near", 32.91, -97.0), ("near", -20.0, 179.0), ("line", -20.0, -179.9), ("none", None, 1.0)]
+
+    def far(a, b, c, d):
+        p, q = math.radians(a), math.radians(c)
+        x = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(d - b) / 2) ** 2
+        return round(6_371_000.0 * 2 * math.atan2(math.sqrt(x), math.sqrt(1 - x)), 3)
+
+    want = {}
+    for f, lat, lon in points:
+        if lat is not None:
+            want[f] = min([want.get(f, (1e9,)), *((far(lat, lon, c, d), o, r) for o, r, c, d in places)])
+    found = proximity.nearest_threshold(spark.createDataFrame(points, "flight_id string, lat double, lon double"), spark.createDataFrame(places, "place_ord int, runway string, place_lat double, place_lon double"))
+    got = {r.flight_id: (r.distance_m, r.runway) for r in found.collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[f][0] - want[f][0]) <= 0.002 and got[f][1] == want[f][2] for f in got)

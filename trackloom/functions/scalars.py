@@ -119,6 +119,20 @@ def day_start(ts: Column) -> Column:
     return F.unix_timestamp(F.date_trunc("day", ts))
 
 
+def utc_of(local: Column, zone: str) -> Column:
+    """The instant of a time given as text: with an offset (or Z) as it says, without one as local time of zone. Null for anything else."""
+    stated = F.try_to_timestamp(F.when(local.rlike(r"([+-]\d{2}:?\d{2}|[Zz])$"), local))
+    plain = F.try_to_timestamp(F.when(~local.rlike(r"([+-]\d{2}:?\d{2}|[Zz])$"), local))
+    return F.coalesce(stated, F.to_utc_timestamp(plain, zone))
+
+
+def datetime_range(first: Column, last: Column, zone: str) -> Column:
+    """struct(local_from, local_to, utc_from, utc_to) of a range; the local ones are wall clock times of zone. A range that ends before it begins is an error."""
+    a, b = utc_of(first, zone), utc_of(last, zone)
+    ordered = F.when(a > b, F.raise_error(F.lit("the range ends before it begins")).cast("timestamp")).otherwise(a)
+    return F.struct(F.from_utc_timestamp(ordered, zone).alias("local_from"), F.from_utc_timestamp(b, zone).alias("local_to"), ordered.alias("utc_from"), b.alias("utc_to"))
+
+
 def range_label(first_day: Column, last_day: Column, airport: Column) -> Column:
     """day or day_to_day, then the airport in lower case."""
     a, b = F.date_format(first_day, "yyyy-MM-dd"), F.date_format(last_day, "yyyy-MM-dd")
@@ -166,28 +180,33 @@ def entities(text: Column) -> Column:
 
 
 def quoted_printable(text: Column) -> Column:
-    """Soft line breaks joined and each =XX decoded to the character of that number (0 to 255)."""
+    """Soft line breaks joined and each =XX decoded to its byte; the bytes are read as UTF-8, where they do not fit as U+FFFD."""
     joined = F.regexp_replace(text, "=\r?\n", "")
     parts = F.split(joined, "=(?=[0-9A-Fa-f]{2})")
-    decoded = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.chr(F.conv(F.substring(p, 1, 2), 16, 10).cast("int")), F.substring(p, 3, 1 << 30))))
-    return F.array_join(decoded, "")
+    digits = F.transform(parts, lambda p, i: F.when(i == 0, F.hex(p)).otherwise(F.concat(F.left(p, F.lit(2)), F.hex(F.substring(p, 3, 1 << 30)))))
+    return F.make_valid_utf8(F.unhex(F.array_join(digits, "")).cast("string"))
+
+
+def _needed(value: Column, strict: bool, what: str) -> Column:
+    """value, where it is null an error if strict."""
+    return F.coalesce(value, F.raise_error(F.lit(f"no {what}")).cast("string")) if strict else value
 
 
-def html_part(mhtml: Column) -> Column:
-    """The decoded body of the first text/html part of a multipart text; null where there is none."""
+def html_part(mhtml: Column, strict: bool = False) -> Column:
+    """The decoded body of the first text/html part of a multipart text; where there is none, null or, if strict, an error."""
     boundary = F.regexp_extract(mhtml, r'(?i)boundary="([^"]+)"', 1)
     parts = F.split(mhtml, F.concat(F.lit("\\Q--"), boundary, F.lit("\\E")))
     part = F.get(F.filter(parts, lambda p: p.rlike(r"(?i)Content-Type:\s*text/html")), F.lit(0))
     blank = F.when(F.instr(part, "\r\n\r\n") > 0, F.instr(part, "\r\n\r\n") + 4).when(F.instr(part, "\n\n") > 0, F.instr(part, "\n\n") + 2)
-    return F.when(boundary != "", quoted_printable(F.substr(part, blank)))
+    return _needed(F.when(boundary != "", quoted_printable(F.substr(part, blank))), strict, "html part")
 
 
-def section(html: Column, heading: str, end: str) -> Column:
-    """From a heading up to the next end marker; null where either is missing."""
+def section(html: Column, heading: str, end: str, strict: bool = False) -> Column:
+    """From a heading up to the next end marker; where either is missing, null or, if strict, an error."""
     start = F.instr(html, heading)
     rest = F.substr(html, start)
     stop = F.instr(rest, end)
-    return F.when((start > 0) & (stop > 0), F.left(rest, stop - 1))
+    return _needed(F.when((start > 0) & (stop > 0), F.left(rest, stop - 1)), strict, f"section {heading}")
 
 
 def chart_name(label: Column) -> Column:

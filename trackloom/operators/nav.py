@@ -7,6 +7,7 @@ table, and lookups are joins with an explicit order of preference.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,13 +68,21 @@ def reference_tokens(some_legs: DataFrame) -> DataFrame:
     return some_legs.select(F.explode(both).alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
 
 
-def dimension(parsed: DataFrame, section: str, key: list[str], last: bool) -> DataFrame:
-    """One record per key: the last in the file, or the first."""
-    order = Window.partitionBy(*key).orderBy(F.desc("line_no") if last else F.asc("line_no"))
-    rows = parsed.where((F.col("section_code") == section) & F.col("identifier").isNotNull())
-    if "airport" in key:
-        rows = rows.where("airport is not null")
-    return rows.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("identifier", "airport", "section_code", "latitude_raw", "longitude_raw", "elevation_raw")
+@dataclass(frozen=True)
+class Table:
+    """A table that names are looked up in: order of preference, section, type of what it finds, whether only the airport's
+    own records count, whether the last of several in the file counts, and whether the airport is part of what is found."""
+
+    order: int
+    section: str
+    fix_type: str
+    local: bool
+    last: bool
+    keep_airport: bool
+
+
+# The tables in order; the first is for runways alone.
+TABLES = (Table(0, "PG", "runway", True, True, True), Table(1, "PC", "waypoint", True, True, True), Table(2, "EA", "waypoint", False, False, False), Table(3, "D", "vor", False, False, False), Table(4, "PC", "waypoint", False, False, True))
 
 
 def resolve(tokens: DataFrame, parsed: DataFrame, airport: str) -> DataFrame:
@@ -81,28 +90,16 @@ def resolve(tokens: DataFrame, parsed: DataFrame, airport: str) -> DataFrame:
 
     RW tokens look up the airport's runways alone. Others take, in this order: the airport's waypoints, en
     route waypoints, navaids, and waypoints of any airport. Of several records the last counts in tables
-    keyed by airport, the first in the others.
+    keyed by airport, the first in the others. One scan of the records: each is an entry of every table it fits, and
+    the least entry of a name is kept by an aggregation.
     """
-
-    def option(section: str, key: list[str], last: bool, order: int, kind: str, keep_airport: bool, local: bool) -> DataFrame:
-        rows = dimension(parsed, section, key, last)
-        if local:
-            rows = rows.where(F.col("airport") == airport)
-        place = F.col("airport") if keep_airport else F.lit(None).cast("string")
-        return rows.select(F.col("identifier").alias("token"), F.lit(order).alias("order"), F.lit(kind).alias("fix_type"), "section_code", place.alias("airport_icao"), "latitude_raw", "longitude_raw", "elevation_raw")
-
-    runway = F.col("token").startswith("RW")
-    options = option("PG", ["airport", "identifier"], True, 0, "runway", True, True).where(runway)
-    for some in (
-        option("PC", ["airport", "identifier"], True, 1, "waypoint", True, True),
-        option("EA", ["identifier"], False, 2, "waypoint", False, False),
-        option("D", ["identifier"], False, 3, "vor", False, False),
-        option("PC", ["identifier"], False, 4, "waypoint", True, False),
-    ):
-        options = options.unionByName(some.where(~runway))
-    fields = ["order", "fix_type", "section_code", "airport_icao", "latitude_raw", "longitude_raw", "elevation_raw"]
-    best = options.groupBy("token").agg(F.min(F.struct(*fields)).alias("fix"))
-    found = tokens.join(best, "token", "left").select("token", "uses", "fix.*").drop("order")
+    entry = lambda t: F.struct(F.lit(t.order).alias("order"), (-F.col("line_no") if t.last else F.col("line_no")).alias("place"), F.lit(t.fix_type).alias("fix_type"), F.col("section_code"), (F.col("airport") if t.keep_airport else F.lit(None).cast("string")).alias("airport_icao"), F.col("latitude_raw"), F.col("longitude_raw"), F.col("elevation_raw"))
+    runway = F.col("identifier").startswith("RW")
+    fits = lambda t: (F.col("section_code") == t.section) & (runway == (t.order == 0)) & ((F.col("airport") == airport) if t.local else F.lit(True))
+    records = parsed.where(F.col("identifier").isNotNull() & F.col("section_code").isin(*{t.section for t in TABLES}))
+    entries = F.filter(F.array(*(F.when(fits(t), entry(t)) for t in TABLES)), lambda e: e.isNotNull())
+    best = records.select(F.col("identifier").alias("token"), F.array_min(entries).alias("fix")).where("fix is not null").groupBy("token").agg(F.min("fix").alias("fix"))
+    found = tokens.join(best, "token", "left").select("token", "uses", "fix.*").drop("order", "place")
     return found.withColumns({"latitude_deg": scalars.latitude(F.col("latitude_raw")), "longitude_deg": scalars.longitude(F.col("longitude_raw")), "elevation_ft": scalars.elevation_ft(F.col("elevation_raw"))})
 
 

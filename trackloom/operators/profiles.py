@@ -8,10 +8,27 @@ from pyspark.sql import functions as F
 from trackloom.functions import interp
 
 
-def as_arrays(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, s, y) rows as arrays x and y, ascending in s; equal s must not occur."""
-    pairs = F.array_sort(F.collect_list(F.struct("s", "y")))
-    return nodes.groupBy(*keys).agg(pairs.alias("p")).select(*keys, F.transform("p", lambda v: v["s"]).alias("x"), F.transform("p", lambda v: v["y"]).alias("y"))
+def sampled(nodes: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """wanted (keys, s and others) with the curve's value and slope at s, from nodes (keys, s, y; one a place).
+
+    Nodes and wanted rows are sorted together by key, so any number of either will do. Values are held at the ends; the slope is that of
+    the segment that holds s (at a node, of the one on its left; beyond an end, of the last one there) and 0 for a single
+    node. A key without nodes, or a null s, gives nulls.
+    """
+    by = Window.partitionBy(*keys)
+    order = by.orderBy("s")
+    rise = lambda s, y: (F.col("y") - y) / (F.col("s") - s)
+    marked = nodes.where("s is not null").withColumns({"left_": rise(F.lag("s").over(order), F.lag("y").over(order)), "right_": rise(F.lead("s").over(order), F.lead("y").over(order))})
+    node = F.struct("s", F.col("y").cast("double").alias("y"), "left_", "right_").alias("node_")
+    asked = wanted.select(*keys, F.col("s").alias("at_"), F.struct(*wanted.columns).alias("row_"))
+    both = asked.unionByName(marked.select(*keys, F.col("s").alias("at_"), node), allowMissingColumns=True)
+    asks = F.col("row_").isNotNull()
+    side = lambda way: F.last("node_", True).over(by.orderBy(way, asks).rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumns({"before_": side(F.asc("at_")), "after_": side(F.desc("at_"))}).where(asks)
+    a, b = F.coalesce("before_", "after_"), F.coalesce("after_", "before_")
+    slope = F.coalesce(F.col("after_.left_"), F.col("after_.right_"), F.col("before_.left_"), F.lit(0.0))
+    known = F.col("at_").isNotNull() & a.isNotNull()
+    return met.select("row_.*", F.when(known, interp.between(a["s"], a["y"], b["s"], b["y"], F.col("at_"))).alias("value"), F.when(known, slope).alias("slope"))
 
 
 def filled(rows: DataFrame, keys: list[str], curves: list[str]) -> DataFrame:

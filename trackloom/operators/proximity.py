@@ -12,27 +12,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import geo
+from trackloom.shared import forget, written
 
 
 def near(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
     """points joined with every place at most radius_m away, with distance_m.
 
     points have lat and lon; places have place_lat and place_lon and no other column of points. Cells are
-    one radius high; longitudes are cut so that a cell is at least as wide at the places' highest latitude.
+    one radius high; longitudes are cut so that a cell is at least as wide at the places' highest latitude. A place whose
+    circle crosses the date line also stands on its other side.
     """
     height = radius_m / 111_000.0
     top = places.agg(F.max(F.abs("place_lat"))).first()[0] or 0.0
     shrink = max(0.05, math.cos(math.radians(min(89.0, top + height))))
     width = height / shrink
     cell = lambda v, size: F.floor(v / size)
-    spread = places.withColumns(
+    turned = places.withColumn("turn_lon", F.explode(F.array(*(F.col("place_lon") + t for t in (-360.0, 0.0, 360.0)))))
+    turned = turned.where((F.col("turn_lon") == F.col("place_lon")) | (F.abs("turn_lon") <= 180.0 + width))
+    spread = turned.withColumns(
         {
             "cell_y": F.explode(F.sequence(cell(F.col("place_lat") - height, height), cell(F.col("place_lat") + height, height))),
         }
-    ).withColumn("cell_x", F.explode(F.sequence(cell(F.col("place_lon") - width, width), cell(F.col("place_lon") + width, width))))
+    ).withColumn("cell_x", F.explode(F.sequence(cell(F.col("turn_lon") - width, width), cell(F.col("turn_lon") + width, width))))
     placed = points.withColumns({"cell_y": cell(F.col("lat"), height), "cell_x": cell(F.col("lon"), width)})
     distance = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
-    return placed.join(spread, ["cell_y", "cell_x"]).withColumn("distance_m", F.round(distance, 3)).where(F.col("distance_m") <= radius_m).drop("cell_y", "cell_x")
+    return placed.join(spread, ["cell_y", "cell_x"]).withColumn("distance_m", F.round(distance, 3)).where(F.col("distance_m") <= radius_m).drop("cell_y", "cell_x", "turn_lon")
 
 
 def nearest(points: DataFrame, key: list[str], places: DataFrame, radius_m: float) -> DataFrame:
@@ -58,12 +62,28 @@ def fix_sequences(rows: DataFrame, fixes: DataFrame, radius_m: float = 2000.0) -
     return by.select("flight_id", "callsign", "icao24", "first_time", "last_time", sequence.alias("fix_sequence"), F.size("taken").alias("fix_count"))
 
 
-def nearest_threshold(points: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Per flight the runway that any of its points comes closest to, and that distance.
+def nearest_threshold(points: DataFrame, thresholds: DataFrame, radius_m: float = 4_000.0, growth: float = 4.0) -> DataFrame:
+    """Per flight the runway that any of its points comes closest to, and that distance; equal ones go to the lower place_ord.
 
-    thresholds is a small table; Spark broadcasts it if its size is below the session's limit, and else deals
-    blocks of both sides. Each task keeps one running best per flight, so nothing but that is shuffled.
+    A search in rings: what lies within the radius is met by grid cells, and only flights that found nothing there look
+    again, in a wider one, until the radius passes a quarter of the globe, where the last flights meet every threshold by blocks. A point that lies in no ring adds nothing
+    to a flight that found one. Each round keeps one best a flight before it shuffles. Flights without a position have no row.
     """
-    runways = thresholds.select(F.col("place_ord").alias("ord"), "runway", "place_lat", "place_lon")
-    pairs = points.crossJoin(runways).withColumn("distance_m", F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon")), 3))
-    return pairs.groupBy("flight_id").agg(F.min(F.struct("distance_m", "ord", "runway")).alias("best")).select("flight_id", "best.runway", "best.distance_m")
+    runways = thresholds.select("place_ord", "runway", "place_lat", "place_lon")
+    left = written(points.select("flight_id", "lat", "lon").where("flight_id is not null and lat is not null and lon is not null"), "points")
+    best = F.min(F.struct("distance_m", "place_ord", "runway")).alias("best")
+    found, radius = None, radius_m
+    while True:
+        whole = radius > 5_000_000.0
+        distance = F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon")), 3)
+        met = left.join(runways).withColumn("distance_m", distance) if whole else near(left, runways, radius)
+        here = written(met.groupBy("flight_id").agg(best).select("flight_id", "best.runway", "best.distance_m"), "nearest")
+        found = here if found is None else found.unionByName(here)
+        before, left = left, written(left.join(here.select("flight_id"), "flight_id", "left_anti"), "points")
+        forget(before)
+        if whole or left.isEmpty():
+            forget(left)
+            return found
+        radius *= growth
+
+

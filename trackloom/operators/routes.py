@@ -136,7 +136,7 @@ def along(samples: DataFrame, wanted: DataFrame, slots: int = 4) -> DataFrame:
     turned = a["track_rad"] + geo.wrap_rad(b["track_rad"] - a["track_rad"])
     found = {f"ref_{c}": geo.wrap_rad(line(a[c], turned)) if c == "track_rad" else line(a[c], b[c]) for c in PATH}
     out = met.select("state_.*", *(v.alias(n) for n, v in found.items()))
-    return out.withColumns({"normal_east": -F.sin("ref_track_rad"), "normal_north": F.cos("ref_track_rad")})
+    return out.withColumns({"normal_east": 0.0 - F.sin("ref_track_rad"), "normal_north": F.cos("ref_track_rad")})
 
 
 def on_path(samples: DataFrame, states: DataFrame) -> DataFrame:

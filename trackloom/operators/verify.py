@@ -154,11 +154,12 @@ BANK_UNIT_DEG = 20.0
 CROSS_UNIT_M = 100.0
 
 
-def cost(nodes: DataFrame, weights: Weights, thrust_unit: float, roll_unit: float) -> DataFrame:
+def cost(nodes: DataFrame, weights: Weights, thrust_unit: float, roll_unit: float, idle_band: bool = False) -> DataFrame:
     """A plan's cost: total, its terms, the peaks behind them and the units they are measured in; one row a plan.
 
     Rows also hold idle, cross, heading_error, bank, roll and slack. A longer descent is a gain, so reach counts
-    below zero. A plan of one row has no change of angle.
+    below zero. A plan of one row has no change of angle. Where an idle band already bounds the thrust (idle_band), thrust
+    costs nothing and a longer descent is a loss.
     """
     order = Window.partitionBy("plan_id").orderBy("idx")
     own = nodes.withColumns({"dg": F.col("gamma") - F.lag("gamma").over(order), "over": F.col("thrust") - F.col("idle")})
@@ -170,8 +171,8 @@ def cost(nodes: DataFrame, weights: Weights, thrust_unit: float, roll_unit: floa
     km = F.col("reach_m") / 1000.0
     scaled = lambda c, u: F.col(f"{c}_2") / (u * u)
     terms = {
-        "reach_term": -weights.reach * km,
-        "thrust_term": weights.thrust * km * scaled("over", F.col("thrust_unit")),
+        "reach_term": (weights.reach if idle_band else -weights.reach) * km,
+        "thrust_term": F.lit(0.0) if idle_band else weights.thrust * km * scaled("over", F.col("thrust_unit")),
         "gamma_term": F.coalesce(weights.gamma * scaled("dg", F.radians(F.lit(1.0)) * F.col("ds") / 1000.0), F.lit(0.0)),
         "cross_term": weights.cross * scaled("cross", F.col("cross_unit")),
         "heading_error_term": weights.heading_error * scaled("heading_error", F.radians("heading_unit_deg")),

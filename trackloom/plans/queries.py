@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.functions import flight, geo, interp, scalars
+from trackloom.functions import flight, geo, scalars
 from trackloom.operators import catalog, classify, compress, nav, profiles, proximity, routes, schedule, segments, verify
 from trackloom.plans import fixture
 from trackloom.plans.fixture import read
@@ -550,9 +550,9 @@ def envelope_merge(spark: SparkSession, d: str) -> DataFrame:
 SELECT l_orderkey, round(CASE WHEN p <= x[1] THEN y[1] WHEN p >= x[len(x)] THEN y[len(x)] ELSE y[i] + (y[i + 1] - y[i]) * (p - x[i]) / (x[i + 1] - x[i]) END, 9) AS value, round(CASE WHEN len(x) < 2 THEN 0.0 ELSE (y[i + 1] - y[i]) / (x[i + 1] - x[i]) END, 9) AS slope FROM i"""
 )
 def interp_profile(spark: SparkSession, d: str) -> DataFrame:
-    a = profiles.as_arrays(profile_nodes(spark, d), ["l_orderkey"])
-    at = F.lit(25.0)
-    return a.select("l_orderkey", F.round(interp.value_at(F.col("x"), F.col("y"), at), 9).alias("value"), F.round(interp.slope_at(F.col("x"), F.col("y"), at), 9).alias("slope"))
+    nodes = profile_nodes(spark, d)
+    found = profiles.sampled(nodes, nodes.select("l_orderkey").distinct().withColumn("s", F.lit(25.0)), ["l_orderkey"])
+    return found.select("l_orderkey", F.round("value", 9).alias("value"), F.round("slope", 9).alias("slope"))
 
 
 @query(

@@ -104,7 +104,7 @@ def performance_cost(spark: SparkSession, d: str) -> DataFrame:
 # Paths: a customer's orders are samples of its path; every order also asks for a state on it or between two of them.
 
 SAMPLED = """sample AS (SELECT o_custkey AS route_id, o_orderkey::DOUBLE AS s, o_totalprice AS east_m, (o_orderkey % 97)::DOUBLE AS north_m, (o_orderkey % 63 - 31) / 10.0::DOUBLE AS track_rad, (o_orderkey % 7) / 1000.0::DOUBLE AS curvature FROM orders),
-state AS (SELECT o_custkey AS route_id, o_orderkey AS state_id, o_orderkey + (o_orderkey % 4) * 0.5::DOUBLE AS s, (o_orderkey % 41 - 20)::DOUBLE AS cross_track_m, (o_orderkey % 5) / 10.0::DOUBLE AS heading_offset_rad FROM orders)"""
+state AS (SELECT o_custkey AS route_id, o_orderkey AS state_id, o_orderkey + (o_orderkey % 4) / 7.0::DOUBLE AS s, (o_orderkey % 41 - 20)::DOUBLE AS cross_track_m, (o_orderkey % 5) / 10.0::DOUBLE AS heading_offset_rad FROM orders)"""
 
 
 def path_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -123,13 +123,13 @@ def line_sql(c: str, wrapped: bool = False) -> str:
 hi AS (SELECT lo.*, CASE WHEN sample.s IS NOT NULL THEN sample END AS after FROM lo ASOF LEFT JOIN sample ON lo.route_id = sample.route_id AND lo.s <= sample.s),
 met AS (SELECT * EXCLUDE (before, after), coalesce(before, after) AS a, coalesce(after, before) AS b FROM hi),
 r AS (SELECT state_id, route_id, cross_track_m AS x, heading_offset_rad AS o, {line_sql("east_m")} AS e, {line_sql("north_m")} AS n, {line_sql("track_rad", True)} AS k, {line_sql("curvature")} AS c FROM met)
-SELECT state_id, route_id, round(e, 4) AS ref_east_m, round(k, 9) AS ref_track_rad, round(c, 10) AS ref_curvature, round(-sin(k), 9) AS normal_east, round(cos(k), 9) AS normal_north, round(e - x * sin(k), 4) AS east_m, round(n + x * cos(k), 4) AS north_m, round(atan2(sin(k + o), cos(k + o)), 9) AS psi_rad FROM r"""
+SELECT state_id, route_id, round(e, 6) AS ref_east_m, round(k, 9) AS ref_track_rad, round(c, 9) AS ref_curvature, round(0.0 - sin(k), 9) AS normal_east, round(cos(k), 9) AS normal_north, round(e - x * sin(k), 6) AS east_m, round(n + x * cos(k), 6) AS north_m, round(atan2(sin(k + o), cos(k + o)), 9) AS psi_rad FROM r"""
 )
 def path_states(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    states = read(spark, d, "orders").select(F.col("o_custkey").alias("route_id"), k.alias("state_id"), (k + k % 4 * 0.5).alias("s"), (k % 41 - 20).cast("double").alias("cross_track_m"), (k % 5 / F.lit(10.0)).alias("heading_offset_rad"))
+    states = read(spark, d, "orders").select(F.col("o_custkey").alias("route_id"), k.alias("state_id"), (k + k % 4 / F.lit(7.0)).alias("s"), (k % 41 - 20).cast("double").alias("cross_track_m"), (k % 5 / F.lit(10.0)).alias("heading_offset_rad"))
     found = routes.on_path(path_samples(spark, d), states)
-    places = {"ref_east_m": 4, "ref_track_rad": 9, "ref_curvature": 10, "normal_east": 9, "normal_north": 9, "east_m": 4, "north_m": 4, "psi_rad": 9}
+    places = {"ref_east_m": 6, "ref_track_rad": 9, "ref_curvature": 9, "normal_east": 9, "normal_north": 9, "east_m": 6, "north_m": 6, "psi_rad": 9}
     return found.select("state_id", "route_id", *(F.round(c, n).alias(c) for c, n in places.items()))
 
 

@@ -9,14 +9,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.functions import scalars
 from trackloom.operators import segments
 from trackloom.shared import written
 
 
 def hours(spark: SparkSession, first: str, last: str, zone: str) -> DataFrame:
-    """hour_utc of every hour from first to last (both local times of zone, the end included)."""
-    bounds = spark.range(1).select(F.to_utc_timestamp(F.lit(first), zone).alias("a"), F.to_utc_timestamp(F.lit(last), zone).alias("b"))
-    return bounds.select(F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("hour_utc"))
+    """hour_utc of every hour from first to last, the end included; each is a local time of zone unless it states an offset."""
+    bounds = spark.range(1).select(scalars.datetime_range(F.lit(first), F.lit(last), zone).alias("r"))
+    return bounds.select(F.explode(F.sequence("r.utc_from", "r.utc_to", F.expr("interval 1 hour"))).alias("hour_utc"))
 
 
 def missing_hours(grid: DataFrame, held: DataFrame) -> DataFrame:
