@@ -82,8 +82,12 @@ def skipped(rows: DataFrame, reason: str) -> DataFrame:
 
 
 def manifest(results: DataFrame) -> DataFrame:
-    """One row: counts by status, points of generated flights, and all flights in order of status, time and id."""
+    """One row of totals: counts by status, and points of generated flights."""
     made = F.col("status") == "generated"
-    flights = F.array_sort(F.collect_list(F.struct("status", F.coalesce("first_time", F.lit(0)).alias("order_time"), "flight_id", "reason")))
     total = lambda c: F.coalesce(F.sum(F.when(made, F.col(c))), F.lit(0))
-    return results.agg(F.count_if(made).alias("generated_count"), F.count_if(~made).alias("skipped_count"), total("raw_point_count").alias("raw_points"), total("compressed_point_count").alias("compressed_points"), flights.alias("flights"))
+    return results.agg(F.count_if(made).alias("generated_count"), F.count_if(~made).alias("skipped_count"), total("raw_point_count").alias("raw_points"), total("compressed_point_count").alias("compressed_points"))
+
+
+def manifest_flights(results: DataFrame) -> DataFrame:
+    """The flights of a manifest, a row each, in order of status, first time (none counts as 0) and id."""
+    return results.orderBy("status", F.coalesce("first_time", F.lit(0)), "flight_id").select("status", "flight_id", "first_time", "raw_point_count", "compressed_point_count", "reason")

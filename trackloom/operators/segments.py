@@ -97,7 +97,7 @@ def local_plane(tracks: DataFrame) -> DataFrame:
 def labels(tracks: DataFrame) -> DataFrame:
     """First and last local time and altitude of each flight, as text."""
     by = tracks.groupBy("flight_id").agg(F.min(F.struct("time", "ordinal", "geoaltitude")).alias("a"), F.max(F.struct("time", "ordinal", "geoaltitude")).alias("b"))
-    text = lambda e: F.concat(scalars.local_clock(F.col(f"{e}.time").cast("long")), F.lit(" "), F.coalesce(F.format_string("%.0f m", F.col(f"{e}.geoaltitude")), F.lit("n/a")))
+    text = lambda e: F.concat(scalars.local_clock(F.col(f"{e}.time").cast("long")), F.lit(" "), F.when(F.col(f"{e}.geoaltitude").isNull(), "n/a").otherwise(F.format_string("%.0f m", F.col(f"{e}.geoaltitude"))))
     return by.select("flight_id", text("a").alias("first_label"), text("b").alias("last_label"))
 
 
