@@ -64,8 +64,13 @@ def learn_rotation(x: np.ndarray, total: int, rounds: int = 25) -> np.ndarray:
 
 def fit_quantiser(sample: list[np.ndarray], crowd: int, per_bucket: int = 32, closeness: float = 0.93, certainty: float = 4.0) -> Quantiser:
     """bits of a substring so that a bucket holds about per_bucket of crowd vectors; tables so that a pair at
-    cosine closeness shares about `certainty` of them on average, and so is missed with chance exp(-certainty)."""
-    bits = int(min(16, max(4, math.ceil(math.log2(max(2, crowd / per_bucket))))))
+    cosine closeness shares about `certainty` of them on average, and so is missed with chance exp(-certainty).
+
+    Two codes that differ in fewer bits than there are tables agree on one substring at least (pigeonhole), so buckets
+    of equal substrings are the multi-index lookup of that radius. bits grow with the logarithm of the largest label, and tables
+    with its 0.18th power, so buckets stay as small at any size.
+    """
+    bits = max(4, math.ceil(math.log2(max(2, crowd / per_bucket))))
     same = 1 - math.acos(closeness) / math.pi
     tables = math.ceil(certainty / same**bits)
     by: dict[int, list] = {}
@@ -75,7 +80,7 @@ def fit_quantiser(sample: list[np.ndarray], crowd: int, per_bucket: int = 32, cl
     for width, rows in by.items():
         x = np.array(rows)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        rotations[width] = learn_rotation(x, bits * tables) if len(x) >= 2 * width else fallback(width, bits * tables)
+        rotations[width] = learn_rotation(x, bits * tables)
     return Quantiser(rotations, bits, tables)
 
 

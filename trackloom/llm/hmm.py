@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import forget, text_batches, written
@@ -392,11 +392,12 @@ def common_words(words: DataFrame, most: int) -> pd.DataFrame:
 def rare_sums(table: DataFrame) -> DataFrame:
     """Per row key: sum of log10(c + alpha) and number of seen ones over the rare words of an encoded table.
 
-    One shuffle brings all occurrences of a word together, which counts it and gives each row its share;
-    the commonest words are known, so no word here is in more than a small part of the rows.
+    Words are counted by an aggregation, and their counts meet the rows by a join, which adaptive execution splits at
+    a word of many rows.
     """
     rows = table.select("doc_id", "key", "held_out", F.explode("rare").alias("r")).select("doc_id", "key", "r.word", "r.n", F.when(~F.col("held_out"), F.col("r.n")).alias("train"))
-    counted = rows.withColumn("c", F.coalesce(F.sum("train").over(Window.partitionBy("word")), F.lit(0)))
+    counts = rows.groupBy("word").agg(F.coalesce(F.sum("train"), F.lit(0)).alias("c"))
+    counted = rows.join(counts, "word")
     return counted.groupBy("doc_id", "key").agg(F.sum(F.col("n") * F.log10(F.col("c") + F.lit(ALPHA))).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
 
 
@@ -405,7 +406,7 @@ def score(docs: DataFrame, held_out: Column, *, states: int = 6, own_words: int
 
     Learns from all rows where held_out is false. sample (documents, the first sample_chars of each) bounds
     what the starting model looks at and nothing else; words, counts and the rounds that end within tolerance
-    use all training rows. A null text
+    use all training rows. Words with equal counts are ordered by their bytes. A long text is encoded in parts and scored whole. A null text
     is empty and holds one end token. Repeated rows each count and each give a row; a null doc_id stays
     null; an empty table gives an empty table; other columns are ignored. Without any training row the
     scores are those of an untrained model.

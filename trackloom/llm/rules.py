@@ -28,23 +28,23 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def _adjacent(packed: Column, mask: Column) -> Column:
-    """Positions (low bits) of the packed, sorted hashes whose high bits a neighbour shares, in order."""
-    high = lambda i: F.get(packed, i).bitwiseAND(F.bitwise_not(mask))
-    own = lambda x: x.bitwiseAND(F.bitwise_not(mask))
-    marked = F.transform(packed, lambda x, i: F.when((high(i - 1) == own(x)) | (high(i + 1) == own(x)), x.bitwiseAND(mask)))
+def _adjacent(ordered: Column) -> Column:
+    """Positions, in order, of the entries (hash, position) whose hash a neighbour shares; entries are sorted."""
+    hash_at = lambda i: F.get(ordered, i)["h"]
+    marked = F.transform(ordered, lambda x, i: F.when((hash_at(i - 1) == x["h"]) | (hash_at(i + 1) == x["h"]), x["i"]))
     return F.sort_array(F.filter(marked, lambda x: x.isNotNull()))
 
 
 def repeated_words(hashes: Column) -> Column:
-    """Number of words inside windows of five words that the text has twice or more; hashes: one per word."""
+    """Number of words inside windows of five words that the text has twice or more; hashes: one per word.
+
+    Windows are equal if all 64 bits of their hashes are.
+    """
     n = F.size(hashes)
     windows = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(WINDOW))))
 
     def counted(w: Column) -> Column:
-        # The position replaces as many low bits as it needs; the rest of the hash decides.
-        mask = F.expr("1L").cast("long") * F.pow(F.lit(2.0), F.ceil(F.log2(F.size(w) + F.lit(1)))).cast("long") - 1
-        found = let(mask, lambda m: let(F.sort_array(F.transform(w, lambda x, i: x.bitwiseAND(F.bitwise_not(m)).bitwiseOR(i.cast("long")))), lambda p: _adjacent(p, m)))
+        found = let(F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), _adjacent)
         covered = let(found, lambda at: F.aggregate(F.transform(at, lambda x, i: F.least(F.coalesce(F.get(at, i + 1) - x, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0).cast("long"), lambda a, x: a + x))
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(covered)
 
@@ -94,7 +94,8 @@ def quality_rules(docs: DataFrame, trusted: Column | None = None, *, threshold:
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
     trusted: condition on docs' columns that marks the target documents (plain_prose by default).
     A null text has no words and fails the base; a null trusted counts as false; a text without n-grams
-    scores 0; repeated rows each give a row; an empty table gives an empty table; other columns are
+    scores 0; a score equal to the threshold is kept; a long text is measured whole, in memory of about 100 bytes a word;
+    repeated rows each give a row; an empty table gives an empty table; other columns are
     ignored, whatever their names.
     """
     trusted = F.coalesce(plain_prose(F.col("text")) if trusted is None else trusted, F.lit(False))
