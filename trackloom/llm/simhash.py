@@ -1,13 +1,14 @@
 """SimHash near-duplicates: fingerprints of word shingles, searched through vantage-point trees.
 
-Equal fingerprints are one node. Fingerprints are cut into slices of bits; two of them that lie close
-together lie within a small inner radius of each other on one slice at least (for up to 4 differing bits and three
-slices: within 1, always). On each slice a vantage-point tree partitions the nodes: every level holds a
-vantage point sampled from the fingerprints and their median distance to it, and sends a node to the near
-side, the far side, or both where the triangle inequality allows partners on either. The tree deepens with
-the number of nodes, and its leaves are the shards that tasks compare. A leaf that near copies crowd is cut
-into blocks, and each pair of blocks is a task of its own. What leaves a task are the links of a spanning
-forest, nearest first: never all pairs of a group.
+Equal fingerprints are one node. Fingerprints are cut into ranges of bits, and some ranges together are a slice; two
+fingerprints that lie close together lie within a small inner radius of each other on one slice at least. On each slice a
+vantage-point tree partitions the nodes: every level holds a vantage point sampled from the fingerprints and their
+median distance to it, and sends a node to the near side, the far side, or both where the triangle inequality allows
+partners on either. The wider the inner radius, the more nodes go to both sides at every level, so their number of
+leaves grows with a power of the corpus; slices are chosen so that it is zero for the stated radius, and
+the leaves a fingerprint is in are few at any size. The tree deepens with the number of nodes, and its leaves are the
+shards that tasks compare. A leaf that near copies crowd is cut into blocks, and each pair of blocks is a task of its own. What
+leaves a task are the links of a spanning forest, nearest first: never all pairs of a group.
 
 `near_copies` reaches a stated shingle similarity, where fingerprints differ in so many bits that triangle
 bounds prune next to nothing. It samples bits instead: nodes that agree on all bits of a sample share a
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -87,20 +89,21 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
 
 @dataclass
 class Slice:
-    """Bits first to last (exclusive) of one word of the codes, and its tree: (vantage point, near distance) by level.
+    """Some ranges of bits (first, last exclusive) of a code's first word, and their tree: (vantage point, near distance) by level.
 
     Nodes within inner of each other on these bits share a leaf.
     """
 
-    word: int
-    first: int
-    last: int
+    ranges: list[tuple[int, int]]
     levels: list[tuple[int, int]]
     inner: int = 1
 
     def values(self, codes: np.ndarray) -> np.ndarray:
-        bits = codes[:, self.word].view(np.uint64) >> np.uint64(self.first)
-        return (bits & np.uint64((1 << (self.last - self.first)) - 1)).astype(np.uint32)
+        word, out = codes[:, 0].view(np.uint64), np.zeros(len(codes), np.uint64)
+        for first, last in self.ranges:
+            width = np.uint64(last - first)
+            out = (out << width) | (word >> np.uint64(first)) & ((np.uint64(1) << width) - np.uint64(1))
+        return out.astype(np.uint32)
 
     def leaves(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, leaf) of every leaf that a code overlaps."""
@@ -129,10 +132,22 @@ class Sample:
         return np.arange(len(codes)), path
 
 
-def even_slices(each: int, inner: int = 1) -> list[Slice]:
-    """A word of the codes in so many slices."""
+def even_slices(each: int, inner: int = 1, together: int = 1) -> list[Slice]:
+    """A code's bits in so many ranges, and all choices of so many of these ranges together."""
     edges = [BITS * i // each for i in range(each + 1)]
-    return [Slice(0, a, b, [], inner) for a, b in zip(edges, edges[1:])]
+    return [Slice(list(chosen), [], inner) for chosen in combinations(zip(edges, edges[1:]), together)]
+
+
+def exact_slices(nodes: int, radius: int, leaf: int) -> list[Slice]:
+    """Slices on one of which, at least, two codes within radius are equal, with bits enough to part so many nodes into leaves.
+
+    radius differing bits lie in as many of radius + k ranges at most, so the other k are equal. A node is in one leaf of
+    each tree: with radius 4 in 5 leaves up to some millions of nodes, in 15 up to some thousand millions, then in 35.
+    """
+    k = 1
+    while nodes / 2.0 ** (BITS * k / (radius + k)) > leaf and BITS * (k + 1) / (radius + k + 1) <= 32:
+        k += 1
+    return even_slices(radius + k, 0, k)
 
 
 def bit_samples(nodes: int, words: int, leaf: int, same: float, miss: float, inner: int) -> list[Sample]:
@@ -154,27 +169,37 @@ def side(values: np.ndarray, level: tuple[int, int], inner: int) -> tuple[np.nda
     return far <= level[1] + inner, far > level[1]
 
 
+def together(path: np.ndarray) -> float:
+    """How many others of a sample a row meets in its leaf, on average."""
+    _, size = np.unique(path, return_counts=True)
+    return float((size * (size - 1.0)).sum() / max(1, len(path)))
+
+
 def grow(piece: Slice, sample: np.ndarray, nodes: int, leaf: int) -> None:
-    """Levels of a slice's tree, until a leaf holds about `leaf` of so many nodes.
+    """Levels of a slice's tree, until a node of so many meets about `leaf` others in its leaves.
 
-    A level takes, of a few sampled points, the one whose sides are smallest.
+    A level takes, of a few sampled points and distances, those that leave the fewest of the sample together, given the levels
+    above: not those that halve all nodes best, as values that one level parts badly would stay together.
     """
-    inner, values, rng = piece.inner, piece.values(sample), np.random.default_rng(11 + 64 * piece.word + piece.first)
-    size = float(nodes)
-    while size > leaf and len(values):
+    inner, values, rng = piece.inner, piece.values(sample), np.random.default_rng(11 + piece.ranges[0][0])
+    at, path = np.arange(len(values)), np.zeros(len(values), np.int64)
+    met = together(path)
+    while met * nodes / max(1, len(values)) > leaf and len(piece.levels) < 56:
         best = None
-        for point in rng.choice(values, 8):
-            far = np.bitwise_count(values ^ point)
-            for near in {int(np.median(far)) - inner, int(np.median(far)) - (inner + 1) // 2, int(np.median(far))}:
-                a, b = side(values, (int(point), near), inner)
-                # What a node meets on average, when sides are met in proportion to their sizes.
-                share = (a.mean() ** 2 + b.mean() ** 2) / (a.mean() + b.mean())
-                if best is None or share < best[0]:
-                    best = (share, int(point), near)
-        if best[0] > 0.95 or len(piece.levels) >= 56:
+        for point in rng.choice(values, 4):
+            middle = int(np.median(np.bitwise_count(values[at] ^ point)))
+            for near in {middle - (inner + 1) // 2, middle - (inner + 1) // 2 - 1, middle - (inner + 1) // 2 + 1}:
+                a, b = side(values[at], (int(point), near), inner)
+                parted = np.concatenate((path[a] * 2, path[b] * 2 + 1))
+                # Fewer rows together, at the price of more rows.
+                weight = together(parted) * len(parted)
+                if best is None or weight < best[0]:
+                    best = (weight, (int(point), near), np.concatenate((at[a], at[b])), parted)
+        if together(best[3]) > 0.98 * met:
             break
-        piece.levels.append(best[1:])
-        size *= best[0]
+        piece.levels.append(best[1])
+        at, path = best[2:]
+        met = together(path)
 
 
 NONE = np.uint8(255)
@@ -227,7 +252,7 @@ def compare(codes: np.ndarray, values: np.ndarray, own: np.ndarray, i: int, j: i
 KEY = ["tree", "leaf", "i", "j"]
 
 
-def grown(nodes: DataFrame, slices: list[Slice], leaf: int, sample: int = 4096) -> list[Slice]:
+def grown(nodes: DataFrame, slices: list[Slice], leaf: int, sample: int = 1 << 14) -> list[Slice]:
     """Slices with trees for all nodes (node, code). sample bounds the codes that vantage points are drawn from."""
     drawn = nodes.select("code").orderBy(F.xxhash64("node", F.lit("vantage"))).limit(sample).toPandas()
     seen = np.array(drawn["code"].tolist(), np.int64).reshape(len(drawn), -1 if len(drawn) else 1)
@@ -374,16 +399,15 @@ def settled(open_rows: DataFrame, sets: DataFrame, trees: list[Slice] | list[Sam
 def near_duplicates(docs: DataFrame, *, words: int = 4, seed: int = 42, radius: int = 4, leaf: int = 1024) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row.
 
-    Fingerprints within radius are linked, exactly: radius differing bits over radius // 2 + 1 slices leave
-    one slice with at most one. Null and empty texts, and texts without words, have fingerprint zero and link like any other. A row
+    Fingerprints within radius are linked, exactly: see exact_slices. Null and empty texts, and texts without words, have fingerprint zero and link like any other. A row
     with a null doc_id is fingerprinted but names no component: its component_id is that of the others,
     or null if it has none. Repeated rows each give a row. An empty table gives an empty table. Further
     columns are ignored. A long text is hashed whole, at about 30 bytes of memory a word.
     """
     prints = written(fingerprints(docs, words, seed), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    slices, coded = radius // 2 + 1, nodes.select(F.col("fp").alias("node"), F.array("fp").alias("code"))
-    links = tree_links(coded, grown(coded, even_slices(slices, radius // slices), leaf), radius, leaf=leaf)
+    coded = nodes.select(F.col("fp").alias("node"), F.array("fp").alias("code"))
+    links = tree_links(coded, grown(coded, exact_slices(nodes.count(), radius, leaf), leaf), radius, leaf=leaf)
     parts = connected_components(links)
     named = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     named = written(named, "named")
