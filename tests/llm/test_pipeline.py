@@ -4,7 +4,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tests.llm.corpus import DOCUMENT, components, documents, frame, prose, words
+from tests.llm.corpus import DOCUMENT, LOWER, components, documents, frame, prose, words
 from tests.llm.test_operators import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -88,8 +88,37 @@ def test_run_equals_the_stages_in_turn(spark, folder):
 
 
 def test_stages_on_hard_rows_and_nothing(spark):
+    """Null and empty texts, texts without words or letters, repeated rows, null columns and clashing names, each with its stated result."""
     rows = documents(20)
+    rows += [rows[0], rows[20]]  # repeated rows, one with a null text
+    text = {r[0]: r[1] or "" for r in rows}
+    steps = dict(corpus_pipeline.STAGES)
+    run = lambda name: steps[name](spark, frame(spark, rows), "")
+
+    kept = rows_of(run("language identification"))
+    assert set(kept) <= set(rows) and not any(all(not c.isalpha() for c in r[1] or "") for r in kept)
+    assert collections.Counter(kept)[rows[0]] in (0, 2) and len(kept) > len(rows) / 2
+
+    sets = {i: {tuple(w[k : k + min(5, len(w))]) for k in range(len(w) - min(5, len(w)) + 1)} for i, t in text.items() for w in [words(t.translate(LOWER))]}
+    sets = {i: s if words(text[i]) else set() for i, s in sets.items()}
+    parts = components(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert collections.Counter(rows_of(run("near-duplicate removal"))) == collections.Counter(r for r in rows if parts[r[0]] == r[0])
+
+    raw = [(r[0], (r[1] or "").encode()) for r in rows]
+    seen = collections.Counter(t[i : i + 200] for _, t in raw for i in range(len(t) - 199))
+    cut = {}
+    for doc_id, t in raw:
+        gone = {k for i in range(len(t) - 199) if seen[t[i : i + 200]] > 1 for k in range(i, i + 200)}
+        cut[doc_id] = bytes(b for k, b in enumerate(t) if k not in gone).decode("utf-8", "ignore")
+    third = rows_of(run("repeated passage removal"))
+    assert len(third) == len(rows) and all(r[1] == cut[r[0]] and r[4] == len(r[1]) for r in third)
+
+    mixed = collections.Counter(rows_of(run("source mixing")))
+    times = collections.Counter(rows)
+    assert set(mixed) <= set(rows) and all(words(r[1] or "") and n <= 3 * times[r] for r, n in mixed.items()) and mixed
+
+    packed = run("best-fit packing").toPandas()
+    assert packed.groupby("doc_id").piece.min().eq(0).all() and set(packed.doc_id) == set(text)
+    assert (packed[packed.doc_id == 20].length == 1).all() and (packed.doc_id == 20).sum() == 2
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, frame(spark, rows), "")
-        assert out.columns[0] == "doc_id" and out.count() >= 0, name
         assert stage(spark, spark.createDataFrame([], DOCUMENT), "").count() == 0, name
