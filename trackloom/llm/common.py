@@ -32,7 +32,6 @@ def text_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, co
             size += length or 0
         if start < batch.num_rows:
             yield batch.slice(start)
-    pa.default_memory_pool().release_unused()  # workers live on; what a long text took goes back
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
