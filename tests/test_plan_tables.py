@@ -2,6 +2,7 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from trackloom.operators import compress, lookup, plan_tables, routes, segments
 from trackloom.sources import remote
 
+DATA = Path("/root/testdata/sf0.001")
+
 
 def plain_grid(length, nodes, final, approach):
     """Shares by the square root of each gap, then one node less in the largest or more in the heaviest gap until the total fits."""
@@ -180,3 +183,36 @@ def test_remote_hours_are_fetched_once(spark, tmp_path):
     assert {r.hour for r in spark.read.parquet(path).select("hour").distinct().collect()} == set(grid[:4])
     assert remote.fetch_missing(spark, url, "positions", grid, path, box, driver=driver) == []
     assert remote.read_hours(spark, url, "positions", [], driver=driver).count() == 0
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no driver tables here")
+def test_paths_of_all_customers_equal_the_cubic_through_their_waypoints(spark):
+    """Through four waypoints runs one cubic; its samples, lengths, angles and curvature, and each waypoint's nearest sample."""
+    from trackloom.plans.queries import QUERIES
+
+    points, found = {}, {}
+    for r in QUERIES["resolve_routes"](spark, str(DATA)).collect():
+        points.setdefault(r.route_id, []).append((r.place, r.identifier, r.lat, r.lon))
+    for r in QUERIES["reference_paths"](spark, str(DATA)).collect():
+        found.setdefault(r.route_id, []).append((r.idx, r.s, r.east_m, r.north_m, r.lat, r.lon, r.track_rad, r.curvature))
+    distances = {(r.route_id, r.identifier): r.s for r in QUERIES["waypoint_distances"](spark, str(DATA)).collect()}
+    assert found.keys() == points.keys() and len(found) >= 100
+    for route, own in points.items():
+        own.sort()
+        lat, lon = np.array([p[2] for p in own]), np.array([p[3] for p in own])
+        north = 6_371_000.0 * np.radians(lat - lat[-1])
+        east = 6_371_000.0 * math.cos(math.radians(lat[-1])) * np.radians(lon - lon[-1])
+        u = np.concatenate(([0.0], np.cumsum(np.hypot(np.diff(east), np.diff(north)))))
+        got = np.array(sorted(found[route]))
+        at = np.linspace(0.0, 1.0, len(got))
+        assert len(got) == 48 * 3 + 1
+        x, y = (np.polynomial.Polynomial.fit(u / u[-1], v, 3, domain=[0, 1], window=[0, 1]) for v in (east, north))
+        run = np.concatenate(([0.0], np.cumsum(np.hypot(np.diff(x(at)), np.diff(y(at))))))
+        assert np.allclose(got[:, 2], x(at), atol=1e-3) and np.allclose(got[:, 3], y(at), atol=1e-3)
+        assert np.allclose(got[:, 1], run[-1] - run, atol=1e-3)
+        dx, dy, ddx, ddy = (p.deriv(k)(at) for k in (1, 2) for p in (x, y))
+        assert np.allclose(np.cos(got[:, 6] - np.arctan2(dy, dx)), 1.0, atol=1e-9) and np.abs(np.diff(got[:, 6])).max() <= math.pi
+        assert np.allclose(got[:, 7], (dx * ddy - dy * ddx) / (dx**2 + dy**2) ** 1.5, rtol=1e-4, atol=1e-9)
+        for _, name, a, b in own:
+            if [p[1] for p in own].count(name) == 1:
+                assert distances[route, name] == got[int(np.hypot(got[:, 4] - a, got[:, 5] - b).argmin()), 1]

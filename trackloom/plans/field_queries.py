@@ -9,7 +9,7 @@ from trackloom.functions import flight, geo, scalars
 from trackloom.operators import classify, compress, profiles, routes, schedule, segments, verify
 from trackloom.plans import fixture
 from trackloom.plans.fixture import read
-from trackloom.plans.queries import CLASSIFIED, EVENTS, PLANS, RHO, SPLIT, TRACKS, numbered_tracks, order_events, order_sequences, order_trajectories, query, rows_of
+from trackloom.plans.queries import CLASSIFIED, EVENTS, ORACLES, PLANS, RHO, SPLIT, TRACKS, numbered_tracks, order_events, order_sequences, order_trajectories, query, rows_of
 from trackloom.plans.table_queries import SAMPLED, line_sql, path_samples
 from trackloom.shared import place
 from trackloom.sources import files, sinks
@@ -367,3 +367,7 @@ def altitude_constraints(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "part").select(F.lower("p_brand").alias("sid_star_approach_identifier"), F.lit(" ALL").alias("padded"), F.lit("ALL").alias("transition_identifier"), F.concat(F.lit("x"), F.col("p_partkey").cast("string")).alias("fix_identifier"), F.lpad(size.cast("string"), 5, "0").alias("altitude"), F.when(F.col("p_size") % 3 != 0, "02500").alias("altitude_2"))
     found = profiles.constraints_by_fix(rows, "BRAND#11", "all")
     return found.select("fix_identifier", F.col("lower_ft").cast("double").alias("lower_ft"), F.col("upper_ft").cast("double").alias("upper_ft"))
+
+
+#: The manifest of the compression run is the same table, whether it is read back or not.
+ORACLES["compression_manifest"] = ORACLES["manifest_rows"]

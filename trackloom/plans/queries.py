@@ -698,6 +698,14 @@ def plan_cost(spark: SparkSession, d: str) -> DataFrame:
     return c.select("plan_id", *(F.round(n, 8 if n == "cross_term" else 6).alias(n) for n in c.columns[1:]))  # eighths of cross_term would be ties at 6
 
 
+@query(ORACLES["plan_cost"].replace("-2.0::DOUBLE * reach / 1000.0 AS f1", "2.0::DOUBLE * reach / 1000.0 AS f1").replace("3.0::DOUBLE * reach / 1000.0 * o2 / 1e8::DOUBLE AS f2", "0.0::DOUBLE AS f2"))
+def plan_cost_idle_band(spark: SparkSession, d: str) -> DataFrame:
+    """The cost of plans whose thrust an idle band bounds."""
+    weights = verify.Weights(reach=2.0, thrust=3.0, gamma=0.5, slack=10.0)
+    c = verify.cost(fixture.lateral_plan_nodes(spark, d), weights, 10_000.0, 0.05, idle_band=True)
+    return c.select("plan_id", *(F.round(n, 8 if n == "cross_term" else 6).alias(n) for n in c.columns[1:]))
+
+
 @query(
     f"""WITH {LATERAL}, a AS (SELECT *, v * cos(track + heading_error) + 2.0 AS e, v * sin(track + heading_error) - 1.0 AS n FROM node), b AS (SELECT *, greatest(e * cos(track) + n * sin(track), 1.0) AS al, n * cos(track) - e * sin(track) AS ac FROM a),
 c AS (SELECT *, 1.0 / al AS xt, -ac / al AS xc, curvature - 9.80665::DOUBLE * tan(bank) / v / al AS xe, -roll / al AS xb FROM b),
@@ -823,6 +831,17 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return drained(spark, d, build)
 
 
+@query("SELECT date_trunc('minute', ts) AS minute, max(ts) AS latest, count(*) AS rows FROM events WHERE ts IS NOT NULL GROUP BY 1")
+def stream_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The latest event of each minute, with their number, of the event table read as a stream."""
+
+    def build(stream: DataFrame) -> DataFrame:
+        closed = streams.latest_per_minute(stream.withColumn("ts", F.col("ts").cast("timestamp")), ANY_ORDER)
+        return closed.select(F.col("minute").cast("timestamp_ntz").alias("minute"), F.col("latest").cast("timestamp_ntz").alias("latest"), "rows")
+
+    return drained(spark, d, build)
+
+
 @query(ORACLES["dedup_keep_last"])
 def stream_keep_last(spark: SparkSession, d: str) -> DataFrame:
     """Keep-last de-duplication of the event table, read as a stream."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,16 +63,13 @@ def number_segments(stream: DataFrame, key: str, gap_s: float, late: str = "10 m
             return
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         last, segment = state.get if state.exists else (None, 1)
-        out = []
-        for time in rows["ts"]:
-            now = time.timestamp()
-            if last is not None and now - last > gap_s:
-                segment += 1
-            last = now
-            out.append(segment)
+        times = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64") / 1e6
+        before = np.concatenate(([times[0] if last is None else last], times[:-1]))
+        out = segment + np.cumsum(times - before > gap_s)
+        last, segment = float(times[-1]), int(out[-1])
         state.update((last, segment))
         state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + millis)
-        yield pd.DataFrame({key: rows[key].to_numpy(), "ts": rows["ts"].to_numpy(), "segment": out})
+        yield pd.DataFrame({key: rows[key].to_numpy(), "ts": rows["ts"].to_numpy(), "segment": out.astype("int32")})
 
     return stream.select(key, "ts").withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, segment int", "last double, segment int", "append", GroupStateTimeout.EventTimeTimeout)
 
