@@ -29,8 +29,8 @@ def classify(rows: DataFrame, segments: DataFrame, thresholds: DataFrame, radius
     key = ["source_flight", "segment"]
     point = F.struct("rn", "time", "lat", "lon", "geoaltitude")
     hits = near(rows.select(*key, "rn", "time", "lat", "lon", "geoaltitude"), thresholds, radius_m).withColumn("low", F.coalesce(F.col("geoaltitude") <= CEILING_M, F.lit(False)))
-    first = hits.groupBy(*key, "place_ord").agg(F.min(F.when(F.col("low"), F.struct("rn", "distance_m", "time", "lat", "lon", "geoaltitude"))).alias("event"), F.first("runway").alias("runway"), F.first("place_lat").alias("place_lat"), F.first("place_lon").alias("place_lon"))
-    ends = rows.groupBy(*key).agg(F.min(point).alias("a"), F.max(point).alias("z"))
+    first = hits.groupBy(*key, "place_ord").agg(F.min(F.when(F.col("low"), F.struct("rn", "distance_m", "time", "lat", "lon", "geoaltitude"))).alias("event"), F.first("runway").alias("runway"), F.first("place_lat").alias("place_lat"), F.first("place_lon").alias("place_lon"), F.max("low").alias("low"))
+    ends = rows.groupBy(*key).agg(F.min(point).alias("a"), F.max(point).alias("z"), F.count("*").alias("valid_rows"))
     candidates = first.where("event is not null").join(ends, key)
     away = lambda e: F.round(geo.haversine_m(F.col(f"{e}.lat"), F.col(f"{e}.lon"), F.col("place_lat"), F.col("place_lon")), 3)
     moved = candidates.withColumns({"approach": away("a") - F.col("event.distance_m"), "leave": away("z") - F.col("event.distance_m")}).where(F.greatest("approach", "leave") >= floor_m)
@@ -49,10 +49,9 @@ def classify(rows: DataFrame, segments: DataFrame, thresholds: DataFrame, radius
     )
     order = Window.partitionBy(*key).orderBy(F.abs("distance_delta_m").desc(), "event.distance_m", "place_ord")
     best = described.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank", "place_ord")
-    close = hits.groupBy(*key).agg(F.max("low").alias("low"))
-    counted = rows.groupBy(*key).agg(F.count("*").alias("valid_rows"))
+    close = first.groupBy(*key).agg(F.max("low").alias("low"))
     label = F.coalesce(F.col("operation"), F.when(F.col("valid_rows").isNull() | F.coalesce(F.col("low"), F.lit(False)), "unclassified").otherwise("overflight"))
-    return segments.join(counted, key, "left").join(close, key, "left").join(best, key, "left").withColumn("classification", label)
+    return segments.join(ends.select(*key, "valid_rows"), key, "left").join(close, key, "left").join(best, key, "left").withColumn("classification", label)
 
 
 def events(classified: DataFrame, date_label: str) -> DataFrame:
