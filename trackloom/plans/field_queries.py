@@ -10,7 +10,7 @@ from trackloom.operators import classify, compress, profiles, routes, schedule,
 from trackloom.plans import fixture
 from trackloom.plans.fixture import read
 from trackloom.plans.queries import CLASSIFIED, EVENTS, ORACLES, PLANS, RHO, SPLIT, TRACKS, numbered_tracks, order_events, order_sequences, order_trajectories, query, rows_of
-from trackloom.plans.table_queries import SAMPLED, line_sql, path_samples
+from trackloom.plans.table_queries import RESAMPLED, SAMPLED, line_sql, path_samples, plan_payload_tracks
 from trackloom.shared import place
 from trackloom.sources import files, sinks
 
@@ -250,14 +250,28 @@ SPANS = """{k}(flight_id, a, z) AS (
     FROM {k} s JOIN p ON p.flight_id = s.flight_id AND p.i > s.a AND p.i < s.z JOIN p q ON q.flight_id = s.flight_id AND q.i = s.a JOIN p r ON r.flight_id = s.flight_id AND r.i = s.z GROUP BY 1, 2, 3) w WHERE w.e > {tolerance})"""
 ABOVE = "abs(p.y - (q.y + CASE WHEN r.t = q.t THEN 0.0 ELSE (r.y - q.y) / (r.t - q.t) END * (p.t - q.t)))"
 ACROSS = "CASE WHEN sqrt((r.u - q.u) * (r.u - q.u) + (r.v - q.v) * (r.v - q.v)) = 0 THEN sqrt((p.u - q.u) * (p.u - q.u) + (p.v - q.v) * (p.v - q.v)) ELSE abs((r.u - q.u) * (p.v - q.v) - (r.v - q.v) * (p.u - q.u)) / sqrt((r.u - q.u) * (r.u - q.u) + (r.v - q.v) * (r.v - q.v)) END"
-MASKS = f"""WITH RECURSIVE {TRACKS}, k AS (SELECT flight_id, callsign, icao24, ordinal, floor(time)::BIGINT AS t, lat, lon, geoaltitude AS y FROM track WHERE geoaltitude IS NOT NULL QUALIFY row_number() OVER (PARTITION BY flight_id, floor(time)::BIGINT ORDER BY ordinal DESC) = 1),
+
+
+def masks_sql(points: str, high: str, side: str) -> str:
+    """Kept points with their masks, from SQL of points: k (flight_id, callsign, icao24, ordinal, t, lat, lon, y)."""
+    return f"""WITH RECURSIVE {points},
 mean AS (SELECT flight_id, sum(round(lat * 1e7)::BIGINT) / count(*) / 1e7 AS lat0, sum(round(lon * 1e7)::BIGINT) / count(*) / 1e7 AS lon0 FROM k GROUP BY 1),
 p AS (SELECT k.*, {R} * cos(radians(lat0)) * radians(lon - lon0) AS u, {R} * radians(lat - lat0) AS v, row_number() OVER (PARTITION BY k.flight_id ORDER BY t) AS i FROM k JOIN mean USING (flight_id)),
-{SPANS.format(k="high", e=ABOVE, tolerance="600")}, {SPANS.format(k="side", e=ACROSS, tolerance="2000")},
+{SPANS.format(k="high", e=ABOVE, tolerance=high)}, {SPANS.format(k="side", e=ACROSS, tolerance=side)},
 mark AS (SELECT flight_id, i, max(l) + max(h) AS mask FROM (SELECT flight_id, unnest([a, z]) AS i, 1 AS l, 0 AS h FROM side UNION ALL SELECT flight_id, unnest([a, z]), 0, 2 FROM high) GROUP BY 1, 2),
 kept AS (SELECT p.*, mask::INT AS mask FROM mark JOIN p USING (flight_id, i))"""
 
 
+MASKS = masks_sql(f"{TRACKS}, k AS (SELECT flight_id, callsign, icao24, ordinal, floor(time)::BIGINT AS t, lat, lon, geoaltitude AS y FROM track WHERE geoaltitude IS NOT NULL QUALIFY row_number() OVER (PARTITION BY flight_id, floor(time)::BIGINT ORDER BY ordinal DESC) = 1)", "600", "2000")
+PAYLOADS = masks_sql(f"{RESAMPLED}, k AS (SELECT flight_id, callsign, 'abc' AS icao24, ordinal, time AS t, lat, lon, geoaltitude AS y FROM track)", "200", "2000")
+
+
+@query(PAYLOADS + " SELECT flight_id, t AS time, lat, lon, y AS geoaltitude, mask FROM kept")
+def payload_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Kept samples of every plan's payload with what they are breakpoints of."""
+    return compress.compress(plan_payload_tracks(spark, d), 2000.0, 200.0)
+
+
 @query(MASKS + " SELECT flight_id, t AS time, lat, lon, y AS geoaltitude, mask FROM kept")
 def breakpoint_masks(spark: SparkSession, d: str) -> DataFrame:
     """Kept points of every flight with what they are breakpoints of."""

@@ -280,7 +280,7 @@ def plan_payload_tracks(spark: SparkSession, d: str) -> DataFrame:
     return compress.resampled(samples, starts)
 
 
-RESAMPLED = f"""track AS (SELECT flight_id, time, ordinal, geoaltitude FROM (SELECT concat('P', l_orderkey) AS flight_id, round_even(o_custkey * 10 + floor(l_quantity / 10) * 0.5::DOUBLE + floor(l_linenumber / 2), 0)::BIGINT AS time, l_linenumber AS ordinal, l_quantity * 20.0::DOUBLE AS geoaltitude FROM {LINES} JOIN orders ON o_orderkey = l_orderkey)
+RESAMPLED = f"""track AS (SELECT * FROM (SELECT concat('S', l_orderkey) AS callsign, l_partkey % 100 / 1000.0::DOUBLE + 32.8::DOUBLE AS lat, l_suppkey % 100 / 1000.0::DOUBLE - 97.1::DOUBLE AS lon, concat('P', l_orderkey) AS flight_id, round_even(o_custkey * 10 + floor(l_quantity / 10) * 0.5::DOUBLE + floor(l_linenumber / 2), 0)::BIGINT AS time, l_linenumber AS ordinal, l_quantity * 20.0::DOUBLE AS geoaltitude FROM {LINES} JOIN orders ON o_orderkey = l_orderkey)
   QUALIFY row_number() OVER (PARTITION BY flight_id, time ORDER BY ordinal DESC) = 1)"""
 
 
