@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from trackloom.functions import geo
 from trackloom.shared import forget, written
 
+#: No two places on the globe are farther apart.
+HALF_ROUND_M = math.pi * geo.EARTH_RADIUS_M
+
 
 def near(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
     """points joined with every place at most radius_m away, with distance_m.
@@ -36,7 +39,10 @@ def near(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
     ).withColumn("cell_x", F.explode(F.sequence(cell(F.col("turn_lon") - width, width), cell(F.col("turn_lon") + width, width))))
     placed = points.withColumns({"cell_y": cell(F.col("lat"), height), "cell_x": cell(F.col("lon"), width)})
     distance = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
-    return placed.join(spread, ["cell_y", "cell_x"]).withColumn("distance_m", F.round(distance, 3)).where(F.col("distance_m") <= radius_m).drop("cell_y", "cell_x", "turn_lon")
+    # Of a place's copies a point meets the one on its own side.
+    apart = F.col("lon") - F.col("turn_lon")
+    met = placed.join(spread, ["cell_y", "cell_x"]).where((apart > -180.0) & (apart <= 180.0))
+    return met.withColumn("distance_m", F.round(distance, 3)).where(F.col("distance_m") <= radius_m).drop("cell_y", "cell_x", "turn_lon")
 
 
 def nearest(points: DataFrame, key: list[str], places: DataFrame, radius_m: float) -> DataFrame:
@@ -66,22 +72,19 @@ def nearest_threshold(points: DataFrame, thresholds: DataFrame, radius_m: float
     """Per flight the runway that any of its points comes closest to, and that distance; equal ones go to the lower place_ord.
 
     A search in rings: what lies within the radius is met by grid cells, and only flights that found nothing there look
-    again, in a wider one, until the radius passes a quarter of the globe, where the last flights meet every threshold by blocks. A point that lies in no ring adds nothing
-    to a flight that found one. Each round keeps one best a flight before it shuffles. Flights without a position have no row.
+    again, in a wider one, until the ring spans the globe. A point that lies in no ring adds nothing to a flight that found
+    one. Each round keeps one best a flight before it shuffles. Flights without a position have no row.
     """
     runways = thresholds.select("place_ord", "runway", "place_lat", "place_lon")
     left = written(points.select("flight_id", "lat", "lon").where("flight_id is not null and lat is not null and lon is not null"), "points")
     best = F.min(F.struct("distance_m", "place_ord", "runway")).alias("best")
     found, radius = None, radius_m
     while True:
-        whole = radius > 5_000_000.0
-        distance = F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon")), 3)
-        met = left.join(runways).withColumn("distance_m", distance) if whole else near(left, runways, radius)
-        here = written(met.groupBy("flight_id").agg(best).select("flight_id", "best.runway", "best.distance_m"), "nearest")
+        here = written(near(left, runways, radius).groupBy("flight_id").agg(best).select("flight_id", "best.runway", "best.distance_m"), "nearest")
         found = here if found is None else found.unionByName(here)
         before, left = left, written(left.join(here.select("flight_id"), "flight_id", "left_anti"), "points")
         forget(before)
-        if whole or left.isEmpty():
+        if radius > HALF_ROUND_M or left.isEmpty():
             forget(left)
             return found
         radius *= growth
