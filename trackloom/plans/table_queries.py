@@ -258,7 +258,7 @@ o AS (SELECT *, CASE WHEN start_s IS NULL OR start_s <= ls + 1e-6 THEN 'reached'
 m AS (SELECT *, c * sqrt(1.225::DOUBLE / greatest({RHO.format(h='upstream_h', d='0.0')}, 1e-9)) AS v, unnest(range(1, 13)) AS k FROM o WHERE outcome = 'extended'),
 n AS (SELECT *, (start_s - ls) / 12 * k AS ahead FROM m)
 SELECT plan_id, idx, s, h, round(v, 6) AS v, round(cas, 6) AS cas, round(t, 6) AS t, gamma, phase, outcome, round(CASE WHEN outcome <> 'reached' THEN jump END, 6) AS jump_kt FROM node JOIN o USING (plan_id)
-UNION ALL SELECT plan_id, li + k, CASE WHEN k = 12 THEN start_s ELSE ls + ahead END, upstream_h, round(v, 6), round(c, 6), round(lt + ahead / greatest(v, 1.0), 6), 0.0, CASE WHEN ls + ahead <= 12000 THEN 'final' WHEN ls + ahead <= 35000 THEN 'approach' ELSE 'clean' END, outcome, round(jump, 6) FROM n"""
+UNION ALL SELECT plan_id, (li + k)::INT, CASE WHEN k = 12 THEN start_s ELSE ls + ahead END, upstream_h, round(v, 6), round(c, 6), round(lt + ahead / greatest(v, 1.0), 6), 0.0, CASE WHEN ls + ahead <= 12000 THEN 'final' WHEN ls + ahead <= 35000 THEN 'approach' ELSE 'clean' END, outcome, round(jump, 6) FROM n"""
 )
 def extended_plans(spark: SparkSession, d: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
