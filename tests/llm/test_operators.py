@@ -431,6 +431,18 @@ def test_words_of_texts():
     assert found.to_pylist() == sum(plain, []) and size.tolist() == [len(p) for p in plain]
 
 
+def test_words_of_slices_of_batches():
+    """text_batches cuts a batch of many bytes into slices, with and without nulls before them."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    for nulls in (0.0, 0.2):
+        texts = [None if rng.random() < nulls else "".join(rng.choice("abcDEF é\n") for _ in range(rng.choice([0, 1, 5, 30, 200]))) for _ in range(400)]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        cut = [x for b in common.text_batches(iter([batch]), max_bytes=1000) for x in hmm.split(b.column("text"))[0].to_pylist()]
+        assert cut == [w.encode() for t in texts for w in words((t or "").translate(LOWER))]
+
+
 def test_language_model_repeated_rows_and_empty(spark, empty):
     rows = [(1, "a b c", None, None, None)] * 2 + [(2, "x y zz", None, None, None)] * 3 + [(None, "q", None, None, None)]
     found = hmm.score(frame(spark, rows), F.lit(False), known_words=2, own_words=1).collect()

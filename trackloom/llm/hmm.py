@@ -40,7 +40,8 @@ ALPHA = 0.1
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of an array of texts with A-Z lower-cased, as binary, and how many each text has."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    # Lower-cased before the cast: of a slice of a batch Arrow lower-cases wrong bytes after it.
+    texts = pc.fill_null(pc.ascii_lower(texts).cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(texts)
     words, size = lists.flatten(), pc.list_value_length(lists).to_numpy()
     some = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
