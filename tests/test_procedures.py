@@ -333,3 +333,36 @@ def test_nearest_threshold_far_away_and_over_the_date_line(spark):
     got = {r.flight_id: (r.distance_m, r.runway) for r in found.collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[f][0] - want[f][0]) <= 0.002 and got[f][1] == want[f][2] for f in got)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 8])
+def test_paths_of_many_routes_at_once_are_those_of_one(n):
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    u = np.concatenate((np.zeros((7, 1)), np.cumsum(rng.uniform(500.0, 9000.0, (7, n - 1)), axis=1)), axis=1)
+    y = rng.uniform(-1e4, 1e4, (7, n))
+    together = routes.cubics_through(u, y)
+    for i in range(7):
+        at = np.linspace(0.0, u[i, -1], 50)
+        for order in range(3):
+            one = routes.spline_value(u[i], routes.cubic_through(u[i], y[i]) if n > 1 else np.array([[y[i, 0], 0, 0, 0]]), at, order)
+            np.testing.assert_allclose(routes.spline_value(u[i], together[i], at, order), one, rtol=1e-6, atol=1e-6 * max(1e-9, np.abs(one).max()))
+
+
+def test_distances_are_found_where_paths_are_made(spark):
+    rows = [(r, k, f"P{(r * k) % 4}", 30.0 + 0.1 * ((r * 7 + k * 3) % 11) + 0.01 * k, -97.0 - 0.1 * ((r * 5 + k * 4) % 13)) for r in range(40) for k in range(1, 3 + r % 4)]
+    points = spark.createDataFrame(rows, "route_id long, place int, identifier string, lat double, lon double").repartition(5)
+    own, plan = routes.waypoint_distances(points), routes.reference_paths(points)
+    want = {(r.route_id, r.identifier): r.s for r in routes.waypoint_distances(points, plan).collect()}
+    found = {(r.route_id, r.identifier): r.s for r in own.collect()}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    assert len(plan.collect()) == sum((1 + r % 4) * 48 + 1 for r in range(40))
+    text = own._jdf.queryExecution().toString()
+    assert "Join" not in text and "FlatMapGroups" not in text
+
+
+def test_straight_paths_join_no_samples(spark):
+    from trackloom.plans.field_queries import line_paths
+
+    assert "Join" not in line_paths(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()

@@ -124,7 +124,8 @@ def line_waypoints(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {LINE} SELECT route_id, idx, round(s, 4) AS s, round(e, 4) AS east_m, round(n, 4) AS north_m, round(lat1 + degrees(n / {R}), 8) AS lat, round(lon1 + degrees(e / ({R} * cos(radians(lat1)))), 8) AS lon, round(track, 8) AS track_rad, 0.0::DOUBLE AS curvature FROM sample")
 def line_paths(spark: SparkSession, d: str) -> DataFrame:
     found = routes.reference_paths(line_waypoints(spark, d))
-    return rounded(found, ["route_id", "idx"], {"s": 4, "east_m": 4, "north_m": 4, "lat": 8, "lon": 8, "track_rad": 8}).join(found.select("route_id", "idx", (F.round("curvature", 9) + 0.0).alias("curvature")), ["route_id", "idx"])
+    level = rounded(found, ["route_id", "idx"], {"s": 4, "east_m": 4, "north_m": 4, "lat": 8, "lon": 8, "track_rad": 8, "curvature": 9})
+    return level.withColumn("curvature", F.col("curvature") + 0.0)
 
 
 @query(f"WITH {LINE} SELECT route_id, 'START' AS identifier, round(max(s), 4) AS s FROM sample GROUP BY 1 UNION ALL SELECT c_custkey, 'END', 0.0::DOUBLE FROM customer")

@@ -48,6 +48,15 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to all of spark.sql.shuffle.partitions tasks.
+
+    Adaptive execution joins small partitions by their compressed bytes. Where few bytes become many rows, or wide ones,
+    that leaves a task too many of them; partitions of a given number stay.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables made by written() that no later step reads, and lets Spark drop finished steps' shuffle files.
 
