@@ -130,8 +130,7 @@ def line_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {LINE} SELECT route_id, 'START' AS identifier, round(max(s), 4) AS s FROM sample GROUP BY 1 UNION ALL SELECT c_custkey, 'END', 0.0::DOUBLE FROM customer")
 def line_distances(spark: SparkSession, d: str) -> DataFrame:
-    points = line_waypoints(spark, d)
-    return rounded(routes.waypoint_distances(points, routes.reference_paths(points)), ["route_id", "identifier"], {"s": 4})
+    return rounded(routes.waypoint_distances(line_waypoints(spark, d)), ["route_id", "identifier"], {"s": 4})
 
 
 # Times and labels.
