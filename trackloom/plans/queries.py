@@ -779,8 +779,7 @@ def reference_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def waypoint_distances(spark: SparkSession, d: str) -> DataFrame:
-    points = resolve_routes(spark, d)
-    return routes.waypoint_distances(points, routes.reference_paths(points))
+    return routes.waypoint_distances(resolve_routes(spark, d))
 
 
 # Compression: the oracle splits spans level by level.
