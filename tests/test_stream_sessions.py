@@ -88,3 +88,9 @@ def test_sessions_equal_plain_ones_and_pass_no_memory_sink(spark, tmp_path):
     found = QUERIES["stream_sessions"](spark, str(tmp_path / "in"))
     assert sorted((r.user_id, r.start.day, r.start.hour, r["rows"]) for r in found.collect()) == [(1, 1, 0, 2), (1, 2, 6, 1), (2, 1, 2, 2), (3, 2, 7, 1)]
     assert found.inputFiles() and not [t.name for t in spark.catalog.listTables() if t.name.startswith("sessions_")]
+
+
+def test_keep_last_keeps_state_without_python(spark):
+    stream = spark.readStream.format("rate").load().selectExpr("value AS event_id", "value AS user_id", "'x' AS event_type", "1.0D AS value", "timestamp AS ts")
+    plan = streams.keep_last(fixture.as_tracks(stream))._jdf.queryExecution().logical().toString()
+    assert "TransformWithState" not in plan and "Python" not in plan

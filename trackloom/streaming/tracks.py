@@ -14,10 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
-#: Keyed state with timers needs this store: spark.sql.streaming.stateStore.providerClass.
+#: Holds state beyond memory: spark.sql.streaming.stateStore.providerClass.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -74,49 +73,14 @@ def number_segments(stream: DataFrame, key: str, gap_s: float, late: str = "10 m
     return stream.select(key, "ts").withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, segment int", "last double, segment int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-class Newest(StatefulProcessor):
-    """One value a key: the row with the greatest `order` so far, replaced by a greater one and emitted by a timer."""
-
-    def __init__(self, columns: list[str], state: str, order: str) -> None:
-        self.columns, self.state, self.order = columns, state, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.best = handle.getValueState("best", self.state)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        at = self.columns.index(self.order)
-        held = self.best.get()
-        found = held
-        for frame in rows:
-            top = frame.loc[frame[self.order].idxmax(), self.columns].tolist()
-            if found is None or top[at] > found[at]:
-                found = [None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in top]
-        if held is None:
-            self.handle.registerTimer((int(key[-1]) + 1) * 1000)
-        if found is not held:
-            self.best.update(tuple(found))
-        return iter(())
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        found = self.best.get()
-        self.best.clear()
-        yield pd.DataFrame([list(found)], columns=self.columns)
-
-    def close(self) -> None:
-        pass
-
-
 def keep_last(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     """The stream's form of segments.keep_last: of each flight and second the complete row ingested last, once no more can come.
 
     stream has flight_id, time, lat, lon, geoaltitude, ordinal (distinct, not null) and others. State is one row
-    a flight and second, replaced by a row of greater ordinal; when the watermark passes the second, its timer emits it and
-    clears the state. Rows later than that are dropped. Needs STATE_STORE; output mode append or update.
+    a flight and second, replaced by a row of greater ordinal; when the watermark passes the second, it is emitted and
+    its state cleared. Rows later than that are dropped. Output mode append; state is best kept in STATE_STORE.
     """
-    columns = stream.columns
     whole = stream.dropna(subset=["time", "lat", "lon", "geoaltitude"]).withColumn("time", F.floor("time").cast("long"))
     timed = whole.withColumn("event_time", F.timestamp_seconds("time")).withWatermark("event_time", late)
-    schema = ", ".join(f"{name} {kind}" for name, kind in whole.dtypes)
-    own = timed.groupBy("flight_id", "time")
-    return own.transformWithStateInPandas(Newest(columns, schema, "ordinal"), outputStructType=schema, outputMode="append", timeMode="eventTime")
+    newest = F.max_by(F.struct(*stream.columns), "ordinal").alias("newest")
+    return timed.groupBy("flight_id", F.window("event_time", "1 second")).agg(newest).select("newest.*")
