@@ -269,3 +269,15 @@ def test_the_last_row_of_the_last_file_counts(spark, tmp_path):
     (tmp_path / "b.csv").write_text(head + "x,3,3,\n")
     rows = files.fix_catalog(files.table(spark, str(tmp_path), ["identifier"])).collect()
     assert [(r.identifier, r.latitude_deg) for r in rows] == [("X", 3.0)]
+
+
+def test_nearest_of_many_places_sorts_no_pairs(spark):
+    places = spark.createDataFrame([(k, f"P{k}", 32.0 + (k % 5) * 0.001, -97.0) for k in range(200)] + [(7, "Q", 32.0, -97.0005)], "place_ord long, identifier string, place_lat double, place_lon double")
+    points = spark.createDataFrame([("a", k, 32.0 + (k % 9) * 0.0005, -97.0) for k in range(90)] + [("b", 0, 50.0, 50.0)], "f string, rn int, lat double, lon double")
+    near = proximity.near(points, places, 2000.0).collect()
+    want = {}
+    for r in near:
+        want[r.f, r.rn] = min(want.get((r.f, r.rn), (9e9, 0, "")), (r.distance_m, r.place_ord, r.identifier))
+    found = proximity.nearest(points, ["f", "rn"], places, 2000.0)
+    assert {(r.f, r.rn): (r.distance_m, r.identifier) for r in found.collect()} == {k: (v[0], v[2]) for k, v in want.items()} and len(want) == 90
+    assert "Window" not in found._jdf.queryExecution().toString()

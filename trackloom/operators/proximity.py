@@ -7,6 +7,7 @@ join's candidates are only points in cells near a place, whatever the size of ei
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,9 +47,22 @@ def near(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
 
 
 def nearest(points: DataFrame, key: list[str], places: DataFrame, radius_m: float) -> DataFrame:
-    """key and the place nearest to each point, if one is within radius_m; equal distances go to the lower place_ord."""
-    order = Window.partitionBy(*key).orderBy("distance_m", "place_ord")
-    return near(points, places, radius_m).withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
+    """key, identifier and distance_m of the place nearest to each point, if one is within radius_m; equal distances go to the lower place_ord.
+
+    Of places at one position only the lowest place_ord can win. Distance (in millimetres, as near() rounds it) and place_ord
+    are one number, whose minimum is hashed while pairs are made: pairs are neither sorted nor shuffled.
+    """
+    own = places.groupBy("place_lat", "place_lon").agg(F.min(F.struct("place_ord", "identifier")).alias("own")).select("place_lat", "place_lon", F.col("own.place_ord").cast("long").alias("place_ord"), "own.identifier")
+    millis = F.round(F.col("distance_m") * 1000).cast("decimal(11,0)")
+    both = millis * F.lit(Decimal(1 << 64)).cast("decimal(20,0)") + (F.col("place_ord").cast("decimal(20,0)") + F.lit(Decimal(1 << 63)).cast("decimal(20,0)"))
+    pairs = near(points.select(*key, "lat", "lon"), own.drop("identifier"), radius_m)
+    best = pairs.groupBy(*key, "lat", "lon").agg(F.min(both.cast("decimal(38,0)")).alias("both"))
+    best = best.withColumn("millis", F.floor(F.col("both") / F.lit(Decimal(1 << 64)).cast("decimal(20,0)")).cast("decimal(11,0)"))
+    best = best.withColumn("place_ord", (F.col("both") - F.col("millis") * F.lit(Decimal(1 << 64)).cast("decimal(20,0)") - F.lit(Decimal(1 << 63)).cast("decimal(20,0)")).cast("long"))
+    met = best.join(own, "place_ord").withColumn("distance_m", F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon")), 3))
+    # A place_ord may stand at several positions.
+    met = met.where(F.round(F.col("distance_m") * 1000).cast("decimal(11,0)") == F.col("millis"))
+    return met.groupBy(*key).agg(F.min("identifier").alias("identifier"), F.min("distance_m").alias("distance_m"))
 
 
 def fix_sequences(rows: DataFrame, fixes: DataFrame, radius_m: float = 2000.0) -> DataFrame:
