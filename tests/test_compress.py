@@ -43,3 +43,16 @@ def test_a_task_gets_no_more_than_small_points(spark, monkeypatch, tmp_path):
     rows = [("A1", i, i, 32 + rng.random() / 10, -97.0, 1000 * rng.random()) for i in range(40)]
     compress.compress(spark.createDataFrame(rows, "flight_id string, time long, ordinal long, lat double, lon double, geoaltitude double"), 500.0, 300.0).collect()
     assert max(map(int, log.read_text().split())) <= 12
+
+
+def test_spans_of_a_batch_split_together():
+    """Many spans of both kinds at once keep what each keeps alone, first ones of equal errors included."""
+    import pandas as pd
+
+    rng, frames, want = np.random.default_rng(4), [], []
+    for k in range(120):
+        n, kind = int(rng.integers(3, 12)), int(rng.integers(1, 3))
+        u, v = (np.arange(n) * 1.0 if kind == compress.ALTITUDE else rng.integers(0, 4, n) * 1.0), rng.integers(0, 4, n) * 1.0
+        frames.append(pd.DataFrame({"span": k, "kind": kind, "u": u[1:-1], "v": v[1:-1], "au": u[0], "av": v[0], "zu": u[-1], "zv": v[-1]}))
+        want += (compress.spatial_breakpoints if kind == compress.LATERAL else compress.series_breakpoints)(u, v, 0.9)[1:-1].tolist()
+    assert compress._finish({1: 0.9, 2: 0.9})(pd.concat(frames, ignore_index=True)).tolist() == want

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.shared import forget, written
+from trackloom.shared import dealt, forget, written
 
 # Bits of a breakpoint's kinds.
 LATERAL, ALTITUDE = 1, 2
@@ -51,8 +51,8 @@ def spatial_breakpoints(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.nd
     def errors(a: int, b: int) -> np.ndarray:
         dx, dy = x[b] - x[a], y[b] - y[a]
         px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
-        length = np.hypot(dx, dy)
-        return np.hypot(px, py) if length == 0 else np.abs(dx * py - dy * px) / length
+        length = np.sqrt(dx * dx + dy * dy)
+        return np.sqrt(px * px + py * py) if length == 0 else np.abs(dx * py - dy * px) / length
 
     return breakpoints(len(x), errors, tolerance)
 
@@ -68,13 +68,48 @@ def series_breakpoints(t: np.ndarray, y: np.ndarray, tolerance: float) -> np.nda
 
 
 def _finish(tolerances: dict[int, float]) -> Callable[[pd.DataFrame], np.ndarray]:
-    """Which rows to mark inside one span of at most SMALL points, whose ends each row carries; rows are in order of t and o."""
+    """Which rows to mark inside whole spans of at most SMALL points in all, whose ends each row carries.
+
+    Rows are in order of span, t and o. All open spans split together, round by round.
+    """
 
     def one(rows: pd.DataFrame) -> np.ndarray:
-        ends = rows.iloc[0]
-        u, v = (np.concatenate(([ends[f"a{c}"]], rows[c].to_numpy(), [ends[f"z{c}"]])) for c in "uv")
-        kind = int(ends["kind"])
-        return (spatial_breakpoints if kind == LATERAL else series_breakpoints)(u, v, tolerances[kind])[1:-1]
+        span = rows["span"].to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], span[1:] != span[:-1])))
+        size = np.diff(np.append(first, len(rows)))
+        # Each span's points stand between its two ends.
+        a = first + 2 * np.arange(len(first))
+        b = a + size + 1
+        inner = np.arange(len(rows)) + 2 * np.repeat(np.arange(len(first)), size) + 1
+        u, v = np.empty(len(rows) + 2 * len(first)), np.empty(len(rows) + 2 * len(first))
+        for x, c in ((u, "u"), (v, "v")):
+            x[inner], x[a], x[b] = rows[c].to_numpy(), rows[f"a{c}"].to_numpy()[first], rows[f"z{c}"].to_numpy()[first]
+        lateral = rows["kind"].to_numpy()[first] == LATERAL
+        keep = np.zeros(len(u), bool)
+        while len(a):
+            open_ = b - a > 1
+            a, b, lateral = a[open_], b[open_], lateral[open_]
+            if not len(a):
+                break
+            size = b - a - 1
+            edge = np.cumsum(size) - size
+            of = np.repeat(np.arange(len(a)), size)
+            at = np.arange(len(of)) - edge[of] + a[of] + 1
+            dx, dy = u[b] - u[a], v[b] - v[a]
+            px, py = u[at] - u[a][of], v[at] - v[a][of]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                length, slope = np.sqrt(dx * dx + dy * dy), np.where(dx == 0, 0.0, dy / dx)
+                across = np.where(length[of] == 0, np.sqrt(px * px + py * py), np.abs(dx[of] * py - dy[of] * px) / length[of])
+            e = np.where(lateral[of], across, np.abs(v[at] - (v[a][of] + slope[of] * px)))
+            worst = np.maximum.reduceat(e, edge)
+            split = worst > np.where(lateral, tolerances[LATERAL], tolerances[ALTITUDE])
+            largest = np.flatnonzero((e == worst[of]) & split[of])[::-1]
+            middle = np.zeros(len(a), np.int64)
+            middle[of[largest]] = at[largest]  # the first of equal ones is written last
+            a, b, lateral, middle = a[split], b[split], lateral[split], middle[split]
+            keep[middle] = True
+            a, b, lateral = np.concatenate((a, middle)), np.concatenate((middle, b)), np.concatenate((lateral, lateral))
+        return keep[inner]
 
     return one
 
@@ -89,8 +124,12 @@ def _finish_spans(spans: DataFrame, finish: Callable[[pd.DataFrame], np.ndarray]
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def marked(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-            edges = np.append(starts, len(rows))
-            keep = [finish(rows.iloc[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+            edges, keep, i = np.append(starts, len(rows)), [], 0
+            rows = rows.assign(span=np.repeat(np.arange(len(starts)), np.diff(edges)))
+            while i < len(starts):
+                j = max(i + 1, int(np.searchsorted(edges, edges[i] + SMALL, side="right")) - 1)
+                keep.append(finish(rows.iloc[edges[i] : edges[j]]))
+                i = j
             return rows.loc[np.concatenate(keep), MARK]
 
         rest = None
@@ -105,7 +144,7 @@ def _finish_spans(spans: DataFrame, finish: Callable[[pd.DataFrame], np.ndarray]
         if rest is not None and len(rest):
             yield marked(rest, np.array([0]))
 
-    return spans.repartition(*KEY).sortWithinPartitions(*KEY, "t", "o").mapInPandas(each, "flight_id string, kind int, t long, o long, lat double, lon double, geoaltitude double")
+    return dealt(spans, *KEY).sortWithinPartitions(*KEY, "t", "o").mapInPandas(each, "flight_id string, kind int, t long, o long, lat double, lon double, geoaltitude double")
 
 
 def compress(tracks: DataFrame, lateral_m: float = 100.0, altitude_m: float = 50.0) -> DataFrame:
@@ -135,8 +174,8 @@ def compress(tracks: DataFrame, lateral_m: float = 100.0, altitude_m: float = 50
     tolerances = {LATERAL: lateral_m, ALTITUDE: altitude_m}
     dx, dy = F.col("zu") - F.col("au"), F.col("zv") - F.col("av")
     px, py = F.col("u") - F.col("au"), F.col("v") - F.col("av")
-    length = F.hypot(dx, dy)
-    across = F.when(length == 0, F.hypot(px, py)).otherwise(F.abs(dx * py - dy * px) / length)
+    length = F.sqrt(dx * dx + dy * dy)
+    across = F.when(length == 0, F.sqrt(px * px + py * py)).otherwise(F.abs(dx * py - dy * px) / length)
     above = F.abs(F.col("v") - (F.col("av") + F.when(dx == 0, 0.0).otherwise(dy / dx) * px))
     limit = F.when(F.col("kind") == LATERAL, F.lit(lateral_m)).otherwise(F.lit(altitude_m))
     ends = [flights.select("flight_id", F.lit(LATERAL | ALTITUDE).alias("kind"), f"{e}.*").select(*MARK) for e in ("first", "last")]
