@@ -366,3 +366,16 @@ def test_straight_paths_join_no_samples(spark):
     from trackloom.plans.field_queries import line_paths
 
     assert "Join" not in line_paths(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_plans_are_aggregated_where_they_stand(spark):
+    """One exchange of order lines serves the margins and defects of plans: neither exploded rows nor a second copy of the lines are shuffled."""
+    from trackloom.plans import fixture, queries
+
+    d = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Join" not in plan(fixture.lateral_plan_nodes(spark, d))
+    for name in ("margin_families", "constraint_margins", "worst_defects"):
+        assert plan(queries.QUERIES[name](spark, d)).count("Exchange hashpartitioning") == 1, name
+    assert plan(queries.endpoint_defects(spark, d)).count("Exchange hashpartitioning") <= 2
+    assert plan(queries.envelope_nine(spark, d)).count("Exchange hashpartitioning") <= 3

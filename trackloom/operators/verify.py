@@ -53,16 +53,22 @@ def endpoint_defects(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     numbers = [c for c, kind in nodes.dtypes if kind == "double"]
     ends = nodes.groupBy("plan_id").agg(*(f(F.struct(*numbers), "idx").alias(n) for n, f in (("first", F.min_by), ("last", F.max_by))))
-    rows = ends.select("plan_id", F.inline(F.array(*(F.struct(F.lit(e).alias("end"), F.lit(c).alias("state"), F.col(e)[c].alias("found")) for e in ("first", "last") for c in numbers))))
-    return rows.join(wanted, ["plan_id", "end", "state"]).select("plan_id", "end", "state", (F.col("found") - F.col("value")).alias("defect"))
+    # One row a plan meets what is wanted of it, and the state is picked there.
+    met = ends.hint("merge").join(wanted, "plan_id")
+    found, named = F.lit(None).cast("double"), F.lit(False)
+    for e in ("first", "last"):
+        for c in numbers:
+            here = (F.col("end") == e) & (F.col("state") == c)
+            found, named = F.when(here, F.col(e)[c]).otherwise(found), named | here
+    return met.where(named).select("plan_id", "end", "state", (found - F.col("value")).alias("defect"))
 
 
 def worst_defects(of: DataFrame) -> DataFrame:
     """Per plan and state the largest absolute defect and where it is (the first, of equal ones)."""
     states = [c.removeprefix("defect_") for c in of.columns if c.startswith("defect_")]
-    long = of.select("plan_id", "idx", "s", F.explode(F.array(*(F.struct(F.lit(x).alias("state"), F.abs(f"defect_{x}").alias("size")) for x in states))).alias("d")).select("*", "d.*")
-    best = long.groupBy("plan_id", "state").agg(F.max(F.struct("size", (-F.col("idx")).alias("back"), "s")).alias("m"))
-    return best.select("plan_id", "state", F.col("m.size").alias("worst"), F.col("m.s").alias("at_s"))
+    # Aggregated as they stand, one row a plan; only then a row a state.
+    best = of.groupBy("plan_id").agg(*(F.max(F.struct(F.abs(f"defect_{x}").alias("size"), (-F.col("idx")).alias("back"), "s")).alias(x) for x in states))
+    return best.select("plan_id", F.inline(F.array(*(F.struct(F.lit(x).alias("state"), F.col(x)["size"].alias("worst"), F.col(x)["s"].alias("at_s")) for x in states))))
 
 
 @dataclass(frozen=True)
@@ -118,10 +124,12 @@ def margins(nodes: DataFrame, limits: Limits = Limits()) -> DataFrame:
     Time must not fall as distance to go rises. Families without a margin in a plan have no row of it.
     """
     families = margin_families(nodes.columns, limits)
-    wide = nodes.withColumn("m", F.array(*(F.struct(F.lit(n).alias("family"), m.alias("margin")) for n, m in families.items())))
-    long = wide.select("plan_id", "idx", "s", F.explode("m").alias("m")).select("plan_id", "idx", "s", "m.*").where("margin is not null")
-    least = long.groupBy("plan_id", "family").agg(F.min(F.struct("margin", "idx", "s")).alias("l"))
-    return least.select("plan_id", "family", F.col("l.margin").alias("least_margin"), F.col("l.s").alias("at_s"), (F.col("l.margin") >= 0).alias("holds"))
+    names = {n: f"m{k}" for k, n in enumerate(families)}
+    wide = nodes.select("plan_id", "idx", "s", *(m.alias(names[n]) for n, m in families.items()))
+    # Rows stand in order of their plan: one pass makes a row a plan, and only that becomes a row a family.
+    best = wide.groupBy("plan_id").agg(*(F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("margin"), "idx", "s"))).alias(c) for c in names.values()))
+    long = best.select("plan_id", F.explode(F.array(*(F.struct(F.lit(n).alias("family"), F.col(c).alias("l")) for n, c in names.items()))).alias("x")).select("plan_id", "x.*").where("l is not null")
+    return long.select("plan_id", "family", F.col("l.margin").alias("least_margin"), F.col("l.s").alias("at_s"), (F.col("l.margin") >= 0).alias("holds"))
 
 
 def objective(nodes: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ Integer arithmetic makes the derived positions the same in every engine. The run
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.session import reach_workers
+from trackloom.shared import dealt
 
 # Invented thresholds, in the order that breaks ties.
 RUNWAYS = [
@@ -65,7 +66,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line, numbered anew from 1 in its order by line number and then all other columns: repeated numbers are lines too."""
     rest = ["l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag"]
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", *rest)
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(order).alias("l_linenumber"), *rest)
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *rest)
+    return dealt(rows, "l_orderkey").select("l_orderkey", F.row_number().over(order).alias("l_linenumber"), *rest)
 
 
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +87,7 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lateral_plan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plans with lateral states, wind and slack."""
     i, part, supplier = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
-    extra = lines(spark, sf_dir).select(
-        F.col("l_orderkey").alias("plan_id"),
-        i.alias("idx"),
+    extra = [
         (F.lit(60.0) + i * 8.0).alias("cas"),
         (F.lit(8000.0) + supplier % 10 * 50.0).alias("idle"),
         (supplier % 50 - 25.0).alias("cross"),
@@ -100,15 +100,13 @@ def lateral_plan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1.0).alias("wind_north"),
         F.lit(0.05).alias("slack"),
         (F.lit(0.4) + F.col("l_discount")).alias("cl"),
-    )
-    return plan_nodes(spark, sf_dir).join(extra, ["plan_id", "idx"])
+    ]
+    return lines(spark, sf_dir).select(*plan_columns(), *extra)
 
 
-def plan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans from order lines: states that fall and rise by simple rules."""
-    line = lines(spark, sf_dir)
+def plan_columns() -> list[Column]:
     i = F.col("l_linenumber")
-    return line.select(
+    return [
         F.col("l_orderkey").alias("plan_id"),
         i.alias("idx"),
         (i * 4000.0).alias("s"),
@@ -118,4 +116,9 @@ def plan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(-0.02) - F.col("l_tax") / 10).alias("gamma"),
         (F.lit(9000.0) + F.col("l_quantity") * 100).alias("thrust"),
         F.when(F.col("l_linenumber") <= 3, "final").when(F.col("l_quantity") > 25, "approach").otherwise("clean").alias("phase"),
-    )
+    ]
+
+
+def plan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans from order lines: states that fall and rise by simple rules."""
+    return lines(spark, sf_dir).select(*plan_columns())
