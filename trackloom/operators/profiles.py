@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import interp
+from trackloom.shared import dealt
 
 
 def sampled(nodes: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,8 +69,12 @@ def tighten(envelope: DataFrame, constraints: DataFrame, key: str, pairs: tuple[
     curves = [c for pair in pairs for c in pair if c]
     lows = {low for low, _ in pairs if low}
     given = [c for c in curves if c in constraints.columns]
-    limits = constraints.groupBy(key, "s").agg(*((F.max if c in lows else F.min)(c).alias(f"{c}_limit") for c in given))
-    rows = envelope.select(key, "s", *curves).join(limits, [key, "s"], "full_outer").withColumn("own", F.max(F.coalesce(*curves).isNotNull()).over(Window.partitionBy(key)))
+    nulls = lambda names: [F.lit(None).cast("double").alias(c) for c in names]
+    ours = envelope.select(key, "s", *(F.col(c).cast("double").alias(c) for c in curves), *nulls(f"{c}_limit" for c in given))
+    theirs = constraints.select(key, "s", *nulls(curves), *(F.col(c).cast("double").alias(f"{c}_limit") for c in given))
+    # One shuffle by key serves the union of both grids, the search for keys with an envelope, and the lines.
+    merged = dealt(ours.unionByName(theirs), key).groupBy(key, "s").agg(*(F.max(c).alias(c) for c in curves), *((F.max if c in lows else F.min)(f"{c}_limit").alias(f"{c}_limit") for c in given))
+    rows = merged.withColumn("own", F.max(F.coalesce(*curves).isNotNull()).over(Window.partitionBy(key)))
     line = filled(rows.where("own").drop("own"), [key], curves)
     met = {c: (F.greatest if c in lows else F.least)(F.col(c), F.col(f"{c}_limit")) for c in given}
     out = line.withColumns(met).select(key, "s", *curves)
