@@ -379,3 +379,30 @@ def test_plans_are_aggregated_where_they_stand(spark):
         assert plan(queries.QUERIES[name](spark, d)).count("Exchange hashpartitioning") == 1, name
     assert plan(queries.endpoint_defects(spark, d)).count("Exchange hashpartitioning") <= 2
     assert plan(queries.envelope_nine(spark, d)).count("Exchange hashpartitioning") <= 3
+
+
+def test_tasks_of_plans_stay_of_one_size(spark, monkeypatch):
+    """More order lines are dealt to more tasks, once for both grids of an envelope, and one sort finds both neighbours of a node."""
+    from trackloom import shared
+    from trackloom.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    want = -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 500)
+    assert want > 4
+    for name in ("envelope_nine", "envelope_tighten"):
+        found = queries.QUERIES[name](spark, d)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert f", {want}), REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") <= 2, name
+        assert plan.count("Sort [l_orderkey") == 3 and " DESC " not in plan, name  # the lines of each grid, then both grids
+    assert queries.envelope_nine(spark, d).rdd.getNumPartitions() == want
+
+
+def test_neighbours_of_nodes_without_a_place_or_a_value(spark):
+    """A row without s has no values and is no neighbour; long runs of nulls are filled from both sides."""
+    rows = [(1, None, 5.0, None), (1, 0.0, None, None), (1, 1.0, 2.0, 3.0), (1, 2.0, None, None), (1, 5.0, 10.0, None), (1, 9.0, None, None), (2, 1.0, None, 1.0), (2, None, None, None)]
+    frame = spark.createDataFrame(rows, "k int, s double, a double, b double")
+    found = {(r.k, r.s): (r.a, r.b) for r in profiles.filled(frame, ["k"], ["a", "b"]).collect()}
+    assert found == {(1, None): (None, None), (1, 0.0): (2.0, 3.0), (1, 1.0): (2.0, 3.0), (1, 2.0): (4.0, 3.0), (1, 5.0): (10.0, 3.0), (1, 9.0): (10.0, 3.0), (2, 1.0): (None, 1.0), (2, None): (None, None)}
+    gaps = spark.range(200_001).selectExpr("1 AS k", "cast(id AS double) AS s", "IF(id % 50000 = 0, cast(id AS double), NULL) AS a")
+    assert profiles.filled(gaps, ["k"], ["a"]).where("abs(a - s) < 1e-6").count() == 200_001

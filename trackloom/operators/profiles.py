@@ -35,15 +35,18 @@ def sampled(nodes: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
 def filled(rows: DataFrame, keys: list[str], curves: list[str]) -> DataFrame:
     """Rows (keys, s, curves, others) with nulls of a curve taken from the line between its neighbours, its ends held.
 
-    One shuffle by keys and a sort each way; at each s at most one row. A curve without a value stays null.
+    One shuffle by keys and one sort serve both neighbours; at each s at most one row. A curve without a value stays null, as
+    does a row without s, which is no neighbour either.
     """
-    up, down = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("s"), F.desc("s")))
-    node = lambda c: F.when(F.col(c).isNotNull(), F.struct("s", F.col(c).cast("double").alias("y")))
-    sides = rows.withColumns({f"{c}_before": F.last(node(c), True).over(up) for c in curves}).withColumns({f"{c}_after": F.last(node(c), True).over(down) for c in curves})
+    partition, node = ", ".join(f"`{k}`" for k in keys), "IF(`{c}` IS NOT NULL AND `s` IS NOT NULL, `{x}`, NULL)"
+    near = lambda way, c, x: F.expr(f"{way}({node.format(c=c, x=x)}) IGNORE NULLS OVER (PARTITION BY {partition} ORDER BY `s`)")
+    values = rows.withColumns({c: F.col(c).cast("double") for c in curves})
+    sides = values.withColumns({f"{c}_{way}_{x}": near(way, c, y) for c in curves for way in ("lag", "lead") for x, y in (("s", "s"), ("y", c))})
 
     def value(c: str) -> Column:
-        a, b = F.coalesce(F.col(f"{c}_before"), F.col(f"{c}_after")), F.coalesce(F.col(f"{c}_after"), F.col(f"{c}_before"))
-        return interp.between(a["s"], a["y"], b["s"], b["y"], F.col("s"))
+        s0, y0, s1, y1 = (F.col(f"{c}_{way}_{x}") for way in ("lag", "lead") for x in "sy")
+        inner = interp.between(s0, y0, s1, y1, F.col("s"))
+        return F.when(F.col("s").isNotNull(), F.coalesce(F.col(c), inner, y0, y1))
 
     return sides.select(*(value(c).alias(c) if c in curves else c for c in rows.columns))
 
@@ -58,13 +61,13 @@ def on_merged_grid(nodes: DataFrame, key: str, curve: str) -> DataFrame:
 PAIR = (("lower", "upper"),)
 
 
-def tighten(envelope: DataFrame, constraints: DataFrame, key: str, pairs: tuple[tuple[str | None, str | None], ...] = PAIR) -> DataFrame:
+def tighten(envelope: DataFrame, constraints: DataFrame, key: str, pairs: tuple[tuple[str | None, str | None], ...] = PAIR, rows: int = 0) -> DataFrame:
     """(key, s, curves) on the union of its grid and the constraints', within both.
 
     pairs names the lower and upper curves, such as (h_lower, h_upper) or (None, cl_max). Constraints at one s
     count together (largest lower, smallest upper); a curve that they lack is not tightened. Between nodes the
     envelope is linear. crossed marks rows where a lower curve is above its upper. Keys without an envelope have
-    no rows.
+    no rows. rows is about how many rows both have, if known: tasks then stay of one size.
     """
     curves = [c for pair in pairs for c in pair if c]
     lows = {low for low, _ in pairs if low}
@@ -73,9 +76,10 @@ def tighten(envelope: DataFrame, constraints: DataFrame, key: str, pairs: tuple[
     ours = envelope.select(key, "s", *(F.col(c).cast("double").alias(c) for c in curves), *nulls(f"{c}_limit" for c in given))
     theirs = constraints.select(key, "s", *nulls(curves), *(F.col(c).cast("double").alias(f"{c}_limit") for c in given))
     # One shuffle by key serves the union of both grids, the search for keys with an envelope, and the lines.
-    merged = dealt(ours.unionByName(theirs), key).groupBy(key, "s").agg(*(F.max(c).alias(c) for c in curves), *((F.max if c in lows else F.min)(f"{c}_limit").alias(f"{c}_limit") for c in given))
-    rows = merged.withColumn("own", F.max(F.coalesce(*curves).isNotNull()).over(Window.partitionBy(key)))
-    line = filled(rows.where("own").drop("own"), [key], curves)
+    merged = dealt(ours.unionByName(theirs), key, rows=rows).groupBy(key, "s").agg(*(F.max(c).alias(c) for c in curves), *((F.max if c in lows else F.min)(f"{c}_limit").alias(f"{c}_limit") for c in given))
+    whole = Window.partitionBy(key).orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    owned = merged.withColumn("own", F.max(F.coalesce(*curves).isNotNull()).over(whole))
+    line = filled(owned, [key], curves).where("own")
     met = {c: (F.greatest if c in lows else F.least)(F.col(c), F.col(f"{c}_limit")) for c in given}
     out = line.withColumns(met).select(key, "s", *curves)
     crossed = [F.coalesce(F.col(low) > F.col(high), F.lit(False)) for low, high in pairs if low and high]

@@ -62,12 +62,17 @@ def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_count(spark: SparkSession, sf_dir: str) -> int:
+    """Order lines, from the footers of their files: how many tasks they are dealt to follows from it."""
+    return read(spark, sf_dir, "lineitem").count()
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line, numbered anew from 1 in its order by line number and then all other columns: repeated numbers are lines too."""
     rest = ["l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag"]
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", *rest)
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *rest)
-    return dealt(rows, "l_orderkey").select("l_orderkey", F.row_number().over(order).alias("l_linenumber"), *rest)
+    return dealt(rows, "l_orderkey", rows=line_count(spark, sf_dir)).select("l_orderkey", F.row_number().over(order).alias("l_linenumber"), *rest)
 
 
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -567,7 +567,7 @@ def envelope_tighten(spark: SparkSession, d: str) -> DataFrame:
     line = fixture.lines(spark, d)
     env = line.where("l_linenumber % 2 = 1").select("l_orderkey", (F.col("l_linenumber") * 10.0).alias("s"), F.col("l_quantity").alias("lower"), (F.col("l_quantity") + 20.0).alias("upper"))
     con = line.where("l_linenumber % 3 <> 1").select("l_orderkey", (F.floor(F.col("l_linenumber") / 2) * 10.0 + 10.0).alias("s"), (F.col("l_quantity") - 5.0).alias("lower"), (F.col("l_quantity") + 10.0).alias("upper"))
-    return profiles.tighten(env, con, "l_orderkey").select("l_orderkey", "s", F.round("lower", 9).alias("lower"), F.round("upper", 9).alias("upper"), "crossed")
+    return profiles.tighten(env, con, "l_orderkey", rows=fixture.line_count(spark, d)).select("l_orderkey", "s", F.round("lower", 9).alias("lower"), F.round("upper", 9).alias("upper"), "crossed")
 
 
 NINE = (("h_lower", "h_upper"), ("cas_lower", "cas_upper"), ("gamma_lower", "gamma_upper"), ("thrust_lower", "thrust_upper"), (None, "cl_max"))
@@ -601,7 +601,7 @@ def envelope_nine(spark: SparkSession, d: str) -> DataFrame:
     values = {c: q * (k + 1.0) + (0.0 if c == low else 20.0) for k, (low, high) in enumerate(NINE) for c in (low, high) if c}
     env = line.where("l_linenumber % 2 = 1").select("l_orderkey", (F.col("l_linenumber") * 10.0).alias("s"), *(values[c].alias(c) for c in curves))
     con = line.where("l_linenumber % 2 = 0").select("l_orderkey", (F.col("l_linenumber") * 10.0 + 5.0).alias("s"), q.alias("h_lower"), (q + 9.0).alias("h_upper"), (q * 2.0).alias("cas_upper"))
-    return profiles.tighten(env, con, "l_orderkey", NINE).select("l_orderkey", "s", *(F.round(c, 6).alias(c) for c in curves), "crossed")
+    return profiles.tighten(env, con, "l_orderkey", NINE, rows=fixture.line_count(spark, d)).select("l_orderkey", "s", *(F.round(c, 6).alias(c) for c in curves), "crossed")
 
 
 # Plans.

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 #: By application: the folder of a session on this machine alone.
 _temporary: dict[str, str] = {}
+#: Rows of a task, about: wide ones of several sorts then need some hundred MB at any size of the input.
+TASK_ROWS = 1 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,13 +50,13 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt by keys to all of spark.sql.shuffle.partitions tasks.
+def dealt(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
+    """df dealt by keys to all of spark.sql.shuffle.partitions tasks, or to more: one for every TASK_ROWS of rows (about how many df has, if known).
 
     Adaptive execution joins small partitions by their compressed bytes. Where few bytes become many rows, or wide ones,
     that leaves a task too many of them; partitions of a given number stay.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), *keys)
 
 
 def forget(*tables: DataFrame) -> None:
