@@ -741,3 +741,23 @@ def test_other_tokenizers(docs):
     whole = tokens.token_counts(docs, registry.vocabulary("byte_bpe_50k.json"), splits_at_space=False).collect()
     tk = tokenizer("byte_bpe_50k.json")
     assert {r.doc_id: r.n_tokens for r in whole} == {r[0]: len(tk.encode(r[1] or "", add_special_tokens=False).ids) for r in ROWS}
+
+
+def test_words_are_classed_by_their_ends(monkeypatch):
+    """Classes and places of words come from Arrow: Python looks at each ending once, whatever the number of words."""
+    import pyarrow as pa
+
+    rng, calls, plain = random.Random(4), [], hmm.word_class
+    texts = [" ".join(f"{rng.getrandbits(40):x}ab" for _ in range(500)) for _ in range(8)] + ["q é x ab b", None, ""]
+    vocabulary = [w.encode() for w in sorted(set(words(texts[0])))] + [b"q", "é".encode()]
+    want = {w: i for i, w in enumerate(vocabulary)}
+    every = [w.encode() for t in texts for w in words(t or "")]
+    for part in (slice(0, None), slice(4000, None)):
+        assert hmm.word_classes(pa.array(every, pa.large_binary())[part]).tolist() == [plain(w) for w in every[part]]
+    monkeypatch.setattr(hmm, "word_class", lambda w: calls.append(w) or plain(w))
+    encoder = hmm.Encoder(vocabulary, 100)
+    numbers, size, distinct, place = encoder.numbers(pa.array(texts, pa.string()))
+    assert numbers.tolist() == [want.get(w, -1 - plain(w)) for w in every] and size.tolist() == [len(words(t or "")) for t in texts]
+    assert [distinct[i].as_py() for i in place] == every
+    assert encoder.symbols(numbers).tolist() == [i if (i := want.get(w, 1 << 20)) < 100 else 100 + plain(w) for w in every]
+    assert len(calls) <= 2 * len({w[-2:] for w in every})

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import warnings
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -53,11 +52,11 @@ def word_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % CLASSES
 
 
-class Places(dict):
-    """Place of each known word; -1 for all others."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
+def word_classes(words: pa.Array) -> np.ndarray:
+    """word_class of each of an array of binary words."""
+    tails = pc.dictionary_encode(pc.binary_slice(words, -2))
+    kinds = np.array([word_class(x) for x in tails.dictionary.to_pylist()], np.int32)
+    return kinds[tails.indices.to_numpy()] if len(words) else np.zeros(0, np.int32)
 
 
 @dataclass
@@ -100,29 +99,27 @@ class Columns:
         self.steps = int(length[0]) if len(length) else 0
         self.active = np.searchsorted(-length, -np.arange(self.steps), side="left")
         self.edges = np.concatenate(([0], np.cumsum(self.active)))
-        step = np.repeat(np.arange(self.steps), self.active)
-        self.column = np.arange(self.edges[-1]) - self.edges[step]
-        self.symbol = flat[begin[self.column] + step]
-        self.emit = model.emit[self.symbol]
+        self.column = np.arange(self.edges[-1]) - np.repeat(self.edges[:-1], self.active)
+        self.symbol = flat.take(begin.take(self.column) + np.repeat(np.arange(self.steps), self.active)).astype(np.intp)
+        self.emit = model.emit.take(self.symbol, 0)
 
-    def forward(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood of each stretch after the state distributions before it, and the scaled states after each step."""
+    def forward(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-likelihood of each stretch after the state distributions before it; the scaled states after each step, and their scales."""
         states, scales = np.empty_like(self.emit), np.ones(len(self.symbol))
-        now, edges, move = before[self.order], self.edges.tolist(), self.model.move
+        now, edges, move, ones = before[self.order], self.edges.tolist(), self.model.move, np.ones(len(self.model.start))
         for t in range(self.steps):
             a, b = edges[t], edges[t + 1]
             new = states[a:b]
             np.matmul(now[: b - a], move, out=new)
             new *= self.emit[a:b]
             if t % SCALED == SCALED - 1:
-                scale = new.sum(1)
-                new /= scale[:, None]
-                scales[a:b] = scale
+                np.matmul(new, ones, out=scales[a:b])
+                new /= scales[a:b, None]
             now = new
         log = np.bincount(self.column, np.log(scales), len(self.order))
         total = np.empty_like(log)
         total[self.order] = log + np.log(states[self.final()].sum(1))
-        return total, states
+        return total, states, scales
 
     def final(self) -> np.ndarray:
         """Where each column's last step stands."""
@@ -133,42 +130,43 @@ class Columns:
         """Per stretch the scaled product of its (move, emit) steps and its log scale."""
         k, n = len(self.model.start), len(self.order)
         m, log = np.repeat(np.eye(k)[None], n, 0), np.zeros(n)
+        moved, edges = np.empty_like(m), self.edges.tolist()
         for t in range(self.steps):
-            a = self.active[t]
-            step = (m[:a].reshape(a * k, k) @ self.model.move).reshape(a, k, k) * self.emit[self.edges[t] : self.edges[t + 1], None, :]
+            a = edges[t + 1] - edges[t]
+            np.matmul(m[:a].reshape(a * k, k), self.model.move, out=moved[:a].reshape(a * k, k))
+            np.multiply(moved[:a], self.emit[edges[t] : edges[t + 1], None, :], out=m[:a])
             if t % SCALED == SCALED - 1:
-                scale = step.max((1, 2))
-                step /= scale[:, None, None]
+                scale = m[:a].max((1, 2))
+                m[:a] /= scale[:, None, None]
                 log[:a] += np.log(scale)
-            m[:a] = step
         out, logs = np.empty_like(m), np.empty(n)
         out[self.order], logs[self.order] = m, log
         return out, logs
 
     def expect(self, before: np.ndarray, after: np.ndarray, sums: Sums) -> tuple[np.ndarray, np.ndarray]:
         """Adds expected transitions and emissions; returns log-likelihoods and the backward vectors before the stretches."""
-        log, states = self.forward(before)
-        move, edges = self.model.move, self.edges.tolist()
-        later, back = np.empty_like(states), np.empty_like(states)  # backward vectors after and before each step
-        now = after[self.order]
+        log, states, scales = self.forward(before)
+        move, edges, ones = self.model.move, self.edges.tolist(), np.ones(len(self.model.start))
+        gamma, ahead = np.empty_like(states), np.empty_like(states)  # states seen from both sides; backward vectors with each step's emission
+        now, turned = after[self.order], np.ascontiguousarray(move.T)
         for t in range(self.steps - 1, -1, -1):
             a, b = edges[t], edges[t + 1]
-            later[a:b] = now[: b - a]
-            np.matmul(self.emit[a:b] * now[: b - a], move.T, out=back[a:b])
+            later = now[: b - a]
+            np.multiply(states[a:b], later, out=gamma[a:b])
+            np.multiply(self.emit[a:b], later, out=ahead[a:b])
+            np.matmul(ahead[a:b], turned, out=later)
             if t % SCALED == 0:
-                back[a:b] /= back[a:b].sum(1, keepdims=True)
-            now[: b - a] = back[a:b]
-        gamma = states * later
-        gamma /= gamma.sum(1, keepdims=True)
+                later /= (later @ ones)[:, None]
+        mass = gamma @ ones
+        gamma /= mass[:, None]
         for s in range(len(move)):
             sums.emitted[:, s] += np.bincount(self.symbol, gamma[:, s], len(sums.emitted))
-        past = np.empty_like(states)
-        past[: edges[min(1, self.steps)]] = before[self.order]
-        step = np.repeat(np.arange(1, self.steps), self.active[1:])
-        past[edges[min(1, self.steps)] :] = states[self.edges[step - 1] + self.column[edges[min(1, self.steps)] :]]
-        ahead = self.emit * later
-        past /= np.einsum("ij,ij->i", past @ move, ahead)[:, None]
-        sums.moved += move * (past.T @ ahead)
+        # A step's past, moved and times ahead, adds up to its states' mass before they were scaled.
+        ahead /= (mass * scales)[:, None]
+        first = edges[min(1, self.steps)]
+        pairs = before[self.order[:first]].T @ ahead[:first]
+        pairs += states.take(np.arange(first, len(states)) - np.repeat(self.active[:-1], self.active[1:]), 0).T @ ahead[first:]
+        sums.moved += move * pairs
         out = np.empty_like(now)
         out[self.order] = now / now.sum(1, keepdims=True)
         return log, out
@@ -236,16 +234,16 @@ class Encoder:
     """Words as numbers: the place of a known word, -1 - class for others."""
 
     def __init__(self, known: list[bytes], own: int):
-        self.places, self.own = Places(zip(known, range(len(known)))), own
+        self.known, self.own = pa.array(known, pa.large_binary()), own
         # The symbol of each known word, then of each class, so that numbers below zero find theirs too.
-        self.table = np.array([*range(own), *(own + word_class(w) for w in known[own:]), *range(own + CLASSES - 1, own - 1, -1)], np.int32)
+        self.table = np.concatenate((np.arange(own), own + word_classes(self.known[own:]), np.arange(own + CLASSES - 1, own - 1, -1))).astype(np.int32)
 
     def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """Numbers of all words of texts, how many words each text has, the distinct words and each word's place there."""
         words, size = split(texts)
         coded = pc.dictionary_encode(words)
-        get = self.places.__getitem__
-        of = np.array([i if (i := get(w)) >= 0 else -1 - word_class(w) for w in coded.dictionary.to_pylist()], np.int32)
+        found = pc.fill_null(pc.index_in(coded.dictionary, self.known), -1).to_numpy()
+        of = np.where(found >= 0, found, -1 - word_classes(coded.dictionary)).astype(np.int32)
         place = coded.indices.to_numpy()
         return of[place] if len(place) else np.zeros(0, np.int32), size, coded.dictionary, place
 
@@ -362,18 +360,10 @@ def word_counts(train: DataFrame) -> DataFrame:
     """word, n, class of every distinct word of train."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(seen: Counter) -> pa.RecordBatch:
-            kinds = pa.array(list(map(word_class, seen)), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64()), kinds], ["word", "n", "class"])
-
-        seen: Counter = Counter()
         for batch in text_batches(batches):
             found = pc.value_counts(split(batch.column("text"))[0])
-            seen.update(dict(zip(found.field("values").to_pylist(), found.field("counts").to_pylist())))
-            if len(seen) > 300_000:
-                yield of(seen)
-                seen = Counter()
-        yield of(seen)
+            words = found.field("values")
+            yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), found.field("counts"), pa.array(word_classes(words))], ["word", "n", "class"])
 
     return train.select("text").mapInArrow(count, "word binary, n long, class int").groupBy("word").agg(F.sum("n").alias("n"), F.first("class").alias("class"))
 
